@@ -163,3 +163,68 @@ def label_map(spark: SparkSession) -> DataFrame:
 
 
 LMAP = "lmap(label, entry, canonical) AS (VALUES " + ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in LABEL_MAP) + ")"
+
+
+# -- binary scores from class centroids ----------------------------------------
+
+
+def centroid_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """``(row_id, class, d2)``: squared distance of every vector to every class mean."""
+    from strandlab.functions.exprs import squared_distance
+    from strandlab.operators.moments import class_mean_var
+
+    v = vectors(spark, folder)
+    means = class_mean_var(v, 64).groupBy().agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("_m"))
+    d2 = F.transform("_m", lambda m: F.struct(m["label"].alias("class"), squared_distance(F.col("x"), m["mean"]).alias("d2")))
+    return v.join(F.broadcast(means.limit(1))).select(F.col("id").alias("row_id"), F.explode(d2).alias("z")).select("row_id", "z.class", "z.d2")
+
+
+CENTROID = f"""
+{VEC},
+ex AS (SELECT id, label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM vec),
+mean AS (SELECT label, i, avg(v) AS m FROM ex GROUP BY ALL),
+dist AS (SELECT ex.id AS row_id, mean.label AS class, sum((v - m) * (v - m)) AS d2 FROM ex JOIN mean USING (i) GROUP BY ALL),
+dom AS (SELECT label AS class, row_number() OVER (ORDER BY label) - 1 AS pos FROM (SELECT DISTINCT label FROM vec)),
+ncls AS (SELECT count(*) AS n FROM dom)
+"""
+
+# one-vs-rest: mean distance of all classes minus the distance of the class
+OVR = CENTROID + """,
+ovr AS (SELECT row_id, CAST(pos AS INTEGER) AS clf, avg(d2) OVER (PARTITION BY row_id) - d2 AS score FROM dist JOIN dom USING (class)),
+ovrcode AS (SELECT CAST(a.pos AS INTEGER) AS clf, b.class, CASE WHEN a.pos = b.pos THEN 1 ELSE -1 END AS bit FROM dom a CROSS JOIN dom b)
+"""
+
+# pairs: distance to the first class minus distance to the second
+PAIRS = CENTROID + """,
+dp AS (SELECT row_id, class, pos, d2 FROM dist JOIN dom USING (class)),
+apair AS (SELECT a.pos AS i, b.pos AS j, CAST(a.pos * n - (a.pos * (a.pos + 1)) // 2 + b.pos - a.pos - 1 AS INTEGER) AS clf
+  FROM dom a JOIN dom b ON a.pos < b.pos, ncls),
+ap AS (SELECT a.row_id, clf, a.d2 - b.d2 AS score FROM apair JOIN dp a ON a.pos = i JOIN dp b ON b.pos = j AND b.row_id = a.row_id),
+apcode AS (SELECT clf, class, CASE WHEN pos = i THEN -1 WHEN pos = j THEN 1 ELSE 0 END AS bit FROM apair CROSS JOIN dom)
+"""
+
+
+def class_positions(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.sources.instances import class_domain
+
+    return class_domain(vectors(spark, folder).select("label"))
+
+
+def ovr_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    d = centroid_distances(spark, folder).join(class_positions(spark, folder).withColumnRenamed("label", "class"), "class")
+    mean = F.avg("d2").over(Window.partitionBy("row_id"))
+    return d.select("row_id", F.col("pos").alias("clf"), (mean - F.col("d2")).alias("score"))
+
+
+def pair_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all pair classifiers from the short per-row list of distances."""
+    d = centroid_distances(spark, folder).join(class_positions(spark, folder).withColumnRenamed("label", "class"), "class")
+    rows = d.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "d2"))).alias("a")).withColumn("n", F.size("a"))
+    ij = F.flatten(
+        F.transform("a", lambda p: F.transform(F.filter("a", lambda q: q["pos"] > p["pos"]), lambda q: F.struct(p["pos"].alias("i"), q["pos"].alias("j"), (p["d2"] - q["d2"]).alias("score"))))
+    )
+    flat = rows.select("row_id", "n", F.explode(ij).alias("z")).select("row_id", "n", "z.*")
+    clf = F.col("i") * F.col("n") - F.expr("i * (i + 1) div 2") + F.col("j") - F.col("i") - 1
+    return flat.select("row_id", clf.cast("int").alias("clf"), "score")

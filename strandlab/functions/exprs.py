@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,22 +25,38 @@ def log_add(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``fn``.
+
+    An expression repeated inside a lambda is computed again for every element;
+    a lambda variable is not.
+    """
+    return F.transform(F.array(value), lambda bound: fn(bound))[0]
+
+
 def log_sum_exp(logs: Column) -> Column:
     """log-sum-exp of an array column."""
-    top = F.array_max(logs)
-    total = F.aggregate(logs, F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    return top + F.log(total)
+
+    def total(arr: Column) -> Column:
+        return let(
+            F.array_max(arr),
+            lambda top: top + F.log(F.aggregate(arr, F.lit(0.0), lambda s, v: s + F.exp(v - top))),
+        )
+
+    return let(logs, total)
 
 
 def softmax(logs: Column) -> Column:
     """Array of log weights to an array that sums to one."""
-    z = log_sum_exp(logs)
-    return F.transform(logs, lambda v: F.exp(v - z))
+    return let(logs, lambda arr: let(log_sum_exp(arr), lambda z: F.transform(arr, lambda v: F.exp(v - z))))
 
 
 def normalise(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(values, lambda v: safe_div(v, total))
+    def scaled(arr: Column) -> Column:
+        total = F.aggregate(arr, F.lit(0.0), lambda s, v: s + v)
+        return let(total, lambda t: F.transform(arr, lambda v: safe_div(v, t)))
+
+    return let(values, scaled)
 
 
 def best_label(score: Column, label: Column, digits: int = 9) -> Column:

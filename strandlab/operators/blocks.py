@@ -64,6 +64,9 @@ def pair_blocks(
     """
     n_left = max(1, -(-left.count() // rows))
     n_right = max(1, -(-right.count() // rows))
+    # new column identities: both sides often come from one table
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     a = left.withColumn("_lb", F.pmod(F.xxhash64(*left_id), F.lit(n_left))).withColumn(
         "_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long")))
     )
