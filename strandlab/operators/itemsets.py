@@ -103,7 +103,7 @@ def association_rules(
     if size > MAX_RULE_ITEMS:
         raise ValueError(f"item sets of {size} items: rules are built up to {MAX_RULE_ITEMS}")
     k = F.size("itemset")
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), k) - 2)
+    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), k).cast("long") - 2)
     split = itemsets.filter(F.col("size") >= 2).select("itemset", "n", F.explode(masks).alias("mask"))
 
     def picked(bit: int) -> Column:

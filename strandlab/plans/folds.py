@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlab.functions.exprs import seeded_hash
+from strandlab.functions.exprs import best_label, seeded_hash
 from strandlab.operators.bayes import naive_bayes_score, nominal_model, predicted
 from strandlab.operators.counts import combine_counts, contingency
 from strandlab.operators.ordering import seeded_rank
@@ -112,3 +112,28 @@ def average_violations(results: DataFrame, keys: Sequence[str], averaged: str, e
     return g.filter(dup | (F.col("results") != expected)).withColumn(
         "problem", F.when(dup, F.lit("duplicate key")).otherwise(F.lit("wrong count"))
     )
+
+
+def cross_validate_rules(folded: DataFrame, attrs: Sequence[str], by: Sequence[str] = (), label: str = "label") -> DataFrame:
+    """Fold errors of the one-attribute rules: ``(<by>, scheme, fold, n, error)``.
+
+    Every attribute is a scheme.  Fitting and testing both happen on the fold
+    counts: the rows are scanned once and never scored one by one.
+    """
+    keys = [*by, "attr", "value"]
+    test = contingency(folded, attrs, label, [*by, "fold"]).withColumnRenamed("w", "test_w")
+    total = test.groupBy(*keys, "label").agg(F.sum("test_w").alias("all_w"))
+    folds = test.select("fold").distinct()
+    grid = total.join(folds).join(test, [*keys, "label", "fold"], "left")
+    grid = grid.withColumn("test_w", F.coalesce("test_w", F.lit(0.0)))
+    rest = F.col("all_w") - F.col("test_w")
+    per_value = grid.groupBy(*keys, "fold").agg(
+        best_label(rest, F.col("label")).alias("predicted"),
+        F.map_from_entries(F.collect_list(F.struct("label", "test_w"))).alias("hits"),
+        F.sum("test_w").alias("tested"),
+    )
+    right = F.coalesce(F.try_element_at("hits", F.col("predicted")), F.lit(0.0))
+    out = per_value.groupBy(*by, F.col("attr").alias("scheme"), "fold").agg(
+        F.sum("tested").alias("n"), (1.0 - F.sum(right) / F.sum("tested")).alias("error")
+    )
+    return out.filter(F.col("n") > 0)
