@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlab.catalog.registry import query
 from strandlab.catalog.tables import ATTRS, CUST, FOLDS, GAPPY, INST, customers_mixed, orders_gappy, orders_nominal, r6, table
-from strandlab.operators import bayes, counts
+from strandlab.operators import bayes, buckets, counts
 from strandlab.plans import folds
 
 
@@ -337,6 +337,30 @@ def _nb_score_numeric(spark, d):
     )
 
 
+_KD = """
+    kl AS (SELECT 'quantity' AS attr, l_quantity AS v, l_returnflag AS label FROM lineitem UNION ALL SELECT 'discount', l_discount, l_returnflag FROM lineitem),
+    kv AS (SELECT attr, label, v, CAST(count(*) AS DOUBLE) AS w FROM kl GROUP BY ALL), wd AS (SELECT attr, (max(v) - min(v)) / (count(DISTINCT v) - 1) AS width FROM kl GROUP BY attr),
+    st AS (SELECT attr, label, sum(w) AS n, max(v) - min(v) AS rg FROM kv GROUP BY ALL),
+    sd AS (SELECT kv.attr, kv.label, v AS mean, w / n AS w, width, greatest(rg / sqrt(n), width / 6) AS sd FROM kv JOIN st USING (attr, label) JOIN wd USING (attr)),
+    qs AS (SELECT DISTINCT attr, v AS g FROM kl)
+"""
+
+
+@query("kernel_density_nb", f"WITH {_KD} SELECT sd.attr, g AS value, label, round(sum(w * {_MASS}), 6) AS p FROM qs JOIN sd USING (attr) GROUP BY sd.attr, g, label")
+def _kernel_nb(spark, d):
+    df = table(spark, d, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("label"))
+    out = bayes.kernel_density_model(df, df, ["quantity", "discount"])
+    return out.select("attr", F.col("value").cast("double").alias("value"), "label", r6(F.col("p")).alias("p"))
+
+
+@query("one_rule_numeric")
+def _one_rule_numeric(spark, d):
+    df = table(spark, d, "orders").select(
+        F.col("o_totalprice").alias("price"), F.dayofyear("o_orderdate").cast("double").alias("day"), F.col("o_orderstatus").alias("label")
+    )
+    return buckets.one_rule_numeric(df, ["price", "day"]).select("attr", "bucket", "low", "high", "predicted", "correct", "n", "rule_correct", "best")
+
+
 # -- folds ---------------------------------------------------------------------
 
 

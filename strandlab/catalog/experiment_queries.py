@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strandlab.catalog.counts_queries import CVNB, GAIN
 from strandlab.catalog.registry import query
-from strandlab.catalog.tables import ATTRS, FOLDS, INST, LMAP, PAIRS, VEC, class_positions, label_map, orders_nominal, pair_scores, r6, table, vectors
+from strandlab.catalog.learner_queries import _dist
+from strandlab.catalog.tables import ATTRS, CUST, FOLDS, INST, LMAP, PAIRS, VEC, class_positions, customers_mixed, label_map, orders_nominal, pair_scores, r6, table, vectors
 from strandlab.catalog.tables_queries import _SPLIT, _train_test
 from strandlab.operators import counts, decode, neighbors
 from strandlab.plans import ensemble, evaluate, folds, search
@@ -478,6 +479,25 @@ def _grid(spark, d):
     return search.grid_search_cv(results(spark, d), ["scheme"]).withColumn("error", r6(F.col("error")))
 
 
+@query(
+    "grid_search_knn",
+    f"""
+    WITH {CUST}, st AS (SELECT min(bal) AS lo, max(bal) AS hi FROM cust),
+    c AS (SELECT id, (bal - lo) / (hi - lo) AS b, nation, label, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '|0'), id) - 1) % 5 AS fold FROM cust, st),
+    pr AS (SELECT q.id AS query, q.label AS actual, q.fold, t.label, {_dist('q', 't')} AS distance FROM c q JOIN c t ON q.fold <> t.fold),
+    rk AS (SELECT *, rank() OVER (PARTITION BY query ORDER BY distance) AS r FROM pr QUALIFY r <= 4), ks AS (SELECT unnest(range(1, 5)) AS k),
+    v AS (SELECT query, actual, fold, k, label, count(*) AS v FROM rk JOIN ks ON r <= k GROUP BY ALL),
+    p AS (SELECT query, actual, fold, k, label FROM v QUALIFY row_number() OVER (PARTITION BY query, k ORDER BY v DESC, label) = 1),
+    e AS (SELECT k, fold, avg(CASE WHEN label = actual THEN 0.0 ELSE 1.0 END) AS error FROM p GROUP BY ALL), g AS (SELECT CAST(k AS INTEGER) AS k, avg(error) AS error, count(*) AS folds FROM e GROUP BY k)
+    SELECT k, round(error, 6) AS error, folds, k = (SELECT k FROM g ORDER BY round(error, 9), k LIMIT 1) AS best FROM g
+    """,
+)
+def _grid_knn(spark, d):
+    folded = folds.assign_folds(customers_mixed(spark, d), 5)
+    out = search.grid_search_cv(neighbors.knn_cv_errors(folded, 4, ["bal"], ["nation"]), ["k"])
+    return out.withColumn("error", r6(F.col("error")))
+
+
 @query("doubling_search")
 def _doubling(spark, d):
     v = vectors(spark, d)

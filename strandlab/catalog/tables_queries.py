@@ -8,6 +8,7 @@ from strandlab.catalog.registry import query
 from strandlab.catalog.tables import (
     CUST, FRAMES, INST, LMAP, customers_mixed, event_frames, label_map, orders_nominal, r6, table,
 )
+from strandlab.functions.exprs import log_add, softmax
 from strandlab.operators import prep
 from strandlab.session import fresh_path
 from strandlab.sources import frames as frame_source
@@ -91,12 +92,13 @@ def _run_id(spark, d):
     return paths.parse_run_identifier(df).drop("path")
 
 
-@query("read_frames", f"WITH {FRAMES} SELECT seq_id AS user_id, t, round(x, 6) AS x FROM frames")
+@query("read_frames", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS t, round(value, 6) AS x1, CAST(user_id AS DOUBLE) AS x2 FROM events")
 def _read_frames(spark, d):
-    # a frame table written out and read back keeps one row per (sequence, position)
+    # one text file with a frame per line, in event order
     out = fresh_path(spark, "frames")
-    event_frames(spark, d).write.parquet(out)
-    return spark.read.parquet(out).select(F.col("seq_id").alias("user_id"), "t", r6(F.col("x")[0]).alias("x"))
+    e = table(spark, d, "events").orderBy("event_id").select(F.concat_ws(" ", F.round("value", 6), "user_id"))
+    e.coalesce(1).write.text(out)
+    return frame_source.read_frames(spark, out).select("t", F.col("x")[0].alias("x1"), F.col("x")[1].alias("x2"))
 
 
 @query(
@@ -251,6 +253,18 @@ def _union(spark, d):
     return instances.union_sets(a, b)
 
 
+@query(
+    "log_domain",
+    """
+    WITH s AS (SELECT event_id, -value / 10 AS a, -value / 20 - 1 AS b FROM events)
+    SELECT event_id, round(ln(exp(a) + exp(b)), 6) AS total, round(exp(a) / (exp(a) + exp(b)), 6) AS share FROM s
+    """,
+)
+def _log_domain(spark, d):
+    e = table(spark, d, "events").select("event_id", (-F.col("value") / 10).alias("a"), (-F.col("value") / 20 - 1).alias("b"))
+    return e.select("event_id", r6(log_add(F.col("a"), F.col("b"))).alias("total"), r6(softmax(F.array("a", "b"))[0]).alias("share"))
+
+
 @query(
     "string_functions",
     """

@@ -77,27 +77,33 @@ def knn_topk(
     leave_self_out: bool = False,
     rows: int = BLOCK_ROWS,
     vector: str | None = None,
+    fold: str | None = None,
 ) -> DataFrame:
     """Nearest distinct training rows with ties at the k-th distance kept.
 
     Returns ``(query, same, label, distance, w, closer)``: ``same`` identifies
     equal training rows, ``w`` how many there are with that label, and ``closer``
     how many training rows are strictly nearer.  With ``leave_self_out`` the query
-    row itself is taken out of its own group.
+    row itself is taken out of its own group.  With ``fold`` a query only sees
+    training rows of other folds.
     """
+    if fold:
+        query = query.withColumn("_fold", F.col(fold))
+        train = train.withColumn("_fold", F.col(fold))
+    extra = ["_fold"] if fold else []
     if vector:
-        q = query.select(F.col(row_id).alias("query"), F.col(vector).alias("x"), *([F.col(label).alias("own")] if leave_self_out else []))
-        t = train.select(F.col(vector).alias("x"), F.col(label).alias("label"))
+        q = query.select(F.col(row_id).alias("query"), F.col(vector).alias("x"), *([F.col(label).alias("own")] if leave_self_out else []), *extra)
+        t = train.select(F.col(vector).alias("x"), F.col(label).alias("label"), *extra)
         sig = F.md5(F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))))
         features = ["x"]
     else:
         stats = fit_minmax(train, numeric) if numeric else None
         features = [*numeric, *nominal]
-        q = _scaled(query.select(F.col(row_id).alias("query"), *features, *([F.col(label).alias("own")] if leave_self_out else [])), stats, numeric)
-        t = _scaled(train.select(*features, F.col(label).alias("label")), stats, numeric)
+        q = _scaled(query.select(F.col(row_id).alias("query"), *features, *([F.col(label).alias("own")] if leave_self_out else []), *extra), stats, numeric)
+        t = _scaled(train.select(*features, F.col(label).alias("label"), *extra), stats, numeric)
         sig = _signature(numeric, nominal)
     q = q.withColumn("same", sig) if leave_self_out else q
-    t = t.withColumn("same", sig).groupBy("same", "label").agg(
+    t = t.withColumn("same", sig).groupBy("same", "label", *extra).agg(
         *[F.first(c).alias(c) for c in features], F.count(F.lit(1)).cast("double").alias("w")
     )
 
@@ -114,6 +120,10 @@ def knn_topk(
                     )
                     weight = weight - own
                     dist = np.where(weight > 0, dist, np.inf)
+                if fold:
+                    apart = part["_fold"].to_numpy()[:, None] != b["_fold"].to_numpy()[None, :]
+                    weight = weight * apart
+                    dist = np.where(apart, dist, np.inf)
                 i, j = np.nonzero(_nearest(dist, weight, k) & np.isfinite(dist))
                 out.append(
                     pd.DataFrame(
@@ -128,7 +138,7 @@ def knn_topk(
 
     kind = dict(q.dtypes)["query"]
     lab = dict(t.dtypes)["label"]
-    near = pair_blocks(q, t, ["query"], ["same", "label"], reduce_pair, f"query {kind}, same string, label {lab}, distance double, w double", rows)
+    near = pair_blocks(q, t, ["query"], ["same", "label", *extra], reduce_pair, f"query {kind}, same string, label {lab}, distance double, w double", rows)
     upto = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ties = Window.partitionBy("query", "distance")
     out = near.withColumn("closer", F.sum("w").over(upto) - F.sum("w").over(ties))
@@ -180,15 +190,28 @@ def knn_choose_k(
     the votes of all k come from one grouped table.
     """
     near = knn_topk(train, train, kmax, numeric, nominal, row_id, label, leave_self_out=True, rows=rows)
+    errors = _errors_per_k(near, train, kmax, row_id, label, [])
+    best = errors.agg(F.min(F.struct(F.round("error", 9).alias("e"), "k"))["k"].alias("_b"))
+    return errors.join(F.broadcast(best.limit(1))).withColumn("best", F.col("k") == F.col("_b")).drop("_b")
+
+
+def knn_cv_errors(folded: DataFrame, kmax: int, numeric: Sequence[str] = (), nominal: Sequence[str] = (), row_id: str = "id", label: str = "label", rows: int = BLOCK_ROWS) -> DataFrame:
+    """Cross-validated error of k = 1..kmax per fold from one pairing: ``(k, fold, n, error)``.
+
+    Numbers are scaled with the range of the whole table.
+    """
+    near = knn_topk(folded, folded, kmax, numeric, nominal, row_id, label, rows=rows, fold="fold")
+    return _errors_per_k(near, folded, kmax, row_id, label, ["fold"])
+
+
+def _errors_per_k(near: DataFrame, train: DataFrame, kmax: int, row_id: str, label: str, by: Sequence[str]) -> DataFrame:
     per_k = near.select("query", "label", "w", F.explode(F.sequence((F.col("closer") + 1).cast("int"), F.lit(kmax))).alias("k"))
     votes = per_k.groupBy("query", "k", "label").agg(F.sum("w").alias("v"))
     top = votes.groupBy("query", "k").agg(F.min(F.struct((-F.col("v")).alias("s"), "label"))["label"].alias("predicted"))
-    actual = train.select(F.col(row_id).alias("query"), F.col(label).alias("actual"))
-    errors = top.join(actual, "query").groupBy("k").agg(
+    actual = train.select(F.col(row_id).alias("query"), F.col(label).alias("actual"), *by)
+    return top.join(actual, "query").groupBy("k", *by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("predicted") == F.col("actual"), 0.0).otherwise(1.0)).alias("error")
     )
-    best = errors.agg(F.min(F.struct(F.round("error", 9).alias("e"), "k"))["k"].alias("_b"))
-    return errors.join(F.broadcast(best.limit(1))).withColumn("best", F.col("k") == F.col("_b")).drop("_b")
 
 
 def last_window(train: DataFrame, order: Sequence[str], n: int) -> DataFrame:

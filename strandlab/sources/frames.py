@@ -13,17 +13,17 @@ from strandlab.operators.ordering import dense_index
 def read_frames(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
     """Delimited numeric text, one frame per line, one file per sequence.
 
-    Lines carry no number, so their order inside a file comes from the scan:
-    files are read whole by one task each and may not be splittable for that
-    reason.  Tables with an explicit position should use ``as_frames``.
+    Files may be split: the order of the lines is (start of the split, running
+    number inside the task), from which dense positions are derived.
     """
-    lines = spark.read.option("wholetext", "true").text(path)
-    per_file = lines.select(F.col("_metadata.file_path").alias("seq_id"), F.split("value", "\n").alias("rows"))
-    long = per_file.select("seq_id", F.posexplode("rows").alias("t", "line"))
-    long = long.filter(F.length(F.trim("line")) > 0)
-    return long.select(
-        "seq_id", F.col("t").cast("long").alias("t"), F.split(F.trim("line"), sep).cast("array<double>").alias("x")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("seq_id"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+        F.trim("value").alias("line"),
     )
+    lines = lines.filter(F.length("line") > 0).withColumn("x", F.split("line", sep).cast("array<double>"))
+    return dense_index(lines.drop("line"), ["seq_id"], ["_block", "_line"]).select("seq_id", "t", "x")
 
 
 def as_frames(
