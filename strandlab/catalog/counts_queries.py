@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlab.catalog.registry import query
-from strandlab.catalog.tables import ATTRS, CUST, FOLDS, GAPPY, INST, customers_mixed, orders_gappy, orders_nominal, r6, table
+from strandlab.catalog.tables import ATTRS, CUST, FOLDS, GAPPY, INST, customers_mixed, orders_gappy, orders_nominal, r6, spread_table, table
 from strandlab.operators import bayes, buckets, counts
 from strandlab.plans import folds
 
@@ -181,7 +181,7 @@ num AS (
 
 
 def _lines_numeric(spark, d):
-    return table(spark, d, "lineitem").select(
+    return spread_table(spark, d, "lineitem").select(
         F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"),
         F.datediff(F.col("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("double").alias("shipped"),
         F.col("l_returnflag").alias("label"),
@@ -327,7 +327,7 @@ _MASS = (
     """,
 )
 def _nb_score_numeric(spark, d):
-    df = table(spark, d, "lineitem").select(
+    df = spread_table(spark, d, "lineitem").select(
         F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("label")
     )
     m = bayes.naive_bayes_fit(df, [], ["price", "quantity"])

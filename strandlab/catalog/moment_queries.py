@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlab.catalog.registry import query
-from strandlab.catalog.tables import CENTROID, FRAMES, INST, LINES, VEC, centroid_distances, event_frames, line_frames, orders_nominal, r6, table, vectors
+from strandlab.catalog.tables import CENTROID, FRAMES, INST, LINES, VEC, centroid_distances, event_frames, line_frames, orders_nominal, r6, spread_table, table, vectors
 from strandlab.functions.exprs import gaussian_logpdf
 from strandlab.operators import cluster, mixture, moments
 from strandlab.plans.folds import assign_folds
@@ -128,7 +128,7 @@ def _classify(spark, d):
 
 
 def _pairs2(spark, d):
-    return table(spark, d, "lineitem").select(F.array(F.col("l_quantity") / 10, F.col("l_discount") * 100).alias("x"), F.col("l_returnflag").alias("label"))
+    return spread_table(spark, d, "lineitem").select(F.array(F.col("l_quantity") / 10, F.col("l_discount") * 100).alias("x"), F.col("l_returnflag").alias("label"))
 
 
 def _em_sql(steps: int) -> str:

@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.sources.frames import as_frames
+from strandlab.sources.instances import read_spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_spread(spark, f"{folder}/{name}.parquet")
+
+
 def r6(col: Column, digits: int = 6) -> Column:
     return F.round(col, digits)
 
@@ -26,7 +31,7 @@ ATTRS = ["priority", "year", "band"]
 
 
 def orders_nominal(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
+    return spread_table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderpriority").alias("priority"),
         F.year("o_orderdate").cast("string").alias("year"),

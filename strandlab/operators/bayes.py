@@ -6,16 +6,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlab.functions.exprs import normal_interval, softmax
 from strandlab.operators.blocks import pair_blocks
 from strandlab.operators.counts import contingency
+from strandlab.session import cut
 
 LIKELIHOOD_FLOOR = 1e-75
 DEFAULT_PRECISION = 0.01
+CLASS_ATTR = "\u0000class"  # constant attribute that counts the classes
 
 
 def nominal_model(counts: DataFrame, domains: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,12 +59,44 @@ def numeric_model(df: DataFrame, attrs: Sequence[str], label: str = "label", by:
     return stats.withColumn("sd", F.greatest(F.col("sd"), F.col("width") / 6))
 
 
-def _interval_log(x):
-    def mass(g):
+MAX_UNROLLED = 64  # classes that get an expression of their own
+
+
+def _numeric_logs(rows: DataFrame, model: DataFrame, attr: str, classes: list, on: Sequence[str]) -> DataFrame:
+    """Add ``_lk``, the log likelihoods of a numeric attribute in class order.
+
+    The model of the attribute is one row (per ``by`` group) with a column per class
+    and parameter, so the densities are plain generated code.
+    """
+    part = model.filter(F.col("attr") == attr)
+    cols = [
+        F.max(F.when(F.col("label") == c, F.col(p))).alias(f"_{p}{i}") for i, c in enumerate(classes) for p in ("mean", "sd")
+    ]
+    side = part.groupBy(*on).agg(F.max("width").alias("_width"), *cols)
+    out = rows.join(side, list(on), "left") if on else rows.join(side)
+    x = F.floor(F.col(attr).cast("double") / F.col("_width") + 0.5) * F.col("_width")
+    logs = [
+        F.log(F.greatest(normal_interval(x, F.col(f"_mean{i}"), F.col(f"_sd{i}"), F.col("_width")), F.lit(LIKELIHOOD_FLOOR)))
+        for i in range(len(classes))
+    ]
+    out = out.withColumn("_lk", F.when(F.col(attr).isNotNull() & F.col("_width").isNotNull(), F.array(*logs)))
+    return out.drop("_width", *[f"_{p}{i}" for i in range(len(classes)) for p in ("mean", "sd")])
+
+
+def _numeric_logs_arrays(rows: DataFrame, model: DataFrame, attr: str, on: Sequence[str]) -> DataFrame:
+    """The same for many classes: the model of the attribute as an array per row."""
+    side = model.filter(F.col("attr") == attr).groupBy(*on).agg(
+        F.map_from_entries(F.collect_list(F.struct("label", F.struct("mean", "sd", "width")))).alias("_g")
+    )
+    out = rows.join(side, list(on), "left") if on else rows.join(side)
+    x = F.col(attr).cast("double")
+
+    def log_mass(c: Column) -> Column:
+        g = F.try_element_at("_g", c["label"])
         grid = F.floor(x / g["width"] + 0.5) * g["width"]
         return F.log(F.greatest(normal_interval(grid, g["mean"], g["sd"], g["width"]), F.lit(LIKELIHOOD_FLOOR)))
 
-    return mass
+    return out.withColumn("_lk", F.when(x.isNotNull() & F.col("_g").isNotNull(), F.transform("_pr", log_mass))).drop("_g")
 
 
 def naive_bayes_score(
@@ -101,16 +135,13 @@ def naive_bayes_score(
             out = out.join(side, cond, "left")
             out = out.withColumn("_s", added(F.col("_l").isNotNull(), F.col("_l"))).drop("_v", "_l", *[f"_q{i}" for i in range(len(on))])
     if numeric is not None:
+        classes = [r["label"] for r in prior.select("label").distinct().orderBy("label").limit(MAX_UNROLLED + 1).collect()]
         for a in numeric_attrs:
-            side = numeric.filter(F.col("attr") == a).groupBy(*on).agg(
-                F.sort_array(F.collect_list(F.struct("label", "mean", "sd", "width"))).alias("_g")
-            )
-            out = out.join(side, on, "left") if on else out.join(side)
-            x = F.col(a).cast("double")
-            mass = _interval_log(x)
-            # classes without any value of the attribute keep a null likelihood
-            lk = F.transform("_pr", lambda c: F.try_element_at(F.transform(F.filter("_g", lambda g: g["label"] == c["label"]), mass), F.lit(1)))
-            out = out.withColumn("_s", added(x.isNotNull() & F.col("_g").isNotNull(), lk)).drop("_g")
+            if len(classes) <= MAX_UNROLLED:
+                out = _numeric_logs(out, numeric, a, classes, on)
+            else:
+                out = _numeric_logs_arrays(out, numeric, a, on)
+            out = out.withColumn("_s", added(F.col("_lk").isNotNull(), F.col("_lk"))).drop("_lk")
     return out.withColumn("classes", F.transform("_pr", lambda r: r["label"])).withColumn("probs", softmax(F.col("_s"))).drop("_pr", "_s")
 
 
@@ -127,19 +158,26 @@ def naive_bayes_fit(
     label: str = "label",
     by: Sequence[str] = (),
 ) -> dict[str, DataFrame | None]:
-    """Prior, nominal and numeric model tables."""
+    """Prior, nominal and numeric model tables, written once.
+
+    Class counts travel as one more attribute, so nominal models and the prior come
+    from one pass.  The tables are small; checkpointing them keeps scoring from
+    repeating the pass for every attribute.
+    """
     clean = df.filter(F.col(label).isNotNull())
-    domain = clean.select(F.col(label).alias("label")).distinct()
-    seen = clean.groupBy(*by, F.col(label).alias("label")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    grid = clean.select(*by).distinct().join(domain) if by else domain
+    whole = clean.withColumn(CLASS_ATTR, F.lit("1"))
+    counts = cut(contingency(whole, [CLASS_ATTR, *nominal_attrs], label, by))
+    seen = counts.filter(F.col("attr") == CLASS_ATTR).select(*by, "label", F.col("w").alias("n"))
+    domain = seen.select("label").distinct()
+    grid = seen.select(*by).distinct().join(domain) if by else domain
     prior = grid.join(seen, [*by, "label"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)) + 1.0)
     prior = prior.withColumn("prior", F.col("n") / F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)]))))
     nominal = numeric = None
     if nominal_attrs:
-        counts = contingency(clean, nominal_attrs, label, by)
-        nominal = nominal_model(counts, counts.select("attr", "value").distinct(), by)
+        counts = counts.filter(F.col("attr") != CLASS_ATTR)
+        nominal = cut(nominal_model(counts, counts.select("attr", "value").distinct(), by))
     if numeric_attrs:
-        numeric = numeric_model(clean, numeric_attrs, label, by)
+        numeric = cut(numeric_model(clean, numeric_attrs, label, by))
     return {"prior": prior, "nominal": nominal, "numeric": numeric}
 
 

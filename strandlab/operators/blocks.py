@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 2_048
 
 
 def map_whole_groups(

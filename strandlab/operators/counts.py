@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlab.functions.exprs import best_label, safe_div, xlog2
-from strandlab.operators.ordering import PIECE_ROWS, dense_index, look_around, running_totals
+from strandlab.operators.ordering import PIECE_ROWS, running_totals
 
 
 def to_long(
@@ -227,11 +227,11 @@ def split_numeric(
         *[F.count_if(F.col("label") == v).cast("double").alias(f"c{i}") for i, v in enumerate(labels)]
     )
     names = [f"c{i}" for i in range(len(labels))]
-    left = running_totals(
-        per_value, keys, ["value"], {f"l_{n}": F.col(n) for n in names}, piece_rows
+    # the number of distinct values only has to be known roughly to size the pieces
+    sizes = long.groupBy(*keys).agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0] or 0
+    nexts = running_totals(
+        per_value, keys, ["value"], {f"l_{n}": F.col(n) for n in names}, piece_rows, sizes, {"next_value": "value"}
     )
-    ordered = dense_index(left, keys, ["value"], "_t", piece_rows)
-    nexts = look_around(ordered, keys, {"next_value": lambda w: F.lead("value").over(w)}, "_t", 1, piece_rows)
     known = long.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("double").alias("known"),
         *[F.count_if(F.col("label") == v).cast("double").alias(f"t_{n}") for n, v in zip(names, labels)],

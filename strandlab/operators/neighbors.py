@@ -57,13 +57,15 @@ def vector_distance(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
     return np.round(np.sqrt(out), DIGITS)
 
 
-def _nearest(dist: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
-    """Mask of entries not farther than the k-th nearest row (ties kept)."""
-    order = np.argsort(dist, axis=1, kind="stable")
-    near = np.take_along_axis(dist, order, axis=1)
-    filled = np.cumsum(np.take_along_axis(weight, order, axis=1), axis=1) >= k
-    last = np.where(filled.any(axis=1), filled.argmax(axis=1), dist.shape[1] - 1)
-    return dist <= near[np.arange(len(dist)), last][:, None]
+def _nearest(dist: np.ndarray, k: int) -> np.ndarray:
+    """Mask of entries not farther than the k-th entry.
+
+    An entry stands for at least one row, so this keeps every row that can be
+    among the k nearest, ties included; the merge cuts the rest.
+    """
+    if dist.shape[1] <= k:
+        return np.isfinite(dist)
+    return (dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k]) & np.isfinite(dist)
 
 
 def knn_topk(
@@ -124,7 +126,7 @@ def knn_topk(
                     apart = part["_fold"].to_numpy()[:, None] != b["_fold"].to_numpy()[None, :]
                     weight = weight * apart
                     dist = np.where(apart, dist, np.inf)
-                i, j = np.nonzero(_nearest(dist, weight, k) & np.isfinite(dist))
+                i, j = np.nonzero(_nearest(dist, k))
                 out.append(
                     pd.DataFrame(
                         {

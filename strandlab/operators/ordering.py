@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIECE_ROWS = 1_000_000  # rows of one key that a single task may order
+PIECE_ROWS = 500_000  # rows of one key that a single task may order
 MAX_PIECES = 5_000  # resolution of the cut points of one key
 
 
@@ -33,14 +33,15 @@ def longest_key(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def split_keys(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece_rows: int = PIECE_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece_rows: int = PIECE_ROWS, longest: int | None = None
 ) -> tuple[DataFrame, bool]:
     """Add ``_piece``; pieces of one key are ordered by ``order[0]`` and never overlap.
 
     Cut points are approximate quantiles, which only balance the pieces: any cut
-    points give the same result.
+    points give the same result.  ``longest`` is the (estimated) size of the largest
+    key if the caller knows it.
     """
-    longest = longest_key(df, keys)
+    longest = longest_key(df, keys) if longest is None else longest
     if longest <= piece_rows:
         return df.withColumn("_piece", F.lit(0)), False
     pieces = min(MAX_PIECES, -(-longest // piece_rows))
@@ -64,23 +65,35 @@ def running_totals(
     order: Sequence[str],
     totals: dict[str, Column],
     piece_rows: int = PIECE_ROWS,
+    longest: int | None = None,
+    next_of: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums of ``totals`` along ``order`` inside ``keys``."""
-    cut_df, long = split_keys(df, keys, order, piece_rows)
-    inside = (
-        Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    names = list(totals)
+    """Inclusive running sums of ``totals`` along ``order`` inside ``keys``.
+
+    ``next_of`` maps a new column to the column whose value on the following row
+    it takes; that column must grow along ``order`` and hold no nulls.
+    """
+    cut_df, long = split_keys(df, keys, order, piece_rows, longest)
+    ordered = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    inside = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names, leads = list(totals), next_of or {}
     work = cut_df.withColumns({f"_v_{n}": c for n, c in totals.items()})
-    out = work.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in names})
+    out = work.withColumns({**{n: F.sum(f"_v_{n}").over(inside) for n in names}, **{n: F.lead(c).over(ordered) for n, c in leads.items()}})
     if long:
         before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-        sums = work.groupBy(*keys, "_piece").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
+        after = Window.partitionBy(*keys).orderBy("_piece")
+        sums = work.groupBy(*keys, "_piece").agg(
+            *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names], *[F.min(c).alias(f"_f_{n}") for n, c in leads.items()]
+        )
         offsets = sums.select(
-            *keys, "_piece", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names]
+            *keys,
+            "_piece",
+            *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names],
+            *[F.lead(f"_f_{n}").over(after).alias(f"_o_{n}") for n in leads],
         )
         out = out.join(offsets, [*keys, "_piece"]).withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in names})
-        out = out.drop(*[f"_o_{n}" for n in names])
+        out = out.withColumns({n: F.coalesce(n, f"_o_{n}") for n in leads})
+        out = out.drop(*[f"_o_{n}" for n in [*names, *leads]])
     return out.drop("_piece", *[f"_v_{n}" for n in names])
 
 

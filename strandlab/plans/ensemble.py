@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlab.functions.exprs import best_label, poisson_draw, seeded_hash, seeded_uniform, softmax
-from strandlab.operators.bayes import LIKELIHOOD_FLOOR, nominal_model
+from strandlab.operators.bayes import CLASS_ATTR, LIKELIHOOD_FLOOR, nominal_model
 from strandlab.operators.counts import contingency
 from strandlab.operators.ordering import seeded_rank
 from strandlab.operators.rules import distinct_cells
 from strandlab.plans.folds import cross_validate_bayes
+from strandlab.session import cut
 
 
 class Learner(Protocol):
@@ -65,13 +66,16 @@ def bagging(df: DataFrame, test: DataFrame, attrs: Sequence[str], bags: int = 10
     """
     clean = df.filter(F.col(label).isNotNull())
     weighted = bag_weights(clean, bags, pct, row_id, seed)
-    counts = contingency(weighted, attrs, label, ["bag"], "bw")
-    classes = clean.select(F.col(label).alias("label")).distinct()
+    whole = weighted.withColumn(CLASS_ATTR, F.lit("1"))
+    every_count = cut(contingency(whole, [CLASS_ATTR, *attrs], label, ["bag"], "bw"))
+    counts = every_count.filter(F.col("attr") != CLASS_ATTR)
+    # a value that no bag drew is not in the counts: take the domains from the data
+    domains = cut(contingency(clean, attrs, label).select("attr", "value").distinct())
+    classes = cut(clean.select(F.col(label).alias("label")).distinct())
     every = classes.join(clean.sparkSession.range(bags).select(F.col("id").cast("int").alias("bag")))
-    domains = contingency(clean, attrs, label).select("attr", "value").distinct()
     grid = every.join(domains).join(counts, ["bag", "attr", "value", "label"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     model = nominal_model(grid, domains, ["bag"])
-    prior = weighted.groupBy("bag", F.col(label).alias("label")).agg(F.sum("bw").cast("double").alias("n"))
+    prior = every_count.filter(F.col("attr") == CLASS_ATTR).select("bag", "label", F.col("w").alias("n"))
     prior = every.join(prior, ["bag", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)) + 1.0)
     prior = prior.withColumn("lp", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("bag"))))
 
@@ -80,7 +84,7 @@ def bagging(df: DataFrame, test: DataFrame, attrs: Sequence[str], bags: int = 10
         z = F.transform("z", lambda e: e["lp"])
         return per_bag.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("bag", z.alias("z")))), lambda e: e["z"]).alias(name))
 
-    logs = packed(model.withColumn("lp", F.log(F.greatest("p", F.lit(LIKELIHOOD_FLOOR)))), ["attr", "value"], "_l")
+    logs = cut(packed(model.withColumn("lp", F.log(F.greatest("p", F.lit(LIKELIHOOD_FLOOR)))), ["attr", "value"], "_l"))
     out = test.join(packed(prior, [], "_s")).join(classes.agg(F.array_sort(F.collect_list("label")).alias("classes")))
     for a in attrs:
         side = logs.filter(F.col("attr") == a).select(F.col("value").alias("_v"), "_l")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlab.functions.exprs import best_label, seeded_hash
-from strandlab.operators.bayes import naive_bayes_score, nominal_model, predicted
+from strandlab.operators.bayes import CLASS_ATTR, naive_bayes_score, nominal_model, predicted
 from strandlab.operators.counts import combine_counts, contingency
 from strandlab.operators.ordering import seeded_rank
+from strandlab.session import cut
 
 
 def assign_folds(
@@ -43,6 +44,23 @@ def all_but_fold(fold_counts: DataFrame, by: Sequence[str] = ("fold",)) -> DataF
     return combine_counts(folds.join(total), fold_counts, -1, by)
 
 
+def fold_models(folded: DataFrame, attrs: Sequence[str], label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Prior and nominal model trained on all folds but ``fold``, for every fold.
+
+    One pass counts attribute values and classes per fold; both tables are derived
+    from these counts and checkpointed.
+    """
+    every = cut(contingency(folded.withColumn(CLASS_ATTR, F.lit("1")), [CLASS_ATTR, *attrs], label, ["fold"]))
+    counts, per_fold = every.filter(F.col("attr") != CLASS_ATTR), every.filter(F.col("attr") == CLASS_ATTR)
+    model = cut(nominal_model(all_but_fold(counts), counts.select("attr", "value").distinct(), ["fold"]))
+    per_fold = per_fold.select("fold", "label", F.col("w").alias("n"))
+    total = per_fold.groupBy("label").agg(F.sum("n").alias("n_all"))
+    grid = per_fold.select("fold").distinct().join(total).join(per_fold, ["fold", "label"], "left")
+    prior = grid.withColumn("n", F.col("n_all") - F.coalesce("n", F.lit(0.0)) + 1.0)
+    prior = prior.select("fold", "label", (F.col("n") / F.sum("n").over(Window.partitionBy("fold"))).alias("prior"))
+    return prior, model
+
+
 def cross_validate_bayes(df: DataFrame, attrs: Sequence[str], k: int = 10, seed: int = 0, row_id: str = "id") -> DataFrame:
     """Out-of-fold naive Bayes predictions of one run, all folds in one job.
 
@@ -50,15 +68,7 @@ def cross_validate_bayes(df: DataFrame, attrs: Sequence[str], k: int = 10, seed:
     the fold, so the data is scanned once for fitting and once for scoring.
     """
     folded = assign_folds(df, k, seed, row_id)
-    counts = contingency(folded, attrs, by=["fold"])
-    train = all_but_fold(counts)
-    domains = counts.select("attr", "value").distinct()
-    model = nominal_model(train, domains, ["fold"])
-    per_fold = folded.groupBy("fold", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    total = per_fold.groupBy("label").agg(F.sum("n").alias("n_all"))
-    grid = per_fold.select("fold").distinct().join(total).join(per_fold, ["fold", "label"], "left")
-    prior = grid.withColumn("n", F.col("n_all") - F.coalesce("n", F.lit(0.0)) + 1.0)
-    prior = prior.withColumn("prior", F.col("n") / F.sum("n").over(Window.partitionBy("fold")))
+    prior, model = fold_models(folded, attrs)
     scored = naive_bayes_score(folded, prior.select("fold", "label", "prior"), model, attrs, by=["fold"])
     return scored.withColumn("predicted", predicted())
 

@@ -5,17 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-import numpy as np
 
 from strandlab.functions.exprs import let
 from strandlab.functions.tails import incomplete_beta
-from strandlab.operators.bayes import LIKELIHOOD_FLOOR, nominal_model
-from strandlab.operators.counts import contingency
-from strandlab.plans.folds import all_but_fold, assign_folds
+from strandlab.operators.bayes import LIKELIHOOD_FLOOR, naive_bayes_fit
+from strandlab.plans.folds import assign_folds, fold_models
 
 
 class SubsetEvaluator(Protocol):
@@ -55,10 +52,8 @@ def _subset_wrong(positions: Sequence[int], label: str = "label") -> Column:
 
 
 def _fit(df: DataFrame, attrs: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
-    counts = contingency(df, attrs, label)
-    model = nominal_model(counts, counts.select("attr", "value").distinct())
-    n = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("n", F.col("n") + 1)
-    return n.select("label", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("prior")), model
+    m = naive_bayes_fit(df, attrs, (), label)
+    return m["prior"].select("label", "prior"), m["nominal"]
 
 
 def _melt(one: DataFrame, names: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -99,13 +94,7 @@ def subset_eval_numeric(subsets: dict[str, Sequence[str]], train: DataFrame, tes
 
 
 def _fold_scored(folded: DataFrame, attrs: Sequence[str], label: str) -> DataFrame:
-    counts = contingency(folded, attrs, label, ["fold"])
-    model = nominal_model(all_but_fold(counts), counts.select("attr", "value").distinct(), ["fold"])
-    per = folded.groupBy("fold", F.col(label).alias("label")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    total = per.groupBy("label").agg(F.sum("n").alias("n_all"))
-    grid = per.select("fold").distinct().join(total).join(per, ["fold", "label"], "left")
-    n = grid.withColumn("n", F.col("n_all") - F.coalesce("n", F.lit(0.0)) + 1.0)
-    prior = n.select("fold", "label", (F.col("n") / F.sum("n").over(Window.partitionBy("fold"))).alias("prior"))
+    prior, model = fold_models(folded, attrs, label)
     return _class_logs(folded, prior, model, attrs, ["fold"])
 
 

@@ -35,6 +35,19 @@ def load_instances(
     return df.select(*kept, F.col(name).alias("label"))
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Read a parquet table for row-wise heavy work.
+
+    A table stored in fewer pieces than there are cores (one row group, say) would
+    be scored by as few tasks, so it is spread once after the scan; a large table
+    already has more pieces and is left alone.  Filters and pruned columns still
+    reach the scan.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def sanitize_nominals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Make nominal values and column names safe for delimited rule tools.
 
