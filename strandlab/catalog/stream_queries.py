@@ -24,29 +24,36 @@ def _events(spark, d):
     """,
 )
 def _counts(spark, d):
-    src = stream.table_as_stream(_events(spark, d), "ts").select(
-        F.hour("ts").cast("string").alias("hour"), F.floor(F.col("value") / 50).cast("string").alias("band"), F.col("event_type").alias("label")
-    )
-    return stream.run_counts(src, ["hour", "band"], stream.new_path(spark, "counts"))
+    path = stream.new_path(spark, "counts")
+
+    def run(events):
+        src = events.select(
+            F.hour("ts").cast("string").alias("hour"), F.floor(F.col("value") / 50).cast("string").alias("band"), F.col("event_type").alias("label")
+        )
+        return stream.run_counts(src, ["hour", "band"], path)
+
+    return stream.replay(_events(spark, d), "ts", run)
 
 
 @query("stream_fifo", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
 def _fifo(spark, d):
-    src = stream.watermarked(stream.table_as_stream(_events(spark, d), "ts"), "ts", "event_id", "60 days")
-    rows, _ = stream.run_fifo(src, "user_id", ["ts", "event_id"], 5, ["value"], stream.new_path(spark, "fifo"))
+    path = stream.new_path(spark, "fifo")
+    run = lambda e: stream.run_fifo(stream.watermarked(e, "ts", "event_id", "60 days"), "user_id", ["ts", "event_id"], 5, ["value"], path)
+    rows, _ = stream.replay(_events(spark, d), "ts", run)
     return rows.select("user_id", "event_id", "value")
 
 
 @query("stream_fifo_range", "SELECT min(value) AS value_lo, max(value) AS value_hi FROM events")
 def _fifo_range(spark, d):
-    src = stream.table_as_stream(_events(spark, d), "ts")
-    return stream.run_fifo(src, "user_id", ["ts", "event_id"], 5, ["value"], stream.new_path(spark, "fifo"))[1]
+    path = stream.new_path(spark, "fifo")
+    return stream.replay(_events(spark, d), "ts", lambda e: stream.run_fifo(e, "user_id", ["ts", "event_id"], 5, ["value"], path))[1]
 
 
 @query("stream_translate", "SELECT event_id, v AS value FROM (SELECT event_id, lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events) WHERE v IS NOT NULL")
 def _translate(spark, d):
-    src = stream.table_as_stream(_events(spark, d), "ts")
-    return stream.run_translate(src, "user_id", ["ts", "event_id"], ["value"], -2, stream.new_path(spark, "translate")).select("event_id", "value")
+    path = stream.new_path(spark, "translate")
+    out = stream.replay(_events(spark, d), "ts", lambda e: stream.run_translate(e, "user_id", ["ts", "event_id"], ["value"], -2, path))
+    return out.select("event_id", "value")
 
 
 @query(
@@ -55,8 +62,8 @@ def _translate(spark, d):
 )
 def _fitted(spark, d):
     stats = fit_standardize(table(spark, d, "customer").select(F.col("c_acctbal").alias("value")), ["value"])
-    src = stream.table_as_stream(_events(spark, d).select("event_id", "ts", "value"), "ts")
-    out = stream.run_apply_fitted(src, stats, ["value"], stream.new_path(spark, "fitted"))
+    path = stream.new_path(spark, "fitted")
+    out = stream.replay(_events(spark, d).select("event_id", "ts", "value"), "ts", lambda e: stream.run_apply_fitted(e, stats, ["value"], path))
     return out.select("event_id", r6(F.col("value")).alias("value"))
 
 
@@ -69,6 +76,11 @@ def _event_vit() -> str:
 
 @query("stream_viterbi", f"{_event_vit()} SELECT seq_id, model, n, round(total, 5) AS total, round(total / n, 6) AS score FROM sc")
 def _viterbi(spark, d):
-    src = stream.table_as_stream(_events(spark, d), "ts").withColumns({"q": F.col("value") / 20, "d": F.hour("ts") / F.lit(24.0)})
-    out = stream.run_viterbi(src, "user_id", ["ts", "event_id"], ["q", "d"], *literal_models(spark), stream.new_path(spark, "viterbi"))
+    path, models = stream.new_path(spark, "viterbi"), literal_models(spark)
+
+    def run(events):
+        src = events.withColumns({"q": F.col("value") / 20, "d": F.hour("ts") / F.lit(24.0)})
+        return stream.run_viterbi(src, "user_id", ["ts", "event_id"], ["q", "d"], *models, path)
+
+    out = stream.replay(_events(spark, d), "ts", run)
     return out.select("seq_id", "model", "n", r6(F.col("total"), 5).alias("total"), r6(F.col("score")).alias("score"))

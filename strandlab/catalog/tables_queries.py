@@ -92,13 +92,18 @@ def _run_id(spark, d):
     return paths.parse_run_identifier(df).drop("path")
 
 
-@query("read_frames", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS t, round(value, 6) AS x1, CAST(user_id AS DOUBLE) AS x2 FROM events")
+@query(
+    "read_frames",
+    f"WITH {FRAMES} SELECT seq_id AS user_id, t, round(x, 6) AS x1 FROM frames",
+)
 def _read_frames(spark, d):
-    # one text file with a frame per line, in event order
+    # one text file per user with a frame per line, in time order
     out = fresh_path(spark, "frames")
-    e = table(spark, d, "events").orderBy("event_id").select(F.concat_ws(" ", F.round("value", 6), "user_id"))
-    e.coalesce(1).write.text(out)
-    return frame_source.read_frames(spark, out).select("t", F.col("x")[0].alias("x1"), F.col("x")[1].alias("x2"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.round("value", 6).cast("string").alias("line"))
+    e = e.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    e.select("user_id", "line").write.partitionBy("user_id").text(out)
+    user = F.regexp_extract("seq_id", r"user_id=(\d+)/", 1).cast("long")
+    return frame_source.read_frames(spark, out).select(user.alias("user_id"), "t", F.col("x")[0].alias("x1"))
 
 
 @query(

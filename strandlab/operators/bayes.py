@@ -161,7 +161,7 @@ def naive_bayes_fit(
     """Prior, nominal and numeric model tables, written once.
 
     Class counts travel as one more attribute, so nominal models and the prior come
-    from one pass.  The tables are small; checkpointing them keeps scoring from
+    from one pass.  The tables are small; writing them keeps scoring from
     repeating the pass for every attribute.
     """
     clean = df.filter(F.col(label).isNotNull())

@@ -7,13 +7,14 @@ aggregate.  Models of all groups are trained in the same jobs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlab.functions.exprs import gaussian_logpdf, log_sum_exp, softmax
+from strandlab.functions.exprs import LOG_ZERO, gaussian_logpdf, log_sum_exp, softmax
 from strandlab.operators.moments import VAR_FLOOR, class_mean_var, per_dim
 from strandlab.session import cut
 
@@ -37,17 +38,41 @@ def component_logs(x: Column, comps: Column) -> Column:
     return F.transform(comps, lambda g: g["logw"] + gaussian_logpdf(x, g["mean"], g["var"]))
 
 
-def with_logs(df: DataFrame, model: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add ``_logs`` (log weight + log density per component) and ``loglik``."""
+UNROLLED_TERMS = 64  # components x dimensions written out as plain expressions
+
+
+def unrolled_logs(x: Column, comps: Column, k: int, dims: int) -> Column:
+    """``component_logs`` for a small model, as generated code instead of lambdas."""
+    out = []
+    for j in range(k):
+        g = comps[j]
+        total = g["logw"] - 0.5 * dims * math.log(2 * math.pi)
+        for i in range(dims):
+            gap = x[i] - g["mean"][i]
+            total = total - 0.5 * (gap * gap / g["var"][i] + F.log(g["var"][i]))
+        out.append(F.when(F.size(comps) > j, F.coalesce(total, F.lit(LOG_ZERO))))
+    return F.array_compact(F.array(*out))
+
+
+def with_logs(df: DataFrame, model: DataFrame, by: Sequence[str], dims: int | None = None) -> DataFrame:
+    """Add ``_logs`` (log weight + log density per component) and ``loglik``.
+
+    With ``dims`` a small model is written out; this asks for its largest number
+    of components first (one number from a small table).
+    """
     p = packed(model, by)
     joined = df.join(p, list(by)) if by else df.join(p)
-    out = joined.withColumn("_logs", component_logs(F.col("x"), F.col("_g")))
+    k = 0 if dims is None else (model.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
+    if k and k * dims <= UNROLLED_TERMS:
+        out = joined.withColumn("_logs", unrolled_logs(F.col("x"), F.col("_g"), k, dims))
+    else:
+        out = joined.withColumn("_logs", component_logs(F.col("x"), F.col("_g")))
     return out.withColumn("loglik", log_sum_exp(F.col("_logs")))
 
 
 def gmm_em_step(df: DataFrame, model: DataFrame, dims: int, by: Sequence[str] = ("label",), floor: float = VAR_FLOOR, weight_floor: float = 0.0) -> DataFrame:
     """One EM step; ``loglik`` and ``n`` describe the model that came in."""
-    rows = with_logs(df, model, by)
+    rows = with_logs(df, model, by, dims)
     e = rows.select(*by, "x", "loglik", F.posexplode(softmax(F.col("_logs"))).alias("pos", "r"), F.transform("_g", lambda g: g["comp"]).alias("_names"))
     e = e.withColumn("comp", F.element_at("_names", F.col("pos") + 1))
     sums = e.groupBy(*by, "comp").agg(
@@ -102,7 +127,7 @@ def split_heaviest(model: DataFrame, by: Sequence[str] = ("label",), merit: str
 def gmm_iterate(df: DataFrame, model: DataFrame, dims: int, by: Sequence[str] = ("label",), max_iter: int = 100, tol: float = 1e-4, floor: float = VAR_FLOOR, weight_floor: float = 0.0) -> DataFrame:
     """EM until the log-likelihood per row of every group moves less than ``tol``.
 
-    The model is checkpointed each round; one row tells whether to go on.
+    The model is written each round; one row tells whether to go on.
     """
     previous = None
     for _ in range(max_iter):

@@ -130,7 +130,7 @@ def covering_rules(df: DataFrame, attrs: Sequence[str], label: str = "label", ma
 
     Returns ``(target, rule, test, covers, correct)`` where ``test`` is the sorted
     list of ``attr=value``.  Each round adds one rule per class that still has
-    uncovered examples; only the round's small tables are checkpointed.
+    uncovered examples; only the round's small tables are written out.
     """
     cells = distinct_cells(df, attrs, label)
     targets = cells.select(F.col("label").alias("target")).distinct()

@@ -568,7 +568,7 @@ def baum_welch_step(frames: DataFrame, transition: DataFrame, gaussian: DataFram
     """One re-estimation of all models: (transition, gaussian, statistics).
 
     Rows are trained on the model named by their ``model`` column, so all labels
-    share one job.  The statistics are checkpointed, which cuts the lineage.
+    share one job.  The statistics are written out, which cuts the lineage.
     """
     stats = cut(sequence_statistics(frames, _own_chain(transition, gaussian), model, piece, fan))
     return (*reestimate(stats, gaussian, floor), stats)

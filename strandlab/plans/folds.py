@@ -48,7 +48,7 @@ def fold_models(folded: DataFrame, attrs: Sequence[str], label: str = "label") -
     """Prior and nominal model trained on all folds but ``fold``, for every fold.
 
     One pass counts attribute values and classes per fold; both tables are derived
-    from these counts and checkpointed.
+    from these counts and written once.
     """
     every = cut(contingency(folded.withColumn(CLASS_ATTR, F.lit("1")), [CLASS_ATTR, *attrs], label, ["fold"]))
     counts, per_fold = every.filter(F.col("attr") != CLASS_ATTR), every.filter(F.col("attr") == CLASS_ATTR)

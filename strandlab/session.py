@@ -49,6 +49,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives executors and has no lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it back.
+
+    The result survives executors and has no lineage.  Unlike a checkpointed RDD it
+    has a known size, so a small model is broadcast by Spark's own size rule and a
+    large one is not; the data side is not shuffled for a model join.
+    """
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

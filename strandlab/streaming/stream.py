@@ -42,6 +42,15 @@ class StateTable:
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
 
+    def latest(self) -> DataFrame:
+        """Newest version, also when a restarted query found nothing new."""
+        jvm, sc = self.spark._jvm, self.spark.sparkContext
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return self.version(-1)
+        return self.version(max((int(f.getPath().getName()[2:]) for f in fs.listStatus(folder)), default=-1))
+
 
 def watermarked(stream: DataFrame, ts: str, row_id: str, delay: str = "1 day") -> DataFrame:
     """Drop repeated rows inside the watermark, which bounds the state of the check."""
@@ -86,18 +95,15 @@ def run_fifo(stream: DataFrame, key: str, order: Sequence[str], n: int, ranges:
     window = StateTable(spark, f"{path}/window", ", ".join(f"`{c}` {t}" for c, t in stream.dtypes))
     limits = StateTable(spark, f"{path}/limits", ", ".join(f"`{c}_lo` double, `{c}_hi` double" for c in ranges))
     latest = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
-    last = {"batch": -1}
-
     def update(df: DataFrame, batch: int) -> None:
         rows = window.version(batch - 1).unionByName(df)
         window.write(rows.withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") <= n).drop("_r"), batch)
         now = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{s}") for c in ranges for s, f in (("lo", F.min), ("hi", F.max))])
         both = limits.version(batch - 1).unionByName(now)
         limits.write(both.agg(*[f(f"{c}_{s}").alias(f"{c}_{s}") for c in ranges for s, f in (("lo", F.min), ("hi", F.max))]), batch)
-        last["batch"] = batch
 
     run_batches(stream, update, f"{path}/ckpt")
-    return window.version(last["batch"]), limits.version(last["batch"])
+    return window.latest(), limits.latest()
 
 
 def run_translate(stream: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], n: int, path: str) -> DataFrame:
@@ -150,8 +156,6 @@ def run_viterbi(stream: DataFrame, key: str, order: Sequence[str], features: Seq
     chains = {name: chain([u]) for name, u in collect_units(transition, gaussian).items()}
     kind = dict(stream.dtypes)[key]
     state = StateTable(spark, f"{path}/state", f"seq_id {kind}, model string, n long, v array<double>")
-    last = {"batch": -1}
-
     def advance(batches):
         for pdf in batches:
             rows = []
@@ -172,31 +176,32 @@ def run_viterbi(stream: DataFrame, key: str, order: Sequence[str], features: Seq
         mats = sequence_matrices(frames.select("seq_id", "t", "x"), chains).withColumnRenamed("n", "more")
         joined = state.version(batch - 1).join(mats, ["seq_id", "model"], "full_outer")
         state.write(joined.mapInPandas(advance, f"seq_id {kind}, model string, n long, v array<double>"), batch)
-        last["batch"] = batch
 
     run_batches(stream, update, f"{path}/ckpt")
     ends = spark.createDataFrame([(m, c.leave.tolist()) for m, c in chains.items()], "model string, leave array<double>")
-    out = state.version(last["batch"]).join(ends, "model")
+    out = state.latest().join(ends, "model")
     total = F.array_max(F.zip_with("v", "leave", lambda a, b: a + b))
     return out.select("seq_id", "model", "n", F.when(total > LOG0 / 2, total).alias("total")).withColumn("score", F.col("total") / F.col("n"))
 
 
-def table_as_stream(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """Write a table as ``parts`` files in the order of a column and read them as a
-    stream of one file per micro-batch (replay of stored data)."""
+def replay(df: DataFrame, order: str, run: Callable[[DataFrame], object], parts: int = 3):
+    """Feed a stored table as ``parts`` arrivals in the order of a time column.
+
+    After every arrival ``run`` continues the same query from its checkpoint, as a
+    restarted job would; the result of the last run is returned.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, "replay")
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("timestamp").cast("double"), [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
     at = F.col(order).cast("timestamp").cast("double")
+    cuts = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
     bounds = [None, *cuts, None]
+    result = None
     for low, high in zip(bounds, bounds[1:]):
-        part = df
-        if low is not None:
-            part = part.filter(at > low)
-        if high is not None:
-            part = part.filter(at <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = df if low is None else df.filter(at > low)
+        part = part if high is None else part.filter(at <= high)
+        part.write.mode("append").parquet(path)
+        result = run(spark.readStream.schema(df.schema).parquet(path))
+    return result
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -412,8 +412,8 @@ def test_stream_in_many_batches_equals_batch(spark):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"id": range(200), "ts": pd.to_datetime("2024-01-01") + pd.to_timedelta(range(200), unit="min"), "key": rng.integers(0, 4, 200), "v": rng.random(200)})
     df = spark.createDataFrame(pdf)
-    src = stream.table_as_stream(df, "ts", parts=6)
-    out = stream.run_translate(src, "key", ["ts", "id"], ["v"], 3, stream.new_path(spark, "t"))
+    path = stream.new_path(spark, "t")
+    out = stream.replay(df, "ts", lambda s: stream.run_translate(s, "key", ["ts", "id"], ["v"], 3, path), parts=4)
     want = series.translate_series(df, ["key"], ["ts", "id"], ["v"], 3)
     assert sorted((r["id"], r["v"]) for r in out.collect()) == sorted((r["id"], r["v"]) for r in want.collect())
 
