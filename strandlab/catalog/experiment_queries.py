@@ -11,6 +11,7 @@ from strandlab.catalog.tables import ATTRS, CUST, FOLDS, INST, LMAP, PAIRS, VEC,
 from strandlab.catalog.tables_queries import _SPLIT, _train_test
 from strandlab.operators import counts, decode, neighbors
 from strandlab.plans import ensemble, evaluate, folds, search
+from strandlab.session import cut
 from strandlab.sources import paths
 
 # -- predictions of the one-attribute rules ------------------------------------
@@ -24,7 +25,7 @@ preds AS (SELECT lng.attr AS scheme, lng.id AS row_id, lng.label AS actual, pred
 
 def preds(spark, d):
     df = orders_nominal(spark, d)
-    rule = counts.one_rule_nominal(df, ATTRS).select("attr", "value", "predicted")
+    rule = cut(counts.one_rule_nominal(df, ATTRS).select("attr", "value", "predicted"))
     long = counts.to_long(df, ATTRS, ["id", "label"])
     return long.join(rule, ["attr", "value"]).select(
         F.col("attr").alias("scheme"), F.col("id").alias("row_id"), F.col("label").alias("actual"), "predicted"

@@ -9,6 +9,7 @@ from strandlab.catalog.tables import CENTROID, FRAMES, INST, LINES, VEC, centroi
 from strandlab.functions.exprs import gaussian_logpdf
 from strandlab.operators import cluster, mixture, moments
 from strandlab.plans.folds import assign_folds
+from strandlab.session import cut
 
 D64 = 64
 _EX = f"{VEC}, ex AS (SELECT id, label, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS dim FROM vec)"
@@ -106,7 +107,7 @@ _LP = "-0.5 * sum(power(v - m, 2) / s + ln(s) + ln(2 * pi()))"
 @query("gaussian_logpdf", f"WITH {_CLS} SELECT ex.id, ex.label, round({_LP}, 5) AS loglik FROM ex JOIN mv USING (label, dim) GROUP BY ALL")
 def _logpdf(spark, d):
     v = vectors(spark, d)
-    m = moments.class_mean_var(v, D64)
+    m = cut(moments.class_mean_var(v, D64))
     return v.join(m, "label").select("id", "label", r6(gaussian_logpdf(F.col("x"), F.col("mean"), F.col("var")), 5).alias("loglik"))
 
 

@@ -52,6 +52,7 @@ def numeric_model(df: DataFrame, attrs: Sequence[str], label: str = "label", by:
     width = spread.select(
         *keys, F.when(F.col("d") > 1, (F.col("hi") - F.col("lo")) / (F.col("d") - 1)).otherwise(DEFAULT_PRECISION).alias("width")
     )
+    width = cut(width)  # a sized table: the rows are not shuffled by attribute
     gridded = long.join(width, keys).withColumn("g", F.floor(F.col("value") / F.col("width") + 0.5) * F.col("width"))
     stats = gridded.groupBy(*keys, "label").agg(
         F.avg("g").alias("mean"), F.stddev_pop("g").alias("sd"), F.max("width").alias("width")
@@ -196,7 +197,7 @@ def kernel_density_model(train: DataFrame, query: DataFrame, attrs: Sequence[str
     spread = known.groupBy("attr").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.countDistinct("value").alias("d"))
     width = spread.select("attr", F.when(F.col("d") > 1, (F.col("hi") - F.col("lo")) / (F.col("d") - 1)).otherwise(DEFAULT_PRECISION).alias("width"))
     stats = known.groupBy("attr", "label").agg(F.sum("w").alias("n"), (F.max("value") - F.min("value")).alias("range"))
-    side = known.join(stats, ["attr", "label"]).join(width, "attr")
+    side = known.join(cut(stats), ["attr", "label"]).join(cut(width), "attr")
     side = side.withColumn("sd", F.greatest(F.col("range") / F.sqrt("n"), F.col("width") / 6))
     asked = query.unpivot([], number, "attr", "value").filter(F.col("value").isNotNull()).distinct()
 

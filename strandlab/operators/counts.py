@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from strandlab.functions.exprs import best_label, safe_div, xlog2
 from strandlab.operators.ordering import PIECE_ROWS, running_totals
+from strandlab.session import cut
 
 
 def to_long(
@@ -236,6 +237,8 @@ def split_numeric(
         F.count(F.lit(1)).cast("double").alias("known"),
         *[F.count_if(F.col("label") == v).cast("double").alias(f"t_{n}") for n, v in zip(names, labels)],
     )
+    # sized tables of one row per attribute: the values are not shuffled again
+    known, totals = cut(known), cut(totals)
     grid = nexts.join(known, keys)
     grid = grid.join(totals, list(by)) if by else grid.join(totals)
 

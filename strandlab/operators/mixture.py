@@ -70,8 +70,13 @@ def with_logs(df: DataFrame, model: DataFrame, by: Sequence[str], dims: int | No
     return out.withColumn("loglik", log_sum_exp(F.col("_logs")))
 
 
-def gmm_em_step(df: DataFrame, model: DataFrame, dims: int, by: Sequence[str] = ("label",), floor: float = VAR_FLOOR, weight_floor: float = 0.0) -> DataFrame:
-    """One EM step; ``loglik`` and ``n`` describe the model that came in."""
+def gmm_em_step(df: DataFrame, model: DataFrame, dims: int, by: Sequence[str] = ("label",), floor: float = VAR_FLOOR, weight_floor: float = 0.0, written: bool = False) -> DataFrame:
+    """One EM step; ``loglik`` and ``n`` describe the model that came in.
+
+    The model is written out first unless the caller did (``written``): with a known
+    size it is broadcast and the rows stay where they are.
+    """
+    model = model if written else cut(model)
     rows = with_logs(df, model, by, dims)
     e = rows.select(*by, "x", "loglik", F.posexplode(softmax(F.col("_logs"))).alias("pos", "r"), F.transform("_g", lambda g: g["comp"]).alias("_names"))
     e = e.withColumn("comp", F.element_at("_names", F.col("pos") + 1))
@@ -131,7 +136,7 @@ def gmm_iterate(df: DataFrame, model: DataFrame, dims: int, by: Sequence[str] =
     """
     previous = None
     for _ in range(max_iter):
-        step = cut(gmm_em_step(df, model, dims, by, floor, weight_floor))
+        step = cut(gmm_em_step(df, model, dims, by, floor, weight_floor, written=previous is not None))
         model = step.drop("loglik", "n")
         now = step.groupBy(*by).agg(F.max(F.col("loglik") / F.col("n")).alias("ll"))
         if previous is not None:
@@ -195,6 +200,7 @@ def gmm_classify(df: DataFrame, model: DataFrame, priors: DataFrame | None = Non
     Models travel as rows of at most about ``MODEL_PART`` components.  With one
     such row a data row is scored where it lies; more rows are combined per data row.
     """
+    model = cut(model)
     parts = max(1, -(-model.count() // MODEL_PART))
     per_class = packed(model, [label]).withColumn("_part", F.pmod(F.xxhash64(label), F.lit(parts)))
     if priors is not None:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.session import cut
+
 VAR_FLOOR = 1e-4
 
 
@@ -94,7 +96,7 @@ def weighted_covariance(df: DataFrame, dims: int, weight: str | None = None, by:
     """Full covariance per group from centred sums: ``(<by>, i, j, cov)``; the diagonal is floored."""
     w = F.col(weight) if weight else F.lit(1.0)
     means = df.groupBy(*by).agg(F.array(*[F.sum(w * F.col("x")[i]) / F.sum(w) for i in range(dims)]).alias("_m"))
-    joined = df.join(means, list(by)) if by else df.join(F.broadcast(means.limit(1)))
+    joined = df.join(cut(means), list(by)) if by else df.join(F.broadcast(means.limit(1)))
     centred = joined.withColumn("_x", F.zip_with("x", "_m", lambda a, b: a - b))
     g = second_moments(centred, "_x", weight, by)
     out = g.select(*by, "w", F.posexplode("gram").alias("pos", "v"))
@@ -112,7 +114,7 @@ def cross_cov_regression(df: DataFrame, y: str, x: str, dims_y: int, dims_x: int
     w = F.col(weight) if weight else F.lit(1.0)
     z = df.withColumn("_z", F.concat(F.col(y), F.col(x)))
     means = z.groupBy(*by).agg(F.array(*[F.sum(w * F.col("_z")[i]) / F.sum(w) for i in range(d)]).alias("_m"))
-    joined = z.join(means, list(by)) if by else z.join(F.broadcast(means.limit(1)))
+    joined = z.join(cut(means), list(by)) if by else z.join(F.broadcast(means.limit(1)))
     g = second_moments(joined.withColumn("_c", F.zip_with("_z", "_m", lambda a, b: a - b)), "_c", weight, by)
     keys = list(by)
 

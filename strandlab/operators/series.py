@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from strandlab.functions.exprs import gaussian_logpdf, safe_div
 from strandlab.operators.moments import VAR_FLOOR, per_dim
 from strandlab.operators.ordering import PIECE_ROWS, dense_index, longest_key, look_around, running_totals
+from strandlab.session import cut
 
 STEP = 10_000  # longest array built by one generator row
 
@@ -53,7 +54,7 @@ def skipped_share(frames: DataFrame, n: int, by: Sequence[str] = ()) -> DataFram
 def min_sequences(labelled: DataFrame, m: int, label: str = "label") -> DataFrame:
     """Drop labels with fewer than ``m`` sequences."""
     enough = labelled.groupBy(label).agg(F.countDistinct("seq_id").alias("_n")).filter(F.col("_n") >= m).select(label)
-    return labelled.join(enough, label, "left_semi")
+    return labelled.join(cut(enough), label, "left_semi")
 
 
 def trim_nonpositive(series: DataFrame, key: str = "key", t: str = "t", v: str = "v") -> DataFrame:

@@ -38,7 +38,7 @@ class AttributeRule:
         rules = counts.groupBy(*by, "value").agg(best_label(F.col("w"), F.col("label")).alias("predicted"))
         overall = counts.groupBy(*by, "label").agg(F.sum("w").alias("w"))
         default = overall.groupBy(*by).agg(best_label(F.col("w"), F.col("label")).alias("fallback"))
-        return rules.join(default, list(by)) if by else rules.join(default)
+        return cut(rules.join(default, list(by)) if by else rules.join(default))
 
     def score(self, df: DataFrame, model: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rules = model.select(*by, F.col("value").alias(self.attr), "predicted")

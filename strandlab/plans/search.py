@@ -13,6 +13,7 @@ from strandlab.functions.exprs import let
 from strandlab.functions.tails import incomplete_beta
 from strandlab.operators.bayes import LIKELIHOOD_FLOOR, naive_bayes_fit
 from strandlab.plans.folds import assign_folds, fold_models
+from strandlab.session import cut
 
 
 class SubsetEvaluator(Protocol):
@@ -84,7 +85,7 @@ def subset_eval_numeric(subsets: dict[str, Sequence[str]], train: DataFrame, tes
     for key, attrs in subsets.items():
         test_rows = test.join(F.broadcast(overall.limit(1)))
         if attrs:
-            means = train.groupBy(*attrs).agg(F.avg(target).alias("_m"))
+            means = cut(train.groupBy(*attrs).agg(F.avg(target).alias("_m")))
             test_rows = test_rows.join(means, list(attrs), "left")
         else:
             test_rows = test_rows.withColumn("_m", F.col("_all"))
