@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ def read_labelled_text(spark, root: str, label: str = "label") -> DataFrame:
     """Text files in one directory per class, with the directory as class."""
     df = spark.read.option("recursiveFileLookup", "true").text(root)
     df = df.select(F.col("_metadata.file_path").alias("path"), "value")
-    return label_from_path(df, "path", ".*?" + root.rstrip("/").split("/")[-1], label)
+    # the path part of the root, taken literally, after any scheme and host
+    below = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).strip("/")
+    return label_from_path(df, "path", f".*?\\Q{below}\\E", label)
 
 
 def parse_path_fields(df: DataFrame, pattern: str, fields: list[str], path: str = "path") -> DataFrame:
