@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlab.llm import sql
 from strandlab.llm.registry import ORACLES, QUERIES, register
 from strandlab.llm.shared import documents
 from strandlab.session import fresh_path
@@ -18,6 +19,53 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.llm.language_id import predict_languages
+
+    return predict_languages(documents(spark, folder))
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.llm.toxicity import score_toxicity
+
+    return score_toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@register("op3_mixing")
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.llm.mixing import mixture
+
+    return mixture(documents(spark, folder))
+
+
+@register("op4_merkle", sql.MERKLE)
+def op4_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.llm.merkle import fingerprints
+
+    return fingerprints(documents(spark, folder))
+
+
+@register("op5_exact_dedup", sql.EXACT)
+def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.llm.exact_dedup import exact_groups
+
+    return exact_groups(documents(spark, folder)).drop("key", "size")
+
+
+#: The rules of the URL filter, as the contract gives them.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+@register("op6_url_filter", sql.url_filter(URL_RULES))
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.llm.host_reputation import Rule, judge_urls
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    return judge_urls(pages, [Rule(*r) for r in URL_RULES])
+
+
 @register("op7_token_files")
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from strandlab.llm.token_files import read_token_files, token_digests, write_token_files

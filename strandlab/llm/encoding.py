@@ -29,6 +29,7 @@ SOLID = rf"[^\s{ODD_SPACE}]"
 #: Letters for which composition is the identity and lower-casing does not look at neighbours.
 PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
 TAIL = ".,;:!?"
+_MARKS = np.array([chr(b) if b < 128 and chr(b) in TAIL else "" for b in range(256)], dtype=object)
 
 _READY: dict[str, "TextEncoder"] = {}
 
@@ -157,12 +158,15 @@ class TextEncoder:
         if self.kind == "byte":
             code = self._units(entries)
             return gather(self.offsets, self.ids, code)
-        last = pc.utf8_slice_codeunits(entries, -1)
-        marked = pc.is_in(last, pa.array(list(TAIL), last.type))
-        stem = pc.if_else(marked, pc.utf8_slice_codeunits(entries, 0, -1), entries)
-        plain = pc.match_substring_regex(stem, PLAIN)
-        head = pc.if_else(plain, stem, entries)
-        tail = pc.if_else(pc.and_(plain, marked), last, "")
+        stem = pc.replace_substring_regex(entries, f"[{TAIL}]$", "")
+        plain = np.asarray(pc.match_substring_regex(stem, PLAIN))
+        marked = plain & (np.asarray(pc.binary_length(stem)) < np.asarray(pc.binary_length(entries)))
+        head = pc.if_else(pa.array(plain), stem, entries)
+        last = np.zeros(len(entries), dtype=np.uint8)
+        if marked.any():
+            ends = np.frombuffer(entries.buffers()[1], dtype=np.int64)[entries.offset + 1 : entries.offset + 1 + len(entries)][marked]
+            last[marked] = np.frombuffer(entries.buffers()[2], dtype=np.uint8)[ends - 1]
+        tail = pa.array(_MARKS[last], pa.large_string())
         code = self._units(pa.concat_arrays([head, tail]))
         both = np.empty(2 * len(entries), dtype=np.int64)
         both[0::2], both[1::2] = code[: len(entries)], code[len(entries) :]

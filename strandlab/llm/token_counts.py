@@ -43,24 +43,24 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024)
     """(doc_id, n_bytes, n_tokens, over_limit) of every document; new counts are appended to ``cache``.
 
     The tokenizer sees a text as it is, so normalised content is the text with null as the empty text; equal texts
-    are encoded once.  Repeated rows each get their row.  An empty table appends nothing.  Two writers at once may
+    are encoded once (once per row where rows repeat under one ``doc_id``).  Repeated rows each get their row.  An empty table appends nothing.  Two writers at once may
     append the same count twice; a count is read once per digest.
     """
     spark, version = docs.sparkSession, version_digest(tokenizer)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("content", F.sha2(F.col("text").cast("binary"), 256))
-    keyed = cut(rows.select("row", "doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")))
-    contents = cut(keyed.groupBy("content").agg(F.count("*").alias("copies"), F.min("row").alias("row")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("content", F.sha2(F.col("text").cast("binary"), 256))
+    keyed = cut(rows.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")))
+    contents = cut(keyed.groupBy("content").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")))
     stored = read_cache(spark, cache).filter(F.col("version") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    misses = contents.join(stored, "content", "left_anti").select("row", F.col("content").alias("missing"))
+    misses = contents.join(stored, "content", "left_anti").select(F.col("doc_id").alias("_id"), F.col("content").alias("missing"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = pa.array(encoder(tokenizer).counts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array([version] * batch.num_rows), counts], names=["content", "version", "n_tokens"])
 
-    # a row number names the same text only while the scan deals rows alike, so the digest is compared as well
-    fetched = rows.select("row", "text", "content").join(misses.hint("shuffle_hash"), "row").filter(F.col("content") == F.col("missing"))
+    # by id first: a content of many copies is fetched once, from the copy with the smallest id
+    fetched = rows.join(misses.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("missing")), "left_semi")
     fetched.select("content", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("version") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     known = cut(contents.select("content", "copies").join(counts, "content"))
