@@ -83,14 +83,14 @@ class TextEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts, without added special tokens; null is the empty text."""
         texts = as_text(texts)
-        parts = [self._chunk(texts.slice(a, b - a)) for a, b in slices(texts, CHUNK)]
+        parts = [self._chunk(as_text(texts.slice(a, b - a))) for a, b in slices(texts, CHUNK)]
         sizes = np.concatenate([np.diff(o) for o, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
         return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.concatenate([f for _, f in parts]) if parts else np.zeros(0, dtype=np.uint32)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Numbers of ids of all texts, chunk by chunk."""
         texts = as_text(texts)
-        return np.concatenate([np.diff(self._chunk(texts.slice(a, b - a), lengths=True)[0]) for a, b in slices(texts, CHUNK)] or [np.zeros(0, dtype=np.int64)])
+        return np.concatenate([np.diff(self._chunk(as_text(texts.slice(a, b - a)), lengths=True)[0]) for a, b in slices(texts, CHUNK)] or [np.zeros(0, dtype=np.int64)])
 
     def _chunk(self, texts: pa.Array, lengths: bool = False) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "whole":

@@ -43,10 +43,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8
 
 
 def as_text(column: pa.Array) -> pa.Array:
-    """A column of texts with 64-bit offsets; null is the empty text."""
+    """A column of texts with 64-bit offsets from 0 (some kernels misread others); null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
+    if not len(column) or (offsets[0] == 0 and column.offset == 0):
+        return column
+    begin, stop = int(offsets[0]), int(offsets[-1])
+    data = column.buffers()[2].slice(begin, stop - begin) if stop > begin else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets - begin), data)
 
 
 def gather(offsets: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,112 +9,139 @@ spans; their sum of log odds, calibrated on the learning documents, gives the sc
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import as_text, crc_fold, slices
+from strandlab.llm.shared import as_text, crc_fold, mix64, slices
 from strandlab.session import cut
 
-#: Hash bins of words, expected learning documents of each label, gradient steps and their size, weight decay.
-BINS, TRAIN_ROWS, STEPS, RATE, DECAY = 1 << 18, 20_000, 40, 1.0, 1e-6
-#: Standard errors and odds by which a word is typical of toxic documents, and the fewest toxic documents that show it.
-SIGMAS, ODDS, FEWEST = 5.0, 8.0, 3
+#: Hash bins of features, expected learning documents of each label, gradient steps and their size, weight decay.
+BINS, TRAIN_ROWS, STEPS, RATE, DECAY = 1 << 18, 4_000, 25, 1.0, 1e-6
+#: Likelihood ratio and odds by which a feature is typical of toxic documents.
+RATIO, ODDS = 24.0, 8.0
 #: Marginal from which a token belongs to a span; score from which a document is toxic; bytes treated at once.
 SPAN, TOXIC, CHUNK = 0.5, 0.7, 4_000_000
+#: Features of a token: the word and its first bytes.  Tokens that one step of the recursion treats in a row.
+STEMS, LANE, TASKS = (4, 5), 64, 8
+FEATURES = 1 + len(STEMS)
 
-_BLANK = np.zeros(256, dtype=np.uint8)
-_BLANK[[9, 10, 11, 12, 13, 32]] = 1
-_SKIP = np.ones(256, dtype=bool)  # bytes that are no part of a word: ASCII but letters and digits
-_SKIP[128:] = False
-_SKIP[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
-_P = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(64, dtype=np.uint64)
-with np.errstate(over="ignore"):
-    for _i in range(1, 64):
-        _POWERS[_i] = _POWERS[_i - 1] * _P
+_WORD = np.zeros(256, dtype=bool)  # ASCII letters and digits, and all bytes beyond ASCII
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += 32
+_PLACE = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of letters, digits and bytes beyond ASCII, ASCII lower-cased) of a chunk of texts:
-    their feature bins, begin and length in bytes within their text, and text."""
-    from strandlab.llm.shared import mix64
-
+    """Words (runs of ASCII letters and digits and of all other bytes beyond ASCII, A-Z lower-cased) of texts:
+    their feature bins (tokens x FEATURES), begin and length in bytes within their text, and text."""
     column = as_text(texts)
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if column.buffers()[2] else np.zeros(0, dtype=np.uint8)
-    bounds = offsets - offsets[0]
-    word = ~_SKIP[data]
+    bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(column), dtype=np.int64))])
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if len(column) and bounds[-1] else np.zeros(0, dtype=np.uint8)
+    if len(data):
+        base = int(np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset])
+        data = data[base : base + bounds[-1]]
+    word = _WORD[data]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
-    cut_at = bounds[1:-1]
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # a word that runs over the border of two texts is two words
-    cross = cut_at[(cut_at > 0) & (cut_at < len(data))]
-    cross = np.unique(cross[word[cross] & word[cross - 1]]) if len(cross) else cross
-    begin, end = np.sort(np.concatenate([begin, cross])), np.sort(np.concatenate([end, cross]))
-    lower = data.copy()
-    upper = (lower >= 65) & (lower <= 90)
-    lower[upper] += 32
+    inner = np.unique(bounds[(bounds > 0) & (bounds < len(data))])
+    inner = inner[word[inner] & word[inner - 1]]  # a word that runs on into the next text is two words
+    begin, end = np.sort(np.concatenate([begin, inner])), np.sort(np.concatenate([end, inner]))
     size = end - begin
-    nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    flat = lower[np.repeat(begin, size) + nth].astype(np.uint64)
+    first = np.cumsum(size) - size
+    nth = np.arange(int(size.sum())) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        flat = (flat + np.uint64(1)) * mix64(_POWERS[nth & 63] + (nth >> 6).astype(np.uint64))
-        hashed = np.add.reduceat(flat, np.cumsum(size) - size) if len(size) else np.zeros(0, dtype=np.uint64)
-    bins = (mix64(hashed + size.astype(np.uint64)) & np.uint64(BINS - 1)).astype(np.int64)
+        part = (_LOWER[data[np.repeat(begin, size) + nth]] + np.uint64(1) + ((nth >> 6).astype(np.uint64) << np.uint64(9))) * _PLACE[nth & 63]
+        kinds = [np.add.reduceat(part, first) if len(size) else part[:0]]
+        for stem in STEMS:
+            kinds.append(np.add.reduceat(np.where(nth < stem, part, np.uint64(0)), first) + np.uint64(stem) if len(size) else part[:0])
+    bins = (mix64(np.column_stack(kinds).reshape(-1)) & np.uint64(BINS - 1)).astype(np.int32).reshape(-1, FEATURES)
     text = np.searchsorted(bounds, begin, side="right") - 1
     return bins, begin - bounds[text], size, text
 
 
-def marginals(odds: np.ndarray, text: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward of two tags over all texts at once.
+def marginals(odds: np.ndarray, text: np.ndarray, move: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward of two tags (clean, toxic) over all texts at once.
 
-    ``odds`` is the score of the toxic tag of each token, ``move[i, j]`` of a step from tag i to j, ``first`` of the
-    first tag.  Gives the marginal of the toxic tag, the expected steps (token x 4; zero at a text's first token) and
-    the log normaliser of each text.  The chain is cut where texts meet, and the steps are products of 2 x 2 matrices
-    taken by doubling, so time grows with the longest text only as its logarithm.
+    ``odds`` is the score of the toxic tag of each token, ``move[i, j]`` of a step from tag i to tag j, ``first`` of
+    the toxic tag at a text's first token.  Gives the marginal of the toxic tag and the expected steps (token x 4, zero
+    at a first token).  Texts are cut into lanes of ``LANE`` tokens that are treated side by side; a lane is a 2 x 2
+    matrix, and lanes of a text are joined by doubling, so a very long text takes few more rounds.
     """
     n = len(odds)
     if not n:
-        return odds, np.zeros((0, 4)), np.zeros(0)
+        return np.zeros(0), np.zeros((0, 4))
     new = np.diff(text, prepend=-1) != 0
-    step = np.empty((n, 2, 2))
-    step[:, :, 0], step[:, :, 1] = move[:, 0], move[:, 1] + odds[:, None]
-    start = np.column_stack([np.full(int(new.sum()), first[0]), first[1] + odds[new]])
-    step[new] = start[:, None, :]  # whatever came before, a text starts anew
-    forward = _scan(step, np.add.accumulate(new.astype(np.int64)))[:, 0, :]
-    last = np.append(new[1:], True)
-    back = np.empty((n, 2, 2))
-    back[:-1] = np.swapaxes(step[1:], 1, 2)
-    back[last] = 0.0
-    run = np.add.accumulate(last[::-1].astype(np.int64))
-    backward = _scan(back[::-1], run)[::-1][:, 0, :]
-    total = np.logaddexp(forward[:, 0] + backward[:, 0], forward[:, 1] + backward[:, 1])
-    toxic = np.exp(forward[:, 1] + backward[:, 1] - total)
-    pair = np.zeros((n, 4))
-    inner = np.flatnonzero(~new)
-    for k, (i, j) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-        pair[inner, k] = np.exp(forward[inner - 1, i] + step[inner, i, j] + backward[inner, j] - total[inner])
-    return toxic, pair, total[last]
-
-
-def _scan(step: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Log-domain products of the matrices of each run up to every place (doubling)."""
-    out, reach, longest = step.copy(), 1, int(np.bincount(run).max())
+    start = np.flatnonzero(new)
+    at = np.arange(n) - np.repeat(start, np.diff(start, append=n))
+    lane = np.cumsum(new | (at % LANE == 0)) - 1
+    place = at % LANE
+    lanes = int(lane[-1]) + 1
+    owner = text[np.flatnonzero(place == 0)]
+    steps = np.zeros((LANE, 2, 2, lanes))
+    steps[:, 0, 0], steps[:, 1, 1] = 1.0, 1.0  # places without a token change nothing
+    toxic = np.exp(np.clip(odds, -30, 30))
+    step = np.exp(np.clip(move, -30, 30))
+    for i in (0, 1):
+        steps[place, i, 0, lane] = np.where(new, 1.0, step[i, 0])
+        steps[place, i, 1, lane] = np.where(new, np.exp(min(30.0, max(-30.0, first))), step[i, 1]) * toxic
+    whole = steps[0].copy()
+    for t in range(1, LANE):
+        whole = _times(whole, steps[t])
+    before, after = _joined(whole, owner), _suffix(whole, owner)
+    enter = np.ones((2, lanes))
+    inner = np.flatnonzero(np.diff(owner, prepend=-1) == 0)
+    enter[:, inner] = before[0][:, inner - 1]
+    leave = np.ones((2, lanes))
+    follows = np.flatnonzero(np.append(np.diff(owner) == 0, False))
+    leave[:, follows] = after[:, :, follows + 1].sum(axis=1)
+    forward = np.empty((LANE + 1, 2, lanes))
+    forward[0] = enter / enter.max(axis=0)
+    for t in range(LANE):
+        f = np.stack([forward[t, 0] * steps[t, 0, j] + forward[t, 1] * steps[t, 1, j] for j in (0, 1)])
+        forward[t + 1] = f / f.max(axis=0)
+    backward = np.empty((LANE + 1, 2, lanes))
+    backward[LANE] = leave / leave.max(axis=0)
+    for t in reversed(range(LANE)):
+        b = np.stack([steps[t, i, 0] * backward[t + 1, 0] + steps[t, i, 1] * backward[t + 1, 1] for i in (0, 1)])
+        backward[t] = b / b.max(axis=0)
+    pair = forward[:-1, :, None, :] * steps * backward[1:, None, :, :]
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    own = pair[place, :, :, lane].reshape(n, 4)
+    marginal = own[:, 1] + own[:, 3]
+    own[new] = 0.0
+    return marginal, own
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices, place by place, each scaled to a largest entry of 1."""
+    out = np.stack([np.stack([a[i, 0] * b[0, j] + a[i, 1] * b[1, j] for j in (0, 1)]) for i in (0, 1)])
+    return out / out.max(axis=(0, 1))
+
+
+def _joined(whole: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Product of a text's lanes up to each lane, by doubling."""
+    out, reach, longest = whole.copy(), 1, int(np.bincount(owner).max())
     while reach < longest:
-        at = np.flatnonzero(run[reach:] == run[:-reach]) + reach
-        left, right = out[at - reach], out[at]
-        out[at] = np.logaddexp(left[:, :, :1] + right[:, :1, :], left[:, :, 1:] + right[:, 1:, :])
+        at = np.flatnonzero(owner[reach:] == owner[:-reach]) + reach
+        out[:, :, at] = _times(out[:, :, at - reach], out[:, :, at])
         reach *= 2
     return out
 
 
+def _suffix(whole: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Product of a text's lanes from each lane on: the same from the end, with the factors turned."""
+    turned = _joined(whole.swapaxes(0, 1)[:, :, ::-1], owner[::-1])
+    return turned[:, :, ::-1].swapaxes(0, 1)
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame, learning: Column, rows: int) -> DataFrame:
-    """(text, toxic) of labelled documents that may teach: about ``rows`` of each label, chosen by a hash of the id.
+    """(toxic, bins) of labelled documents that may teach: about ``rows`` of each label, chosen by a hash of the id.
 
     Of several labels of a document the largest counts; a null label teaches nothing.
     """
@@ -123,97 +150,93 @@ def learning_rows(docs: DataFrame, labels: DataFrame, learning: Column, rows: in
     share = F.lit(0.0)
     for value in (0, 1):
         share = F.when(F.col("toxic") == value, min(1.0, rows / counts.get(value, 1))).otherwise(share)
-    chosen = named.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) < share * 1_000_003)
-    return cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen.hint("shuffle_hash"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    chosen = cut(named.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) < share * 1_000_003))
 
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = as_text(batch.column("text"))
+            for a, b in slices(column, CHUNK):
+                bins, _, _, text = tokens(column.slice(a, b - a))
+                ends = np.searchsorted(text, np.arange(b - a + 1))
+                packed = [bins[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), pa.array(packed, pa.binary())], names=["toxic", "bins"])
 
-def _summed(spark_rows: DataFrame, work, width: int) -> np.ndarray:
-    """Sum over tasks of sparse arrays (place, value) that ``work`` makes of a task's batches; at most ``width`` numbers."""
+    taught = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen.hint("shuffle_hash"), "doc_id")
+    return cut(taught.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(features, "toxic int, bins binary"))
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = work(batches)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "value"])
 
-    sums = spark_rows.mapInArrow(part, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-    out = np.zeros(width)
-    out[sums["at"].to_numpy()] = sums["value"].to_numpy()
-    return out
+def _summed(taught: DataFrame, work, width: int) -> np.ndarray:
+    """Sum over at most ``TASKS`` tasks of the array of ``width`` numbers that ``work`` makes of a task's rows."""
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            flags = np.asarray(batch.column("toxic"), dtype=np.int64)
+            packed = batch.column("bins").to_pylist()
+            bins = np.frombuffer(b"".join(packed), dtype=np.int32).reshape(-1, FEATURES)
+            total += work(bins, np.repeat(np.arange(len(flags)), [len(p) // (4 * FEATURES) for p in packed]), flags)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    for batch in batches:
-        column = as_text(batch.column("text"))
-        flags = np.asarray(batch.column("toxic"), dtype=np.int64)
-        for a, b in slices(column, CHUNK):
-            yield column.slice(a, b - a), flags[a:b]
+    return sum((np.frombuffer(r["sums"]) for r in taught.coalesce(TASKS).mapInArrow(part, "sums binary").collect()), np.zeros(width))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learning: Column, rows: int = TRAIN_ROWS, steps: int = STEPS) -> dict[str, np.ndarray]:
     """Weights of the field and of the score.  Bounds: ``rows`` documents of a label, ``BINS`` weights.
 
     Without toxic or without clean learning documents the field finds nothing and every score is the share of toxic
-    ones (0 without any).
+    ones (near 0 without any).
     """
     taught = learning_rows(docs, labels, learning, rows)
 
-    def frequency(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(2 * BINS + 2)
-        for column, flags in _chunks(batches):
-            bins, _, _, text = tokens(column)
-            pairs = np.unique(text * BINS + bins)
-            out[: 2 * BINS] += np.bincount(flags[pairs // BINS] * BINS + pairs % BINS, minlength=2 * BINS)
-            out[2 * BINS :] += np.bincount(flags, minlength=2)
-        return out
+    def frequency(bins: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        pairs = np.unique((text[:, None].astype(np.int64) * BINS + bins).reshape(-1))
+        return np.concatenate([np.bincount(flags[pairs // BINS] * BINS + pairs % BINS, minlength=2 * BINS), np.bincount(flags, minlength=2)])
 
     counted = _summed(taught, frequency, 2 * BINS + 2)
     clean, toxic, (cleans, toxics) = counted[:BINS], counted[BINS : 2 * BINS], counted[2 * BINS :]
     rate = toxics / max(1.0, cleans + toxics)
-    model = {"weight": np.zeros(BINS, dtype=np.float32), "move": np.zeros((2, 2)), "first": np.zeros(2), "line": np.array([np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)), 0.0])}
+    model = {"weight": np.zeros(BINS), "move": np.zeros((2, 2)), "first": -20.0, "bias": -20.0, "line": np.array([np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)), 0.0])}
     if not cleans or not toxics:
         return model
-    p, q = (toxic + 0.5) / (toxics + 1), (clean + 0.5) / (cleans + 1)
-    logodds = np.log(p / (1 - p)) - np.log(q / (1 - q))
-    typical = (toxic >= FEWEST) & (logodds > np.log(ODDS)) & (logodds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)) > SIGMAS)
-    scores = np.zeros(BINS + 7)  # weights of bins, bias of the tag, first tag, four steps; last: tagged tokens
-    square = np.zeros(BINS + 7)
-
-    def gradient(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(BINS + 7)
-        for column, flags in _chunks(batches):
-            bins, _, _, text = tokens(column)
-            tag = (typical[bins] & (flags[text] == 1)).astype(np.float64)
-            toxic_at, pair, _ = marginals(scores[bins] + scores[BINS], text, scores[BINS + 2 : BINS + 6].reshape(2, 2), np.array([0.0, scores[BINS + 1]]))
-            miss = tag - toxic_at
-            new = np.diff(text, prepend=-1) != 0
-            out[:BINS] += np.bincount(bins, miss, minlength=BINS)
-            out[BINS] += miss.sum()
-            out[BINS + 1] += miss[new].sum()
-            inner = np.flatnonzero(~new)
-            seen = np.bincount((2 * tag[inner - 1] + tag[inner]).astype(np.int64), minlength=4)
-            out[BINS + 2 : BINS + 6] += seen - pair.sum(axis=0)
-            out[BINS + 6] += len(bins)
+    typical = _typical(clean, toxic, cleans, toxics)
+    scores = np.zeros(BINS + 6)  # weights of bins, bias of the toxic tag, first tag, four steps
+    square = np.zeros(BINS + 6)
+
+    def gradient(bins: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        out = np.zeros(BINS + 6)
+        tag = (typical[bins].any(axis=1) & (flags[text] == 1)).astype(np.float64)
+        toxic_at, pair = marginals(scores[bins].sum(axis=1) + scores[BINS], text, scores[BINS + 2 :].reshape(2, 2), scores[BINS + 1])
+        miss = tag - toxic_at
+        new = np.diff(text, prepend=-1) != 0
+        out[:BINS] = np.bincount(bins.reshape(-1), np.repeat(miss, FEATURES), minlength=BINS)
+        out[BINS], out[BINS + 1] = miss.sum(), miss[new].sum()
+        inner = np.flatnonzero(~new)
+        out[BINS + 2 :] = np.bincount((2 * tag[inner - 1] + tag[inner]).astype(np.int64), minlength=4) - pair.sum(axis=0)
         return out
 
     for _ in range(steps):
-        slope = _summed(taught, gradient, BINS + 7)
-        slope = slope[:-1] - DECAY * slope[-1] * scores[:-1]
-        square[:-1] += slope * slope
-        scores[:-1] += RATE * slope / np.maximum(np.sqrt(square[:-1]), 1e-9)
-    model |= {"weight": (scores[:BINS] + scores[BINS]).astype(np.float32), "first": np.array([0.0, scores[BINS + 1]]), "move": scores[BINS + 2 : BINS + 6].reshape(2, 2)}
-
-    def strengths(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(2 * 64)
-        for column, flags in _chunks(batches):
-            value = strength(column, model)[0]
-            out += np.bincount(flags * 64 + np.minimum(63, np.floor(8 * np.log1p(value))).astype(np.int64), minlength=128)
-        return out
+        slope = _summed(taught, gradient, BINS + 6) - DECAY * (cleans + toxics) * scores
+        square += slope * slope
+        scores = scores + RATE * slope / np.maximum(np.sqrt(square), 1e-9)
+    model |= {"weight": scores[:BINS], "bias": scores[BINS], "first": scores[BINS + 1], "move": scores[BINS + 2 :].reshape(2, 2)}
 
-    seen = _summed(taught, strengths, 128).reshape(2, 64)
-    model["line"] = _calibrate(seen, cleans, toxics)
+    def histogram(bins: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        value, _ = strength(bins, text, len(flags), model)
+        return np.bincount(flags * 64 + np.minimum(63, np.floor(8 * np.log1p(value))).astype(np.int64), minlength=128)
+
+    model["line"] = _calibrate(_summed(taught, histogram, 128).reshape(2, 64), cleans, toxics)
     return model
 
 
+def _typical(clean: np.ndarray, toxic: np.ndarray, cleans: float, toxics: float) -> np.ndarray:
+    """Features that far more toxic than clean documents show: by odds, and by the likelihood ratio of one rate or two."""
+    p, q = (toxic + 0.5) / (toxics + 1), (clean + 0.5) / (cleans + 1)
+    seen, rate = toxic + clean, toxics / (toxics + cleans)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(toxic > 0, toxic * np.log(toxic / (seen * rate)), 0) + np.where(clean > 0, clean * np.log(clean / (seen * (1 - rate))), 0))
+    return (p / (1 - p) > ODDS * q / (1 - q)) & (ratio > RATIO)
+
+
 def _calibrate(seen: np.ndarray, cleans: float, toxics: float) -> np.ndarray:
     """Intercept and slope of the logistic line from log(1 + strength) to the label, from a histogram of both labels."""
     x, line = (np.arange(64) + 0.5) / 8, np.array([np.log(toxics / cleans), 1.0])
@@ -227,12 +250,10 @@ def _calibrate(seen: np.ndarray, cleans: float, toxics: float) -> np.ndarray:
     return line
 
 
-def strength(texts: pa.Array, model: dict[str, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """Sum of -log(1 - marginal) over the tokens of each text (expected toxic evidence), and tokens with marginals."""
-    bins, begin, size, text = tokens(texts)
-    toxic, _, _ = marginals(model["weight"][bins].astype(np.float64), text, model["move"], model["first"])
-    value = np.bincount(text, -np.log1p(-np.minimum(toxic, 1 - 1e-9)), minlength=len(texts)) if len(bins) else np.zeros(len(texts))
-    return value, (begin, size, text, toxic)
+def strength(bins: np.ndarray, text: np.ndarray, texts: int, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic evidence of each text (sum of -log(1 - marginal) over its tokens), and the marginals."""
+    toxic, _ = marginals(model["weight"][bins].sum(axis=1) + model["bias"], text, model["move"], float(model["first"]))
+    return np.bincount(text, -np.log1p(-np.minimum(toxic, 1 - 1e-9)), minlength=texts) if len(text) else np.zeros(texts), toxic
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], held_out: Column, threshold: float = TOXIC) -> DataFrame:
@@ -251,7 +272,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], held_out: Column, thres
             column = as_text(batch.column("text"))
             for a, b in slices(column, CHUNK):
                 part = column.slice(a, b - a)
-                value, (begin, size, text, toxic) = strength(part, model)
+                bins, begin, size, text = tokens(part)
+                value, toxic = strength(bins, text, b - a, model)
                 out = 1 / (1 + np.exp(-(model["line"][0] + model["line"][1] * np.log1p(value))))
                 spans: list[list[dict]] = [[] for _ in range(b - a)]
                 for i in np.flatnonzero(toxic >= SPAN).tolist():
