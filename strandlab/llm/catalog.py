@@ -87,3 +87,10 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from strandlab.llm.token_counts import count_tokens
 
     return count_tokens(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), fresh_path(spark, "count-cache"))
+
+
+@register("op10_ngram_join", sql.near_join(4, 85, 100))
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.llm.near_join import near_components
+
+    return near_components(documents(spark, folder), width=4, num=85, den=100)

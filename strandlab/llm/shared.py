@@ -76,6 +76,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_FOLD = np.arange(256, dtype=np.uint64)
+_FOLD[65:91] += 32
+_PLACE = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def byte_runs(texts: pa.Array, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the bytes of ``member`` in texts: all bytes, begin and length of each run, its text, the texts' bounds."""
+    column = as_text(texts)
+    bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(column), dtype=np.int64))])
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[: bounds[-1]] if bounds[-1] else np.zeros(0, dtype=np.uint8)
+    inside = member[data]
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    border = np.unique(bounds[(bounds > 0) & (bounds < len(data))])
+    border = border[inside[border] & inside[border - 1]]  # a run that goes on in the next text is two runs
+    begin, end = np.sort(np.concatenate([begin, border])), np.sort(np.concatenate([end, border]))
+    return data, begin, end - begin, np.searchsorted(bounds, begin, side="right") - 1, bounds
+
+
+def run_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, stems: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """64-bit hashes of runs, A-Z as a-z, and of their first bytes for each length of ``stems``."""
+    if not len(size):
+        return [np.zeros(0, dtype=np.uint64)] * (1 + len(stems))
+    first = np.cumsum(size) - size
+    nth = np.arange(int(size.sum())) - np.repeat(first, size)
+    place = _PLACE[nth & 63]
+    far = np.flatnonzero(nth >= 64)
+    place[far] = mix64(nth[far].astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        part = (_FOLD[data[np.repeat(begin, size) + nth]] + np.uint64(1)) * place
+        return [mix64(np.add.reduceat(part, first) + size.astype(np.uint64)), *(mix64(np.add.reduceat(np.where(nth < s, part, np.uint64(0)), first) + np.uint64(s)) for s in stems)]
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, hot_rows: int = 20_000, hot_keys: int = 1_000) -> DataFrame:
     """Inner join of many rows with a table that has one row a key and the key's row count in ``weight``.
 

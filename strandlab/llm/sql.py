@@ -77,3 +77,21 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN round(rate + {BOUND}
        CASE WHEN rule IS NULL THEN round(rate, 9) END AS rate
 FROM judged JOIN h USING (host)
 """
+
+
+def near_join(width: int, num: int, den: int) -> str:
+    """Links of equal sets are one class each; pairs of classes are counted over all their shared shingles."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {width} THEN [array_to_string(words, ' ')]
+      ELSE list_sort(list_distinct(list_transform(range(1, len(words) - {width - 2}), lambda i: array_to_string(words[i:i + {width - 1}], ' ')))) END AS shingles FROM w),
+d AS (SELECT doc_id, len(shingles) AS n, sha256(array_to_string(shingles, chr(10))) AS k, shingles FROM s),
+c AS (SELECT k, min(doc_id) AS id, any_value(n) AS n, any_value(shingles) AS shingles FROM d WHERE n > 0 GROUP BY k),
+e AS (SELECT id, n, unnest(shingles) AS g FROM c),
+p AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.g = y.g AND x.id < y.id AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)
+      GROUP BY x.id, y.id, x.n, y.n HAVING {den} * count(*) >= {num} * (x.n + y.n - count(*))),
+b AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, seen) AS (SELECT id, id FROM c UNION SELECT r.id, b.b FROM r JOIN b ON r.seen = b.a),
+m AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id FROM d LEFT JOIN c ON d.k = c.k AND d.n > 0 LEFT JOIN m ON c.id = m.id
+"""

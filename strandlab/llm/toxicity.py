@@ -13,11 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import as_text, crc_fold, mix64, slices
+from strandlab.llm.shared import as_text, byte_runs, crc_fold, run_hashes, slices
 from strandlab.session import cut
 
 #: Hash bins of features, expected learning documents of each label, gradient steps and their size, weight decay.
@@ -32,36 +31,14 @@ FEATURES = 1 + len(STEMS)
 
 _WORD = np.zeros(256, dtype=bool)  # ASCII letters and digits, and all bytes beyond ASCII
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
-_PLACE = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of ASCII letters and digits and of all other bytes beyond ASCII, A-Z lower-cased) of texts:
     their feature bins (tokens x FEATURES), begin and length in bytes within their text, and text."""
-    column = as_text(texts)
-    bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(column), dtype=np.int64))])
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if len(column) and bounds[-1] else np.zeros(0, dtype=np.uint8)
-    if len(data):
-        base = int(np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset])
-        data = data[base : base + bounds[-1]]
-    word = _WORD[data]
-    edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    inner = np.unique(bounds[(bounds > 0) & (bounds < len(data))])
-    inner = inner[word[inner] & word[inner - 1]]  # a word that runs on into the next text is two words
-    begin, end = np.sort(np.concatenate([begin, inner])), np.sort(np.concatenate([end, inner]))
-    size = end - begin
-    first = np.cumsum(size) - size
-    nth = np.arange(int(size.sum())) - np.repeat(first, size)
-    with np.errstate(over="ignore"):
-        part = (_LOWER[data[np.repeat(begin, size) + nth]] + np.uint64(1) + ((nth >> 6).astype(np.uint64) << np.uint64(9))) * _PLACE[nth & 63]
-        kinds = [np.add.reduceat(part, first) if len(size) else part[:0]]
-        for stem in STEMS:
-            kinds.append(np.add.reduceat(np.where(nth < stem, part, np.uint64(0)), first) + np.uint64(stem) if len(size) else part[:0])
-    bins = (mix64(np.column_stack(kinds).reshape(-1)) & np.uint64(BINS - 1)).astype(np.int32).reshape(-1, FEATURES)
-    text = np.searchsorted(bounds, begin, side="right") - 1
+    data, begin, size, text, bounds = byte_runs(texts, _WORD)
+    kinds = run_hashes(data, begin, size, STEMS)
+    bins = (np.column_stack(kinds) & np.uint64(BINS - 1)).astype(np.int32)
     return bins, begin - bounds[text], size, text
 
 
