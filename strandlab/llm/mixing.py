@@ -9,7 +9,6 @@ shard, so a source gives its target to the word.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from strandlab.session import cut
 BLOCK, SHARD, SHARE, REPEATS = 128, 65_536, 1.5, 2
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents of a source that are put in order by one task.
-ORDERED = 20_000
+ORDERED = 2_000
 ROUNDS = 24
 
 
@@ -164,7 +163,8 @@ def mix_documents(docs: DataFrame, seed: int = 7, block: int = BLOCK) -> tuple[D
     stretches = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(low, high)))
     begin = F.greatest(F.col("offset"), F.col("block") * block)
     stretches = stretches.select("rank", "block", "row", (begin - F.col("offset")).alias("begin"), (begin - F.col("block") * block).alias("at"), (F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block) - begin).alias("words"))
-    met = stretches.join(slots(sources, seed, block), ["rank", "block"])
+    # slots are made from a few rows a shard; their number, not the size of these rows, decides how they are joined
+    met = stretches.join(slots(sources, seed, block).hint("merge"), ["rank", "block"])
     words = F.least(F.col("words"), F.col("length") - F.col("at"))
     taken = met.withColumn("words", words).filter("words > 0").select("row", "epoch", "begin", "words")
     return rows, cut(taken)
