@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from strandlab.llm import sql
 from strandlab.llm.registry import ORACLES, QUERIES, register
 from strandlab.llm.shared import documents
@@ -94,3 +95,8 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     from strandlab.llm.near_join import near_components
 
     return near_components(documents(spark, folder), width=4, num=85, den=100)
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

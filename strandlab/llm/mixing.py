@@ -73,11 +73,11 @@ def with_offsets(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     A large source is ordered in buckets of about ``ORDERED`` documents, so no task holds a whole source.
     """
     rows = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.ceil(F.col("docs") / ORDERED)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "content"), F.ceil(F.col("docs") / ORDERED)))
     buckets = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.join(buckets.select("rank", "bucket", before.alias("base")), ["rank", "bucket"])
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("rank", "bucket").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("rank", "bucket").orderBy("doc_id", "content", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("offset", F.col("base") + inside)
 
 
