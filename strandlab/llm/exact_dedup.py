@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import lookup
+from strandlab.llm.shared import lookup, unused
 from strandlab.session import cut
 
-#: Runs that meet in one round; the digest ranges of a round.
-FAN, RANGES = 8, 4096
+#: Runs that meet in one round, and hex digits of the digest that name a range.
+FAN, DIGITS = 8, 3
 ENTRY = "part int, run long, key string, size long, doc_id long, row long, copies long"
 
 
@@ -85,7 +85,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         )
     )
     leaf = rows.select(
-        F.conv(F.substring("key", 1, 3), 16, 10).cast("int").alias("part"), F.shiftright("row", 33).alias("run"), "key", "size", "doc_id", "row", F.lit(1).cast("long").alias("copies")
+        F.conv(F.substring("key", 1, DIGITS), 16, 10).cast("int").alias("part"), F.shiftright("row", 33).alias("run"), "key", "size", "doc_id", "row", F.lit(1).cast("long").alias("copies")
     )
     # a run holds a key once: the best row of the partition, by the partial aggregate of the task that reads it
     best = F.max(F.struct("size", F.bitwise_not(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("order"), (-F.col("row")).alias("first"), "doc_id", "row"))
@@ -103,13 +103,14 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     rows = cut(exact_groups(docs).select("doc_id", "key", "size", "kept"))
     keep = rows.filter("kept").select("doc_id", "key", "size")
     twins = cut(rows.groupBy("doc_id", "key", "size").count().filter("count > 1").select("doc_id", "key", "size"))
-    named = docs.withColumn("_key", content_key(F.col("text"))).withColumn("_size", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    key, size, i, k, s = unused(docs, "_key", "_size", "_id", "_k", "_s")
+    named = docs.withColumn(key, content_key(F.col("text"))).withColumn(size, F.length(F.coalesce("text", F.lit(""))).cast("long"))
 
     def semi(table: DataFrame) -> DataFrame:
-        t = table.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("size").alias("_s"))
-        return named.join(t, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")), "left_semi")
+        t = table.select(F.col("doc_id").alias(i), F.col("key").alias(k), F.col("size").alias(s))
+        return named.join(t, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)) & (F.col(size) == F.col(s)), "left_semi")
 
     on = [keep[c].eqNullSafe(twins[c]) for c in twins.columns]
     single = semi(keep.join(twins, on, "left_anti"))
-    repeated = semi(keep.join(twins, on, "left_semi")).dropDuplicates(["doc_id", "_key", "_size"])
-    return single.unionByName(repeated).drop("_key", "_size")
+    repeated = semi(keep.join(twins, on, "left_semi")).dropDuplicates(["doc_id", key, size])
+    return single.unionByName(repeated).drop(key, size)

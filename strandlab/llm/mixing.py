@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import WORD, mix64
+from strandlab.llm.shared import WORD, mix64, unused
 from strandlab.session import cut
 
 #: Words of a block, slots of an output shard, share of all words that the mix holds, and how often a word may occur.
@@ -188,8 +188,9 @@ def mixed_texts(docs: DataFrame, seed: int = 7) -> DataFrame:
     stretch = F.sort_array(F.collect_list(F.struct("begin", "words")))  # a document's stretches, as many as its blocks
     passes = taken.join(rows.select("row", "doc_id", "content", "size"), "row").groupBy("row", "epoch", "doc_id", "content", "size").agg(stretch.alias("stretches"), F.sum("words").alias("n"))
     first = passes.groupBy("doc_id", "content").agg(F.min("row").alias("row"))  # equal rows: the stretches of the first
-    passes = passes.join(first.select("row"), "row", "left_semi").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), (F.col("n") == F.col("size")).alias("_whole"), F.col("stretches").alias("_stretches"))
-    met = docs.withColumn("_text", F.xxhash64("text")).join(passes, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_content")))
+    same, i, content, whole, stretches = unused(docs, "_same", "_id", "_content", "_whole", "_stretches")
+    passes = passes.join(first.select("row"), "row", "left_semi").select(F.col("doc_id").alias(i), F.col("content").alias(content), (F.col("n") == F.col("size")).alias(whole), F.col("stretches").alias(stretches))
+    met = docs.withColumn(same, F.xxhash64("text")).join(passes, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(same) == F.col(content)))
 
     @F.pandas_udf("string")
     def words_of(texts: pd.Series, whole: pd.Series, lists: pd.Series) -> pd.Series:
@@ -205,7 +206,7 @@ def mixed_texts(docs: DataFrame, seed: int = 7) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    made = met.withColumn("text", words_of("text", "_whole", "_stretches"))
+    made = met.withColumn("text", words_of("text", whole, stretches))
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return made.select(*docs.columns)

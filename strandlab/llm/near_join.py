@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm.components import components
-from strandlab.llm.shared import as_text, lookup, slices
+from strandlab.llm.shared import as_text, lookup, slices, unused
 from strandlab.llm.shingles import shingle_sets
 from strandlab.session import cut
 
@@ -206,8 +206,8 @@ def _residual(members: DataFrame, texts: DataFrame, found: DataFrame, width: int
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         links = []
         if len(left) and len(right):
-            q, y = shingle_sets(pa.array(right["text"], pa.large_string()), width)
-            rn, rl = right["node"].to_numpy(), right["label"].to_numpy()
+            q, y = shingle_sets(pa.array(right["right_text"], pa.large_string()), width)
+            rn, rl = right["right_node"].to_numpy(), right["right_label"].to_numpy()
             for s in range(0, len(left), 64):
                 some = left.iloc[s : s + 64]
                 p, x = shingle_sets(pa.array(some["text"], pa.large_string()), width)
@@ -229,7 +229,8 @@ def _residual(members: DataFrame, texts: DataFrame, found: DataFrame, width: int
                 links.append(pd.DataFrame({"a": a[other], "b": b[other], "l": rl[owner[first][r]][other]}).drop_duplicates(["a", "l"])[["a", "b"]])
         return pd.concat(links) if links else pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
 
-    return left.groupBy("group", "i", "j").cogroup(right.groupBy("group", "i", "j")).applyInPandas(product, "a long, b long")
+    other = right.toDF(*(f"right_{c}" for c in kept))
+    return left.groupBy("group", "i", "j").cogroup(other.groupBy("right_group", "right_i", "right_j")).applyInPandas(product, "a long, b long")
 
 
 def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -272,12 +273,13 @@ def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     """The rows of ``docs`` whose ``doc_id`` is the smallest of its component; rows of one ``doc_id`` are one document,
     of which the row with the smallest text stays."""
     rows = cut(near_components(docs, width, num, den))
-    kept = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    often = cut(kept.groupBy("_id").count().filter("count > 1").select(F.col("_id").alias("_often")))
-    once = kept.join(often, F.col("_id").eqNullSafe(F.col("_often")), "left_anti")
+    one, many = unused(docs, "_id", "_often")
+    kept = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(one))
+    often = cut(kept.groupBy(one).count().filter("count > 1").select(F.col(one).alias(many)))
+    once = kept.join(often, F.col(one).eqNullSafe(F.col(many)), "left_anti")
     same = F.col("doc_id").cast("long")
-    single = docs.join(once, same.eqNullSafe(F.col("_id")), "left_semi")
-    several = docs.join(often, same.eqNullSafe(F.col("_often")), "left_semi")
+    single = docs.join(once, same.eqNullSafe(F.col(one)), "left_semi")
+    several = docs.join(often, same.eqNullSafe(F.col(many)), "left_semi")
     # these are repeated rows; a null id names no document, so all its rows stay
-    first = several.filter("doc_id IS NOT NULL").orderBy("text").dropDuplicates(["doc_id"])
+    first = several.filter("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id", "text").dropDuplicates(["doc_id"])
     return single.unionByName(first).unionByName(several.filter("doc_id IS NULL"))

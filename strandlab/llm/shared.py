@@ -35,6 +35,17 @@ def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         begin, base = stop, int(ends[stop - 1])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names with as many underscores in front as ``df`` needs, so that no column of a caller is met."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of text each, so that what a task derives stays small."""
     for batch in batches:
