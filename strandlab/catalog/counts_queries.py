@@ -155,10 +155,11 @@ def _binary(spark, d):
     return out.select("attr", "point", r6(F.col("gain"), 8).alias("gain"), r6(F.col("gain_ratio"), 8).alias("gain_ratio"))
 
 
+# the label depends on all three numbers, so that each has a split at any size
 NUM = """
-nlng AS (SELECT 'price' AS attr, l_extendedprice AS v, l_returnflag AS label FROM lineitem
-         UNION ALL SELECT 'quantity', l_quantity, l_returnflag FROM lineitem
-         UNION ALL SELECT 'shipped', CAST(datediff('day', TIMESTAMP '1990-01-01', l_shipdate) AS DOUBLE), l_returnflag FROM lineitem),
+marked AS (SELECT *, CAST(datediff('day', TIMESTAMP '1990-01-01', l_shipdate) AS DOUBLE) AS shipped, CASE WHEN datediff('day', TIMESTAMP '1990-01-01', l_shipdate) >= 3650 THEN 'A'
+           WHEN l_extendedprice > 50000 AND l_quantity > 20 THEN 'N' ELSE 'R' END AS label FROM lineitem),
+nlng AS (SELECT 'price' AS attr, l_extendedprice AS v, label FROM marked UNION ALL SELECT 'quantity', l_quantity, label FROM marked UNION ALL SELECT 'shipped', shipped, label FROM marked),
 pv AS (SELECT attr, v, CAST(sum(CASE WHEN label = 'A' THEN 1 ELSE 0 END) AS DOUBLE) AS a,
   CAST(sum(CASE WHEN label = 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS n, CAST(sum(CASE WHEN label = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS r
   FROM nlng GROUP BY ALL),
@@ -181,11 +182,9 @@ num AS (
 
 
 def _lines_numeric(spark, d):
-    return spread_table(spark, d, "lineitem").select(
-        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"),
-        F.datediff(F.col("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("double").alias("shipped"),
-        F.col("l_returnflag").alias("label"),
-    )
+    shipped = F.datediff(F.col("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("double")
+    label = F.when(shipped >= 3650, "A").when((F.col("l_extendedprice") > 50000) & (F.col("l_quantity") > 20), "N").otherwise("R")
+    return spread_table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), shipped.alias("shipped"), label.alias("label"))
 
 
 @query(

@@ -40,13 +40,13 @@ def _skipped(spark, d):
 @query(
     "min_sequences",
     """
-    WITH s AS (SELECT doc_id AS seq_id, source AS label FROM documents)
-    SELECT seq_id, label FROM s WHERE label IN (SELECT label FROM s GROUP BY label HAVING count(DISTINCT seq_id) >= 50)
+    WITH s AS (SELECT doc_id AS seq_id, lang AS label FROM documents)
+    SELECT seq_id, label FROM s WHERE label IN (SELECT label FROM s GROUP BY label HAVING count(DISTINCT seq_id) >= (SELECT count(*) // 5 FROM s))
     """,
 )
 def _min_seqs(spark, d):
-    s = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("label"))
-    return series.min_sequences(s, 50)
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("label"))
+    return series.min_sequences(s, s.count() // 5)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Sequence
 
@@ -111,10 +112,12 @@ def seeded_uniform(row_id: Column, seed: int | str | Column = 0) -> Column:
     return F.conv(F.substring(seeded_hash(row_id, seed), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def poisson_draw(u: Column, rate: float, terms: int = 12) -> Column:
-    """Inverse Poisson CDF at ``u``, as a sum of step comparisons."""
+def poisson_draw(u: Column, rate: float) -> Column:
+    """Inverse Poisson CDF at ``u``, as a sum of step comparisons up to where no 32-bit ``u`` reaches."""
     p, total, steps = math.exp(-rate), 0.0, []
-    for k in range(terms):
+    for k in itertools.count():
+        if k > rate and p < 1e-12:
+            break
         total += p
         steps.append((u >= F.lit(total)).cast("int"))
         p *= rate / (k + 1)

@@ -41,9 +41,9 @@ def code_complete(domain: DataFrame) -> DataFrame:
     if n * 2 ** (n - 1) > MAX_CODE_CELLS:
         raise ValueError("too many classes for a complete code")
     clfs = domain.sparkSession.range(2 ** (n - 1) - 1).select(F.col("id").cast("int").alias("clf"))
-    skip = F.pow(F.lit(2.0), F.lit(n - 1) - F.col("pos"))
-    odd = F.floor(F.col("clf") / skip) % 2 != 0
-    bit = F.when(F.col("pos") == 0, 1).when(odd, 1).otherwise(-1)
+    # the side of a class in a split is its binary digit in the split's number
+    digit = F.expr(f"shiftright(clf, {n - 1} - CAST(pos AS INT)) & 1")
+    bit = F.when(F.col("pos") == 0, 1).otherwise(2 * digit - 1)
     return clfs.join(domain).select("clf", F.col("label").alias("class"), bit.alias("bit"))
 
 

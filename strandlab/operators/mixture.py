@@ -160,7 +160,7 @@ def gmm_loglik(df: DataFrame, model: DataFrame, by: Sequence[str] = ("label",))
     return with_logs(df, model, by).groupBy(*by).agg(F.sum("loglik").alias("loglik"), F.count(F.lit(1)).alias("n"))
 
 
-def gmm_select_bic(df: DataFrame, dims: int, by: Sequence[str] = ("label",), lam: float = 1.0, max_k: int = 50, max_iter: int = 100, tol: float = 1e-4, floor: float = VAR_FLOOR) -> DataFrame:
+def gmm_select_bic(df: DataFrame, dims: int, by: Sequence[str] = ("label",), lam: float = 1.0, max_k: int | None = None, max_iter: int = 100, tol: float = 1e-4, floor: float = VAR_FLOOR) -> DataFrame:
     """Add components while ``L - lam/2 * k (2d + 1) * ln n`` grows, group by group.
 
     All groups that still grow are trained together; a finished group leaves the
@@ -175,7 +175,7 @@ def gmm_select_bic(df: DataFrame, dims: int, by: Sequence[str] = ("label",), lam
     best = bic(model, df, 1)
     done: DataFrame | None = None
     rows, k = df, 1
-    while k < max_k:
+    while max_k is None or k < max_k:
         k += 1
         grown = gmm_iterate(rows, split_heaviest(model, by), dims, by, max_iter, tol, floor).drop("loglik", "n")
         score = bic(grown, rows, k)

@@ -18,11 +18,6 @@ from strandlab.session import cut
 VAR_FLOOR = 1e-4
 
 
-def vector_size(df: DataFrame, x: str = "x") -> int:
-    row = df.filter(F.col(x).isNotNull()).select(F.size(x).alias("d")).first()
-    return 0 if row is None else int(row["d"])
-
-
 def per_dim(x: str, dims: int, fn) -> Column:
     """Array of one aggregate per dimension."""
     return F.array(*[fn(F.col(x)[i]) for i in range(dims)])

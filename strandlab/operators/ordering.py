@@ -16,15 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandlab.session import cut
+
 PIECE_ROWS = 1_000_000  # rows of one key that a single task may order
 MAX_PIECES = 5_000  # resolution of the cut points of one key
+MAX_LONG = 10_000  # long keys whose sizes are broadcast
+
 
+SAMPLES = 20  # sampled rows per piece that place its cut points
 
-def _sortable(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    return F.col(name).cast("double")
+
+def _position(df: DataFrame, order: Sequence[str]) -> Column:
+    """The whole order of a row, of columns of any type; a hash of the row parts rows that tie in all of them."""
+    hashed = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    return F.struct(*[F.col(c) for c in order], F.xxhash64(*hashed).alias("_tie"))
 
 
 def longest_key(df: DataFrame, keys: Sequence[str]) -> int:
@@ -35,28 +40,28 @@ def longest_key(df: DataFrame, keys: Sequence[str]) -> int:
 def split_keys(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], piece_rows: int = PIECE_ROWS, longest: int | None = None
 ) -> tuple[DataFrame, bool]:
-    """Add ``_piece``; pieces of one key are ordered by ``order[0]`` and never overlap.
+    """Add ``_piece``; pieces of one key are ordered by ``order`` and never overlap.
 
-    Cut points are approximate quantiles, which only balance the pieces: any cut
-    points give the same result.  ``longest`` is the (estimated) size of the largest
+    Cut points are sampled rows, which only balance the pieces: any cut points
+    give the same result.  Rows that tie in ``order`` are parted by a hash.  ``longest`` is the (estimated) size of the largest
     key if the caller knows it.
     """
     longest = longest_key(df, keys) if longest is None else longest
     if longest <= piece_rows:
         return df.withColumn("_piece", F.lit(0)), False
     pieces = min(MAX_PIECES, -(-longest // piece_rows))
-    at = F.array(*[F.lit(i / pieces) for i in range(1, pieces)]) if pieces > 1 else F.array(F.lit(0.5))
-    first = _sortable(df, order[0])
-    cuts = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(first, at, max(10_000, 10 * pieces)).alias("_cuts"))
-        .filter(F.col("_n") > piece_rows)
-        .drop("_n")
-    )
+    position = _position(df, order)
+    sizes = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > piece_rows)) if keys else None
+    rate = F.lit(SAMPLES * pieces) / (F.col("_n") if keys else F.lit(longest))
+    named = df.join(F.broadcast(sizes) if sizes.count() <= MAX_LONG else sizes, list(keys)) if keys else df
+    chosen = named.withColumn("_at", position).filter(F.pmod(F.xxhash64(F.col("_at")["_tie"]), F.lit(1_000_003)) < rate * 1_000_003)
+    spaced = F.array_sort(F.collect_list("_at"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("_all") / pieces).cast("int"))
+    cuts = chosen.groupBy(*keys).agg(spaced.alias("_all")).select(*keys, F.filter("_all", lambda _, i: i % step == step - 1).alias("_cuts"))
+    cuts = cut(cuts)  # written, so that its size is known where it is joined
     joined = df.join(cuts, list(keys), "left") if keys else df.crossJoin(cuts)
-    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(0))
-    piece = F.when(F.col("_cuts").isNull() | first.isNull(), F.lit(0)).otherwise(piece)
-    return joined.withColumn("_piece", piece).drop("_cuts"), True
+    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c < position)), F.lit(0))
+    return joined.withColumn("_piece", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece)).drop("_cuts"), True
 
 
 def running_totals(

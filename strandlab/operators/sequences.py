@@ -444,7 +444,7 @@ def _pieces_for_sums(frames: DataFrame, key: str, lookup: Callable[[str], dict[s
     if short:
         return cols
     levels = _levels(_matrices(prepared, lookup, False, seq_type), False, seq_type, fan)
-    top = _top(levels[-1], lookup, False, seq_type).filter(F.col("total") > LOG0 / 2)
+    top = _top(levels[-1], lookup, False, seq_type)  # impossible sequences stay: they are counted as skipped
     ends = _descend(levels, top.drop("total", "n"), False, seq_type, fan)
     return cols.join(ends.drop("model"), ["seq_id", "_piece"])
 
@@ -468,7 +468,7 @@ def sequence_statistics(frames: DataFrame, lookup: Callable[[str], dict[str, Cha
                 rows += _batch_statistics(g, c, name)
         return pd.DataFrame(rows, columns=["kind", "model", "a", "b", "occ", "s1", "s2"])
 
-    parts = map_whole_groups(cols, ["seq_id", "_piece"], ["t"], run, STAT_SCHEMA)
+    parts = cut(map_whole_groups(cols, ["seq_id", "_piece"], ["t"], run, STAT_SCHEMA))  # two sums below read one pass
     heads = parts.groupBy("kind", "model", "a", "b").agg(F.sum("occ").alias("occ"))
     dims = parts.filter(F.size("s1") > 0).select("kind", "model", "a", "b", F.posexplode(F.arrays_zip("s1", "s2")).alias("d", "z"))
     sums = dims.groupBy("kind", "model", "a", "b", "d").agg(F.sum("z.s1").alias("s1"), F.sum("z.s2").alias("s2"))
@@ -628,11 +628,11 @@ def models_from_paths(paths: DataFrame, k: int, dims: int, model: str = "label",
     return transition, gaussian
 
 
-def segmental_kmeans(frames: DataFrame, k: int, dims: int, model: str = "label", max_iter: int = 10, tol: float = 1e-3, floor: float = VAR_FLOOR, piece: int = PIECE) -> tuple[DataFrame, DataFrame, list[float]]:
+def segmental_kmeans(frames: DataFrame, k: int, dims: int, model: str = "label", max_iter: int | None = None, tol: float = 1e-3, floor: float = VAR_FLOOR, piece: int = PIECE) -> tuple[DataFrame, DataFrame, list[float]]:
     """Uniform segmentation, then realign on best paths until the mean score settles."""
     transition, gaussian = (cut(t) for t in initial_models(frames, k, dims, model, floor))
     trace: list[float] = []
-    for _ in range(max_iter):
+    while max_iter is None or len(trace) < max_iter:
         scores = viterbi_score(frames, transition, gaussian, piece)
         own = frames.select("seq_id", F.col(model).alias("model")).distinct()
         now = scores.join(own, ["seq_id", "model"]).agg(F.avg("score")).first()[0]
@@ -676,14 +676,17 @@ def embedded_step(frames: DataFrame, transcripts: DataFrame, transition: DataFra
     """One re-estimation where a sequence is a chain of labels.
 
     ``transcripts(seq_id, pos, label)`` gives the labels in order and ``tying(label,
-    model)`` maps logical to physical models, whose statistics are pooled.
+    model)`` maps logical to physical models, whose statistics are pooled.  Sequences
+    without a transcript, or with a null or unknown label in it, count as skipped.
     """
     t = transcripts
     if tying is not None:
         t = t.join(tying, "label", "left").withColumn("label", F.coalesce("model", "label"))
     lists = t.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("z"))
-    lists = lists.select("seq_id", F.array_join(F.transform("z", lambda e: e["label"]), SEP).alias("_units"))
     units = collect_units(transition, gaussian)
+    labels = F.transform("z", lambda e: F.coalesce(e["label"], F.lit("")))
+    known = F.forall(labels, lambda x: x.isin(list(units)))
+    lists = cut(lists.select("seq_id", F.when(known, F.array_join(labels, SEP)).alias("_units")))
     cache: dict[str, Chain] = {}
 
     def lookup(name: str) -> dict[str, Chain]:
@@ -696,7 +699,11 @@ def embedded_step(frames: DataFrame, transcripts: DataFrame, transition: DataFra
             cache[name] = chain([units[n] for n in names])
         return {name: cache[name]}
 
-    stats = cut(sequence_statistics(frames.join(lists, "seq_id"), lookup, "_units", piece, fan))
+    usable = lists.filter(F.col("_units").isNotNull())
+    lost = frames.select("seq_id").distinct().join(usable, "seq_id", "left_anti").count()
+    none = F.array().cast("array<double>")
+    skipped = frames.sparkSession.range(1).select(F.lit("seq").alias("kind"), F.lit("").alias("model"), F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(float(lost)).alias("occ"), none.alias("s1"), none.alias("s2"))
+    stats = cut(sequence_statistics(frames.join(usable, "seq_id"), lookup, "_units", piece, fan).unionByName(skipped))
     return (*reestimate(stats, gaussian, floor), stats)
 
 

@@ -23,14 +23,14 @@ def canonical(df: DataFrame, label_map: DataFrame, col: str) -> DataFrame:
 
 
 def confusion_matrix(preds: DataFrame, classes: Sequence[str], label_map: DataFrame | None = None) -> DataFrame:
-    """One row per actual class, one column per predicted class, and the error share."""
+    """One row per actual class, one column per predicted class, and the error share; no prediction is an error."""
     p = preds.select("actual", "predicted")
     if label_map is not None:
         p = canonical(canonical(p, label_map, "actual"), label_map, "predicted")
     cells = p.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
     wide = cells.groupBy("actual").agg(
         *[F.coalesce(F.sum(F.when(F.col("predicted") == c, F.col("n"))), F.lit(0)).alias(f"as_{c}") for c in classes],
-        (F.coalesce(F.sum(F.when(F.col("predicted") != F.col("actual"), F.col("n"))), F.lit(0)) / F.sum("n")).alias("error"),
+        (F.coalesce(F.sum(F.when(~F.col("predicted").eqNullSafe(F.col("actual")), F.col("n"))), F.lit(0)) / F.sum("n")).alias("error"),
     )
     return wide
 
@@ -72,10 +72,10 @@ CHI_95 = 3.841459  # fixed value: 95 % point of chi-square with one degree of fr
 
 
 def outcome_table(preds: DataFrame) -> DataFrame:
-    """2 x 2 table of right and wrong for every scheme pair."""
+    """2 x 2 table of right and wrong for every scheme pair; no prediction is wrong."""
     p = _scheme_pairs(_by_row(preds))
-    x = F.col("p.a.predicted") == F.col("actual")
-    y = F.col("p.b.predicted") == F.col("actual")
+    x = F.coalesce(F.col("p.a.predicted") == F.col("actual"), F.lit(False))
+    y = F.coalesce(F.col("p.b.predicted") == F.col("actual"), F.lit(False))
     return p.groupBy(F.col("p.a.scheme").alias("scheme_x"), F.col("p.b.scheme").alias("scheme_y")).agg(
         F.count_if(x & y).alias("both_right"), F.count_if(x & ~y).alias("only_x"), F.count_if(~x & y).alias("only_y"), F.count_if(~x & ~y).alias("both_wrong")
     )

@@ -92,7 +92,8 @@ def run_grid(
     for cell in cells:
         try:
             rows = compute(cell)
-            rows = rows.withColumns({k: F.lit(cell[k]) for k in keys if k not in rows.columns})
+            # written here: a cell that fails while it runs is that cell's failure
+            rows = cut(rows.withColumns({k: F.lit(cell[k]) for k in keys if k not in rows.columns}))
             done = rows if done is None else done.unionByName(rows)
             status.append({**cell, "status": "ok"})
         except Exception as error:  # noqa: BLE001 - the grid must go on

@@ -214,22 +214,23 @@ def rank_race(df: DataFrame, ranking: Sequence[str], folds: int = 10, row_id: st
     return df.sparkSession.createDataFrame([(winner, "+".join(sets[winner]), error, len(left))], "prefix string, subset_id string, error double, survivors int")
 
 
-def schemata_race(df: DataFrame, attrs: Sequence[str], trials: int = 16, folds: int = 5, alpha: float = 0.05, rounds: int = 5, seed: int = 1, row_id: str = "id", label: str = "label") -> DataFrame:
+def schemata_race(df: DataFrame, attrs: Sequence[str], trials: int = 16, folds: int = 5, alpha: float = 0.05, rounds: int | None = None, seed: int = 1, row_id: str = "id", label: str = "label") -> DataFrame:
     """Decide attributes one after another by random subsets: ``(attr, keep, p, round)``.
 
     Each round scores ``trials`` random subsets in one job.  The attribute whose
-    errors with and without it differ most clearly is fixed; undecided ones are
-    fixed by their mean difference in the last round.
+    errors with and without it differ most clearly is fixed, with all that differ
+    significantly, until none is left; with ``rounds`` the last round fixes the rest.
     """
     fixed: dict[str, bool] = {}
     rows = []
     folded = assign_folds(df, folds, 0, row_id, label)
-    for number in range(1, rounds + 1):
+    number = 0
+    while len(fixed) < len(attrs):
+        number += 1
         free = [a for a in attrs if a not in fixed]
-        if not free:
-            break
         rng = np.random.default_rng([seed, number])
-        bits = rng.random((trials, len(free))) < 0.5
+        # half of the subsets hold an attribute, so that both sides of every test have rows
+        bits = np.argsort(rng.random((trials, len(free))), axis=0) < trials // 2
         subsets = {f"t{i}": [a for a in attrs if fixed.get(a) or (a in free and bits[i, free.index(a)])] for i in range(trials)}
         names = sorted(attrs)
         scored = _fold_scored(folded, names, label)
@@ -250,10 +251,10 @@ def schemata_race(df: DataFrame, attrs: Sequence[str], trials: int = 16, folds:
                 p = float(incomplete_beta(dof / 2, 0.5, dof / (dof + t * t)))
             tests.append((p, a, gap))
         for p, a, gap in sorted(tests):
-            if p <= alpha or number == rounds or a == sorted(tests)[0][1]:
+            if p <= alpha or (rounds is not None and number >= rounds) or a == sorted(tests)[0][1]:
                 fixed[a] = bool(gap < 0)
                 rows.append((a, bool(gap < 0), float(p), number))
-    return df.sparkSession.createDataFrame(rows, 'attr string, keep boolean, p double, "round" int'.replace('"', "`"))
+    return df.sparkSession.createDataFrame(rows, "attr string, keep boolean, p double, `round` int")
 
 
 # -- parameters ------------------------------------------------------------------
@@ -275,13 +276,13 @@ def resolve_bound(bound: str | float, attributes: int, smallest_fold: int) -> fl
     return {"A": float(attributes), "I": float(smallest_fold)}.get(bound, bound) if isinstance(bound, str) else float(bound)
 
 
-def doubling_search(evaluate: Callable[[float], float], start: float, attempts: int = 2, limit: int = 30) -> tuple[float, float, list[tuple[float, float]]]:
-    """Double, then halve a parameter until ``attempts`` values in a row do not improve."""
+def doubling_search(evaluate: Callable[[float], float], start: float, attempts: int = 3, limit: int | None = None) -> tuple[float, float, list[tuple[float, float]]]:
+    """Double, then halve a parameter until ``attempts`` values in a row do not improve; ``limit`` bounds all values tried."""
     trace = [(start, evaluate(start))]
     best: list[tuple[float, float]] = []
     for factor in (2.0, 0.5):
         value, top, miss = start, (trace[0][1], start), 0
-        while miss < attempts and len(trace) < limit:
+        while miss < attempts and (limit is None or len(trace) < limit):
             value *= factor
             error = evaluate(value)
             trace.append((value, error))

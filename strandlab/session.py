@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(pathlib.Path(__file__).resolve().parents[1])  # where workers find the package if it is not installed
+
 
 def build_session(app: str = "strandlab", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
@@ -18,6 +22,7 @@ def build_session(app: str = "strandlab", cores: str = "*", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH", "")])))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -32,7 +32,9 @@ def append_results_once(
     try:
         stored = spark.read.parquet(path)
         todo = missing_keys(wanted, stored, keys)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # a store that cannot be read is a fault, not an empty store
         todo = wanted
     if len(todo.take(1)):
         compute(todo).write.mode("append").parquet(path)

@@ -427,3 +427,40 @@ def test_stream_late_rows_stay_in_the_window(spark):
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     win, _ = stream.run_fifo(stream.watermarked(src, "ts", "id"), "key", ["ts", "id"], 2, ["id"], stream.new_path(spark, "f"))
     assert sorted(r["id"] for r in win.collect()) == [2, 3]
+
+
+def test_no_prediction_is_an_error(spark):
+    from strandlab.plans import evaluate
+
+    rows = spark.createDataFrame([("x", 1, "a", "a"), ("x", 2, "a", None), ("x", 3, "b", None), ("y", 1, "a", "a"), ("y", 2, "a", "a"), ("y", 3, "b", "a")], "scheme string, row_id int, actual string, predicted string")
+    only = {r["actual"]: r["error"] for r in evaluate.confusion_matrix(rows.filter("scheme = 'x'"), ["a", "b"]).collect()}
+    assert only == {"a": 0.5, "b": 1.0}
+    cells = evaluate.outcome_table(rows).first()
+    assert (cells["both_right"], cells["only_x"], cells["only_y"], cells["both_wrong"]) == (1, 0, 1, 1)
+
+
+def test_cell_that_fails_while_running_is_reported(spark):
+    from strandlab.plans.folds import run_grid
+
+    def compute(cell):
+        return spark.range(3).select(F.raise_error(F.lit("late")).cast("long").alias("n")) if cell["k"] == 2 else spark.range(3).select(F.col("id").alias("n"))
+
+    done, status = run_grid([{"k": 1}, {"k": 2}, {"k": 3}], compute, ["k"])
+    assert done.count() == 6 and [s["status"] == "ok" for s in status] == [True, False, True]
+
+
+def test_broken_store_is_not_an_empty_store(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+    from strandlab.sources.store import append_results_once
+
+    path = str(tmp_path / "store")
+    spark.range(2).select(F.col("id").alias("other")).write.parquet(path)
+    with pytest.raises(AnalysisException):
+        append_results_once(spark, path, spark.range(2).select(F.col("id").alias("key")), ["key"], lambda todo: todo)
+
+
+def test_poisson_weights_keep_their_mean(spark):
+    from strandlab.functions.exprs import poisson_draw, seeded_uniform
+
+    row = spark.range(20_000).select(poisson_draw(seeded_uniform(F.col("id")), 20.0).alias("w")).agg(F.avg("w"), F.max("w")).first()
+    assert abs(row[0] - 20) < 0.2 and row[1] > 30

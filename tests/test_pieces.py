@@ -186,3 +186,38 @@ def test_baum_welch_pieces(hmm):
     assert np.allclose(x["occ"], y["occ"], atol=1e-6)
     for p, q in zip(x["s1"], y["s1"]):
         assert (p is None and q is None) or np.allclose(p, q, atol=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["date", "string", "decimal(10,2)", "timestamp"])
+def test_order_columns_of_any_type(skewed, kind):
+    pdf, df = skewed
+    typed = df.withColumn("o", F.date_add(F.lit("2020-01-01").cast("date"), F.col("o").cast("int")) if kind in ("date", "timestamp") else F.lpad(F.col("o").cast("string"), 3, "0")).withColumn("o", F.col("o").cast(kind))
+    cut, long = split_keys(typed, ["key"], ["o", "id"], 40)
+    assert long and cut.filter("key = 1").select("_piece").distinct().count() > 5
+    short = _pd(dense_index(typed, ["key"], ["o", "id"]), "key", "t")
+    assert _pd(dense_index(typed, ["key"], ["o", "id"], piece_rows=40), "key", "t")["id"].tolist() == short["id"].tolist()
+
+
+def test_tied_rows_are_cut_as_well(spark):
+    rows = spark.createDataFrame([(1, 7, i) for i in range(200)], "key int, o int, id int")
+    pieces = split_keys(rows, ["key"], ["o"], 20)[0].groupBy("_piece").count().toPandas()["count"]
+    assert len(pieces) > 5 and pieces.max() < 120
+    index = dense_index(rows, ["key"], ["o"], piece_rows=20)
+    assert sorted(r["t"] for r in index.collect()) == list(range(200))
+
+
+def test_impossible_sequences_count_alike_long_and_short(spark):
+    t = spark.createDataFrame([("m", 0, 1, 0.0), ("m", 1, 2, 0.0), ("m", 2, 3, 0.0)], "model string, i int, j int, logp double")
+    g = spark.createDataFrame([("m", s, 0, 0.0, [float(s)], [1.0]) for s in (1, 2)], "model string, state int, comp int, logw double, mean array<double>, var array<double>")
+    frames = spark.createDataFrame([(1, i, [1.0], "m") for i in range(2)] + [(2, i, [1.0], "m") for i in range(9)], "seq_id long, t long, x array<double>, label string")
+    for piece in (2048, 4):
+        stats = sequences.baum_welch_step(frames, t, g, piece=piece, fan=2)[2]
+        assert sequences.mean_loglik(stats)[1:] == (1, 1)
+
+
+def test_unknown_transcripts_count_as_skipped(spark):
+    t = spark.createDataFrame([("m", 0, 1, 0.0), ("m", 1, 1, -0.7), ("m", 1, 2, -0.7)], "model string, i int, j int, logp double")
+    g = spark.createDataFrame([("m", 1, 0, 0.0, [0.0], [1.0])], "model string, state int, comp int, logw double, mean array<double>, var array<double>")
+    frames = spark.createDataFrame([(s, i, [0.1 * i]) for s in (1, 2, 3, 4) for i in range(4)], "seq_id long, t long, x array<double>")
+    words = spark.createDataFrame([(1, 0, "m"), (2, 0, "m"), (2, 1, "?"), (3, 0, None)], "seq_id long, pos int, label string")
+    assert sequences.mean_loglik(sequences.embedded_step(frames, words, t, g)[2])[1:] == (1, 3)
