@@ -46,7 +46,7 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of text each, so that what a task derives stays small."""
     for batch in batches:
         for begin, stop in slices(as_text(batch.column(column)), limit):

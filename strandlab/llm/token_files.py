@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strandlab.llm.encoding import encoder
 from strandlab.llm.shared import small_batches
+from strandlab.session import cut
 
 #: Rows of a row-index entry, and the size at which a stripe is written.
 INDEX_ROWS, STRIPE_BYTES = 10_000, 16 << 20
@@ -64,7 +65,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ``start`` counts the ids of all documents before.  Filters on ``doc_id`` reach the stripes."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
-    ends = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("file_tokens"))  # one row per file
+    # one row per file, written: its size is known, so the ids are not shuffled to meet it
+    ends = cut(rows.groupBy("file_no").agg(F.sum("n_tokens").alias("file_tokens")))
     before = F.coalesce(F.sum("file_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(ends.select("file_no", before.alias("base")), "file_no").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids")
 
