@@ -11,9 +11,9 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from strandlab.llm.encoding import encoder
 from strandlab.llm.shared import lookup
@@ -30,13 +30,12 @@ def version_digest(tokenizer: str) -> str:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The stored counts; a cache that does not exist yet is empty."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], CACHE)
     try:
         return spark.read.schema(CACHE).parquet(path)
     except AnalysisException as error:
-        raise ValueError(f"{path} is no cache of token counts") from error
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024) -> DataFrame:
