@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import as_text, byte_runs, crc_fold, run_hashes, slices
+from strandlab.llm.shared import as_text, byte_runs, crc_fold, mix64, run_hashes, slices
 from strandlab.session import cut
 
 #: Hash bins of features, expected learning documents of each label, gradient steps and their size, weight decay.
@@ -35,11 +35,23 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of ASCII letters and digits and of all other bytes beyond ASCII, A-Z lower-cased) of texts:
-    their feature bins (tokens x FEATURES), begin and length in bytes within their text, and text."""
+    the hashes of their features (tokens x FEATURES), begin and length in bytes within their text, and text."""
     data, begin, size, text, bounds = byte_runs(texts, _WORD)
-    kinds = run_hashes(data, begin, size, STEMS)
-    bins = (np.column_stack(kinds) & np.uint64(BINS - 1)).astype(np.int32)
-    return bins, begin - bounds[text], size, text
+    return np.column_stack(run_hashes(data, begin, size, STEMS)), begin - bounds[text], size, text
+
+
+def feature_bins(hashes: np.ndarray, typical: np.ndarray) -> np.ndarray:
+    """Bins of features.  A bin of a typical feature (hashes, ascending) belongs to it alone: others that fall there go to
+    bin 0, so that no word is taken for a toxic one because it shares a bin."""
+    bins = (hashes & np.uint64(BINS - 1)).astype(np.int32)
+    own = np.zeros(BINS, dtype=bool)
+    own[(typical & np.uint64(BINS - 1)).astype(np.int64)] = True
+    at = np.nonzero(own[bins])
+    met = hashes[at]
+    if len(met):
+        right = typical[np.minimum(np.searchsorted(typical, met), len(typical) - 1)] == met
+        bins[at[0][~right], at[1][~right]] = 0
+    return bins
 
 
 def marginals(odds: np.ndarray, text: np.ndarray, move: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +130,7 @@ def _suffix(whole: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, learning: Column, rows: int) -> DataFrame:
-    """(toxic, bins) of labelled documents that may teach: about ``rows`` of each label, chosen by a hash of the id.
+    """(toxic, features) of labelled documents that may teach: about ``rows`` of each label, chosen by a hash of the id.
 
     Of several labels of a document the largest counts; a null label teaches nothing.
     """
@@ -133,13 +145,13 @@ def learning_rows(docs: DataFrame, labels: DataFrame, learning: Column, rows: in
         for batch in batches:
             column = as_text(batch.column("text"))
             for a, b in slices(column, CHUNK):
-                bins, _, _, text = tokens(column.slice(a, b - a))
+                hashes, _, _, text = tokens(column.slice(a, b - a))
                 ends = np.searchsorted(text, np.arange(b - a + 1))
-                packed = [bins[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), pa.array(packed, pa.binary())], names=["toxic", "bins"])
+                packed = [hashes[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), pa.array(packed, pa.binary())], names=["toxic", "features"])
 
     taught = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen.hint("shuffle_hash"), "doc_id")
-    return cut(taught.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(features, "toxic int, bins binary"))
+    return cut(taught.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(features, "toxic int, features binary"))
 
 
 def _summed(taught: DataFrame, work, width: int) -> np.ndarray:
@@ -149,9 +161,9 @@ def _summed(taught: DataFrame, work, width: int) -> np.ndarray:
         total = np.zeros(width)
         for batch in batches:
             flags = np.asarray(batch.column("toxic"), dtype=np.int64)
-            packed = batch.column("bins").to_pylist()
-            bins = np.frombuffer(b"".join(packed), dtype=np.int32).reshape(-1, FEATURES)
-            total += work(bins, np.repeat(np.arange(len(flags)), [len(p) // (4 * FEATURES) for p in packed]), flags)
+            packed = batch.column("features").to_pylist()
+            hashes = np.frombuffer(b"".join(packed), dtype=np.uint64).reshape(-1, FEATURES)
+            total += work(hashes, np.repeat(np.arange(len(flags)), [len(p) // (8 * FEATURES) for p in packed]), flags)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     return sum((np.frombuffer(r["sums"]) for r in taught.coalesce(TASKS).mapInArrow(part, "sums binary").collect()), np.zeros(width))
@@ -165,23 +177,27 @@ def fit(docs: DataFrame, labels: DataFrame, learning: Column, rows: int = TRAIN_
     """
     taught = learning_rows(docs, labels, learning, rows)
 
-    def frequency(bins: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
-        pairs = np.unique((text[:, None].astype(np.int64) * BINS + bins).reshape(-1))
+    def frequency(hashes: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        pairs = np.unique((text[:, None].astype(np.int64) * BINS + feature_bins(hashes, none)).reshape(-1))
         return np.concatenate([np.bincount(flags[pairs // BINS] * BINS + pairs % BINS, minlength=2 * BINS), np.bincount(flags, minlength=2)])
 
+    none = np.zeros(0, dtype=np.uint64)
     counted = _summed(taught, frequency, 2 * BINS + 2)
     clean, toxic, (cleans, toxics) = counted[:BINS], counted[BINS : 2 * BINS], counted[2 * BINS :]
     rate = toxics / max(1.0, cleans + toxics)
-    model = {"weight": np.zeros(BINS), "move": np.zeros((2, 2)), "first": -20.0, "bias": -20.0, "line": np.array([np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)), 0.0])}
+    model = {"weight": np.zeros(BINS), "move": np.zeros((2, 2)), "first": -20.0, "bias": -20.0, "typical": none, "line": np.array([np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)), 0.0])}
     if not cleans or not toxics:
         return model
-    typical = _typical(clean, toxic, cleans, toxics)
+    typical = _typical_features(taught, _typical(clean, toxic, cleans, toxics))
     scores = np.zeros(BINS + 6)  # weights of bins, bias of the toxic tag, first tag, four steps
     square = np.zeros(BINS + 6)
 
-    def gradient(bins: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
-        out = np.zeros(BINS + 6)
-        tag = (typical[bins].any(axis=1) & (flags[text] == 1)).astype(np.float64)
+    marked = np.zeros(BINS, dtype=bool)
+    marked[(typical & np.uint64(BINS - 1)).astype(np.int64)] = True
+
+    def gradient(hashes: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        out, bins = np.zeros(BINS + 6), feature_bins(hashes, typical)
+        tag = (marked[bins].any(axis=1) & (flags[text] == 1)).astype(np.float64)
         toxic_at, pair = marginals(scores[bins].sum(axis=1) + scores[BINS], text, scores[BINS + 2 :].reshape(2, 2), scores[BINS + 1])
         miss = tag - toxic_at
         new = np.diff(text, prepend=-1) != 0
@@ -195,16 +211,51 @@ def fit(docs: DataFrame, labels: DataFrame, learning: Column, rows: int = TRAIN_
         slope = _summed(taught, gradient, BINS + 6) - DECAY * (cleans + toxics) * scores
         square += slope * slope
         scores = scores + RATE * slope / np.maximum(np.sqrt(square), 1e-9)
-    model |= {"weight": scores[:BINS], "bias": scores[BINS], "first": scores[BINS + 1], "move": scores[BINS + 2 :].reshape(2, 2)}
+    model |= {"typical": typical, "weight": scores[:BINS], "bias": scores[BINS], "first": scores[BINS + 1], "move": scores[BINS + 2 :].reshape(2, 2)}
 
-    def histogram(bins: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
-        value, _ = strength(bins, text, len(flags), model)
+    def histogram(hashes: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        value, _ = strength(hashes, text, len(flags), model)
         return np.bincount(flags * 64 + np.minimum(63, np.floor(8 * np.log1p(value))).astype(np.int64), minlength=128)
 
     model["line"] = _calibrate(_summed(taught, histogram, 128).reshape(2, 64), cleans, toxics)
     return model
 
 
+def _typical_features(taught: DataFrame, bins: np.ndarray) -> np.ndarray:
+    """Hashes, ascending, of the features in typical bins that are typical themselves.  Typical bins are few, and so are
+    the features counted here: at most what the learning documents have in them.
+
+    Documents with the same smallest three-word shingle, as copies and most near copies have, count once: else every
+    word of a toxic document with a few copies would look typical.
+    """
+
+    def source(words: np.ndarray) -> int:
+        with np.errstate(over="ignore"):
+            three = words[:-2] * np.uint64(3) + words[1:-1] * np.uint64(5) + words[2:] * np.uint64(7) if len(words) > 2 else words
+        return int(mix64(three).min().view(np.int64)) if len(three) else 0
+
+    def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [source(np.frombuffer(p, dtype=np.uint64)[::FEATURES]) for p in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.int64())], names=["toxic", "source"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, flags = batch.column("features").to_pylist(), np.asarray(batch.column("toxic"), dtype=np.int64)
+            parts = [np.unique(h[bins[(h & np.uint64(BINS - 1)).astype(np.int64)]]) for h in (np.frombuffer(p, dtype=np.uint64) for p in packed)]
+            hashes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+            own = np.array([source(np.frombuffer(p, dtype=np.uint64)[::FEATURES]) for p in packed], dtype=np.int64)
+            size = [len(p) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(flags, size)), pa.array(np.repeat(own, size))], names=["h", "toxic", "source"])
+
+    totals = {r["toxic"]: r["count"] for r in taught.mapInArrow(sources, "toxic int, source long").distinct().groupBy("toxic").count().collect()}
+    cleans, toxics = totals.get(0, 0), totals.get(1, 0)
+    seen = taught.mapInArrow(count, "h long, toxic long, source long").distinct()
+    found = seen.groupBy("h").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).filter("toxic > 1").toPandas()
+    keep = _typical(found["clean"].to_numpy(float), found["toxic"].to_numpy(float), cleans, toxics)
+    return np.sort(found["h"].to_numpy(np.int64)[keep].view(np.uint64))
+
+
 def _typical(clean: np.ndarray, toxic: np.ndarray, cleans: float, toxics: float) -> np.ndarray:
     """Features that far more toxic than clean documents show: by odds, and by the likelihood ratio of one rate or two."""
     p, q = (toxic + 0.5) / (toxics + 1), (clean + 0.5) / (cleans + 1)
@@ -227,9 +278,9 @@ def _calibrate(seen: np.ndarray, cleans: float, toxics: float) -> np.ndarray:
     return line
 
 
-def strength(bins: np.ndarray, text: np.ndarray, texts: int, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def strength(hashes: np.ndarray, text: np.ndarray, texts: int, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Toxic evidence of each text (sum of -log(1 - marginal) over its tokens), and the marginals."""
-    toxic, _ = marginals(model["weight"][bins].sum(axis=1) + model["bias"], text, model["move"], float(model["first"]))
+    toxic, _ = marginals(model["weight"][feature_bins(hashes, model["typical"])].sum(axis=1) + model["bias"], text, model["move"], float(model["first"]))
     return np.bincount(text, -np.log1p(-np.minimum(toxic, 1 - 1e-9)), minlength=texts) if len(text) else np.zeros(texts), toxic
 
 
@@ -249,8 +300,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], held_out: Column, thres
             column = as_text(batch.column("text"))
             for a, b in slices(column, CHUNK):
                 part = column.slice(a, b - a)
-                bins, begin, size, text = tokens(part)
-                value, toxic = strength(bins, text, b - a, model)
+                hashes, begin, size, text = tokens(part)
+                value, toxic = strength(hashes, text, b - a, model)
                 out = 1 / (1 + np.exp(-(model["line"][0] + model["line"][1] * np.log1p(value))))
                 spans: list[list[dict]] = [[] for _ in range(b - a)]
                 for i in np.flatnonzero(toxic >= SPAN).tolist():
