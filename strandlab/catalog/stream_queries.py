@@ -38,15 +38,14 @@ def _counts(spark, d):
 @query("stream_fifo", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
 def _fifo(spark, d):
     path = stream.new_path(spark, "fifo")
-    run = lambda e: stream.run_fifo(stream.watermarked(e, "ts", "event_id", "60 days"), "user_id", ["ts", "event_id"], 5, ["value"], path)
-    rows, _ = stream.replay(_events(spark, d), "ts", run)
-    return rows.select("user_id", "event_id", "value")
+    run = lambda e: stream.run_fifo(stream.watermarked(e, "ts", "event_id", "60 days"), "user_id", ["ts", "event_id"], 5, path)
+    return stream.replay(_events(spark, d), "ts", run).select("user_id", "event_id", "value")
 
 
 @query("stream_fifo_range", "SELECT min(value) AS value_lo, max(value) AS value_hi FROM events")
 def _fifo_range(spark, d):
     path = stream.new_path(spark, "fifo")
-    return stream.replay(_events(spark, d), "ts", lambda e: stream.run_fifo(e, "user_id", ["ts", "event_id"], 5, ["value"], path))[1]
+    return stream.replay(_events(spark, d), "ts", lambda e: stream.run_ranges(e, ["value"], path))
 
 
 @query("stream_translate", "SELECT event_id, v AS value FROM (SELECT event_id, lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events) WHERE v IS NOT NULL")

@@ -1,59 +1,64 @@
 """Incremental operators on Structured Streaming.
 
-Two forms are used.  Counts and fitted filters are native streaming plans.
-Operators that need the last rows of a key or a running state vector keep that
-state as a small versioned table in the shared folder and run the batch operator
-on (state, micro-batch) inside ``foreachBatch``: a key that owns most of a
-micro-batch is then split like in batch.  A replayed micro-batch reads the version
-before it and overwrites its own, so results do not depend on retries.
+Counts and fitted filters are native streaming plans.  Operators that need the last
+rows of a key or a running state vector keep them in the engine's own state store
+(``applyInPandasWithState``), which versions, recovers and replays them.  The rows of
+a key in one micro-batch meet in one task, so the size of a micro-batch bounds a hot
+key.  Outputs are written under the number of their micro-batch: a replay overwrites
+its own rows, and the newest rows of a key count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandlab.operators.counts import to_long
-from strandlab.operators.ordering import dense_index
 from strandlab.operators.prep import apply_standardize
-from strandlab.operators.sequences import LOG0, collect_units, chain, one_hot, sequence_matrices, times
-from strandlab.operators.series import shifted
+from strandlab.operators.sequences import LOG0, chain, collect_units, forward, load_batch, one_hot
 from strandlab.session import fresh_path, shared_folder
 
 
-class StateTable:
-    """A table with one version per micro-batch."""
+def run_keyed(stream: DataFrame, key: str, advance: Callable[[tuple, Iterator[pd.DataFrame], object], tuple[object, pd.DataFrame]], schema: str, path: str) -> DataFrame:
+    """Run ``advance(key, rows, state) -> (state, output)`` over everything available: the outputs with ``_batch``."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, out = advance(name, batches, pickle.loads(state.get[0]) if state.exists else None)
+        state.update((pickle.dumps(kept),))
+        yield out
 
-    def version(self, batch: int) -> DataFrame:
-        """State after micro-batch ``batch``; empty before the first one."""
-        if batch < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={batch}")
+    made = stream.groupBy(key).applyInPandasWithState(step, schema, "kept binary", "append", GroupStateTimeout.NoTimeout)
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/out/b={batch}")
+
+    run_batches(made, write, f"{path}/ckpt")
+    return stream.sparkSession.read.option("recursiveFileLookup", "true").schema(f"{schema}, _batch long").parquet(f"{path}/out")
+
+
+def newest(out: DataFrame, key: str) -> DataFrame:
+    """The rows of each key from the last micro-batch that had the key."""
+    last = out.groupBy(key).agg(F.max("_batch").alias("_batch"))
+    return out.join(last, [key, "_batch"]).drop("_batch")
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
 
-    def latest(self) -> DataFrame:
-        """Newest version, also when a restarted query found nothing new."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return self.version(-1)
-        return self.version(max((int(f.getPath().getName()[2:]) for f in fs.listStatus(folder)), default=-1))
+def columns_of(stream: DataFrame) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
 
 
 def watermarked(stream: DataFrame, ts: str, row_id: str, delay: str = "1 day") -> DataFrame:
-    """Drop repeated rows inside the watermark, which bounds the state of the check."""
+    """Drop repeated rows inside the watermark, which bounds the state of the check.
+
+    Rows later than ``delay`` are dropped by the engine and counted in the query's
+    progress (``numRowsDroppedByWatermark``).
+    """
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([row_id])
 
 
@@ -85,25 +90,28 @@ def run_counts(stream: DataFrame, attrs: Sequence[str], path: str, label: str =
     return cells.groupBy("attr", "value", "label").agg(F.max_by("w", "batch").alias("w"))
 
 
-def run_fifo(stream: DataFrame, key: str, order: Sequence[str], n: int, ranges: Sequence[str], path: str) -> tuple[DataFrame, DataFrame]:
-    """Latest ``n`` rows per key and the running range of ``ranges`` over all rows.
+def run_fifo(stream: DataFrame, key: str, order: Sequence[str], n: int, path: str) -> DataFrame:
+    """Latest ``n`` rows per key, whatever the order in which they arrive; a key's state is these rows."""
 
-    The rank limit is applied before the shuffle as well, so only candidates for
-    the window travel.
-    """
-    spark = stream.sparkSession
-    window = StateTable(spark, f"{path}/window", ", ".join(f"`{c}` {t}" for c, t in stream.dtypes))
-    limits = StateTable(spark, f"{path}/limits", ", ".join(f"`{c}_lo` double, `{c}_hi` double" for c in ranges))
-    latest = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
-    def update(df: DataFrame, batch: int) -> None:
-        rows = window.version(batch - 1).unionByName(df)
-        window.write(rows.withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") <= n).drop("_r"), batch)
-        now = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{s}") for c in ranges for s, f in (("lo", F.min), ("hi", F.max))])
-        both = limits.version(batch - 1).unionByName(now)
-        limits.write(both.agg(*[f(f"{c}_{s}").alias(f"{c}_{s}") for c in ranges for s, f in (("lo", F.min), ("hi", F.max))]), batch)
+    def advance(_: tuple, batches: Iterator[pd.DataFrame], kept: pd.DataFrame | None) -> tuple[pd.DataFrame, pd.DataFrame]:
+        for rows in batches:  # one Arrow batch at a time
+            kept = rows if kept is None else pd.concat([kept, rows])
+            kept = kept.sort_values(list(order), ascending=False).head(n)
+        return kept, kept
 
-    run_batches(stream, update, f"{path}/ckpt")
-    return window.latest(), limits.latest()
+    return newest(run_keyed(stream, key, advance, columns_of(stream), path), key)
+
+
+def run_ranges(stream: DataFrame, cols: Sequence[str], path: str) -> DataFrame:
+    """Running range of columns: one row of limits per micro-batch, combined when read."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        limits = [f(F.col(c).cast("double")).alias(f"{c}_{s}") for c in cols for s, f in (("lo", F.min), ("hi", F.max))]
+        df.agg(*limits).write.mode("overwrite").parquet(f"{path}/limits/b={batch}")
+
+    run_batches(stream, write, f"{path}/ckpt")
+    seen = stream.sparkSession.read.option("recursiveFileLookup", "true").parquet(f"{path}/limits")
+    return seen.agg(*[f(f"{c}_{s}").alias(f"{c}_{s}") for c in cols for s, f in (("lo", F.min), ("hi", F.max))])
 
 
 def run_translate(stream: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], n: int, path: str) -> DataFrame:
@@ -112,28 +120,19 @@ def run_translate(stream: DataFrame, key: str, order: Sequence[str], cols: Seque
     A key keeps its last ``|n|`` rows.  Rows of one micro-batch are put in order;
     rows of a later micro-batch come after all earlier ones.
     """
-    spark, reach = stream.sparkSession, abs(n)
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in stream.dtypes], "_seen long", "_new boolean"])
-    history = StateTable(spark, f"{path}/history", schema)
+    reach, names = abs(n), stream.columns
 
-    def update(df: DataFrame, batch: int) -> None:
-        old = history.version(batch - 1).withColumn("_new", F.lit(False))
-        rows = old.unionByName(df.withColumns({"_seen": F.lit(batch).cast("long"), "_new": F.lit(True)}))
-        sort = ["_seen", *order]
+    def advance(_: tuple, batches: Iterator[pd.DataFrame], kept: pd.DataFrame | None) -> tuple[pd.DataFrame, pd.DataFrame]:
+        new = pd.concat(list(batches)).sort_values(list(order))[names]
+        rows = new if kept is None else pd.concat([kept, new])
+        ends = np.arange(max(reach, len(rows) - len(new)), len(rows))  # the later row of a pair is new
+        own, other = (ends, ends - reach) if n < 0 else (ends - reach, ends)
+        out = rows.iloc[own].reset_index(drop=True)
+        for c in cols:
+            out[c] = rows[c].iloc[other].to_numpy()
+        return rows.tail(reach), out
 
-        def at(c):
-            return lambda w: (F.lag(c, reach) if n < 0 else F.lead(c, reach)).over(w)
-
-        out = shifted(rows, [key], sort, {**{f"_s_{c}": at(F.col(c)) for c in cols}, "_pair": at(F.col("_new"))}, reach)
-        # the later row of the pair decides: it must be new
-        due = F.col("_pair").isNotNull() & (F.col("_new") if n < 0 else F.col("_pair"))
-        emit = out.filter(due).withColumns({c: F.col(f"_s_{c}") for c in cols})
-        emit.select(*df.columns).write.mode("overwrite").parquet(f"{path}/out/b={batch}")
-        latest = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in sort])
-        history.write(rows.withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") <= reach).drop("_r"), batch)
-
-    run_batches(stream, update, f"{path}/ckpt")
-    return spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{path}/out")
+    return run_keyed(stream, key, advance, columns_of(stream), path).drop("_batch")
 
 
 def run_apply_fitted(stream: DataFrame, stats: DataFrame, cols: Sequence[str], path: str) -> DataFrame:
@@ -149,39 +148,26 @@ def run_apply_fitted(stream: DataFrame, stats: DataFrame, cols: Sequence[str], p
 def run_viterbi(stream: DataFrame, key: str, order: Sequence[str], features: Sequence[str], transition: DataFrame, gaussian: DataFrame, path: str) -> DataFrame:
     """Best score of every sequence so far: ``(seq_id, model, n, total, score)``.
 
-    The state of a sequence is one score per model state.  A micro-batch turns its
-    rows into one small matrix per sequence and multiplies it on.
+    The state of a sequence is one score per model state, which a micro-batch's rows
+    move on.
     """
     spark = stream.sparkSession
     chains = {name: chain([u]) for name, u in collect_units(transition, gaussian).items()}
     kind = dict(stream.dtypes)[key]
-    state = StateTable(spark, f"{path}/state", f"seq_id {kind}, model string, n long, v array<double>")
-    def advance(batches):
-        for pdf in batches:
-            rows = []
-            for rec in pdf.to_dict("records"):
-                size = len(chains[rec["model"]].leave)
-                old = rec["v"]
-                v = np.asarray(old, float) if old is not None else one_hot(0, size)
-                n = int(rec["n"]) if pd.notna(rec["n"]) else 0
-                if rec["mat"] is not None:
-                    v = times(v[None], np.asarray(rec["mat"], float).reshape(size, size), True)[0]
-                    n += int(rec["more"])
-                rows.append((rec["seq_id"], rec["model"], n, v))
-            yield pd.DataFrame(rows, columns=["seq_id", "model", "n", "v"])
-
-    def update(df: DataFrame, batch: int) -> None:
-        x = F.array(*[F.col(f).cast("double") for f in features])
-        frames = dense_index(df.select(F.col(key).alias("seq_id"), *order, x.alias("x")), ["seq_id"], list(order))
-        mats = sequence_matrices(frames.select("seq_id", "t", "x"), chains).withColumnRenamed("n", "more")
-        joined = state.version(batch - 1).join(mats, ["seq_id", "model"], "full_outer")
-        state.write(joined.mapInPandas(advance, f"seq_id {kind}, model string, n long, v array<double>"), batch)
-
-    run_batches(stream, update, f"{path}/ckpt")
+
+    def advance(name: tuple, batches: Iterator[pd.DataFrame], kept: dict | None) -> tuple[dict, pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(list(order))
+        frames = pd.DataFrame({"seq_id": 0, "_piece": 0, "x": list(rows[list(features)].to_numpy(float))})
+        seen, scores = kept or (0, {m: one_hot(0, len(c.leave)) for m, c in chains.items()})
+        scores = {m: forward(load_batch(frames, c), c, scores[m][None], True)[0][0] for m, c in chains.items()}
+        out = pd.DataFrame({key: name[0], "model": list(scores), "n": seen + len(rows), "v": list(scores.values())})
+        return (seen + len(rows), scores), out
+
+    out = newest(run_keyed(stream, key, advance, f"`{key}` {kind}, model string, n long, v array<double>", path), key)
     ends = spark.createDataFrame([(m, c.leave.tolist()) for m, c in chains.items()], "model string, leave array<double>")
-    out = state.latest().join(ends, "model")
     total = F.array_max(F.zip_with("v", "leave", lambda a, b: a + b))
-    return out.select("seq_id", "model", "n", F.when(total > LOG0 / 2, total).alias("total")).withColumn("score", F.col("total") / F.col("n"))
+    out = out.join(ends, "model").select(F.col(key).alias("seq_id"), "model", "n", F.when(total > LOG0 / 2, total).alias("total"))
+    return out.withColumn("score", F.col("total") / F.col("n"))
 
 
 def replay(df: DataFrame, order: str, run: Callable[[DataFrame], object], parts: int = 3):

@@ -425,7 +425,7 @@ def test_stream_late_rows_stay_in_the_window(spark):
     for i in range(len(rows)):
         df.filter(F.col("id") == rows[i][0]).limit(1).coalesce(1).write.mode("append").parquet(path)
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    win, _ = stream.run_fifo(stream.watermarked(src, "ts", "id"), "key", ["ts", "id"], 2, ["id"], stream.new_path(spark, "f"))
+    win = stream.run_fifo(stream.watermarked(src, "ts", "id"), "key", ["ts", "id"], 2, stream.new_path(spark, "f"))
     assert sorted(r["id"] for r in win.collect()) == [2, 3]
 
 
