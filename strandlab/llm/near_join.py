@@ -79,13 +79,14 @@ def node_of(own: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None
 
 
-def column_pairs(entries: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """Rows (a, b, column, n): pairs of classes of small columns that pass the bounds (column null), and the entries of
-    frequent or large columns (b null).  ``entries`` are (node, n, columns).
+#: An entry of the incidence matrix: column, row, and one number for the row's size and the entry's place in its order
+#: (``size << 31 | place``; its complement if the column is dealt to many tasks).
+CELL = "column long, node long, code long"
+GATHERED = "a long, b long, column long, code long"
 
-    Entries of columns known to be frequent are dealt to many tasks; a column's other entries are read in order and
-    held only up to ``SMALL``.
-    """
+
+def cells(entries: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """The first columns of classes (node, n, columns) as entries; those of frequent columns are dealt to many tasks."""
     marked = entries.sparkSession.sparkContext.broadcast(frequent)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +100,23 @@ def column_pairs(entries: DataFrame, frequent: np.ndarray, num: int, den: int) -
                 value = key.view(np.uint64)
                 hot = marked.value[np.minimum(np.searchsorted(marked.value, value), len(marked.value) - 1)] == value
             node, n = (np.repeat(np.asarray(batch.column(c), dtype=np.int64), count) for c in ("node", "n"))
-            deal = np.where(hot, node & 1023, -1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, deal, node, n.astype(np.int32), place.astype(np.int32))], names=["column", "deal", "node", "n", "place"])
+            code = n << 31 | place
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, np.where(hot, ~code, code))], names=["column", "node", "code"])
+
+    return entries.mapInArrow(spread, CELL)
+
+
+def column_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (a, b, column, code): pairs of classes of small columns that pass the bounds (column null), and the
+    entries of dealt or large columns (b null).  A column's entries are read in order and held only up to ``SMALL``."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, large = np.zeros((0, 4), dtype=np.int64), None
         for batch in batches:
-            table = np.column_stack([np.asarray(batch.column(c), dtype=np.int64) for c in ("column", "node", "n", "place")])
-            hot = np.asarray(batch.column("deal")) >= 0
+            column, node, code = (np.asarray(batch.column(c), dtype=np.int64) for c in ("column", "node", "code"))
+            hot = code < 0
+            code = np.where(hot, ~code, code)
+            table = np.column_stack([column, node, code >> 31, code & (1 << 31) - 1])
             away = hot | (table[:, 0] == large) if large is not None else hot
             yield from single(table[away])
             table = np.concatenate([rest, table[~away]])
@@ -142,13 +152,13 @@ def column_pairs(entries: DataFrame, frequent: np.ndarray, num: int, den: int) -
 
     def single(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(table):
-            yield made(table[:, 1], None, table[:, 0], table[:, 2])
+            yield made(table[:, 1], None, table[:, 0], table[:, 2] << 31 | table[:, 3])
 
-    def made(a, b, column, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), *(pa.nulls(len(a), pa.int64()) if v is None else pa.array(v) for v in (b, column, n))], names=["a", "b", "column", "n"])
+    def made(a, *rest) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), *(pa.nulls(len(a), pa.int64()) if v is None else pa.array(v) for v in rest)], names=["a", "b", "column", "code"])
 
-    each = entries.mapInArrow(spread, "column long, deal int, node long, n int, place int")
-    return each.repartition("column", "deal").sortWithinPartitions("column").mapInArrow(multiply, "a long, b long, column long, n long")
+    deal = F.when(F.col("code") < 0, F.col("node").bitwiseAND(1023)).otherwise(-1)
+    return entries.repartition("column", deal).sortWithinPartitions("column").mapInArrow(multiply, GATHERED)
 
 
 def _own_texts(named: DataFrame, width: int) -> DataFrame:
@@ -245,9 +255,14 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     classes = cut(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     heads = classes.select(F.col("node").alias("_node"), "first_id")
     reps = rows.join(heads.hint("shuffle_hash"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "n", "columns")
-    gathered = cut(column_pairs(reps, frequent, num, den))
+    gathered = cut(column_pairs(cells(reps, frequent), num, den))
     pairs = gathered.filter("b IS NOT NULL").select("a", "b")
-    members = cut(gathered.filter("b IS NULL").select("column", F.col("a").alias("node"), "n").distinct())
+    members = cut(gathered.filter("b IS NULL").select("column", F.col("a").alias("node"), "code").dropDuplicates(["column", "node"]))
+    counts = cut(members.groupBy("column").agg(F.count("*").alias("count")).filter("count > 1"))
+    # frequent among the documents need not be frequent among the first columns of classes: these are small columns
+    few = members.join(counts.filter(F.col("count") <= SMALL), "column").select("column", "node", "code")
+    pairs = pairs.union(column_pairs(few, num, den).filter("b IS NOT NULL").select("a", "b"))
+    members = cut(lookup(members, counts.filter(F.col("count") > SMALL), "column", "count").select("column", "node", F.shiftright("code", 31).alias("n")))
     pivots = cut(members.groupBy("column").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("column", "node"), "node", "n")).alias("pivot")).filter("count > 1").select("column", "count", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")))
     starred = lookup(members, pivots, "column", "count").filter("node != pivot")
     near_size = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
