@@ -10,7 +10,7 @@ from strandlab.catalog.learner_queries import _dist
 from strandlab.catalog.tables import ATTRS, CUST, FOLDS, INST, LMAP, PAIRS, VEC, class_positions, customers_mixed, label_map, orders_nominal, pair_scores, r6, table, vectors
 from strandlab.catalog.tables_queries import _SPLIT, _train_test
 from strandlab.operators import counts, decode, neighbors
-from strandlab.plans import ensemble, evaluate, folds, search
+from strandlab.plans import crossval, ensemble, evaluate, folds, search
 from strandlab.session import cut
 from strandlab.sources import paths
 
@@ -142,6 +142,34 @@ def results(spark, d):
     return folds.cross_validate_rules(folded, SCHEMES, ["dataset"]).withColumn("run", F.lit(1))
 
 
+RUNS = f"""
+{INST}, rf AS (SELECT id, run, CAST((row_number() OVER (PARTITION BY run, label ORDER BY md5(CAST(id AS VARCHAR) || '|' || run), id) - 1) % 10 AS INTEGER) AS fold FROM inst, (SELECT unnest([0, 1]) AS run)),
+ra AS (SELECT attr, run, fold, value, label, count(*) AS w FROM lng JOIN rf USING (id) WHERE attr IN ('year', 'priority') GROUP BY ALL),
+rt AS (SELECT attr, run, value, label, sum(w) AS w FROM ra GROUP BY ALL),
+rg AS (SELECT t.attr, t.run, f.fold, t.value, t.label, coalesce(a.w, 0) AS tw, t.w - coalesce(a.w, 0) AS rest FROM rt t CROSS JOIN (SELECT unnest(range(0, 10)) AS fold) f
+  LEFT JOIN ra a ON a.attr = t.attr AND a.run = t.run AND a.fold = f.fold AND a.value = t.value AND a.label = t.label),
+rh AS (SELECT attr, run, fold, tw AS hit, sum(tw) OVER (PARTITION BY attr, run, fold, value) AS tested FROM rg
+  QUALIFY row_number() OVER (PARTITION BY attr, run, fold, value ORDER BY rest DESC, label) = 1),
+rr AS (SELECT attr AS scheme, CAST(run AS INTEGER) AS run, CAST(fold AS INTEGER) AS fold, CAST(sum(tested) AS BIGINT) AS n, 1.0 - CAST(sum(hit) AS DOUBLE) / sum(tested) AS error FROM rh GROUP BY ALL)
+"""
+
+
+def run_results(spark, d):
+    learners = {a: crossval.OneAttribute(a) for a in ("year", "priority")}
+    return crossval.cross_validated_results(orders_nominal(spark, d), learners, runs=2)
+
+
+@query("cross_validate_runs", f"WITH {RUNS} SELECT scheme, run, fold, n, round(error, 6) AS error FROM rr")
+def _cv_runs(spark, d):
+    return run_results(spark, d).withColumn("error", r6(F.col("error")))
+
+
+@query("average_runs", f"WITH {RUNS} SELECT scheme, run, count(*) AS results, round(avg(error), 6) AS avg_error, round(stddev_samp(error), 6) AS sd_error FROM rr GROUP BY scheme, run")
+def _average_runs(spark, d):
+    out = folds.average_results(run_results(spark, d), ["scheme", "run"], ["error"])
+    return out.withColumns({"avg_error": r6(F.col("avg_error")), "sd_error": r6(F.col("sd_error"))})
+
+
 @query("cross_validate_rules", f"WITH {RES} SELECT dataset, scheme, run, CAST(fold AS INTEGER) AS fold, CAST(n AS DOUBLE) AS n, round(error, 6) AS error FROM results")
 def _cv_rules(spark, d):
     return results(spark, d).withColumn("error", r6(F.col("error")))

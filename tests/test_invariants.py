@@ -464,3 +464,15 @@ def test_poisson_weights_keep_their_mean(spark):
 
     row = spark.range(20_000).select(poisson_draw(seeded_uniform(F.col("id")), 20.0).alias("w")).agg(F.avg("w"), F.max("w")).first()
     assert abs(row[0] - 20) < 0.2 and row[1] > 30
+
+
+def test_learners_through_one_cross_validation(nominal):
+    from strandlab.plans import crossval, folds
+
+    df = nominal[1] if isinstance(nominal, tuple) else nominal
+    attrs = [c for c in df.columns if c not in ("id", "label")][:2]
+    got = crossval.cross_validate(df, {"bayes": crossval.NaiveBayes(attrs), "one": crossval.OneAttribute(attrs[0])}, runs=2, k=4)
+    assert got.groupBy("scheme", "run").count().select("count").distinct().count() == 1
+    plain = folds.cross_validate_bayes(df, attrs, 4, 1).select("id", "predicted")
+    same = got.filter("scheme = 'bayes' AND run = 1").join(plain.withColumnRenamed("predicted", "p"), F.col("row_id") == F.col("id"))
+    assert same.filter("NOT predicted <=> p").count() == 0 and same.count() == df.filter("label IS NOT NULL").count()
