@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from strandlab.llm.shared import as_text, gather, slices
 
 #: Bytes of text that are cut into words at once, and words that a worker remembers.
-CHUNK, REMEMBERED = 12_000_000, 800_000
+CHUNK, REMEMBERED = 6_000_000, 800_000
 #: White space beyond ASCII, and controls that some engines count as such.
 ODD_SPACE = r"\x{00}\x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SOLID = rf"[^\s{ODD_SPACE}]"

@@ -176,7 +176,7 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     return identify(docs, *fit(docs, ~held_out), held_out)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` with a language that holds at least ``least`` of the words; without labels all rows stay.
 
     Rows are judged by their text alone, so all rows of one id and text share the verdict.
@@ -186,12 +186,11 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
         return docs
     model = docs.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def keeps(texts):
-        import pandas as pd
-
-        column = as_text(pa.array(texts, pa.large_string(), from_pandas=True))
-        found = [mixtures(column.slice(a, b - a).to_pylist(), model.value)[0].max(axis=1) for a, b in slices(column, CHUNK)]
-        return pd.Series(np.concatenate(found) >= least if found else np.zeros(0, dtype=bool))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = as_text(batch.column("text"))
+            for a, b in slices(column, CHUNK):
+                share = mixtures(column.slice(a, b - a).to_pylist(), model.value)[0].max(axis=1)
+                yield batch.slice(a, b - a).filter(pa.array(share >= least))
 
-    return docs.filter(keeps("text"))
+    return docs.mapInArrow(keep, docs.schema)

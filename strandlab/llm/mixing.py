@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import WORD, mix64, unused
+from strandlab.llm.shared import WORD, mix64, small_batches, unused
 from strandlab.session import cut
 
 #: Words of a block, slots of an output shard, share of all words that the mix holds, and how often a word may occur.
@@ -192,21 +193,23 @@ def mixed_texts(docs: DataFrame, seed: int = 7) -> DataFrame:
     passes = passes.join(first.select("row"), "row", "left_semi").select(F.col("doc_id").alias(i), F.col("content").alias(content), (F.col("n") == F.col("size")).alias(whole), F.col("stretches").alias(stretches))
     met = docs.withColumn(same, F.xxhash64("text")).join(passes, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(same) == F.col(content)))
 
-    @F.pandas_udf("string")
-    def words_of(texts: pd.Series, whole: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for text, all_of, parts in zip(texts, whole, lists):
-            if not all_of:
-                words = [w.decode() for w in text.encode().split()]
-                joined, at = [], -1
-                for part in parts:
-                    joined.append(("" if not joined else " " if part["begin"] == at else "\n") + " ".join(words[part["begin"] : part["begin"] + part["words"]]))
+    names = docs.columns
+
+    def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            for r, all_of in enumerate(batch.column(whole).to_pylist()):
+                if all_of:
+                    continue
+                words, made, at = texts[r].encode().split(), [], -1
+                for part in batch.column(stretches)[r].as_py():
+                    made.append((b"" if not made else b" " if part["begin"] == at else b"\n") + b" ".join(words[part["begin"] : part["begin"] + part["words"]]))
                     at = part["begin"] + part["words"]
-                text = "".join(joined)
-            out.append(text)
-        return pd.Series(out, dtype=object)
+                texts[r] = b"".join(made).decode()
+            kept = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(kept, names=names)
 
-    made = met.withColumn("text", words_of("text", whole, stretches))
-    if "n_chars" in docs.columns:
+    made = met.select(*names, whole, stretches).mapInArrow(cut_words, docs.schema)
+    if "n_chars" in names:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+    return made

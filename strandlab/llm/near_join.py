@@ -191,56 +191,67 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return met.select("a", "b", "text", "other").mapInArrow(verify, "a long, b long")
 
 
-def _residual(members: DataFrame, texts: DataFrame, found: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
-    """Links between different components of large columns.  ``members`` are (column, node, n), ``found`` (node, component)."""
-    labelled = members.join(found, "node", "left").select("column", "node", F.coalesce("component", "node").alias("label"))
+def _open_pairs(members: DataFrame, found: DataFrame, num: int, den: int, best: bool) -> DataFrame | None:
+    """Pairs (a, b) of different components that share large columns and may still be linked; None if there are none.
+
+    ``members`` are the entries (column, node, n) of large columns, ``found`` (node, component).  A pair that shares a
+    small column was checked already, so all first columns that it shares are large.  Of two similar sets, what lies
+    after the first columns of one is not enough for the shared part: the rest must be shared first columns, and pairs
+    with fewer are discarded.  With ``best`` only the pair with most shared columns is given for each class and component.
+    """
+    labelled = members.join(found, "node", "left").select("column", "node", "n", F.coalesce("component", "node").alias("label"))
     labels = labelled.groupBy("column", "label").agg(F.count("*").alias("count"))
     open_columns = cut(labels.groupBy("column").agg(F.count("*").alias("labels"), F.sum("count").alias("count")).filter("labels > 1"))
     if open_columns.isEmpty():
         return None
-    labelled = cut(lookup(labelled, open_columns.select("column", "count"), "column", "count").select("column", "node", "label").distinct())
+    labelled = cut(lookup(labelled, open_columns.select("column", "count"), "column", "count").select("column", "node", "n", "label"))
     # columns that share a component belong together, so that two classes meet once however many columns they share
     sides = labelled.select(F.xxhash64(F.lit("column"), "column").alias("a"), F.xxhash64(F.lit("label"), "label").alias("b")).distinct()
     groups = components(sides).select(F.col("node").alias("b"), F.col("component").alias("group"))
-    grouped = cut(labelled.select("node", "label").distinct().withColumn("b", F.xxhash64(F.lit("label"), "label")).join(groups, "b").select("group", "label", "node"))
+    nodes = labelled.groupBy("node", "n", "label").agg(F.collect_list("column").alias("columns"))  # a node's own first columns
+    grouped = cut(nodes.withColumn("b", F.xxhash64(F.lit("label"), "label")).join(groups, "b").select("group", "label", "node", "n", "columns"))
     sizes = grouped.groupBy("group", "label").agg(F.count("*").alias("count"))
     sizes = sizes.groupBy("group").agg(F.max(F.struct("count", "label")).alias("major"), F.sum("count").alias("count")).filter("major.count < count")
     sizes = sizes.select("group", F.col("major.label").alias("major"), F.ceil((F.col("count") - F.col("major.count")) / LEFT).alias("lefts"), F.ceil(F.col("count") / RIGHT).alias("rights"), "count")
-    rows = lookup(grouped, cut(sizes), "group", "count").join(texts, "node").select("group", "label", "node", "text", "major", "lefts", "rights")
+    rows = lookup(grouped, cut(sizes), "group", "count")
     hashed = lambda salt, parts: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts))
     each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    kept = ("group", "i", "j", "label", "node", "text")
+    kept = ("group", "i", "j", "label", "node", "n", "columns")
     left = rows.filter("label != major").withColumn("i", hashed(1, "lefts")).withColumn("j", each("rights")).select(*kept)
     right = rows.withColumn("j", hashed(2, "rights")).withColumn("i", each("lefts")).select(*kept)
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        links = []
+        out = [pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})]
         if len(left) and len(right):
-            q, y = shingle_sets(pa.array(right["right_text"], pa.large_string()), width)
-            rn, rl = right["right_node"].to_numpy(), right["right_label"].to_numpy()
+            y = np.concatenate(right["right_columns"].to_numpy())
+            owner = np.repeat(np.arange(len(right)), [len(c) for c in right["right_columns"]])
+            rn, rl, rs = (right[f"right_{c}"].to_numpy() for c in ("node", "label", "n"))
             for s in range(0, len(left), 64):
                 some = left.iloc[s : s + 64]
-                p, x = shingle_sets(pa.array(some["text"], pa.large_string()), width)
-                terms, at = np.unique(x, return_inverse=True)
+                terms, at = np.unique(np.concatenate(some["columns"].to_numpy()), return_inverse=True)
                 matrix = np.zeros((len(terms), len(some)), dtype=np.int32)
-                matrix[at, np.repeat(np.arange(len(some)), np.diff(p))] = 1
+                matrix[at, np.repeat(np.arange(len(some)), [len(c) for c in some["columns"]])] = 1
                 where = np.minimum(np.searchsorted(terms, y), len(terms) - 1)
                 hit = np.flatnonzero(terms[where] == y)
-                owner = np.repeat(np.arange(len(right)), np.diff(q))[hit]
-                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                first = np.flatnonzero(np.diff(owner[hit], prepend=-1))
                 if not len(first):
                     continue
+                who = owner[hit][first]
                 shared = np.add.reduceat(matrix[where[hit]], first, axis=0)
-                both = np.diff(q)[owner[first]][:, None] + np.diff(p)[None, :]
-                r, c = np.nonzero(den * shared >= num * (both - shared))
-                a, b = some["node"].to_numpy()[c], rn[owner[first][r]]
-                other = some["label"].to_numpy()[c] != rl[owner[first][r]]
-                # one link a class and component says as much as all
-                links.append(pd.DataFrame({"a": a[other], "b": b[other], "l": rl[owner[first][r]][other]}).drop_duplicates(["a", "l"])[["a", "b"]])
-        return pd.concat(links) if links else pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+                x, z = some["n"].to_numpy(np.int64)[None, :], rs[who].astype(np.int64)[:, None]
+                needed = -(-num * (x + z) // (num + den)) - np.maximum(-(-num * x // den), -(-num * z // den)) + 1
+                fits = (shared >= np.maximum(needed, 1)) & (den * np.minimum(x, z) >= num * np.maximum(x, z)) & (some["label"].to_numpy()[None, :] != rl[who][:, None])
+                r, c = np.nonzero(fits)
+                made = pd.DataFrame({"a": some["node"].to_numpy()[c], "b": rn[who[r]], "l": rl[who[r]], "shared": shared[r, c]})
+                if best:
+                    made = made.sort_values(["shared", "b"], ascending=[False, True]).drop_duplicates(["a", "l"])
+                out.append(made[["a", "b"]])
+        return pd.concat(out)
 
     other = right.toDF(*(f"right_{c}" for c in kept))
-    return left.groupBy("group", "i", "j").cogroup(other.groupBy("right_group", "right_i", "right_j")).applyInPandas(product, "a long, b long")
+    pairs = left.groupBy("group", "i", "j").cogroup(other.groupBy("right_group", "right_i", "right_j")).applyInPandas(product, "a long, b long")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return None if pairs.isEmpty() else pairs
 
 
 def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -274,9 +285,13 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     texts = cut(_own_texts(named, width))
     links = cut(_linked(pairs, texts, width, num, den))
     found = components(links)
-    more = _residual(members.join(pivots.select("column"), "column", "left_semi"), texts, found, width, num, den)
-    if more is not None:
-        found = components(cut(links.union(more)))
+    members = cut(members.join(pivots.select("column"), "column", "left_semi"))
+    for best in (True, False):  # the likeliest pairs join most components, so that few pairs are left for the rest
+        more = _open_pairs(members, cut(found), num, den, best)
+        if more is None:
+            break
+        links = cut(links.union(_linked(more, texts, width, num, den)))
+        found = components(links)
     found = cut(found)
     least = found.join(classes, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = cut(classes.join(found.join(least, "component").select("node", "component_id"), "node", "left").select("node", "copies", F.coalesce("component_id", "first_id").alias("component_id")))
