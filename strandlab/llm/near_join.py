@@ -28,7 +28,7 @@ from strandlab.session import cut
 #: They order columns only; any order gives the same links.
 SAMPLE_ROWS, FREQUENT, MARKED = 20_000, 8, 200_000
 #: Classes of a column that are multiplied out at once, classes of a block on either side, bytes of text at once.
-SMALL, LEFT, RIGHT, CHUNK = 64, 256, 1024, 8_000_000
+SMALL, LEFT, RIGHT, CHUNK = 64, 4096, 8192, 8_000_000
 
 
 def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
