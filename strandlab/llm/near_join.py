@@ -86,7 +86,10 @@ GATHERED = "a long, b long, column long, code long"
 
 
 def cells(entries: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """The first columns of classes (node, n, columns) as entries; those of frequent columns are dealt to many tasks."""
+    """The first columns of classes (node, n, columns, late) as entries; those of frequent columns are dealt to many tasks.
+
+    The places in ``late`` (ascending or null) give no entry and do not count in the places of the others.
+    """
     marked = entries.sparkSession.sparkContext.broadcast(frequent)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +97,19 @@ def cells(entries: DataFrame, frequent: np.ndarray) -> DataFrame:
             packed = batch.column("columns").to_pylist()
             count = np.array([len(p) // 8 for p in packed], dtype=np.int64)
             key = np.frombuffer(b"".join(packed), dtype=np.int64)
-            place = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+            begin = np.cumsum(count) - count
+            late = np.zeros(len(key), dtype=bool)
+            for at, places in zip(begin.tolist(), batch.column("late").to_pylist()):
+                late[[at + p for p in places or []]] = True
+            before = np.concatenate([[0], np.cumsum(~late)])
+            place = before[:-1] - np.repeat(before[begin], count)
             hot = np.zeros(len(key), dtype=bool)
             if len(marked.value):
                 value = key.view(np.uint64)
                 hot = marked.value[np.minimum(np.searchsorted(marked.value, value), len(marked.value) - 1)] == value
             node, n = (np.repeat(np.asarray(batch.column(c), dtype=np.int64), count) for c in ("node", "n"))
             code = n << 31 | place
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, np.where(hot, ~code, code))], names=["column", "node", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[~late]) for x in (key, node, np.where(hot, ~code, code))], names=["column", "node", "code"])
 
     return entries.mapInArrow(spread, CELL)
 
@@ -195,7 +203,7 @@ def _open_pairs(members: DataFrame, found: DataFrame, num: int, den: int, best:
     """Pairs (a, b) of different components that share large columns and may still be linked; None if there are none.
 
     ``members`` are the entries (column, node, n) of large columns, ``found`` (node, component).  A pair that shares a
-    small column was checked already, so all first columns that it shares are large.  Of two similar sets, what lies
+    small column was checked already or cannot be linked, so all first columns that it shares are large.  Of two similar sets, what lies
     after the first columns of one is not enough for the shared part: the rest must be shared first columns, and pairs
     with fewer are discarded.  With ``best`` only the pair with most shared columns is given for each class and component.
     """
@@ -266,14 +274,20 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     classes = cut(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     heads = classes.select(F.col("node").alias("_node"), "first_id")
     reps = rows.join(heads.hint("shuffle_hash"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "n", "columns")
-    gathered = cut(column_pairs(cells(reps, frequent), num, den))
+    gathered = cut(column_pairs(cells(reps.withColumn("late", F.lit(None).cast("array<int>")), frequent), num, den))
     pairs = gathered.filter("b IS NOT NULL").select("a", "b")
     members = cut(gathered.filter("b IS NULL").select("column", F.col("a").alias("node"), "code").dropDuplicates(["column", "node"]))
     counts = cut(members.groupBy("column").agg(F.count("*").alias("count")).filter("count > 1"))
     # frequent among the documents need not be frequent among the first columns of classes: these are small columns
     few = members.join(counts.filter(F.col("count") <= SMALL), "column").select("column", "node", "code")
     pairs = pairs.union(column_pairs(few, num, den).filter("b IS NOT NULL").select("a", "b"))
-    members = cut(lookup(members, counts.filter(F.col("count") > SMALL), "column", "count").select("column", "node", F.shiftright("code", 31).alias("n")))
+    place = F.col("code").bitwiseAND((1 << 31) - 1).cast("int")
+    members = cut(lookup(members, counts.filter(F.col("count") > SMALL), "column", "count").select("column", "node", F.shiftright("code", 31).alias("n"), place.alias("place")))
+    # a pair may share large columns before its first small one, where the bound by position must not count them as lost
+    late = members.groupBy("node").agg(F.sort_array(F.collect_list("place")).alias("late"))  # a node's own first columns
+    again = reps.join(late, "node").dropDuplicates(["node"])
+    pairs = pairs.union(column_pairs(cells(again, frequent[:0]), num, den).filter("b IS NOT NULL").select("a", "b"))
+    members = members.drop("place")
     pivots = cut(members.groupBy("column").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("column", "node"), "node", "n")).alias("pivot")).filter("count > 1").select("column", "count", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")))
     starred = lookup(members, pivots, "column", "count").filter("node != pivot")
     near_size = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")

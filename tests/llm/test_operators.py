@@ -381,6 +381,25 @@ def test_near_join(spark, monkeypatch, small, frequent):
         assert sorted(tuple(r) for r in near_join.near_components(docs, 4, 85, 100).collect()) == brute_components(rows, 4, 85, 100)
 
 
+def test_near_join_shares_large_and_small_columns(spark, monkeypatch):
+    """Copies of a base text in which a passage of more than SMALL classes covers about half."""
+    from strandlab.llm import near_join
+
+    monkeypatch.setattr(near_join, "SMALL", 4)
+    monkeypatch.setattr(near_join, "FREQUENT", 10**9)  # no column is known as frequent: large ones come first as well
+    random = np.random.default_rng(11)
+    rows = []
+    for group in range(12):
+        words = [f"g{group}w{i}" for i in range(400)]
+        passage = list(random.choice(words, 13, replace=False))
+        for _ in range(3):
+            text = [*passage, *random.choice(words, 10)]
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text[:-1], f"end{len(rows)}"])), (len(rows) + 2, " ".join([*text[:-2], "last", f"end{len(rows)}"]))]
+        rows += [(len(rows) + i, " ".join([*passage, *random.choice(words, 10)])) for i in range(6)]
+    docs = frame(spark, [(d, t, "en", "a") for d, t in rows])
+    assert sorted(tuple(r) for r in near_join.near_components(docs, 4, 85, 100).collect()) == brute_components(rows, 4, 85, 100)
+
+
 def test_near_join_edges(spark, edges, empty):
     from strandlab.llm.near_join import keep_first, near_components
 
