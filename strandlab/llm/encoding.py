@@ -6,8 +6,8 @@ are those of its parts, one after the other.  Two kinds of file have such places
 * a tokenizer that drops white space (``blind``): at every run of ASCII white space;
 * byte-level pieces (``byte``): before a single space or line feed between two characters that are not white space.
 
-Every other file, and every text that holds the string of a special token or an unusual run of white space,
-is encoded whole.
+Every other file, and every text that holds the string of a special token, an unusual run of white space or (byte)
+the character that marks cuts, is encoded whole.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SOLID = rf"[^\s{ODD_SPACE}]"
 #: Letters for which composition is the identity and lower-casing does not look at neighbours.
 PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
 TAIL = ".,;:!?"
+#: Marks the cuts of byte-level pieces; a text that holds it itself is encoded whole.
+CUT = "\0"
 _MARKS = np.array([chr(b) if b < 128 and chr(b) in TAIL else "" for b in range(256)], dtype=object)
 
 _READY: dict[str, "TextEncoder"] = {}
@@ -98,6 +100,8 @@ class TextEncoder:
         whole = np.zeros(len(texts), dtype=bool)
         for name in self.special:
             whole |= np.asarray(pc.match_substring(texts, name, ignore_case=True))
+        if self.kind == "byte":
+            whole |= np.asarray(pc.match_substring(texts, CUT))
         lists = self._blind(texts) if self.kind == "blind" else self._byte(texts)
         begin = np.asarray(lists.offsets, dtype=np.int64)
         words = lists.flatten()
@@ -145,8 +149,8 @@ class TextEncoder:
 
     @staticmethod
     def _byte(texts: pa.Array) -> pa.Array:
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
-        return pc.split_pattern(marked, "\0")
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", f"{CUT} "), "\n", f"{CUT}\n")
+        return pc.split_pattern(marked, CUT)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each string by the library alone."""

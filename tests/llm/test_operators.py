@@ -65,6 +65,22 @@ def test_encoder_equals_library(name, monkeypatch):
     assert made.counts(column).tolist() == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_keeps_nul(name):
+    from strandlab.llm import encoding
+
+    path, library = tokenizer(name)
+    random = np.random.default_rng(5)
+    parts = ["a", "B", "the", " ", "\n", "\x00", "\x00", ".", "日本", "<|endoftext|>"]  # by index: numpy strings drop a NUL at their end
+    texts = ["a\0b", "\0", "a \0", "\0 a", "a\0\0 b", "a\n\0b c", "plain text"] + ["".join(parts[i] for i in random.integers(0, len(parts), int(n))) for n in random.integers(1, 20, 400)]
+    assert sum("\0" in t for t in texts) > 200
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    made = encoding.TextEncoder(path)
+    offsets, flat = made.encode(pa.array(texts))
+    assert [list(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])] == want
+    assert made.counts(pa.array(texts)).tolist() == [len(w) for w in want]
+
+
 def test_language_mixture(spark, edges, empty):
     from strandlab.llm.language_id import keep_identified, mixtures, fit, predict_languages
     from strandlab.llm.shared import crc_fold
