@@ -472,29 +472,29 @@ def _holdout_numeric(spark, d):
 @query("subset_eval_cv")
 def _subset_cv(spark, d):
     sets = {"year": ["year"], "band+year": ["band", "year"]}
-    return search.subset_eval_cv(sets, orders_nominal(spark, d), repeats=3)
+    return search.subset_eval_cv(sets, orders_nominal(spark, d))
 
 
 @query("forward_race")
 def _forward(spark, d):
-    return search.hill_race(orders_nominal(spark, d), ATTRS, folds=5)
+    return search.hill_race(orders_nominal(spark, d), ATTRS)
 
 
 @query("backward_race")
 def _backward(spark, d):
-    return search.hill_race(orders_nominal(spark, d), ATTRS, backward=True, folds=5)
+    return search.hill_race(orders_nominal(spark, d), ATTRS, backward=True)
 
 
 @query("rank_race")
 def _rank_race(spark, d):
     df = orders_nominal(spark, d)
     ranking = [r["attr"] for r in evaluate.rank_attributes(counts.info_gain(counts.contingency(df, ATTRS))).orderBy("rank").collect()]
-    return search.rank_race(df, ranking, folds=5)
+    return search.rank_race(df, ranking)
 
 
 @query("schemata_race")
 def _schemata(spark, d):
-    return search.schemata_race(orders_nominal(spark, d), ATTRS, trials=10, rounds=2)
+    return search.schemata_race(orders_nominal(spark, d), ATTRS)
 
 
 @query(
@@ -541,7 +541,7 @@ def _doubling(spark, d):
         p = decode.choose_class(s).join(truth, "row_id")
         return float(p.agg(F.avg(F.when(F.col("predicted") == F.col("label"), 0.0).otherwise(1.0))).first()[0])
 
-    value, top, trace = search.doubling_search(error, 1.0, attempts=1, limit=6)
+    value, top, trace = search.doubling_search(error, 1.0)
     return spark.createDataFrame([(g, e, g == value) for g, e in trace], "gamma double, error double, best boolean")
 
 

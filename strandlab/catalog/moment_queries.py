@@ -180,12 +180,12 @@ def _flat(model):
 
 @query("gmm_fit")
 def _fit(spark, d):
-    return _flat(mixture.gmm_fit(_pairs2(spark, d), 2, 2, max_iter=5))
+    return _flat(mixture.gmm_fit(_pairs2(spark, d), 2, 2))
 
 
 @query("gmm_select_bic")
 def _bic(spark, d):
-    return _flat(mixture.gmm_select_bic(_pairs2(spark, d), 2, max_iter=3, max_k=3))
+    return _flat(mixture.gmm_select_bic(_pairs2(spark, d), 2))
 
 
 @query("gmm_discriminative_step")
@@ -196,8 +196,8 @@ def _mmi(spark, d):
 
 @query("kmeans_codebook")
 def _codebook(spark, d):
-    out = cluster.kmeans_codebook(vectors(spark, d).select("x", "label"), D64, 2, ["label"], rounds=3)
-    return out.select("label", "code", r6(F.col("center")[0], 4).alias("c1"))
+    out = cluster.kmeans_codebook(vectors(spark, d).select("x", "label"), D64, 2, ["label"])
+    return out.select("label", "code", *[r6(F.col("center")[i], 4).alias(f"c{i + 1}") for i in range(D64)])
 
 
 _ASG = f"""
@@ -237,7 +237,7 @@ def _ccv(spark, d):
     li = table(spark, d, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("id"), F.array(F.col("l_quantity") / 10, F.col("l_discount") * 100).alias("x")
     )
-    return _r(cluster.cluster_cv_loglik(assign_folds(li, 4, label=None), 2, 2, 4, 3), ["mean_log_density"], 4)
+    return _r(cluster.cluster_cv_loglik(assign_folds(li, 4, label=None), 2, 2, 4), ["mean_log_density"], 4)
 
 
 @query(

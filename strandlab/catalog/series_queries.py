@@ -403,7 +403,7 @@ def _show(gaussian):
 
 @query("segmental_kmeans")
 def _segk(spark, d):
-    t, g, _ = sequences.segmental_kmeans(labelled_lines(spark, d), 2, 2, max_iter=2)
+    t, g, _ = sequences.segmental_kmeans(labelled_lines(spark, d), 2, 2)
     return _show(g)
 
 
@@ -456,13 +456,13 @@ def _occ(spark, d):
 @query("baum_welch_fit")
 def _bw_fit(spark, d):
     frames, t, g = _start(spark, d)
-    return _show(sequences.baum_welch_fit(frames, t, g, max_iter=3)[1])
+    return _show(sequences.baum_welch_fit(frames, t, g)[1])
 
 
 @query("grow_mixtures")
 def _grow(spark, d):
     frames, t, g = _start(spark, d)
-    return _show(sequences.grow_mixtures(frames, t, g, 2, max_iter=2)[1])
+    return _show(sequences.grow_mixtures(frames, t, g, 2)[1])
 
 
 @query("embedded_baum_welch_step")
