@@ -223,6 +223,23 @@ def _select_split(spark, d):
     return out.withColumns({"gain": r6(F.col("gain"), 8), "gain_ratio": r6(F.col("gain_ratio"), 8)})
 
 
+@query("select_split_any")
+def _select_split_any(spark, d):
+    """The split among all kinds: one bag per value, one value against the rest, and thresholds of numbers."""
+    numbers = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.unix_date(F.col("o_orderdate").cast("date")).alias("placed"))
+    df = orders_gappy(spark, d).join(numbers, "id")
+    table_counts = counts.contingency(df, ATTRS)
+    per_class = df.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    totals = per_class.agg(F.sum("n").alias("total"), F.max("n").alias("top_class"))
+    thresholds = counts.split_numeric(df, ["price", "placed"]).withColumn("point", F.col("threshold").cast("string")).drop("threshold", "cuts")
+    splits = counts.split_nominal_multiway(table_counts, totals.select("total"))
+    splits = splits.unionByName(counts.split_nominal_binary(table_counts, totals.select("total"))).unionByName(thresholds)
+    domains = table_counts.groupBy("attr").agg(F.countDistinct("value").alias("values"))
+    domains = domains.unionByName(spark.createDataFrame([("price", None), ("placed", None)], "attr string, values long"))
+    out = counts.select_split(splits, totals, domains)
+    return out.withColumns({"gain": r6(F.col("gain"), 8), "gain_ratio": r6(F.col("gain_ratio"), 8)})
+
+
 @query(
     "one_rule_nominal",
     f"""

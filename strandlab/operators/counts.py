@@ -310,7 +310,7 @@ def select_split(
     group = Window.partitionBy(*(on or [F.lit(0)]))
     t = t.withColumn("mean_gain", F.avg(F.when(counted, F.col("gain"))).over(group))
     fit = t.filter((F.col("gain") >= F.col("mean_gain") - 1e-3) & (F.col("gain_ratio") > 1e-6))
-    first = Window.partitionBy(*(on or [F.lit(0)])).orderBy(F.round("gain_ratio", 9).desc(), "attr")
+    first = Window.partitionBy(*(on or [F.lit(0)])).orderBy(F.round("gain_ratio", 9).desc(), "attr", "kind")
     return fit.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(
         *on, "attr", "kind", "point", "gain", "gain_ratio"
     )

@@ -96,3 +96,32 @@ def test_bic_grows_past_three(spark, tmp_path):
     got = sorted(queries["gmm_select_bic"](spark, str(tmp_path)).collect(), key=lambda r: r["comp"])
     assert len(got) == len(w)
     assert np.allclose([[r["weight"], r["m1"], r["m2"]] for r in got], np.column_stack([w, m]), atol=2e-3)
+
+
+def test_split_is_chosen_among_all_kinds(spark, tmp_path):
+    """The class follows the date: a threshold wins over every nominal split, checked by trying all cuts."""
+    import datetime
+
+    import __spark_entry__ as entry
+
+    random = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        day = int(random.integers(0, 2000))
+        rows.append((i, "F" if day < 1234 else "O", float(random.integers(1000, 400000)), datetime.date(1992, 1, 1) + datetime.timedelta(day), f"{i % 5}-P"))
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    queries = entry.queries() if callable(entry.queries) else entry.queries
+    got = queries["select_split_any"](spark, str(tmp_path)).collect()
+    days = sorted({(r[3] - datetime.date(1970, 1, 1)).days for r in rows})
+    last = max((r[3] - datetime.date(1970, 1, 1)).days for r in rows if r[1] == "F")
+
+    def entropy(labels):
+        p = np.unique(labels, return_counts=True)[1] / len(labels)
+        return -(p * np.log2(p)).sum()
+
+    label = np.array([r[1] for r in rows])
+    low = np.array([(r[3] - datetime.date(1970, 1, 1)).days <= last for r in rows])
+    cuts = sum(15 <= sum((r[3] - datetime.date(1970, 1, 1)).days <= d for r in rows) <= 285 for d in days)
+    gain = entropy(label) - np.log2(cuts) / 300
+    assert [(r["attr"], r["kind"], float(r["point"])) for r in got] == [("placed", "numeric", float(last))]
+    assert abs(got[0]["gain"] - gain) < 1e-6 and abs(got[0]["gain_ratio"] - gain / entropy(low)) < 1e-6
