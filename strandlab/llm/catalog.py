@@ -97,6 +97,13 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(documents(spark, folder), width=4, num=85, den=100)
 
 
+@register("op11_prefix_trie", sql.PREFIX_TRIE)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -95,3 +95,24 @@ r(id, seen) AS (SELECT id, id FROM c UNION SELECT r.id, b.b FROM r JOIN b ON r.s
 m AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, d.n AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id FROM d LEFT JOIN c ON d.k = c.k AND d.n > 0 LEFT JOIN m ON c.id = m.id
 """
+
+
+#: crc32 of a decimal number: each byte is added and then shifted out bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH d AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS t, digest, chars FROM d),
+c AS (SELECT conv_id, count(*) AS n, {_CRC} % 6 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, t.t AS pos, digest, chars FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.t < c.h
+      UNION ALL SELECT t.conv_id, t.t - c.h + least(c.h, coalesce(f.n, 0)), digest, chars FROM t JOIN c ON t.conv_id = c.conv_id LEFT JOIN c f ON f.conv_id = c.conv_id - c.conv_id % 100 WHERE t.t >= c.h),
+p AS (SELECT conv_id, pos + 1 AS depth, chars, list(digest) OVER (PARTITION BY conv_id ORDER BY pos) AS k FROM r UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY k, depth),
+e AS (SELECT k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT conv_id, arg_max(k, depth) AS k FROM p GROUP BY conv_id) GROUP BY k),
+u AS (SELECT k[:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(u.n_children, 0) AS n_children FROM n LEFT JOIN u ON n.k = u.k),
+s AS (SELECT p.k, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.chars)::BIGINT AS saved_tokens FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.k)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM m JOIN s ON m.k = s.k LEFT JOIN n q ON m.depth > 0 AND q.k = m.k[:m.depth - 1] LEFT JOIN e ON e.k = m.k
+"""
