@@ -23,7 +23,7 @@ from strandlab.llm.shared import as_text, gather, slices
 from strandlab.session import cut, fresh_path
 
 #: Bytes of text aligned at once, units that a worker remembers, bits of a token id.
-CHUNK, REMEMBERED, BITS = 1_000_000, 200_000, 20
+CHUNK, REMEMBERED, BITS = 2_000_000, 400_000, 20
 SPACE, CUT = "▁", "\0"
 SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 

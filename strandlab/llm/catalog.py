@@ -111,6 +111,13 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align_corpus(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@register("op13_byte_cnn")
+def op13_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    from strandlab.llm.byte_cnn import score_quality
+
+    return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
