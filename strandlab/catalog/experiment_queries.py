@@ -10,7 +10,7 @@ from strandlab.catalog.learner_queries import _dist
 from strandlab.catalog.tables import ATTRS, CUST, FOLDS, INST, LMAP, PAIRS, VEC, class_positions, customers_mixed, label_map, orders_nominal, pair_scores, r6, table, vectors
 from strandlab.catalog.tables_queries import _SPLIT, _train_test
 from strandlab.operators import counts, decode, neighbors
-from strandlab.plans import crossval, ensemble, evaluate, folds, search
+from strandlab.plans import crossval, ensemble, evaluate, folds, learners, search
 from strandlab.session import cut
 from strandlab.sources import paths
 
@@ -155,8 +155,8 @@ rr AS (SELECT attr AS scheme, CAST(run AS INTEGER) AS run, CAST(fold AS INTEGER)
 
 
 def run_results(spark, d):
-    learners = {a: crossval.OneAttribute(a) for a in ("year", "priority")}
-    return crossval.cross_validated_results(orders_nominal(spark, d), learners, runs=2)
+    rules = {a: crossval.OneAttribute(a) for a in ("year", "priority")}
+    return crossval.cross_validated_results(orders_nominal(spark, d), rules, runs=2)
 
 
 @query("cross_validate_runs", f"WITH {RUNS} SELECT scheme, run, fold, n, round(error, 6) AS error FROM rr")
@@ -311,11 +311,41 @@ pr AS (SELECT id, sum(power(a - p, 2) - p * (1 - p) / 49) AS b, 1 - sum(p * p) A
 
 @query("bias_variance", f"WITH {BV} SELECT round(sum(b) / (2 * count(*)), 6) AS bias, round(sum(v) / (2 * count(*)), 6) AS variance, 0.0::DOUBLE AS sigma, round(avg(e), 6) AS error FROM pr")
 def _bv(spark, d):
-    votes = ensemble.bias_variance_votes(orders_nominal(spark, d), "priority")
-    out = evaluate.bias_variance(votes, 50)
+    return _bias_variance(spark, d, learners.OneAttribute("priority"))
+
+
+def _bias_variance(spark, d, learner):
+    out = evaluate.bias_variance(ensemble.bias_variance_votes(orders_nominal(spark, d), learner), 50)
     return out.select(*[r6(F.col(c)).alias(c) for c in ("bias", "variance", "sigma", "error")])
 
 
+def _nb_sql(p: str, long: str, classes: str, rows: str, attrs, smooth: str = "1.0", keys: str = "m") -> str:
+    """Naive Bayes of every model ``m`` of the counts ``long`` and ``classes`` on ``rows`` (which name their model): ``{p}z``."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    joins = " ".join(f"LEFT JOIN {p}g a{i} ON {on(f'a{i}', 'r')} AND a{i}.label = r.label AND a{i}.attr = '{a}' AND a{i}.value = x.{a}" for i, a in enumerate(attrs))
+    return f"""
+{p}v AS (SELECT DISTINCT {keys}, attr, value FROM {long}),
+{p}g AS (SELECT {', '.join(f'c.{k}' for k in keys.split(', '))}, v.attr, v.value, c.label, ln((coalesce(l.w, 0) + {smooth}) / sum(coalesce(l.w, 0) + {smooth}) OVER (PARTITION BY {', '.join(f'c.{k}' for k in keys.split(', '))}, v.attr, c.label)) AS lp
+  FROM {classes} c JOIN {p}v v ON {on('v', 'c')} LEFT JOIN {long} l ON {on('l', 'c')} AND l.attr = v.attr AND l.value = v.value AND l.label = c.label),
+{p}p AS (SELECT {keys}, label, ln((w + 1.0) / sum(w + 1.0) OVER (PARTITION BY {keys})) AS lp FROM {classes}),
+{p}s AS (SELECT x.*, r.label AS cls, r.lp + {' + '.join(f'coalesce(a{i}.lp, 0)' for i in range(len(attrs)))} AS lp FROM {rows} x JOIN {p}p r ON {on('r', 'x')} {joins}),
+{p}z AS (SELECT *, exp(lp) / sum(exp(lp)) OVER (PARTITION BY id, {keys}) AS pr FROM {p}s)"""
+
+
+BVB = BV.split("cn AS (")[0] + f"""
+cls AS (SELECT iter AS m, label, count(*) AS w FROM tr GROUP BY ALL),
+clg AS (SELECT iter AS m, 'priority' AS attr, priority AS value, label, count(*) AS w FROM tr GROUP BY ALL UNION ALL SELECT iter, 'band', band, label, count(*) FROM tr GROUP BY ALL),
+bx AS (SELECT te.*, iter AS m FROM (SELECT * FROM h WHERE rk > 100) te CROSS JOIN it),
+{_nb_sql('n', 'clg', 'cls', 'bx', ['priority', 'band'])},
+vt AS (SELECT id, label, m AS iter, cls AS predicted FROM nz QUALIFY row_number() OVER (PARTITION BY id, m ORDER BY round(pr, 9) DESC, cls) = 1),
+fq AS (""" + BV.split("fq AS (")[1]
+
+
+@query("bias_variance_bayes", f"WITH {BVB} SELECT round(sum(b) / (2 * count(*)), 6) AS bias, round(sum(v) / (2 * count(*)), 6) AS variance, 0.0::DOUBLE AS sigma, round(avg(e), 6) AS error FROM pr")
+def _bv_bayes(spark, d):
+    return _bias_variance(spark, d, learners.NaiveBayes(["priority", "band"]))
+
+
 # -- rankings ------------------------------------------------------------------
 
 
@@ -402,7 +432,10 @@ def _poisson_sql() -> str:
 )
 def _bagging(spark, d):
     df = orders_nominal(spark, d)
-    out = ensemble.bagging(df, df.drop("label"), ATTRS, bags=5)
+    return _bag_rows(ensemble.bagging(df, df.drop("label"), learners.NaiveBayes(ATTRS), bags=5))
+
+
+def _bag_rows(out):
     z = F.arrays_zip(F.col("classes").alias("label"), F.transform("probs", lambda p: F.round(p, 6)).alias("prob"))
     return out.select("id", F.explode(z).alias("z")).select("id", "z.label", "z.prob")
 
@@ -430,6 +463,57 @@ def _stack(spark, d):
     return out.withColumns({f"p_{c}": r6(F.col(f"p_{c}")) for c in "FOP"})
 
 
+@query(
+    "bagging_votes",
+    f"""
+    WITH {INST}, bg AS (SELECT unnest(range(0, 7)) AS bag), bu AS (SELECT inst.*, bag, {_U} AS u FROM inst CROSS JOIN bg),
+    bw AS (SELECT *, {_poisson_sql()} AS w FROM bu), cn AS (SELECT bag, year, label, sum(w) AS w FROM bw GROUP BY ALL),
+    rl AS (SELECT bag, year, label AS p FROM cn QUALIFY sum(w) OVER (PARTITION BY bag, year) > 0 AND row_number() OVER (PARTITION BY bag, year ORDER BY w DESC, label) = 1),
+    fb AS (SELECT bag, label AS f FROM (SELECT bag, label, sum(w) AS w FROM bw GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY bag ORDER BY w DESC, label) = 1),
+    vt AS (SELECT y.year, coalesce(rl.p, fb.f) AS label, count(*) AS n FROM (SELECT DISTINCT year FROM inst) y CROSS JOIN fb LEFT JOIN rl ON rl.bag = fb.bag AND rl.year = y.year GROUP BY ALL)
+    SELECT id, c.label, round(coalesce(n, 0) / 7.0, 6) AS prob FROM inst CROSS JOIN (SELECT DISTINCT label FROM inst) c LEFT JOIN vt ON vt.year = inst.year AND vt.label = c.label
+    """,
+)
+def _bagging_votes(spark, d):
+    df = orders_nominal(spark, d)
+    return _bag_rows(ensemble.bagging(df, df.drop("label"), learners.OneAttribute("year"), bags=7, vote=True))
+
+
+_STEP = "CAST(least(9, CAST(floor(round({}, 9) * 10) AS INTEGER)) AS VARCHAR)"
+_FEATURES = [f"{b}_{c}" for b in ("bayes", "rule") for c in "FOP"]
+
+
+@query(
+    "stack_score",
+    f"""
+    WITH {INST}, te AS (SELECT *, -1 AS m FROM inst WHERE NOT {_SPLIT}),
+    tr AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '|0'), id) - 1) % 5 AS INTEGER) AS m FROM inst WHERE {_SPLIT}),
+    fo AS (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS f),
+    lg AS (SELECT f AS m, attr, value, lng.label, sum(CASE WHEN tr.m <> f THEN 1.0 ELSE 0.0 END) AS w FROM lng JOIN tr USING (id) CROSS JOIN fo GROUP BY ALL),
+    cl AS (SELECT f AS m, label, sum(CASE WHEN m <> f THEN 1.0 ELSE 0.0 END) AS w FROM tr CROSS JOIN fo GROUP BY ALL),
+    rw AS (SELECT id, priority, year, band, label, m FROM tr UNION ALL SELECT id, priority, year, band, label, m FROM te),
+    {_nb_sql('b', 'lg', 'cl', 'rw', ATTRS)},
+    ru AS (SELECT m, value, label AS p FROM lg WHERE attr = 'year' QUALIFY sum(w) OVER (PARTITION BY m, value) > 0 AND row_number() OVER (PARTITION BY m, value ORDER BY w DESC, label) = 1),
+    fb AS (SELECT m, label AS f FROM cl QUALIFY row_number() OVER (PARTITION BY m ORDER BY w DESC, label) = 1),
+    ft AS (SELECT b.id, b.m, b.label, {', '.join(_STEP.format(f"max(CASE WHEN cls = '{c}' THEN pr END)") + f" AS bayes_{c}" for c in "FOP")},
+           {', '.join(f"CASE WHEN coalesce(any_value(ru.p), any_value(fb.f)) = '{c}' THEN '9' ELSE '0' END AS rule_{c}" for c in "FOP")}
+           FROM bz b JOIN fb ON fb.m = b.m LEFT JOIN ru ON ru.m = b.m AND ru.value = b.year GROUP BY b.id, b.m, b.label),
+    mt AS (SELECT 0 AS m, * EXCLUDE (m) FROM ft WHERE m >= 0), me AS (SELECT 0 AS m, * EXCLUDE (m) FROM ft WHERE m < 0),
+    ml AS ({' UNION ALL '.join(f"SELECT m, '{f}' AS attr, {f} AS value, label, count(*) AS w FROM mt GROUP BY ALL" for f in _FEATURES)}),
+    mc AS (SELECT m, label, count(*) AS w FROM mt GROUP BY ALL),
+    {_nb_sql('q', 'ml', 'mc', 'me', _FEATURES)}
+    SELECT id, any_value(label) AS label, {', '.join(f"round(max(CASE WHEN cls = '{c}' THEN pr END), 6) AS p_{c}" for c in "FOP")},
+           arg_min(cls, struct_pack(s := -round(pr, 9), l := cls)) AS predicted FROM qz GROUP BY id
+    """,
+)
+def _stack_score(spark, d):
+    train, test = _train_test(orders_nominal(spark, d))
+    stack = ensemble.Stack({"bayes": learners.NaiveBayes(ATTRS), "rule": learners.OneAttribute("year")}, learners.NaiveBayes, ["F", "O", "P"])
+    out = stack.score(test, stack.fit(train, k=5))
+    probs = F.map_from_arrays("classes", "probs")
+    return out.select("id", "label", *[r6(F.element_at(probs, F.lit(c))).alias(f"p_{c}") for c in "FOP"], "predicted")
+
+
 # -- subsets and searches ------------------------------------------------------
 
 
@@ -469,6 +553,52 @@ def _holdout_numeric(spark, d):
     return search.subset_eval_numeric({"band": ["band"], "both": ["priority", "year"]}, train, test, "y").withColumn("error", r6(F.col("error"), 3))
 
 
+_SUBSETS = [[], ["band"], ["priority"], ["year"], ["band", "priority"], ["band", "year"], ["priority", "year"], ["band", "priority", "year"]]
+
+
+def _best_of(errors: str) -> str:
+    """All subsets of three attributes and the best one; a search that may miss five times scores each of them."""
+    size = "CASE WHEN subset_id = '(none)' THEN 0 ELSE length(subset_id) - length(replace(subset_id, '+', '')) + 1 END"
+    return f"SELECT subset_id, round(error, 6) AS error, row_number() OVER (ORDER BY round(error, 9), {size}, subset_id) = 1 AS best FROM ({errors})"
+
+
+_INCONSISTENT = " UNION ALL ".join(
+    f"SELECT '{'+'.join(x) or '(none)'}' AS subset_id, 1 - sum(best)::DOUBLE / sum(n) AS error FROM (SELECT max(w) AS best, sum(w) AS n FROM (SELECT {', '.join([*x, 'label'])}, count(*) AS w FROM inst GROUP BY ALL) {'GROUP BY ' + ', '.join(x) if x else ''})"
+    for x in _SUBSETS
+)
+
+
+@query("best_first_consistency", f"WITH {INST} {_best_of(_INCONSISTENT)}")
+def _best_consistent(spark, d):
+    out = search.best_first(search.Inconsistency(orders_nominal(spark, d), ATTRS), ATTRS)
+    return out.select("subset_id", r6(F.col("error")).alias("error"), "best")
+
+
+_HELD_OUT = " UNION ALL ".join(
+    f"SELECT '{'+'.join(x) or '(none)'}' AS subset_id, avg(CASE WHEN cls = label THEN 0.0 ELSE 1.0 END) AS error FROM "
+    f"(SELECT id, label, cls FROM bs QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(lp0{''.join(f' + l_{a}' for a in x)}, 9) DESC, cls) = 1)"
+    for x in _SUBSETS
+)
+
+
+@query(
+    "best_first_holdout",
+    f"""
+    WITH {INST}, tr AS (SELECT * FROM inst WHERE {_SPLIT}), te AS (SELECT * FROM inst WHERE NOT {_SPLIT}),
+    cl AS (SELECT label, count(*) + 1.0 AS n FROM tr GROUP BY label), cn AS (SELECT attr, value, lng.label, count(*) AS w FROM lng JOIN tr USING (id) GROUP BY ALL),
+    nb AS (SELECT v.attr, v.value, cl.label, ln((coalesce(w, 0) + 1.0) / sum(coalesce(w, 0) + 1.0) OVER (PARTITION BY v.attr, cl.label)) AS lp
+           FROM cl CROSS JOIN (SELECT DISTINCT attr, value FROM cn) v LEFT JOIN cn ON cn.attr = v.attr AND cn.value = v.value AND cn.label = cl.label),
+    bs AS (SELECT te.id, te.label, cl.label AS cls, ln(n / (SELECT sum(n) FROM cl)) AS lp0, {', '.join(f"coalesce(x_{a}.lp, 0) AS l_{a}" for a in ATTRS)} FROM te CROSS JOIN cl
+           {' '.join(f"LEFT JOIN nb x_{a} ON x_{a}.attr = '{a}' AND x_{a}.value = te.{a} AND x_{a}.label = cl.label" for a in ATTRS)})
+    {_best_of(_HELD_OUT)}
+    """,
+)
+def _best_holdout(spark, d):
+    train, test = _train_test(orders_nominal(spark, d))
+    out = search.best_first(search.HoldoutError(train, test, ATTRS), ATTRS)
+    return out.select("subset_id", r6(F.col("error")).alias("error"), "best")
+
+
 @query("subset_eval_cv")
 def _subset_cv(spark, d):
     sets = {"year": ["year"], "band+year": ["band", "year"]}
@@ -508,6 +638,29 @@ def _grid(spark, d):
     return search.grid_search_cv(results(spark, d), ["scheme"]).withColumn("error", r6(F.col("error")))
 
 
+_GRID = [(smooth, top) for smooth in (0.5, 25.25, 50.0) for top in (1.0, 2.0, 4.0)]
+
+
+@query(
+    "parameter_search",
+    f"""
+    WITH {FS}, gp(point, smooth, top) AS (VALUES {', '.join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(_GRID))}),
+    al AS (SELECT f AS fold, attr, value, label, sum(CASE WHEN flng.fold <> f THEN 1.0 ELSE 0.0 END) AS w FROM flng CROSS JOIN fo GROUP BY ALL),
+    lg AS (SELECT al.fold, point, attr, value, label, w, smooth FROM al CROSS JOIN gp JOIN rk USING (fold, attr) WHERE rank <= top),
+    cc AS (SELECT f AS fold, point, label, sum(CASE WHEN finst.fold <> f THEN 1.0 ELSE 0.0 END) AS w, any_value(smooth) AS smooth FROM finst CROSS JOIN fo CROSS JOIN gp GROUP BY f, point, label),
+    rx AS (SELECT finst.*, point FROM finst CROSS JOIN gp),
+    {_nb_sql('n', 'lg', 'cc', 'rx', ATTRS, 'c.smooth', 'fold, point')},
+    pd AS (SELECT id, point, label, cls FROM nz QUALIFY row_number() OVER (PARTITION BY id, point ORDER BY round(pr, 9) DESC, cls) = 1),
+    er AS (SELECT point, count(*) AS n, avg(CASE WHEN cls = label THEN 0.0 ELSE 1.0 END) AS error FROM pd GROUP BY point)
+    SELECT er.point, smooth, top, CAST(n AS DOUBLE) AS n, round(error, 6) AS error, er.point = (SELECT point FROM er ORDER BY round(error, 9), point LIMIT 1) AS best FROM er JOIN gp ON gp.point = er.point
+    """,
+)
+def _parameter_search(spark, d):
+    grid = [search.Parameter("smooth", 0.5, 50, 3), search.Parameter("top", 1, "A", 3, whole=True)]
+    out = search.parameter_search(orders_nominal(spark, d), learners.NaiveBayes(ATTRS, "smooth", "top"), grid)
+    return out.withColumn("error", r6(F.col("error")))
+
+
 @query(
     "grid_search_knn",
     f"""

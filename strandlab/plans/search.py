@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 
 from strandlab.functions.exprs import let
 from strandlab.functions.tails import incomplete_beta
-from strandlab.operators.bayes import LIKELIHOOD_FLOOR, naive_bayes_fit
-from strandlab.plans.folds import assign_folds, fold_models
+from strandlab.operators.bayes import CLASS_ATTR, LIKELIHOOD_FLOOR
+from strandlab.operators.rules import distinct_cells
+from strandlab.plans.folds import assign_folds
+from strandlab.plans.learners import CountLearner, NaiveBayes, class_counts, fold_training_counts, train
 from strandlab.session import cut
 
 
@@ -52,51 +56,134 @@ def _subset_wrong(positions: Sequence[int], label: str = "label") -> Column:
     return F.when(pick == F.col(label), 0.0).otherwise(1.0)
 
 
-def _fit(df: DataFrame, attrs: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
-    m = naive_bayes_fit(df, attrs, (), label)
-    return m["prior"].select("label", "prior"), m["nominal"]
-
-
 def _melt(one: DataFrame, names: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
     return one.unpivot(list(by), list(names), "subset_id", value)
 
 
+def fold_cells(df: DataFrame, attrs: Sequence[str], folds: int, seed: int = 0, row_id: str = "id", label: str = "label") -> DataFrame:
+    """Written table of (fold, attribute combination, class) with its weight and its log likelihoods from the other folds.
+
+    Rows are dealt, counted and scored once; every subset of the attributes is then a different sum over this table.
+    """
+    clean = df.filter(F.col(label).isNotNull()).withColumnRenamed(label, "label")
+    cells = cut(assign_folds(clean, folds, seed, row_id).groupBy("fold", *attrs, "label").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    return _scored_cells(cells, cut(fold_training_counts(cells, attrs, folds, weight="w")), attrs, ["fold"])
+
+
+def _scored_cells(cells: DataFrame, counts: DataFrame, attrs: Sequence[str], by: Sequence[str]) -> DataFrame:
+    model = cut(NaiveBayes(attrs).fit(counts, by))
+    prior = model.filter(F.col("attr") == CLASS_ATTR).select(*by, "label", F.col("p").alias("prior"))
+    return cut(_class_logs(cells, prior, model.filter(F.col("attr") != CLASS_ATTR), attrs, by))
+
+
+class _BayesError:
+    """Weighted error of naive Bayes on each subset, over cells that hold every attribute's log likelihoods."""
+
+    def __init__(self, cells: DataFrame, attrs: Sequence[str]) -> None:
+        self.cells, self.attrs = cells, list(attrs)
+
+    def wrong(self, subset: Sequence[str]) -> Column:
+        return _subset_wrong([self.attrs.index(a) for a in subset])
+
+    def errors(self, subsets: dict[str, Sequence[str]]) -> DataFrame:
+        sums = [(F.sum(F.col("w") * self.wrong(s)) / F.sum("w")).alias(k) for k, s in subsets.items()]
+        return _melt(self.cells.agg(*sums), list(subsets), "error")
+
+
+class FoldError(_BayesError):
+    """Cross-validated error."""
+
+    def __init__(self, df: DataFrame, attrs: Sequence[str], folds: int = 5, seed: int = 0, row_id: str = "id", label: str = "label") -> None:
+        super().__init__(fold_cells(df, attrs, folds, seed, row_id, label), attrs)
+
+
+class HoldoutError(_BayesError):
+    """Error on test rows of a model of the training rows."""
+
+    def __init__(self, train: DataFrame, test: DataFrame, attrs: Sequence[str], label: str = "label") -> None:
+        cells = test.withColumnRenamed(label, "label").groupBy(*attrs, "label").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        super().__init__(_scored_cells(cells, cut(class_counts(train, attrs, label)), attrs, []), attrs)
+
+
+class Inconsistency:
+    """Share of rows that are not of the majority class of their combination of the subset's values; a missing value is a value."""
+
+    def __init__(self, df: DataFrame, attrs: Sequence[str], label: str = "label") -> None:
+        self.cells, self.attrs = cut(distinct_cells(df, attrs, label)), list(attrs)
+
+    def errors(self, subsets: dict[str, Sequence[str]]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(k).alias("subset_id"), F.array(*[F.col(a) if a in s else F.lit("") for a in self.attrs]).alias("values")) for k, s in subsets.items()])
+        rows = self.cells.select("label", "w", F.explode(each).alias("z")).groupBy("z", "label").agg(F.sum("w").alias("w"))
+        best = rows.groupBy("z").agg(F.max("w").alias("best"), F.sum("w").alias("w"))
+        return best.groupBy(F.col("z.subset_id").alias("subset_id")).agg((1.0 - F.sum("best") / F.sum("w")).alias("error"))
+
+
+def best_first(evaluator: SubsetEvaluator, attrs: Sequence[str], start: Sequence[str] = (), backward: bool = False, stale: int = 5) -> DataFrame:
+    """Best-first search with backtracking: ``(subset_id, attrs, error, round, best)`` of every subset scored.
+
+    Scored subsets are a table that each round adds to.  A round expands the best subset that has not been expanded,
+    wherever it lies, and scores those of its neighbours (one attribute more, or one less) that the table does not have, in
+    one job.  The search ends after ``stale`` expansions in a row without a better subset, or with nothing to expand.
+    Equal errors go to fewer attributes, then to the smaller name.
+    """
+
+    def score(sets: list[frozenset], number: int) -> DataFrame:
+        named = {_key(s): sorted(s) for s in sets}
+        lists = F.create_map(*[x for k, s in named.items() for x in (F.lit(k), F.array(*map(F.lit, s)).cast("array<string>"))])
+        return cut(evaluator.errors(named).select("subset_id", lists[F.col("subset_id")].alias("attrs"), "error", F.lit(number).alias("round")))
+
+    order = [F.round("error", 9), F.size("attrs"), F.col("subset_id")]
+    scored, number, misses = score([frozenset(start)], 0), 0, 0
+    seen, expanded = {frozenset(start)}, set()
+    best = scored.first()
+    while misses < stale:
+        top = scored.filter(~F.col("subset_id").isin(list(expanded))).orderBy(*order).first()
+        if top is None:
+            break
+        expanded.add(top["subset_id"])
+        now = frozenset(top["attrs"])
+        fresh = [s for s in ((now - {a}) if backward else (now | {a}) for a in sorted(attrs)) if s not in seen]
+        better = False
+        if fresh:
+            number += 1
+            seen |= set(fresh)
+            scored = scored.unionByName(score(fresh, number))
+            found = scored.orderBy(*order).first()
+            better = round(found["error"], 9) < round(best["error"], 9)
+            best = found
+        misses = 0 if better else misses + 1
+    return scored.withColumn("best", F.col("subset_id") == best["subset_id"])
+
+
 def subset_eval_holdout(subsets: dict[str, Sequence[str]], train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
     """Test error of naive Bayes on each attribute subset: ``(subset_id, error)``.
 
-    The union of the attributes is fitted and joined once.  A subset is then only
-    a different sum per row, so all candidates are aggregated in one pass.
+    The union of the attributes is fitted and joined once, on the distinct combinations of the test rows.  A subset is
+    then only a different sum per combination, so all candidates are aggregated in one pass.
     """
-    attrs = sorted({a for s in subsets.values() for a in s})
-    prior, model = _fit(train, attrs, label)
-    scored = _class_logs(test, prior, model, attrs, ())
-    wrong = [F.avg(_subset_wrong([attrs.index(a) for a in s], label)).alias(k) for k, s in subsets.items()]
-    return _melt(scored.agg(*wrong), list(subsets), "error")
+    return HoldoutError(train, test, sorted({a for s in subsets.values() for a in s}), label).errors(subsets)
 
 
 def subset_eval_numeric(subsets: dict[str, Sequence[str]], train: DataFrame, test: DataFrame, target: str) -> DataFrame:
     """Mean absolute error of cell means on each subset: ``(subset_id, error)``.
 
-    A row is predicted by the training mean of its attribute combination, or by the
-    overall mean for an unseen combination.
+    A row is predicted by the training mean of its attribute combination, or by the overall mean for an unseen one.
+    All subsets are read off one table of training sums and one of test rows, both by whole combination.
     """
-    out = None
-    overall = train.agg(F.avg(target).alias("_all"))
-    for key, attrs in subsets.items():
-        test_rows = test.join(F.broadcast(overall.limit(1)))
-        if attrs:
-            means = cut(train.groupBy(*attrs).agg(F.avg(target).alias("_m")))
-            test_rows = test_rows.join(means, list(attrs), "left")
-        else:
-            test_rows = test_rows.withColumn("_m", F.col("_all"))
-        e = test_rows.agg(F.avg(F.abs(F.col(target) - F.coalesce("_m", "_all"))).alias("error")).withColumn("subset_id", F.lit(key))
-        out = e if out is None else out.unionByName(e)
-    return out.select("subset_id", "error")
+    attrs = sorted({a for s in subsets.values() for a in s})
+    sums = cut(train.groupBy(*attrs).agg(F.sum(target).alias("s"), F.count(target).cast("double").alias("n")))
+    overall = sums.agg((F.sum("s") / F.sum("n")).alias("_all"))
 
+    def spread(df: DataFrame) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(k).alias("subset_id"), F.array(*[F.col(a).cast("string") if a in s else F.lit("") for a in attrs]).alias("values")) for k, s in subsets.items()])
+        return df.withColumn("_z", F.explode(each))
 
-def _fold_scored(folded: DataFrame, attrs: Sequence[str], label: str) -> DataFrame:
-    prior, model = fold_models(folded, attrs, label)
-    return _class_logs(folded, prior, model, attrs, ["fold"])
+    means = cut(spread(sums).groupBy("_z").agg((F.sum("s") / F.sum("n")).alias("_m")))
+    rows = spread(test.filter(F.col(target).isNotNull()).select(*attrs, F.col(target).alias("_y"))).join(F.broadcast(overall.limit(1)))
+    met = means.withColumnRenamed("_z", "_t")
+    whole = F.forall(F.col("_z.values"), lambda v: v.isNotNull())  # a missing value is unseen
+    out = rows.join(met, (F.col("_z") == F.col("_t")) & whole, "left")
+    return out.groupBy(F.col("_z.subset_id").alias("subset_id")).agg(F.avg(F.abs(F.col("_y") - F.coalesce("_m", "_all"))).alias("error"))
 
 
 def subset_eval_cv(subsets: dict[str, Sequence[str]], df: DataFrame, folds: int = 5, repeats: int = 5, threshold: float = 0.01, row_id: str = "id", label: str = "label") -> DataFrame:
@@ -109,10 +196,8 @@ def subset_eval_cv(subsets: dict[str, Sequence[str]], df: DataFrame, folds: int
     seen: dict[str, list[float]] = {k: [] for k in subsets}
     live = list(subsets)
     for rep in range(repeats):
-        scored = _fold_scored(assign_folds(df, folds, rep, row_id, label), attrs, label)
-        row = scored.agg(*[F.avg(_subset_wrong([attrs.index(a) for a in subsets[k]], label)).alias(k) for k in live]).first()
-        for k in live:
-            seen[k].append(float(row[k]))
+        for r in FoldError(df, attrs, folds, rep, row_id, label).errors({k: subsets[k] for k in live}).collect():
+            seen[r["subset_id"]].append(float(r["error"]))
         live = [k for k in live if len(seen[k]) < 2 or (np.mean(seen[k]) > 0 and np.std(seen[k], ddof=1) / np.mean(seen[k]) > threshold)]
         if not live:
             break
@@ -123,40 +208,36 @@ def subset_eval_cv(subsets: dict[str, Sequence[str]], df: DataFrame, folds: int
 # -- races -----------------------------------------------------------------------
 
 
-def race_table(subsets: dict[str, Sequence[str]], folded: DataFrame, label: str = "label") -> DataFrame:
-    """Per fold: rows, errors of every subset and joint errors of every pair.
+def race_table(subsets: dict[str, Sequence[str]], scored: FoldError) -> DataFrame:
+    """Weights ``(fold, i, j, w)`` of rows that subsets i and j (i < j, or i = j) both get wrong; i = -1 counts all rows.
 
-    Errors are 0/1, so these sums give all paired statistics; the table has one
-    row per fold and one column per pair of the (few) competing subsets.
+    Errors are 0/1, so these sums give all paired statistics.  A cell meets only the subsets that get it wrong.
     """
-    attrs = sorted({a for s in subsets.values() for a in s})
-    if not attrs:
-        attrs = [c for c in folded.columns if c not in (label, "fold", "id")][:1]
-    names = list(subsets)
-    scored = _fold_scored(folded, attrs, label).withColumns(
-        {f"_e{i}": _subset_wrong([attrs.index(a) for a in subsets[k]], label) for i, k in enumerate(names)}
-    )
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(f"_e{i}").alias(f"s{i}") for i in range(len(names))]
-    aggs += [F.sum(F.col(f"_e{i}") * F.col(f"_e{j}")).alias(f"c{i}_{j}") for i in range(len(names)) for j in range(i + 1, len(names))]
-    return scored.groupBy("fold").agg(*aggs)
+    wrong = F.filter(F.array(*[F.when(scored.wrong(s) == 1.0, F.lit(i)) for i, s in enumerate(subsets.values())]), lambda i: i.isNotNull())
+    cells = scored.cells.select("fold", "w", wrong.alias("e"))
+    pairs = cells.select("fold", "w", F.explode("e").alias("i"), "e").select("fold", "w", "i", F.explode(F.filter("e", lambda j: j >= F.col("i"))).alias("j"))
+    every = cells.select("fold", "w", F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    return pairs.unionByName(every).groupBy("fold", "i", "j").agg(F.sum("w").alias("w"))
 
 
-def run_race(subsets: dict[str, Sequence[str]], folded: DataFrame, label: str = "label", delta: float = 0.001, alpha: float = 0.001, min_rows: int = 20) -> tuple[str, float, list[str]]:
+def run_race(subsets: dict[str, Sequence[str]], scored: FoldError, delta: float = 0.001, alpha: float = 0.001, min_rows: int = 20) -> tuple[str, float, list[str]]:
     """Compare subsets on shared test rows, batch by batch: (winner, error, survivors).
 
     After each fold a subset leaves when it is significantly worse than another or
     when it cannot be told apart by more than ``delta``; the earlier one stays.
     """
     names = list(subsets)
-    table = sorted(race_table(subsets, folded, label).collect(), key=lambda r: r["fold"])
     live = list(range(len(names)))
-    n, s, c = 0, np.zeros(len(names)), np.zeros((len(names), len(names)))
-    for r in table:
-        n += r["n"]
-        s += np.array([r[f"s{i}"] for i in range(len(names))])
-        for i in range(len(names)):
-            for j in range(i + 1, len(names)):
-                c[i, j] += r[f"c{i}_{j}"]
+    n, s, c = 0.0, np.zeros(len(names)), np.zeros((len(names), len(names)))
+    found = race_table(subsets, scored).collect()  # one number per fold and pair of competing subsets
+    for fold in sorted({r["fold"] for r in found}):
+        for r in found:
+            if r["fold"] == fold and r["i"] < 0:
+                n += r["w"]
+            elif r["fold"] == fold and r["i"] == r["j"]:
+                s[r["i"]] += r["w"]
+            elif r["fold"] == fold:
+                c[r["i"], r["j"]] += r["w"]
         if n < min_rows:
             continue
         for i in list(live):
@@ -189,7 +270,7 @@ def _key(attrs: Sequence[str]) -> str:
 
 def hill_race(df: DataFrame, attrs: Sequence[str], backward: bool = False, folds: int = 10, row_id: str = "id", label: str = "label") -> DataFrame:
     """Forward or backward race: one step per row ``(step, subset_id, error, survivors)``."""
-    folded = assign_folds(df, folds, 0, row_id, label)
+    scored = FoldError(df, attrs, folds, 0, row_id, label)  # fitted once, for all steps
     base = set(attrs) if backward else set()
     steps, error = [], None
     while True:
@@ -197,7 +278,7 @@ def hill_race(df: DataFrame, attrs: Sequence[str], backward: bool = False, folds
         if not moves:
             break
         sets = {_key(base): sorted(base)} | {_key(m): sorted(m) for m in ((base - {a}) if backward else (base | {a}) for a in moves)}
-        winner, now, left = run_race(sets, folded, label)
+        winner, now, left = run_race(sets, scored)
         if winner == _key(base) or (error is not None and now >= error):
             if error is None:
                 steps.append((len(steps), winner, now, len(left)))
@@ -210,7 +291,7 @@ def hill_race(df: DataFrame, attrs: Sequence[str], backward: bool = False, folds
 def rank_race(df: DataFrame, ranking: Sequence[str], folds: int = 10, row_id: str = "id", label: str = "label") -> DataFrame:
     """Nested prefixes of a ranking raced once."""
     sets = {f"top{i}": list(ranking[:i]) for i in range(len(ranking) + 1)}
-    winner, error, left = run_race(sets, assign_folds(df, folds, 0, row_id, label), label)
+    winner, error, left = run_race(sets, FoldError(df, sorted(ranking), folds, 0, row_id, label))
     return df.sparkSession.createDataFrame([(winner, "+".join(sets[winner]), error, len(left))], "prefix string, subset_id string, error double, survivors int")
 
 
@@ -223,7 +304,7 @@ def schemata_race(df: DataFrame, attrs: Sequence[str], trials: int = 16, folds:
     """
     fixed: dict[str, bool] = {}
     rows = []
-    folded = assign_folds(df, folds, 0, row_id, label)
+    scored = FoldError(df, sorted(attrs), folds, 0, row_id, label)  # fitted once, for all rounds
     number = 0
     while len(fixed) < len(attrs):
         number += 1
@@ -232,9 +313,7 @@ def schemata_race(df: DataFrame, attrs: Sequence[str], trials: int = 16, folds:
         # half of the subsets hold an attribute, so that both sides of every test have rows
         bits = np.argsort(rng.random((trials, len(free))), axis=0) < trials // 2
         subsets = {f"t{i}": [a for a in attrs if fixed.get(a) or (a in free and bits[i, free.index(a)])] for i in range(trials)}
-        names = sorted(attrs)
-        scored = _fold_scored(folded, names, label)
-        row = scored.agg(*[F.avg(_subset_wrong([names.index(a) for a in s], label)).alias(k) for k, s in subsets.items()]).first()
+        row = {r["subset_id"]: r["error"] for r in scored.errors(subsets).collect()}
         errors = np.array([row[k] for k in subsets])
         tests = []
         for i, a in enumerate(free):
@@ -271,9 +350,64 @@ def grid_search_cv(results: DataFrame, params: Sequence[str], metric: str = "err
     return out.withColumn("best", hit).drop("_b")
 
 
-def resolve_bound(bound: str | float, attributes: int, smallest_fold: int) -> float:
-    """Upper limit of a grid: a number, the attribute count ("A") or a fold size ("I")."""
-    return {"A": float(attributes), "I": float(smallest_fold)}.get(bound, bound) if isinstance(bound, str) else float(bound)
+def resolve_bound(bound: str | float, attributes: int, training_rows: int) -> float:
+    """Upper limit of a grid: a number, the attribute count with the class ("A") or the rows of a training fold ("I")."""
+    return {"A": float(attributes), "I": float(training_rows)}[bound] if isinstance(bound, str) else float(bound)
+
+
+@dataclass(frozen=True)
+class Parameter:
+    """``steps`` values from ``lower`` to ``upper``, equally spaced; ``upper`` may be "A" or "I" (see ``resolve_bound``)."""
+
+    name: str
+    lower: float
+    upper: float | str
+    steps: int
+    whole: bool = False
+
+    def values(self, attributes: int, training_rows: int) -> list[float]:
+        upper = resolve_bound(self.upper, attributes, training_rows)
+        if upper < self.lower or self.steps < 1:
+            raise ValueError(f"{self.name}: upper bound {upper} is below {self.lower}, or there are no steps")
+        step = (upper - self.lower) / max(1, self.steps - 1)
+        found = [self.lower + i * step for i in range(self.steps if step else 1)]
+        return list(dict.fromkeys(float(round(v)) for v in found)) if self.whole else found
+
+
+def parameter_search(df: DataFrame, learner: CountLearner, params: Sequence[Parameter], folds: int = 10, seed: int = 0, row_id: str = "id", label: str = "label") -> DataFrame:
+    """Cross-validated error of ``learner`` at every point of the grid: ``(point, <params>, n, error, best)``.
+
+    The learner names the parameters as columns of ``by``.  Rows are read once, as weights of (fold, attribute
+    combination, class); the training counts of all folds follow from these weights, meet the grid's points and are
+    fitted together, and every combination is scored once per point by the model that has not seen its fold.  The first of the points
+    with the least error is the best.
+    """
+    attrs = list(learner.attrs)
+    clean = df.filter(F.col(label).isNotNull()).withColumnRenamed(label, "label")
+    cells = cut(assign_folds(clean, folds, seed, row_id).groupBy("fold", *attrs, "label").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    sizes = {r["fold"]: r["n"] for r in cells.groupBy("fold").agg(F.sum("w").alias("n")).collect()}  # one row a fold
+    if len(sizes) < folds:
+        raise ValueError(f"{int(sum(sizes.values()))} rows with a class do not fill {folds} folds")
+    values = [p.values(len(attrs) + 1, int(sum(sizes.values()) - sizes[0])) for p in params]
+    points = [F.struct(F.lit(i).alias("point"), *[F.lit(float(v)).alias(p.name) for p, v in zip(params, point)]) for i, point in enumerate(itertools.product(*values))]
+    names = [p.name for p in params]
+
+    def at_points(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_g", F.explode(F.array(*points))).select(*rows.columns, "_g.*")
+
+    model = cut(learner.fit(at_points(cut(fold_training_counts(cells, attrs, folds, weight="w"))), ["fold", "point", *names]))
+    scored = learner.score(at_points(cells), model, ["fold", "point"])
+    wrong = F.when(F.col("predicted") == F.col("label"), 0.0).otherwise(F.col("w"))
+    errors = cut(scored.groupBy("point", *names).agg(F.sum("w").alias("n"), (F.sum(wrong) / F.sum("w")).alias("error")))
+    best = errors.agg(F.min(F.struct(F.round("error", 9).alias("e"), "point"))["point"].alias("_best"))
+    return errors.join(F.broadcast(best.limit(1))).withColumn("best", F.col("point") == F.col("_best")).drop("_best")
+
+
+def fit_best(df: DataFrame, make: Callable[..., CountLearner], searched: DataFrame, params: Sequence[Parameter], label: str = "label") -> tuple[CountLearner, DataFrame]:
+    """The learner with the best point's parameters, and its model of all rows."""
+    best = searched.filter("best").first()
+    learner = make(**{p.name: best[p.name] for p in params})
+    return learner, train(df, learner, label)
 
 
 def doubling_search(evaluate: Callable[[float], float], start: float, attempts: int = 3, limit: int | None = None) -> tuple[float, float, list[tuple[float, float]]]:

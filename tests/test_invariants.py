@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandlab.functions.exprs import parse_ranges
 from strandlab.functions.tails import incomplete_beta
 from strandlab.operators import bayes, cluster, counts, decode, itemsets, mixture, moments, prep, rules, sequences, series
-from strandlab.plans import ensemble, evaluate, folds, search
+from strandlab.plans import ensemble, evaluate, folds, learners, search
 from strandlab.session import fresh_path
 from strandlab.sources import instances, store
 from strandlab.streaming import stream
@@ -86,7 +86,7 @@ def test_probabilities_sum_to_one(nominal):
     m = bayes.naive_bayes_fit(df, ATTRS)
     out = bayes.naive_bayes_score(df, m["prior"].select("label", "prior"), m["nominal"], ATTRS)
     assert all(abs(sum(r["probs"]) - 1) < 1e-9 for r in out.select("probs").collect())
-    bag = ensemble.bagging(df, df.drop("label"), ATTRS, bags=3)
+    bag = ensemble.bagging(df, df.drop("label"), learners.NaiveBayes(ATTRS), bags=3)
     assert all(abs(sum(r["probs"]) - 1) < 1e-9 for r in bag.select("probs").collect())
 
 
@@ -307,7 +307,7 @@ def test_doubling_search():
 def test_full_weight_bag_equals_base(nominal, monkeypatch):
     _, df = nominal
     monkeypatch.setattr(ensemble, "poisson_draw", lambda u, rate: F.lit(1))
-    bag = ensemble.bagging(df, df.drop("label"), ATTRS, bags=1).select("id", "probs").orderBy("id").toPandas()
+    bag = ensemble.bagging(df, df.drop("label"), learners.NaiveBayes(ATTRS), bags=1).select("id", "probs").orderBy("id").toPandas()
     m = bayes.naive_bayes_fit(df, ATTRS)
     base = bayes.naive_bayes_score(df, m["prior"].select("label", "prior"), m["nominal"], ATTRS).select("id", "probs").orderBy("id").toPandas()
     assert np.allclose(np.vstack(bag["probs"]), np.vstack(base["probs"]))
