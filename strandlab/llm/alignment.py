@@ -9,6 +9,7 @@ knows the terminal token of its component, and tokens with one terminal are a gr
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,8 +23,8 @@ from strandlab.llm.encoding import TextEncoder
 from strandlab.llm.shared import as_text, gather, slices
 from strandlab.session import cut, fresh_path
 
-#: Bytes of text aligned at once, units that a worker remembers, bits of a token id.
-CHUNK, REMEMBERED, BITS = 2_000_000, 400_000, 20
+#: Bytes of text aligned at once, units that a worker remembers, bits of a token id, most frequent pairs that every task holds.
+CHUNK, REMEMBERED, BITS, HELD = 2_000_000, 400_000, 20, 65_536
 SPACE, CUT = "▁", "\0"
 SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
@@ -96,14 +97,14 @@ class PieceTokens:
         self.known = pa.array([], pa.large_string())
         self.offsets, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, dtype=np.uint32) for x in self.model.encode(texts, num_threads=1)] if texts else []
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1) if texts else []
 
-    def _learn(self, parts: pa.Array) -> list[np.ndarray]:
+    def _learn(self, parts: pa.Array) -> list[list[int]]:
         """Ids of parts that begin with a space (which the library adds) or a line feed (whose added space is taken off)."""
         names = parts.to_pylist()
         found = self._library([n[1:] if n[:1] == " " else n for n in names])
-        return [(ids if len(ids) else np.array([self.mark], dtype=np.uint32)) if n[:1] == " " else ids[1:] for n, ids in zip(names, found)]
+        return [(ids or [self.mark]) if n[:1] == " " else ids[1:] for n, ids in zip(names, found)]
 
     def encode(self, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of texts, given with the space in front; a text of that space alone has no piece."""
@@ -124,8 +125,9 @@ class PieceTokens:
         missing = pc.filter(names, pc.and_(pc.is_null(place), pc.not_equal(names, "")))
         if len(missing):
             ids = self._learn(missing)
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in ids])])
-            self.ids = np.concatenate([self.ids, *ids])
+            ends = np.cumsum([len(x) for x in ids])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + ends])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, ends[-1])])
             self.known = pa.concat_arrays([self.known, missing])
             place = pc.index_in(names, self.known)
         empty = len(self.known)  # the part before a text's first cut
@@ -141,7 +143,7 @@ class PieceTokens:
         size[rows] = [len(x) for x in own]
         parts, last = [], 0
         for r, ids in zip(rows.tolist(), own):
-            parts += [flat[offsets[last] : offsets[r]], ids]
+            parts += [flat[offsets[last] : offsets[r]], np.array(ids, dtype=np.uint32)]
             last = r + 1
         return np.concatenate([[0], np.cumsum(size)]), np.concatenate([*parts, flat[offsets[last] :]])
 
@@ -251,21 +253,47 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return counts.select("pair", "count", (F.col("count") == most).alias("best"))
 
 
-def align_corpus(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def summed(found: DataFrame, counts: DataFrame, held: int) -> DataFrame:
+    """``found`` with ``n_best`` and ``count_sum`` over the ``held`` most frequent pairs, and the other pairs as lists."""
+    top = counts.orderBy(F.desc("count"), "pair").limit(held).select("pair", "count", "best").toArrow().sort_by("pair")  # at most ``held`` pairs of the vocabularies
+    shared = found.sparkSession.sparkContext.broadcast(tuple(top.column(c).to_numpy() for c in ("pair", "count", "best")))
+    plain = [c for c in found.columns if c not in ("pairs", "times")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, count, best = shared.value
+        for batch in batches:
+            size = np.asarray(batch.column("pairs").value_lengths(), dtype=np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            own, times = (np.asarray(batch.column(c).flatten(), dtype=np.int64) for c in ("pairs", "times"))
+            at = np.minimum(np.searchsorted(pair, own), max(0, len(pair) - 1))
+            hit = pair[at] == own if len(pair) else np.zeros(len(own), dtype=bool)
+            sums = [np.zeros(len(size), dtype=np.int64) for _ in range(2)]
+            np.add.at(sums[0], row[hit], np.where(best[at[hit]], times[hit], 0))
+            np.add.at(sums[1], row[hit], times[hit] * count[at[hit]])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=len(size)))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (own[~hit], times[~hit])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), *map(pa.array, sums), *lists], names=[*plain, "n_best", "count_sum", "pairs", "times"])
+
+    kinds = ", ".join(f"{c} {kind}" for c, kind in found.dtypes if c in plain)
+    return found.mapInArrow(work, f"{kinds}, n_best long, count_sum long, pairs array<long>, times array<long>")
+
+
+def align_corpus(docs: DataFrame, path_a: str, path_b: str, held: int = HELD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): the numbers of tokens, groups and links of its alignment, the links whose
     pair is the most frequent one of its second id (``n_best``, ties included), the sum of its links' corpus counts
     (``count_sum``), and the digest of its groups.
 
     A null ``doc_id`` is kept, repeated rows count each, other columns are not read, and an empty table gives no row.
-    The pairs of a text meet the counts by a join on the pair: Spark broadcasts the counts, a written table, only below
-    its own size threshold and shuffles otherwise.
+    The ``held`` most frequent pairs, which are nearly all links of a text, are summed where the text is; a text's other pairs
+    meet their counts by a join on the pair.
     """
     path = fresh_path(docs.sparkSession, "alignment")
     aligned(docs, path_a, path_b).write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.parquet(path)
     counts = cut(pair_counts(found))
-    linked = found.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").cast("long").alias("times")).join(counts, "pair")
-    sums = linked.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
+    part = cut(summed(found, counts, held))
+    rare = part.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times")).join(counts, "pair")
+    sums = rare.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("_best"), F.sum(F.col("times") * F.col("count")).alias("_sum"))
     zero = F.lit(0).cast("long")
-    plain = found.drop("pairs", "times").join(sums, "row", "left")
-    return plain.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
+    more = {"n_best": F.col("n_best") + F.coalesce("_best", zero), "count_sum": F.col("count_sum") + F.coalesce("_sum", zero)}
+    return part.join(sums, "row", "left").withColumns(more).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -111,20 +111,16 @@ def test_terminals_of_chains():
     assert not len(terminals(np.zeros(0, np.int64), np.zeros(0, np.int64)))
 
 
-@pytest.mark.parametrize("threshold", ["10485760", "-1"])
-def test_alignment_equals_walk(spark, paths, monkeypatch, threshold):
-    """With the counts broadcast and shuffled; texts longer than a block as well."""
+@pytest.mark.parametrize("held", [0, 40, 65_536])
+def test_alignment_equals_walk(spark, paths, monkeypatch, held):
+    """With no, some and all counts held by the tasks; texts longer than a block as well."""
     from strandlab.llm import alignment
 
     monkeypatch.setattr(alignment, "CHUNK", 500)
     texts = EDGES + random_texts(200) + ["the token"] * 30
     docs = spark.createDataFrame([(i if i % 50 else None, t, "x", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, pair string, row long, best int").repartition(3)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    try:
-        rows = alignment.align_corpus(docs, *paths).collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = alignment.align_corpus(docs, *paths, held).collect()
     got = sorted(tuple(r) for r in rows if r["doc_id"] is not None)
     assert got == sorted((i, *w) for i, w in enumerate(brute(texts, paths)) if i % 50)
     assert sum(r["doc_id"] is None for r in rows) == -(-len(texts) // 50)
-    assert alignment.align_corpus(docs.limit(0), *paths).count() == 0
+    assert alignment.align_corpus(docs.limit(0), *paths, held).count() == 0
