@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlab.catalog.registry import query
 from strandlab.catalog.tables import CENTROID, FRAMES, INST, LINES, VEC, centroid_distances, event_frames, line_frames, orders_nominal, r6, spread_table, table, vectors
-from strandlab.functions.exprs import gaussian_logpdf
+from strandlab.functions.exprs import gaussian_logpdf, gaussian_logpdf_full
 from strandlab.operators import cluster, mixture, moments
 from strandlab.plans.folds import assign_folds
 from strandlab.session import cut
@@ -188,10 +188,63 @@ def _bic(spark, d):
     return _flat(mixture.gmm_select_bic(_pairs2(spark, d), 2))
 
 
-@query("gmm_discriminative_step")
+@query(
+    "gmm_discriminative_step",
+    _em_sql(0) + """,
+    sh AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM l GROUP BY label),
+    lp AS (SELECT l.id, l.label, m1.label AS cls, comp, a, b, ln(w * share) - 0.5 * (power(a - ma, 2) / va + ln(va) + power(b - mb, 2) / vb + ln(vb) + 2 * ln(2 * pi())) AS lp FROM l CROSS JOIN m1 JOIN sh ON sh.label = m1.label),
+    po AS (SELECT *, exp(lp) / sum(exp(lp)) OVER (PARTITION BY id) AS g, CASE WHEN cls = label THEN exp(lp) / sum(CASE WHEN cls = label THEN exp(lp) END) OVER (PARTITION BY id) ELSE 0 END AS o FROM lp),
+    su AS (SELECT cls AS label, comp, sum(o - g) AS surplus, greatest(2 * sum(g), 1) AS d, sum((o - g) * a) AS a1, sum((o - g) * b) AS b1, sum((o - g) * a * a) AS a2, sum((o - g) * b * b) AS b2 FROM po GROUP BY ALL),
+    up AS (SELECT label, comp, greatest(surplus + d * w, 1e-10) AS w, (a1 + d * ma) / (surplus + d) AS m1, (b1 + d * mb) / (surplus + d) AS m2,
+           greatest((a2 + d * (va + ma * ma)) / (surplus + d) - power((a1 + d * ma) / (surplus + d), 2), 1e-4) AS v1, greatest((b2 + d * (vb + mb * mb)) / (surplus + d) - power((b1 + d * mb) / (surplus + d), 2), 1e-4) AS v2, surplus
+           FROM su JOIN m1 USING (label, comp))
+    SELECT label, comp, round(w / sum(w) OVER (PARTITION BY label), 4) AS weight, round(m1, 3) AS m1, round(m2, 3) AS m2, round(v1, 3) AS v1, round(v2, 3) AS v2, round(surplus, 2) AS surplus FROM up""",
+)
 def _mmi(spark, d):
     df = _pairs2(spark, d)
-    return _flat(mixture.gmm_discriminative_step(df, mixture.split_heaviest(mixture.one_gaussian(df, 2)), 2))
+    out = mixture.gmm_discriminative_step(df, mixture.split_heaviest(mixture.one_gaussian(df, 2)), 2)
+    return out.select(
+        "label", "comp", r6(F.col("weight"), 4).alias("weight"), *[r6(F.col(c)[i], 3).alias(f"{c[0]}{i + 1}") for c in ("mean", "var") for i in range(2)], r6(F.col("surplus"), 2).alias("surplus")
+    )
+
+
+@query("gmm_grow_discriminative")
+def _grow_mmi(spark, d):
+    return _flat(mixture.gmm_grow_discriminative(_pairs2(spark, d), 2))
+
+
+_FULL = """
+l AS (SELECT row_number() OVER () AS rid, l_returnflag AS label, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_extendedprice AS id, l_extendedprice / 1000 AS a, l_discount * 100 AS b, l_tax * 100 AS c FROM lineitem),
+mu AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS prior, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM l GROUP BY label),
+cv AS (SELECT label, any_value(prior) AS prior, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mc) AS mc, avg((a - ma) * (a - ma)) AS aa, avg((a - ma) * (b - mb)) AS ab, avg((a - ma) * (c - mc)) AS ac,
+       avg((b - mb) * (b - mb)) AS bb, avg((b - mb) * (c - mc)) AS bc, avg((c - mc) * (c - mc)) AS cc FROM l JOIN mu USING (label) GROUP BY label),
+dt AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM cv),
+sc AS (SELECT l.rid, l.id, l.label AS own, dt.label, prior, -0.5 * (3 * ln(2 * pi()) + ln(det) + (
+       power(l.a - ma, 2) * (bb * cc - bc * bc) + power(l.b - mb, 2) * (aa * cc - ac * ac) + power(l.c - mc, 2) * (aa * bb - ab * ab)
+       + 2 * (l.a - ma) * (l.b - mb) * (ac * bc - ab * cc) + 2 * (l.a - ma) * (l.c - mc) * (ab * bc - ac * bb) + 2 * (l.b - mb) * (l.c - mc) * (ab * ac - aa * bc)) / det) AS ll FROM l CROSS JOIN dt)
+"""
+
+
+def _trio_rows(spark, d):
+    return table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice")).alias("id"),
+        F.array(F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100).alias("x"), F.col("l_returnflag").alias("label"),
+    )
+
+
+@query("gaussian_logpdf_full", f"WITH {_FULL} SELECT own AS label, count(*) AS n, round(sum(ll), 3) AS total, round(min(ll), 5) AS least, round(max(ll), 5) AS most FROM sc WHERE own = label GROUP BY own")
+def _logpdf_full(spark, d):
+    v = _trio_rows(spark, d)
+    ll = v.join(cut(moments.full_gaussian(v, 3)), "label").select("label", gaussian_logpdf_full(F.col("x"), F.col("mean"), F.col("factor")).alias("ll"))
+    return ll.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("ll"), 3).alias("total"), r6(F.min("ll"), 5).alias("least"), r6(F.max("ll"), 5).alias("most"))
+
+
+@query("full_classify", f"WITH {_FULL} SELECT id AS row_id, label, round(ll, 5) AS loglik, round(prior * exp(ll) / sum(prior * exp(ll)) OVER (PARTITION BY rid), 6) AS prob FROM sc")
+def _full_classes(spark, d):
+    v = _trio_rows(spark, d)
+    model = cut(moments.full_gaussian(v, 3))
+    priors = mixture.class_shares(v).withColumnRenamed("share", "prior")
+    return _r(_r(mixture.full_classify(v, model, priors), ["loglik"], 5), ["prob"])
 
 
 @query("kmeans_codebook")

@@ -87,6 +87,27 @@ def gaussian_logpdf(x: Column, mean: Column, var: Column) -> Column:
     return F.when(out.isNull() | F.isnan(out), F.lit(LOG_ZERO)).otherwise(out)
 
 
+def gaussian_logpdf_full(x: Column, mean: Column, factor: Column) -> Column:
+    """Full-covariance Gaussian log density of array ``x``; null or NaN gives log zero.
+
+    ``factor`` holds the rows of the lower Cholesky factor of the covariance, row i with its i + 1 entries.  Forward
+    substitution solves the triangular system row by row; its squared norm and the factor's diagonal are the density.
+    """
+    rows = F.arrays_zip(F.zip_with(x, mean, lambda a, m: a - m).alias("gap"), factor.alias("row"))
+    start = F.struct(F.array().cast("array<double>").alias("y"), F.lit(0.0).alias("q"))
+
+    def solve(state: Column, e: Column) -> Column:
+        size = F.size(state["y"])
+        known = F.aggregate(F.zip_with(state["y"], F.slice(e["row"], 1, size), lambda y, l: y * l), F.lit(0.0), lambda s, v: s + v)
+        return let(
+            F.struct(((e["gap"] - known) / F.element_at(e["row"], -1)).cast("double").alias("y"), F.element_at(e["row"], -1).alias("d")),
+            lambda now: F.struct(F.concat(state["y"], F.array(now["y"])).alias("y"), (state["q"] + now["y"] * now["y"] + 2.0 * F.log(now["d"])).alias("q")),
+        )
+
+    out = -0.5 * (F.aggregate(rows, start, solve)["q"] + F.size(x) * F.lit(math.log(2 * math.pi)))
+    return F.when(out.isNull() | F.isnan(out) | (F.size(x) != F.size(factor)), F.lit(LOG_ZERO)).otherwise(out)
+
+
 def normal_interval(x: Column, mean: Column, sd: Column, width: Column) -> Column:
     """Mass of a normal on ``x ± width/2`` by Boole's rule on the density."""
     norm = 1.0 / math.sqrt(2 * math.pi)

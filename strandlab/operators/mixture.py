@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlab.functions.exprs import LOG_ZERO, gaussian_logpdf, log_sum_exp, softmax
+from strandlab.functions.exprs import LOG_ZERO, gaussian_logpdf, gaussian_logpdf_full, log_sum_exp, softmax
 from strandlab.operators.moments import VAR_FLOOR, class_mean_var, per_dim
 from strandlab.session import cut
 
@@ -231,47 +231,139 @@ def drop_light_components(model: DataFrame, floor: float, by: Sequence[str] = ("
     return kept.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(*(by or [F.lit(0)]))))
 
 
-def gmm_discriminative_step(df: DataFrame, model: DataFrame, dims: int, label: str = "label", smooth: float = 2.0, floor: float = VAR_FLOOR) -> DataFrame:
-    """Mutual-information update: own-class sums minus the sums under all classes.
+def full_classify(df: DataFrame, model: DataFrame, priors: DataFrame | None = None, row_id: str = "id", label: str = "label") -> DataFrame:
+    """``(row_id, label, loglik, prob)`` of full-covariance class densities ``(label, mean, factor)``, times priors."""
+    per_class = model.withColumn("_lp", F.lit(0.0)) if priors is None else model.join(priors.select(label, F.log("prior").alias("_lp")), label)
+    one = cut(per_class.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "_lp", "mean", "factor"))).alias("_models")))
+    scored = df.select(F.col(row_id).alias("row_id"), "x").join(F.broadcast(one.limit(1)))  # classes x dims x dims numbers
+    logs = F.transform("_models", lambda m: F.struct(m["label"].alias("label"), m["_lp"].alias("lp"), gaussian_logpdf_full(F.col("x"), m["mean"], m["factor"]).alias("ll")))
+    scored = scored.select("row_id", logs.alias("_s"))
+    probs = softmax(F.transform("_s", lambda s: s["ll"] + s["lp"]))
+    flat = scored.select("row_id", F.explode(F.arrays_zip("_s", probs.alias("prob"))).alias("z"))
+    return flat.select("row_id", F.col("z._s.label").alias("label"), F.col("z._s.ll").alias("loglik"), F.col("z.prob").alias("prob"))
 
-    The pooled model scores every row against the components of all classes,
-    weighted by the class shares.  ``D = smooth * occupancy of the pooled sums``
-    (at least one) keeps the variances positive.  ``surplus`` is the occupancy
-    difference that chooses the next component to split.
+
+def discriminative_sums(df: DataFrame, model: DataFrame, dims: int, label: str = "label", shares: DataFrame | None = None) -> DataFrame:
+    """The model with its occupancies under the own class (``occ``) and under all classes (``occ_g``), the differences of
+    the first and second sums, and ``posterior``: the rows' total log probability of their class.
+
+    The pooled model holds the components of all classes, weighted by the class shares.  Every row meets it once;
+    the own class's posteriors are the same logs restricted to its components.
     """
-    own = with_logs(df, model, [label]).select(
-        label, "x", "loglik", F.posexplode(softmax(F.col("_logs"))).alias("pos", "r"), F.transform("_g", lambda g: g["comp"]).alias("_names")
+    clean = df.filter(F.col(label).isNotNull())
+    shares = class_shares(clean, label) if shares is None else shares
+    pooled = cut(
+        model.join(shares, label).agg(
+            F.array_sort(F.collect_list(F.struct(F.col(label).alias("cls"), "comp", F.log(F.greatest(F.col("weight") * F.col("share"), F.lit(LOG_WEIGHT_FLOOR))).alias("logw"), "mean", "var"))).alias("_g")
+        )
     )
-    own = own.select(F.col(label).alias("cls"), F.element_at("_names", F.col("pos") + 1).alias("comp"), "r", "x")
+    rows = clean.select(F.col(label).alias("_own"), "x").join(F.broadcast(pooled.limit(1))).withColumn("_l", component_logs(F.col("x"), F.col("_g")))
+    rows = rows.withColumn("_o", F.zip_with("_g", "_l", lambda g, l: F.when(g["cls"] == F.col("_own"), l).otherwise(F.lit(LOG_ZERO))))
+    rows = rows.withColumns({"posterior": log_sum_exp(F.col("_o")) - log_sum_exp(F.col("_l")), "_po": softmax(F.col("_o")), "_pg": softmax(F.col("_l"))})
+    each = rows.select("x", "posterior", F.explode(F.arrays_zip(F.transform("_g", lambda g: F.struct(g["cls"].alias("cls"), g["comp"].alias("comp"))).alias("g"), F.col("_po").alias("o"), F.col("_pg").alias("a"))).alias("z"))
+    gap = F.col("z.o") - F.col("z.a")
+    sums = each.groupBy(F.col("z.g.cls").alias(label), F.col("z.g.comp").alias("comp")).agg(
+        F.sum("z.o").alias("occ"), F.sum("z.a").alias("occ_g"), F.array(*[F.sum(gap * F.col("x")[i]) for i in range(dims)]).alias("d1"),
+        F.array(*[F.sum(gap * F.col("x")[i] * F.col("x")[i]) for i in range(dims)]).alias("d2"), F.sum("posterior").alias("posterior"), F.count(F.lit(1)).alias("n"),
+    )
+    return model.select(label, "comp", "weight", "mean", "var").join(sums, [label, "comp"]).withColumn("surplus", F.col("occ") - F.col("occ_g"))
+
+
+def class_shares(df: DataFrame, label: str = "label") -> DataFrame:
     n = df.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    share = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).drop("n")
-    pooled = model.join(share, label).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(label).alias("cls"), "comp", F.log(F.greatest(F.col("weight") * F.col("share"), F.lit(LOG_WEIGHT_FLOOR))).alias("logw"), "mean", "var"))).alias("_g")
-    )
-    every = df.select("x").join(pooled)
-    every = every.withColumn("_r", softmax(component_logs(F.col("x"), F.col("_g"))))
-    every = every.select("x", F.explode(F.arrays_zip("_g", "_r")).alias("z")).select(
-        F.col("z._g.cls").alias("cls"), F.col("z._g.comp").alias("comp"), F.col("z._r").alias("r"), "x"
-    )
+    return cut(n.select(label, (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share")))  # one row a class
 
-    def sums(rows: DataFrame, tag: str) -> DataFrame:
-        return rows.groupBy("cls", "comp").agg(
-            F.sum("r").alias(f"occ_{tag}"),
-            F.array(*[F.sum(F.col("r") * F.col("x")[i]) for i in range(dims)]).alias(f"s1_{tag}"),
-            F.array(*[F.sum(F.col("r") * F.col("x")[i] * F.col("x")[i]) for i in range(dims)]).alias(f"s2_{tag}"),
-        )
 
-    j = sums(own, "o").join(sums(every, "g"), ["cls", "comp"]).join(model.withColumnRenamed(label, "cls"), ["cls", "comp"])
-    d = F.greatest(F.lit(smooth) * F.col("occ_g"), F.lit(1.0))
-    j = j.withColumns({"_d": d, "surplus": F.col("occ_o") - F.col("occ_g")}).withColumn("_den", F.col("surplus") + F.col("_d"))
-    top1 = F.zip_with(F.zip_with("s1_o", "s1_g", lambda a, b: a - b), "mean", lambda s, m: (s + F.col("_d") * m) / F.col("_den"))
-    old2 = F.zip_with("mean", "var", lambda m, v: v + m * m)
-    top2 = F.zip_with(F.zip_with("s2_o", "s2_g", lambda a, b: a - b), old2, lambda s, q: (s + F.col("_d") * q) / F.col("_den"))
-    j = j.withColumn("_m", top1).withColumn("_q", top2)
+def discriminative_update(sums: DataFrame, label: str = "label", smooth: float = 2.0, floor: float = VAR_FLOOR) -> DataFrame:
+    """New weights, means and variances: own-class sums minus the sums under all classes.
+
+    ``D = smooth * occupancy of the pooled sums`` (at least one) keeps the variances positive.
+    """
+    j = sums.withColumn("_d", F.greatest(F.lit(smooth) * F.col("occ_g"), F.lit(1.0))).withColumn("_den", F.col("surplus") + F.col("_d"))
+    j = j.withColumn("_m", F.zip_with("d1", "mean", lambda s, m: (s + F.col("_d") * m) / F.col("_den")))
+    j = j.withColumn("_q", F.zip_with("d2", F.zip_with("mean", "var", lambda m, v: v + m * m), lambda s, q: (s + F.col("_d") * q) / F.col("_den")))
     j = j.withColumn("_v", F.zip_with("_q", "_m", lambda q, m: F.greatest(q - m * m, F.lit(floor))))
-    grown = F.greatest(F.col("surplus") + F.col("_d") * F.col("weight"), F.lit(1e-10))
-    j = j.withColumn("_w", grown)
-    return j.select(
-        F.col("cls").alias(label), "comp", (F.col("_w") / F.sum("_w").over(Window.partitionBy("cls"))).alias("weight"),
-        F.col("_m").alias("mean"), F.col("_v").alias("var"), "surplus",
-    )
+    j = j.withColumn("_w", F.greatest(F.col("surplus") + F.col("_d") * F.col("weight"), F.lit(1e-10)))
+    return j.select(label, "comp", (F.col("_w") / F.sum("_w").over(Window.partitionBy(label))).alias("weight"), F.col("_m").alias("mean"), F.col("_v").alias("var"), "surplus")
+
+
+def gmm_discriminative_step(df: DataFrame, model: DataFrame, dims: int, label: str = "label", smooth: float = 2.0, floor: float = VAR_FLOOR) -> DataFrame:
+    """One mutual-information update; ``surplus`` is the occupancy difference that chooses the components to split."""
+    return discriminative_update(discriminative_sums(df, cut(model), dims, label), label, smooth, floor)
+
+
+def gmm_discriminative_fit(
+    df: DataFrame, model: DataFrame, dims: int, label: str = "label", tol: float = 1e-4, max_iter: int = 100, smooth: float = 1.2, small: int = 3, stall: int = 10, floor: float = VAR_FLOOR, shares: DataFrame | None = None,
+) -> tuple[DataFrame, float]:
+    """Mutual-information updates from ``model``: the best model met, with its sums, and its mean log posterior.
+
+    The updates end after ``small`` changes below ``tol`` in a row, ``stall`` rounds without a better model, or
+    ``max_iter`` models.  ``smooth`` grows by a fifth where a small change is for the worse.
+    """
+    best, top, at = None, None, 0
+    old, calm = None, 0
+    model = cut(model)
+    for number in range(max_iter):
+        sums = cut(discriminative_sums(df, model, dims, label, shares))
+        total = sums.agg(F.max("posterior").alias("p"), F.max("n").alias("n")).first()
+        now = total["p"] / total["n"]
+        if top is None or now > top:
+            best, top, at = sums, now, number
+        change = float("inf") if old is None else now - old
+        calm = calm + 1 if abs(change) < tol else 0
+        if calm and change < 0:
+            smooth *= 1.2
+        if calm >= small or number - at >= stall or number + 1 == max_iter:
+            break
+        old = now
+        model = cut(discriminative_update(sums, label, smooth, floor).drop("surplus"))
+    return best, top
+
+
+def split_surplus(sums: DataFrame, share: float, label: str = "label") -> DataFrame:
+    """Split every component whose surplus is above ``share`` of the largest one; the means move by a share of the deviation."""
+    top = sums.agg(F.max("surplus").alias("_top"))
+    last = Window.partitionBy(label)
+    m = sums.join(F.broadcast(top.limit(1))).withColumn("_cut", F.col("surplus") > share * F.col("_top"))
+    nth = F.sum(F.col("_cut").cast("int")).over(last.orderBy("comp").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    m = m.withColumn("_next", F.max("comp").over(last) + nth)
+
+    def moved(sign: float) -> Column:
+        return F.zip_with("mean", "var", lambda a, v: a + F.lit(sign * SPLIT_STEP) * F.sqrt(v))
+
+    half = F.col("weight") / 2
+    two = F.array(F.struct(F.col("comp").alias("comp"), half.alias("weight"), moved(-1.0).alias("mean")), F.struct(F.col("_next").cast("int").alias("comp"), half.alias("weight"), moved(1.0).alias("mean")))
+    return m.select(label, F.explode(F.when(F.col("_cut"), two).otherwise(F.array(F.struct("comp", "weight", "mean")))).alias("p"), "var").select(label, "p.comp", "p.weight", "p.mean", "var")
+
+
+def gmm_grow_discriminative(
+    df: DataFrame, dims: int, label: str = "label", lam: float = 1.0, share: float = 0.2, tol: float = 1e-4, max_iter: int = 4, mean_k: float | None = None, floor: float = VAR_FLOOR
+) -> DataFrame:
+    """Grow the class mixtures where the classes are confused: ``(label, comp, weight, mean, var, surplus)``.
+
+    From one Gaussian a class, each round splits all components with a surplus above ``share`` of the largest (more rows of
+    their class than the pooled model gives them), updates at most ``max_iter`` models discriminatively, and goes on while
+    the total log posterior less ``lam / 2 * components * (2 dims + 1) * ln n`` gains at least ``tol``.  ``mean_k`` bounds the mean number of
+    components of a class.
+    """
+    clean = df.filter(F.col(label).isNotNull())
+    shares = class_shares(clean, label)
+    best, mean = gmm_discriminative_fit(clean, one_gaussian(clean, dims, [label], floor), dims, label, tol, floor=floor, shares=shares)
+    n = best.agg(F.max("n")).first()[0]
+
+    def penalised(sums: DataFrame, mean: float) -> tuple[float, int]:
+        k = sums.count()  # components of all classes
+        return mean * n - 0.5 * lam * k * (2 * dims + 1) * math.log(n), k
+
+    top, k = penalised(best, mean)
+    classes = k
+    while True:
+        grown = cut(split_surplus(best, share, label))
+        if mean_k is not None and grown.count() > mean_k * classes:
+            break
+        now, mean = gmm_discriminative_fit(clean, grown, dims, label, tol, max_iter, floor=floor, shares=shares)
+        value, _ = penalised(now, mean)
+        if value - top < tol:
+            break
+        best, top = now, value
+    return best.select(label, "comp", "weight", "mean", "var", "surplus")

@@ -100,6 +100,36 @@ def weighted_covariance(df: DataFrame, dims: int, weight: str | None = None, by:
     return out.select(*by, i.alias("i"), j.alias("j"), F.when(i == j, F.greatest(cov, F.lit(floor))).otherwise(cov).alias("cov"))
 
 
+def full_gaussian(df: DataFrame, dims: int, weight: str | None = None, by: Sequence[str] = ("label",), floor: float = VAR_FLOOR) -> DataFrame:
+    """``(<by>, mean, factor)``: weighted mean and the lower Cholesky factor of the covariance, row by row.
+
+    Variances are floored.  A covariance that is not positive definite (fewer rows than dimensions, dependent columns)
+    has its eigenvalues floored as well.  Sums are distributed; only the (dims x dims) factor of a group is local.
+    """
+    keys = list(by)
+    w = F.col(weight) if weight else F.lit(1.0)
+    means = df.groupBy(*keys).agg(F.array(*[F.sum(w * F.col("x")[i]) / F.sum(w) for i in range(dims)]).alias("mean"))
+    cov = weighted_covariance(df, dims, weight, by, floor)
+    whole = cov.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "cov"))), lambda z: z["cov"]).alias("cov"))
+    both = means.join(whole, keys) if keys else means.join(whole)
+
+    def factor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for flat in pdf["cov"]:
+                m = np.asarray(flat, float).reshape(dims, dims)
+                try:
+                    low = np.linalg.cholesky(m)
+                except np.linalg.LinAlgError:
+                    value, vector = np.linalg.eigh((m + m.T) / 2)
+                    low = np.linalg.cholesky((vector * np.maximum(value, floor or 1e-12)) @ vector.T)
+                found.append([low[i, : i + 1].tolist() for i in range(dims)])
+            yield pdf.drop(columns="cov").assign(factor=found)
+
+    types = dict(both.dtypes)
+    return both.mapInPandas(factor, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "mean array<double>", "factor array<array<double>>"]))
+
+
 def cross_cov_regression(df: DataFrame, y: str, x: str, dims_y: int, dims_x: int, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Slope matrix ``A = Syx Sxx^-1`` per group: ``(<by>, row, col, a)``.
 
