@@ -664,9 +664,10 @@ def _parameter_search(spark, d):
 @query(
     "grid_search_knn",
     f"""
-    WITH {CUST}, st AS (SELECT min(bal) AS lo, max(bal) AS hi FROM cust),
-    c AS (SELECT id, (bal - lo) / (hi - lo) AS b, nation, label, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '|0'), id) - 1) % 5 AS fold FROM cust, st),
-    pr AS (SELECT q.id AS query, q.label AS actual, q.fold, t.label, {_dist('q', 't')} AS distance FROM c q JOIN c t ON q.fold <> t.fold),
+    WITH {CUST}, cf AS (SELECT id, bal, nation, label, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '|0'), id) - 1) % 5 AS fold FROM cust),
+    st AS (SELECT f, min(bal) AS lo, max(bal) AS hi FROM cf CROSS JOIN (SELECT unnest(range(0, 5)) AS f) WHERE fold <> f GROUP BY f),
+    c AS (SELECT id, f, fold, (bal - lo) / (hi - lo) AS b, nation, label FROM cf CROSS JOIN st),
+    pr AS (SELECT q.id AS query, q.label AS actual, q.fold, t.label, {_dist('q', 't')} AS distance FROM c q JOIN c t ON q.f = t.f AND q.fold = q.f AND t.fold <> t.f),
     rk AS (SELECT *, rank() OVER (PARTITION BY query ORDER BY distance) AS r FROM pr QUALIFY r <= 4), ks AS (SELECT unnest(range(1, 5)) AS k),
     v AS (SELECT query, actual, fold, k, label, count(*) AS v FROM rk JOIN ks ON r <= k GROUP BY ALL),
     p AS (SELECT query, actual, fold, k, label FROM v QUALIFY row_number() OVER (PARTITION BY query, k ORDER BY v DESC, label) = 1),

@@ -1,13 +1,14 @@
 """Exact nearest neighbours over mixed attributes, and kernel scoring.
 
-Pairs of rows are never written: query and training rows meet in bounded blocks,
-each block pair keeps the nearest rows only, and the blocks are merged per query.
+Pairs of rows are never written: training rows lie in cells around pivots, a query visits the cells that
+can hold one of its nearest rows (``cells``), each visit keeps the nearest rows only, and the visits are merged per query.
 Equal training rows are counted first, so a large group of copies is one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlab.operators.blocks import BLOCK_ROWS, pair_blocks
+from strandlab.operators.cells import nearest
 from strandlab.operators.prep import fit_minmax, minmax_expr
+from strandlab.session import cut
 
 DIGITS = 9  # distances equal to this many digits are ties
 
@@ -79,42 +82,64 @@ def knn_topk(
     leave_self_out: bool = False,
     rows: int = BLOCK_ROWS,
     vector: str | None = None,
-    fold: str | None = None,
+    cells: int | None = None,
 ) -> DataFrame:
     """Nearest distinct training rows with ties at the k-th distance kept.
 
     Returns ``(query, same, label, distance, w, closer)``: ``same`` identifies
     equal training rows, ``w`` how many there are with that label, and ``closer``
     how many training rows are strictly nearer.  With ``leave_self_out`` the query
-    row itself is taken out of its own group.  With ``fold`` a query only sees
-    training rows of other folds.
+    row itself is taken out of its own group.  ``cells`` sets the number of cells, which
+    changes the work and not the result.
     """
-    if fold:
-        query = query.withColumn("_fold", F.col(fold))
-        train = train.withColumn("_fold", F.col(fold))
-    extra = ["_fold"] if fold else []
+    near, _ = candidates(query, train, k, numeric, nominal, row_id, label, leave_self_out, rows, vector, cells)
+    upto = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = Window.partitionBy("query", "distance")
+    out = near.withColumn("closer", F.sum("w").over(upto) - F.sum("w").over(ties))
+    return out.filter(F.col("closer") < k)
+
+
+def candidates(
+    query: DataFrame,
+    train: DataFrame,
+    k: int,
+    numeric: Sequence[str] = (),
+    nominal: Sequence[str] = (),
+    row_id: str = "id",
+    label: str = "label",
+    leave_self_out: bool = False,
+    rows: int = BLOCK_ROWS,
+    vector: str | None = None,
+    cells: int | None = None,
+) -> tuple[DataFrame, int]:
+    """Rows ``(query, same, label, distance, w)`` among which the nearest are, and the number of pairs measured for them."""
     if vector:
-        q = query.select(F.col(row_id).alias("query"), F.col(vector).alias("x"), *([F.col(label).alias("own")] if leave_self_out else []), *extra)
-        t = train.select(F.col(vector).alias("x"), F.col(label).alias("label"), *extra)
+        q = query.select(F.col(row_id).alias("query"), F.col(vector).alias("x"), *([F.col(label).alias("own")] if leave_self_out else []))
+        t = train.select(F.col(vector).alias("x"), F.col(label).alias("label"))
         sig = F.md5(F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))))
         features = ["x"]
     else:
         stats = fit_minmax(train, numeric) if numeric else None
         features = [*numeric, *nominal]
-        q = _scaled(query.select(F.col(row_id).alias("query"), *features, *([F.col(label).alias("own")] if leave_self_out else []), *extra), stats, numeric)
-        t = _scaled(train.select(*features, F.col(label).alias("label"), *extra), stats, numeric)
+        q = _scaled(query.select(F.col(row_id).alias("query"), *features, *([F.col(label).alias("own")] if leave_self_out else [])), stats, numeric)
+        t = _scaled(train.select(*features, F.col(label).alias("label")), stats, numeric)
         sig = _signature(numeric, nominal)
     q = q.withColumn("same", sig) if leave_self_out else q
-    t = t.withColumn("same", sig).groupBy("same", "label", *extra).agg(
+    t = t.withColumn("same", sig).groupBy("same", "label").agg(
         *[F.first(c).alias(c) for c in features], F.count(F.lit(1)).cast("double").alias("w")
     )
 
+    def measure(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        return vector_distance(a, b) if vector else mixed_distance(a, b, numeric, nominal)
+
+    names = ["query", "same", "label", "distance", "w"]
+
     def reduce_pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
             for start in range(0, len(a), 512):
                 part = a.iloc[start : start + 512]
-                dist = vector_distance(part, b) if vector else mixed_distance(part, b, numeric, nominal)
+                dist = measure(part, b)
                 weight = np.broadcast_to(b["w"].to_numpy(float), dist.shape)
                 if leave_self_out:
                     own = (part["same"].to_numpy()[:, None] == b["same"].to_numpy()[None, :]) & (
@@ -122,11 +147,7 @@ def knn_topk(
                     )
                     weight = weight - own
                     dist = np.where(weight > 0, dist, np.inf)
-                if fold:
-                    apart = part["_fold"].to_numpy()[:, None] != b["_fold"].to_numpy()[None, :]
-                    weight = weight * apart
-                    dist = np.where(apart, dist, np.inf)
-                i, j = np.nonzero(_nearest(dist, k))
+                i, j = np.nonzero(_nearest(dist, k) & (dist <= part["_bound"].to_numpy()[:, None]))
                 out.append(
                     pd.DataFrame(
                         {
@@ -135,16 +156,11 @@ def knn_topk(
                         }
                     )
                 )
-        names = ["query", "same", "label", "distance", "w"]
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({n: [] for n in names})
 
     kind = dict(q.dtypes)["query"]
     lab = dict(t.dtypes)["label"]
-    near = pair_blocks(q, t, ["query"], ["same", "label", *extra], reduce_pair, f"query {kind}, same string, label {lab}, distance double, w double", rows)
-    upto = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ties = Window.partitionBy("query", "distance")
-    out = near.withColumn("closer", F.sum("w").over(upto) - F.sum("w").over(ties))
-    return out.filter(F.col("closer") < k)
+    return nearest(q, t, k, features, measure, reduce_pair, f"query {kind}, same string, label {lab}, distance double, w double", ["same", "label"], rows, cells)
 
 
 def with_train_ids(near: DataFrame, train: DataFrame, numeric: Sequence[str], nominal: Sequence[str], row_id: str = "id", label: str = "label") -> DataFrame:
@@ -198,12 +214,13 @@ def knn_choose_k(
 
 
 def knn_cv_errors(folded: DataFrame, kmax: int, numeric: Sequence[str] = (), nominal: Sequence[str] = (), row_id: str = "id", label: str = "label", rows: int = BLOCK_ROWS) -> DataFrame:
-    """Cross-validated error of k = 1..kmax per fold from one pairing: ``(k, fold, n, error)``.
+    """Cross-validated error of k = 1..kmax per fold: ``(k, fold, n, error)``.
 
-    Numbers are scaled with the range of the whole table.
+    A fold meets the rows of the other folds, and numbers are scaled with the range of those rows alone.
     """
-    near = knn_topk(folded, folded, kmax, numeric, nominal, row_id, label, rows=rows, fold="fold")
-    return _errors_per_k(near, folded, kmax, row_id, label, ["fold"])
+    folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]
+    near = [knn_topk(folded.filter(F.col("fold") == f), folded.filter(F.col("fold") != f), kmax, numeric, nominal, row_id, label, rows=rows) for f in folds]
+    return _errors_per_k(cut(reduce(DataFrame.unionByName, near)), folded, kmax, row_id, label, ["fold"])
 
 
 def _errors_per_k(near: DataFrame, train: DataFrame, kmax: int, row_id: str, label: str, by: Sequence[str]) -> DataFrame:

@@ -139,6 +139,53 @@ def test_knn_blocks_copies_and_ties(spark):
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_cells_prune_and_lose_nothing(spark):
+    """Clustered rows: every query has its exact neighbours, and far fewer pairs are measured than there are."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(12, 3)) * 20
+    x = np.vstack([c + rng.normal(size=(50, 3)) for c in centre])
+    q = np.vstack([x[::7] + 0.1, rng.normal(size=(6, 3)) * 60])
+    train = spark.createDataFrame([(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(x)], "id long, x array<double>, label string")
+    query = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, x array<double>")
+    dist = np.round(np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+    for cells, rows in ((24, 16), (7, 1000), (1, 40)):
+        near, work = neighbors.candidates(query, train, 5, vector="x", rows=rows, cells=cells)
+        got = neighbors.knn_topk(query, train, 5, vector="x", rows=rows, cells=cells)
+        found = {}
+        for r in got.collect():
+            found.setdefault(r["query"], []).append(r["distance"])
+        assert {i: sorted(v) for i, v in found.items()} == {i: sorted(d[d <= np.sort(d)[4]]) for i, d in enumerate(dist)}
+        assert near.count() and (work < 0.35 * dist.size if cells == 24 else work <= dist.size)
+    few = neighbors.knn_topk(query, train.limit(3), 5, vector="x", cells=3)  # fewer rows than neighbours asked for
+    assert few.count() == 3 * len(q)
+    assert neighbors.knn_topk(query, train.limit(0), 5, vector="x").count() == 0
+
+
+def test_cells_with_missing_values_and_self_left_out(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, None if i % 11 == 0 else float(rng.integers(0, 40)), None if i % 13 == 0 else str(rng.integers(0, 4)), "uv"[i % 2]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, label string")
+    one = neighbors.knn_topk(df, df, 3, ["x"], ["c"], leave_self_out=True, cells=1)
+    many = neighbors.knn_topk(df, df, 3, ["x"], ["c"], leave_self_out=True, cells=20, rows=8)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_folds_are_scaled_by_the_others(spark):
+    rows = [(i, float(i if i != 9 else 1000), str(i % 2), i % 3, "uv"[i % 2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, fold int, label string")
+    got = {(r["k"], r["fold"]): r["error"] for r in neighbors.knn_cv_errors(df, 2, ["x"], ["c"]).collect()}
+    for f in range(3):
+        t, q = [r for r in rows if r[3] != f], [r for r in rows if r[3] == f]
+        lo, hi = min(r[1] for r in t), max(r[1] for r in t)
+        for k in (1, 2):
+            wrong = 0
+            for a in q:
+                d = sorted((round(float(np.sqrt((((a[1] - b[1]) / (hi - lo)) ** 2 + (a[2] != b[2])) / 2)), 9), b[4]) for b in t)
+                votes = [y for e, y in d if e <= d[k - 1][0]]
+                wrong += min(set(votes), key=lambda y: (-votes.count(y), y)) != a[4]
+            assert got[k, f] == pytest.approx(wrong / len(q))
+
+
 def test_kernel_blocks(spark):
     rng = np.random.default_rng(2)
     q, s = rng.normal(size=(40, 3)), rng.normal(size=(30, 3))
