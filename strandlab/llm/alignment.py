@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.encoding import TextEncoder
+from strandlab.llm.encoding import SOLID, TextEncoder
 from strandlab.llm.shared import as_text, gather, slices
 from strandlab.session import cut, fresh_path
 
-#: Bytes of text aligned at once, units that a worker remembers, bits of a token id, most frequent pairs that every task holds.
-CHUNK, REMEMBERED, BITS, HELD = 2_000_000, 400_000, 20, 65_536
+#: Bytes of text aligned at once, units that a worker remembers, units encoded at once, bits of a token id, most frequent pairs that every task holds.
+CHUNK, REMEMBERED, JOINED, BITS, HELD = 1_500_000, 300_000, 500, 20, 65_536
 SPACE, CUT = "▁", "\0"
 SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
@@ -50,15 +50,52 @@ class _Bytes:
         return gather(self.offsets, self.data, ids.astype(np.int64))[1]
 
 
+def _spread(kept: np.ndarray, joined: tuple[np.ndarray, np.ndarray], single: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and ids of units in their order: those of ``kept`` from (starts, ids) of joined ones, the others from ``single``."""
+    starts, flat = joined
+    size = np.zeros(len(kept), dtype=np.int64)
+    size[kept], size[~kept] = np.diff(starts, append=len(flat)), [len(x) for x in single]
+    begin = np.zeros(len(kept), dtype=np.int64)
+    begin[kept], begin[~kept] = starts, len(flat) + np.cumsum(size[~kept]) - size[~kept]
+    every = np.concatenate([flat, np.fromiter(itertools.chain.from_iterable(single), np.uint32, int(size[~kept].sum()))])
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return offsets, every[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)]
+
+
+class _JoinedEncoder(TextEncoder):
+    """Strings of special tokens are plain text, and new units of a space and a word are encoded many at a time.
+
+    A token with a space in front begins a unit, and no other token of such units has one, so their ids fall apart again.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        if self.kind != "byte":
+            raise ValueError("the first tokenizer has to be byte-level, without a normalizer or added white space")
+        self.tokenizer.encode_special_tokens = True
+        self.special = []
+        names = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.opens[[i for n, i in names.items() if n.startswith("\u0120")]] = True  # the letter that stands for a space
+
+    def _learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        kept = np.asarray(pc.match_substring_regex(units, rf"^ {SOLID}+$"))
+        words = pc.filter(units, pa.array(kept)).to_pylist()
+        found = self.tokenizer.encode_batch_fast(["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False) if words else []
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, dtype=np.uint32) for e in found)])
+        starts = np.flatnonzero(self.opens[flat])
+        if len(starts) != len(words):
+            return self._whole(units.to_pylist())
+        rest = pc.filter(units, pa.array(~kept)).to_pylist()
+        single = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
+        return _spread(kept, (starts, flat), single)
+
+
 class ByteTokens:
     """Byte-level tokens of a text with a space in front; strings of special tokens are plain text."""
 
     def __init__(self, path: str):
-        self.encoder = TextEncoder(path)
-        if self.encoder.kind == "whole":
-            raise ValueError("the first tokenizer has to be byte-level without a normalizer")
-        self.encoder.tokenizer.encode_special_tokens = True
-        self.encoder.special = []
+        self.encoder = _JoinedEncoder(path)
         bare = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         letter = {chr(b): b for b in bare} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(bare))}
         names = sorted(self.encoder.tokenizer.get_vocab().items(), key=lambda x: x[1])
@@ -88,6 +125,7 @@ class PieceTokens:
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = _Bytes([bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)])
         self.mark = self.model.piece_to_id(SPACE)
+        self.opens = np.array([n.startswith(SPACE) for n in names])
         probe = "a  ﬁ Ⅳ é\n Ａ x\ttab "
         plain = b"".join(self.bytes.data[self.bytes.offsets[i] : self.bytes.offsets[i + 1]].tobytes() for i in self.model.encode(probe)) == f" {probe}".encode()
         self.cuts = plain and names[self.mark] == SPACE and not any(SPACE in n.lstrip(SPACE) or re.search(r"[ \n\0]", n) for n in names)
@@ -100,11 +138,22 @@ class PieceTokens:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1) if texts else []
 
-    def _learn(self, parts: pa.Array) -> list[list[int]]:
-        """Ids of parts that begin with a space (which the library adds) or a line feed (whose added space is taken off)."""
-        names = parts.to_pylist()
-        found = self._library([n[1:] if n[:1] == " " else n for n in names])
-        return [(ids or [self.mark]) if n[:1] == " " else ids[1:] for n, ids in zip(names, found)]
+    def _learn(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of parts that begin with a space or a line feed.
+
+        The library adds a text's first space.  Parts of a space and a word are encoded many at a time: each begins with the
+        one piece that has a space mark.  The added space of a part that begins with a line feed is taken off.
+        """
+        kept = np.asarray(pc.match_substring_regex(parts, "^ [^ \n]"))
+        words = pc.filter(parts, pa.array(kept)).to_pylist()
+        found = self._library(["".join(words[i : i + JOINED])[1:] for i in range(0, len(words), JOINED)])
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        starts = np.flatnonzero(self.opens[flat])
+        if len(starts) != len(words):
+            raise AssertionError("a part has more than one piece with a space mark")
+        rest = pc.filter(parts, pa.array(~kept)).to_pylist()
+        single = [ids[1:] if n != " " else [self.mark] for n, ids in zip(rest, self._library(rest))]
+        return _spread(kept, (starts, flat), single)
 
     def encode(self, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of texts, given with the space in front; a text of that space alone has no piece."""
@@ -124,10 +173,9 @@ class PieceTokens:
         place = pc.index_in(names, self.known)
         missing = pc.filter(names, pc.and_(pc.is_null(place), pc.not_equal(names, "")))
         if len(missing):
-            ids = self._learn(missing)
-            ends = np.cumsum([len(x) for x in ids])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + ends])
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, ends[-1])])
+            own, ids = self._learn(missing)
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + own[1:]])
+            self.ids = np.concatenate([self.ids, ids])
             self.known = pa.concat_arrays([self.known, missing])
             place = pc.index_in(names, self.known)
         empty = len(self.known)  # the part before a text's first cut
