@@ -26,10 +26,9 @@ MAX_LONG = 10_000  # long keys whose sizes are broadcast
 SAMPLES = 20  # sampled rows per piece that place its cut points
 
 
-def _position(df: DataFrame, order: Sequence[str]) -> Column:
-    """The whole order of a row, of columns of any type; a hash of the row parts rows that tie in all of them."""
-    hashed = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    return F.struct(*[F.col(c) for c in order], F.xxhash64(*hashed).alias("_tie"))
+def _position(order: Sequence[str], number: str) -> Column:
+    """The whole order of a row, of columns of any type; a hash of its written number parts rows that tie, even equal ones."""
+    return F.struct(*[F.col(c) for c in order], F.xxhash64(number).alias("_tie"))
 
 
 def longest_key(df: DataFrame, keys: Sequence[str]) -> int:
@@ -43,14 +42,15 @@ def split_keys(
     """Add ``_piece``; pieces of one key are ordered by ``order`` and never overlap.
 
     Cut points are sampled rows, which only balance the pieces: any cut points
-    give the same result.  Rows that tie in ``order`` are parted by a hash.  ``longest`` is the (estimated) size of the largest
-    key if the caller knows it.
+    give the same result.  With a long key the rows are numbered and written, and rows that tie in ``order`` are parted by a hash
+    of their number.  ``longest`` is the (estimated) size of the largest key if the caller knows it.
     """
     longest = longest_key(df, keys) if longest is None else longest
     if longest <= piece_rows:
         return df.withColumn("_piece", F.lit(0)), False
     pieces = min(MAX_PIECES, -(-longest // piece_rows))
-    position = _position(df, order)
+    df = cut(df.withColumn("_number", F.monotonically_increasing_id()))
+    position = _position(order, "_number")
     sizes = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > piece_rows)) if keys else None
     rate = F.lit(SAMPLES * pieces) / (F.col("_n") if keys else F.lit(longest))
     named = df.join(F.broadcast(sizes) if sizes.count() <= MAX_LONG else sizes, list(keys)) if keys else df
@@ -61,7 +61,22 @@ def split_keys(
     cuts = cut(cuts)  # written, so that its size is known where it is joined
     joined = df.join(cuts, list(keys), "left") if keys else df.crossJoin(cuts)
     piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c < position)), F.lit(0))
-    return joined.withColumn("_piece", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece)).drop("_cuts"), True
+    return joined.withColumn("_piece", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece)).drop("_cuts", "_number"), True
+
+
+def join_sized(rows: DataFrame, table: DataFrame, keys: Sequence[str], size: str, spread: Sequence[str], piece_rows: int = PIECE_ROWS, how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row per key that holds the key's number of rows in ``size``.
+
+    The rows of a key of more than ``piece_rows`` rows are dealt by a hash of ``spread`` over as many parts as it needs, and
+    the table's row is copied to each part, so no task gets a whole long key.  The long keys are few (the ``MAX_LONG``
+    longest) and broadcast with their number of parts; all other keys have one part.
+    """
+    table = cut(table)
+    long = table.filter(F.col(size) > piece_rows).orderBy(F.desc(size), *keys).limit(MAX_LONG).select(*keys, F.ceil(F.col(size) / piece_rows).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(long), list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts)).drop("_parts")
+    copies = table.join(F.broadcast(long), list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
 
 
 def running_totals(

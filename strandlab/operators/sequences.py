@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.operators.blocks import map_whole_groups
+from strandlab.operators.ordering import join_sized
 from strandlab.operators.mixture import split_heaviest
 from strandlab.operators.moments import VAR_FLOOR, class_mean_var
 from strandlab.operators.series import best_model, state_moments, transition_counts, uniform_segmentation
@@ -700,10 +701,12 @@ def embedded_step(frames: DataFrame, transcripts: DataFrame, transition: DataFra
         return {name: cache[name]}
 
     usable = lists.filter(F.col("_units").isNotNull())
-    lost = frames.select("seq_id").distinct().join(usable, "seq_id", "left_anti").count()
+    lens = cut(frames.groupBy("seq_id").agg(F.count(F.lit(1)).alias("_len")))
+    lost = lens.join(usable, "seq_id", "left_anti").count()
     none = F.array().cast("array<double>")
     skipped = frames.sparkSession.range(1).select(F.lit("seq").alias("kind"), F.lit("").alias("model"), F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(float(lost)).alias("occ"), none.alias("s1"), none.alias("s2"))
-    stats = cut(sequence_statistics(frames.join(usable, "seq_id"), lookup, "_units", piece, fan).unionByName(skipped))
+    named = join_sized(frames, usable.join(lens, "seq_id"), ["seq_id"], "_len", ["t"]).drop("_len")
+    stats = cut(sequence_statistics(named, lookup, "_units", piece, fan).unionByName(skipped))
     return (*reestimate(stats, gaussian, floor), stats)
 
 

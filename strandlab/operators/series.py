@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from strandlab.functions.exprs import gaussian_logpdf, safe_div
 from strandlab.operators.moments import VAR_FLOOR, per_dim
-from strandlab.operators.ordering import PIECE_ROWS, dense_index, longest_key, look_around, running_totals
+from strandlab.operators.ordering import PIECE_ROWS, dense_index, join_sized, longest_key, look_around, running_totals
 from strandlab.session import cut
 
 STEP = 10_000  # longest array built by one generator row
@@ -38,9 +38,9 @@ def sequence_lengths(frames: DataFrame, keys: Sequence[str] = ("seq_id",)) -> Da
     return frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
 
 
-def min_frames(frames: DataFrame, n: int) -> DataFrame:
+def min_frames(frames: DataFrame, n: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Drop sequences shorter than ``n`` frames."""
-    return frames.join(sequence_lengths(frames).filter(F.col("len") >= n).select("seq_id"), "seq_id", "left_semi")
+    return join_sized(frames, sequence_lengths(frames).filter(F.col("len") >= n), ["seq_id"], "len", ["t"], piece_rows, "left_semi")
 
 
 def skipped_share(frames: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
@@ -57,10 +57,11 @@ def min_sequences(labelled: DataFrame, m: int, label: str = "label") -> DataFram
     return labelled.join(cut(enough), label, "left_semi")
 
 
-def trim_nonpositive(series: DataFrame, key: str = "key", t: str = "t", v: str = "v") -> DataFrame:
+def trim_nonpositive(series: DataFrame, key: str = "key", t: str = "t", v: str = "v", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Cut leading and trailing samples that are not above zero."""
-    ends = series.filter(F.col(v) > 0).groupBy(key).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
-    return series.join(ends, key).filter(F.col(t).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    positive = F.when(F.col(v) > 0, F.col(t))
+    ends = series.groupBy(key).agg(F.min(positive).alias("_a"), F.max(positive).alias("_b"), F.count(F.lit(1)).alias("_len")).filter("_a IS NOT NULL")
+    return join_sized(series, ends, [key], "_len", [t], piece_rows).filter(F.col(t).between(F.col("_a"), F.col("_b"))).drop("_a", "_b", "_len")
 
 
 # -- segments --------------------------------------------------------------------
@@ -90,20 +91,20 @@ def segment_mismatches(frames: DataFrame, segments: DataFrame) -> DataFrame:
     return j.select("file", "seg_idx", F.when(F.col("_f").isNull(), "no sequence").otherwise("no segment").alias("problem"))
 
 
-def stretch(frames: DataFrame, target: DataFrame, name: str = "x") -> DataFrame:
+def stretch(frames: DataFrame, target: DataFrame, name: str = "x", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Cut sequences to ``target(seq_id, target_len)`` frames or repeat their last frame."""
-    last = frames.groupBy("seq_id").agg(F.max("t").alias("_last"))
+    last = frames.groupBy("seq_id").agg(F.max("t").alias("_last"), F.count(F.lit(1)).alias("_len"))
     info = last.join(target, "seq_id")
-    kept = frames.join(info, "seq_id").filter(F.col("t") < F.col("target_len"))
+    kept = join_sized(frames, info, ["seq_id"], "_len", ["t"], piece_rows).filter(F.col("t") < F.col("target_len"))
     more = kept.filter((F.col("t") == F.col("_last")) & (F.col("target_len") > F.col("_last") + 1))
     extra = explode_range(more, F.col("target_len") - F.col("_last") - 1, "_k").withColumn("t", F.col("_last") + 1 + F.col("_k"))
     cols = ["seq_id", "t", F.col("x").alias(name)]
     return kept.select(*cols).unionByName(extra.select(*cols))
 
 
-def align_and_concat(a: DataFrame, b: DataFrame, target: DataFrame) -> DataFrame:
+def align_and_concat(a: DataFrame, b: DataFrame, target: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Bring both sequences to the target length and concatenate their features."""
-    x, y = stretch(a, target, "_xa"), stretch(b, target, "_xb")
+    x, y = stretch(a, target, "_xa", piece_rows), stretch(b, target, "_xb", piece_rows)
     return x.join(y, ["seq_id", "t"]).select("seq_id", "t", F.concat("_xa", "_xb").alias("x"))
 
 
@@ -168,7 +169,7 @@ def frame_series(frames: DataFrame, length: int = 400, shift: int = 160) -> Data
     return g.filter(F.col("n") == length).select("seq_id", F.col("frame").alias("t"), F.transform("s", lambda e: e["v"]).alias("x"))
 
 
-def frame_energy(frames: DataFrame, floor: float = -50.0, silence_db: float | None = None) -> DataFrame:
+def frame_energy(frames: DataFrame, floor: float = -50.0, silence_db: float | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Log energy of a frame with a floor; with ``silence_db`` scaled to at most 1.
 
     The scaled form is ``e - max + 1`` where energies more than ``silence_db``
@@ -179,15 +180,15 @@ def frame_energy(frames: DataFrame, floor: float = -50.0, silence_db: float | No
     out = frames.withColumn("energy", e)
     if silence_db is None:
         return out
-    top = out.groupBy("seq_id").agg(F.max("energy").alias("_top"))
+    top = out.groupBy("seq_id").agg(F.max("energy").alias("_top"), F.count(F.lit(1)).alias("_len"))
     low = F.col("_top") - silence_db * math.log(10.0) / 10.0
-    return out.join(top, "seq_id").withColumn("energy", F.greatest("energy", low) - F.col("_top") + 1.0).drop("_top")
+    return join_sized(out, top, ["seq_id"], "_len", ["t"], piece_rows).withColumn("energy", F.greatest("energy", low) - F.col("_top") + 1.0).drop("_top", "_len")
 
 
-def center_per_sequence(frames: DataFrame, dims: int) -> DataFrame:
+def center_per_sequence(frames: DataFrame, dims: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Subtract the mean vector of the sequence (aggregate and join back)."""
-    means = frames.groupBy("seq_id").agg(per_dim("x", dims, F.avg).alias("_m"))
-    return frames.join(means, "seq_id").withColumn("x", F.zip_with("x", "_m", lambda a, m: a - m)).drop("_m")
+    means = frames.groupBy("seq_id").agg(per_dim("x", dims, F.avg).alias("_m"), F.count(F.lit(1)).alias("_len"))
+    return join_sized(frames, means, ["seq_id"], "_len", ["t"], piece_rows).withColumn("x", F.zip_with("x", "_m", lambda a, m: a - m)).drop("_m", "_len")
 
 
 def center_per_frame(frames: DataFrame) -> DataFrame:
@@ -260,10 +261,10 @@ def run_length_decode(coded: DataFrame, sep: str = " ", piece_rows: int = PIECE_
 # -- state paths -----------------------------------------------------------------
 
 
-def uniform_segmentation(frames: DataFrame, k: int) -> DataFrame:
+def uniform_segmentation(frames: DataFrame, k: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """State ``1 + floor(t k / len)``; sequences with fewer than ``k`` frames are skipped."""
     lens = sequence_lengths(frames).filter(F.col("len") >= k)
-    return frames.join(lens, "seq_id").withColumn("state", (F.floor(F.col("t") * k / F.col("len")) + 1).cast("int")).drop("len")
+    return join_sized(frames, lens, ["seq_id"], "len", ["t"], piece_rows).withColumn("state", (F.floor(F.col("t") * k / F.col("len")) + 1).cast("int")).drop("len")
 
 
 def transition_counts(paths: DataFrame, k: int, model: str = "label", piece_rows: int = PIECE_ROWS) -> DataFrame:

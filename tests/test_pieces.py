@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlab.operators import buckets, counts, neighbors, sequences, series
-from strandlab.operators.ordering import dense_index, running_totals, seeded_rank, split_keys
+from strandlab.operators.ordering import dense_index, join_sized, running_totals, seeded_rank, split_keys
 from strandlab.functions.exprs import seeded_hash
 
 
@@ -33,6 +33,36 @@ def test_split_keys_cuts_only_long_keys(skewed):
     assert cut.count() == 600
 
 
+def test_equal_rows_are_parted(spark):
+    """One key of 1,000 equal rows and one short key."""
+    df = spark.createDataFrame([(1, 7.0)] * 1000 + [(2, 1.0)] * 3, "key long, o double").repartition(5)
+    pieces, _ = split_keys(df, ["key"], ["o"], 50)
+    per = [r["count"] for r in pieces.filter("key = 1").groupBy("_piece").count().collect()]
+    assert len(per) > 12 and max(per) < 150 and sum(per) == 1000
+    assert pieces.columns == ["key", "o", "_piece"]
+    index = sorted((r["key"], r["t"]) for r in dense_index(df, ["key"], ["o"], piece_rows=50).collect())
+    assert index == [(1, i) for i in range(1000)] + [(2, i) for i in range(3)]
+
+
+def test_sequences_meet_by_parts(spark):
+    """One sequence of a third of all frames: the joins deal its rows, and nothing changes."""
+    rng = np.random.default_rng(3)
+    sizes = {0: 200, **{i: int(rng.integers(1, 30)) for i in range(1, 30)}}
+    rows = [(s, t, [float(rng.integers(-4, 9))], "ab"[s % 2]) for s, n in sizes.items() for t in range(n)]
+    frames = spark.createDataFrame(rows, "seq_id long, t long, x array<double>, label string").repartition(6)
+    lens = frames.groupBy("seq_id").agg(F.count(F.lit(1)).alias("len"))
+    assert frames.count() == join_sized(frames, lens, ["seq_id"], "len", ["t"], 20).count()
+    signal = frames.select(F.col("seq_id").alias("key"), "t", F.col("x")[0].alias("v"))
+    target = lens.select("seq_id", (F.col("len") + F.pmod("seq_id", F.lit(5)) - 2).alias("target_len"))
+    for make in (
+        lambda k: series.min_frames(frames, 9, **k), lambda k: series.uniform_segmentation(frames, 4, **k), lambda k: series.center_per_sequence(frames, 1, **k),
+        lambda k: series.frame_energy(frames, -1.0, 30.0, **k), lambda k: series.trim_nonpositive(signal, **k), lambda k: series.align_and_concat(frames, frames, target, **k),
+    ):
+        plain, dealt = make({}), make({"piece_rows": 11})
+        assert plain.columns == dealt.columns and sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect())) != []
+    assert {r["seq_id"] for r in series.min_frames(frames, 9, 11).select("seq_id").distinct().collect()} == {s for s, n in sizes.items() if n >= 9}
+
+
 def test_dense_index_and_running_totals(skewed):
     pdf, df = skewed
     got = _pd(dense_index(df, ["key"], ["o", "id"], piece_rows=40), "key", "t")
