@@ -157,25 +157,36 @@ f1 AS (SELECT i AS a, count(*) AS n FROM it GROUP BY i HAVING count(*) >= (SELEC
 t1 AS (SELECT id, i FROM it WHERE i IN (SELECT a FROM f1)),
 t2 AS (SELECT x.id, x.i AS a, y.i AS b FROM t1 x JOIN t1 y ON x.id = y.id AND x.i < y.i),
 f2 AS (SELECT a, b, count(*) AS n FROM t2 GROUP BY ALL HAVING count(*) >= (SELECT lo FROM lo)),
-f3 AS (SELECT t2.a, t2.b, t1.i AS c, count(*) AS n FROM t2 JOIN f2 USING (a, b) JOIN t1 ON t1.id = t2.id AND t1.i > t2.b GROUP BY ALL HAVING count(*) >= (SELECT lo FROM lo)),
-fs AS (SELECT a AS itemset, 1 AS size, n FROM f1 UNION ALL SELECT a || '&' || b, 2, n FROM f2 UNION ALL SELECT a || '&' || b || '&' || c, 3, n FROM f3)
+t3 AS (SELECT t2.id, t2.a, t2.b, t1.i AS c FROM t2 JOIN t1 ON t1.id = t2.id AND t1.i > t2.b),
+f3 AS (SELECT a, b, c, count(*) AS n FROM t3 GROUP BY ALL HAVING count(*) >= (SELECT lo FROM lo)),
+f4 AS (SELECT a, b, c, t1.i AS d, count(*) AS n FROM t3 JOIN t1 ON t1.id = t3.id AND t1.i > t3.c GROUP BY ALL HAVING count(*) >= (SELECT lo FROM lo)),
+fs AS (SELECT a AS itemset, 1 AS size, n FROM f1 UNION ALL SELECT a || '&' || b, 2, n FROM f2 UNION ALL SELECT a || '&' || b || '&' || c, 3, n FROM f3
+       UNION ALL SELECT a || '&' || b || '&' || c || '&' || d, 4, n FROM f4)
 """
 
+
+def _rule_splits() -> str:
+    """Every premise and consequence of the sets of two, three and four items."""
+    parts = []
+    for table, names in (("f2", "ab"), ("f3", "abc"), ("f4", "abcd")):
+        for mask in range(1, 2 ** len(names) - 1):
+            side = [" || '&' || ".join(x for i, x in enumerate(names) if (mask >> i) % 2 == bit) for bit in (1, 0)]
+            parts.append(f"SELECT {side[0]} AS p, {side[1]} AS q, n FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
 ITEM_ATTRS = [*ATTRS, "label"]
 
 
 @query("frequent_itemsets", f"WITH {ITEMS} SELECT itemset, size, n FROM fs")
 def _itemsets(spark, d):
-    out = itemsets.frequent_itemsets(orders_nominal(spark, d), ITEM_ATTRS, 0.01, max_size=3)
+    out = itemsets.frequent_itemsets(orders_nominal(spark, d), ITEM_ATTRS, 0.01)
     return out.select(F.array_join("itemset", "&").alias("itemset"), "size", "n")
 
 
 RULES = f"""
 {ITEMS},
-ru AS (
-  SELECT a AS p, b AS q, n FROM f2 UNION ALL SELECT b, a, n FROM f2
-  UNION ALL SELECT a, b || '&' || c, n FROM f3 UNION ALL SELECT b, a || '&' || c, n FROM f3 UNION ALL SELECT c, a || '&' || b, n FROM f3
-  UNION ALL SELECT b || '&' || c, a, n FROM f3 UNION ALL SELECT a || '&' || c, b, n FROM f3 UNION ALL SELECT a || '&' || b, c, n FROM f3),
+ru AS ({_rule_splits()}),
 rm AS (SELECT p, q, ru.n, x.n AS np, y.n AS nq, t.n AS t FROM ru JOIN fs x ON x.itemset = p JOIN fs y ON y.itemset = q, nn t),
 rr AS (SELECT p AS premise, q AS consequence, n, CAST(n AS DOUBLE) / np AS confidence, (CAST(n AS DOUBLE) / np) / (CAST(nq AS DOUBLE) / t) AS lift,
   CAST(n AS DOUBLE) / t - (CAST(np AS DOUBLE) / t) * (CAST(nq AS DOUBLE) / t) AS leverage,
@@ -199,21 +210,21 @@ _RULE_SQL = "premise, consequence, n, round(confidence, 6) AS confidence, round(
 @query("association_rules", f"WITH {RULES} SELECT {_RULE_SQL} FROM rr WHERE confidence >= 0.3")
 def _rules(spark, d):
     df = orders_nominal(spark, d)
-    sets = itemsets.frequent_itemsets(df, ITEM_ATTRS, 0.01, max_size=3)
+    sets = itemsets.frequent_itemsets(df, ITEM_ATTRS, 0.01)
     return _rule_cols(itemsets.association_rules(sets, df.count(), "confidence", 0.3))
 
 
 @query("association_rules_lift", f"WITH {RULES} SELECT {_RULE_SQL} FROM rr WHERE lift >= 1.05")
 def _rules_lift(spark, d):
     df = orders_nominal(spark, d)
-    sets = itemsets.frequent_itemsets(df, ITEM_ATTRS, 0.01, max_size=3)
+    sets = itemsets.frequent_itemsets(df, ITEM_ATTRS, 0.01)
     return _rule_cols(itemsets.association_rules(sets, df.count(), "lift", 1.05))
 
 
 @query("chi_square", f"WITH {RULES} SELECT premise, consequence, round(chi, 4) AS chi_square FROM rr WHERE chi >= 3.841458820694124")
 def _chi(spark, d):
     df = orders_nominal(spark, d)
-    sets = itemsets.frequent_itemsets(df, ITEM_ATTRS, 0.01, max_size=3)
+    sets = itemsets.frequent_itemsets(df, ITEM_ATTRS, 0.01)
     out = itemsets.association_rules(sets, df.count(), "confidence", 0.0, significance=0.05)
     return out.select(F.array_join("premise", "&").alias("premise"), F.array_join("consequence", "&").alias("consequence"), r6(F.col("chi_square"), 4).alias("chi_square"))
 
@@ -231,7 +242,7 @@ def _chi(spark, d):
     """,
 )
 def _top_rules(spark, d):
-    return _rule_cols(itemsets.top_rules(orders_nominal(spark, d), ITEM_ATTRS, 10, 0.05, 0.01, 1.0, "confidence", 0.3, 3))
+    return _rule_cols(itemsets.top_rules(orders_nominal(spark, d), ITEM_ATTRS, 10, 0.05, 0.01, 1.0, "confidence", 0.3))
 
 
 @query(

@@ -5,20 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.operators.series import explode_range
 from strandlab.session import cut
 
-MAX_RULE_ITEMS = 10  # 2**k premises per set
 
-
-def transactions(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    """Distinct rows ``(cell, w, items)``; a missing value is not an item."""
-    items = F.array_compact(F.array(*[F.when(F.col(a).isNotNull(), F.concat(F.lit(f"{a}="), F.col(a).cast("string"))) for a in attrs]))
-    rows = df.select(F.array_sort(items).alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("w"))
-    return rows.withColumn("cell", F.md5(F.concat_ws("\u0001", "items")))
+def item_list(attrs: Sequence[str]) -> Column:
+    """The items ``attr=value`` of a row; a missing value is not an item."""
+    return F.array_compact(F.array(*[F.when(F.col(a).isNotNull(), F.concat(F.lit(f"{a}="), F.col(a).cast("string"))) for a in attrs]))
 
 
 def support_count(share: float, n: int) -> int:
@@ -28,37 +25,28 @@ def support_count(share: float, n: int) -> int:
 def frequent_itemsets(
     df: DataFrame, attrs: Sequence[str], lower: float, upper: float = 1.0, max_size: int | None = None
 ) -> DataFrame:
-    """Level-wise item sets with ``lower <= support <= upper``: ``(itemset, size, n)``.
+    """Item sets with ``lower <= support <= upper``: ``(itemset, size, n)``, items in order.
 
-    Works on distinct rows.  Every level keeps, per distinct row, the frequent
-    sets it contains and joins them on their common prefix, so a candidate is only
-    built where it occurs and counting is one partial aggregate.
+    Items are counted first; only those within both bounds take part, since a set is never more frequent than its
+    items.  Their sets come from conditional pattern trees: each task builds prefix trees of its rows for groups of items, equal
+    prefixes are one path with a count, the trees of a group are merged and mined together.  No candidate
+    with an infrequent subset is ever made.  ``max_size`` leaves out larger sets.
     """
     total = df.count()
-    lo, hi = support_count(lower, total), support_count(upper, total)
-    cells = cut(transactions(df, attrs))
-    inside = F.col("n").between(lo, hi)
-    held = cells.select("cell", "w", F.explode("items").alias("i")).select("cell", "w", F.array("i").alias("itemset"))
-    level = cut(held.groupBy("itemset").agg(F.sum("w").alias("n")).filter(inside))
-    found = level.withColumn("size", F.lit(1))
-    size = 1
-    while level.take(1) and size < (max_size or len(attrs)):
-        size += 1
-        held = held.join(level.select("itemset"), "itemset", "left_semi")
-        pre = F.slice("itemset", 1, size - 2) if size > 2 else F.array().cast("array<string>")
-        a = held.select("cell", "w", F.col("itemset").alias("left_set"), pre.alias("pre"), F.element_at("itemset", -1).alias("a"))
-        b = held.select("cell", pre.alias("pre"), F.element_at("itemset", -1).alias("b"))
-        pairs = a.join(b, ["cell", "pre"]).filter(F.col("a") < F.col("b"))
-        held = cut(pairs.select("cell", "w", F.concat("left_set", F.array("b")).alias("itemset")))
-        counted = cut(held.groupBy("itemset").agg(F.sum("w").alias("n")).filter(inside))
-        subsets = counted.select(
-            F.col("itemset").alias("whole"),
-            F.explode(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.filter("itemset", lambda x: x != F.element_at("itemset", i)))).alias("itemset"),
-        )
-        broken = subsets.join(level.select("itemset"), "itemset", "left_anti").select(F.col("whole").alias("itemset")).distinct()
-        level = cut(counted.join(broken, "itemset", "left_anti"))
-        found = found.unionByName(level.withColumn("size", F.lit(size)))
-    return found.select("itemset", "size", "n")
+    lo, hi = max(1, support_count(lower, total)), support_count(upper, total)
+    single = df.select(F.explode(item_list(attrs)).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(lo, hi))
+    known = cut(single.select(F.array("i").alias("itemset"), F.lit(1).alias("size"), "n"))
+    if max_size == 1 or not known.take(1):
+        return known
+    kept = cut(known.agg(F.collect_set(F.col("itemset")[0]).alias("_kept")))  # at most 1 / lower items an attribute
+    rows = df.select(item_list(attrs).alias("items")).join(F.broadcast(kept.limit(1))).select(F.array_intersect("items", "_kept").alias("items")).filter(F.size("items") > 1)
+    paired = cut(rows)
+    n = paired.count()
+    if not n:
+        return known
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (lo - 0.5) / n)).fit(paired).freqItemsets
+    more = found.filter((F.size("items") > 1) & (F.size("items") <= (max_size or len(attrs))))
+    return known.unionByName(cut(more.select(F.array_sort("items").alias("itemset"), F.size("items").alias("size"), F.col("freq").alias("n"))))
 
 
 def itemset_contains(rows: DataFrame, row_id: str, attrs: Sequence[str], itemsets: DataFrame) -> DataFrame:
@@ -67,8 +55,7 @@ def itemset_contains(rows: DataFrame, row_id: str, attrs: Sequence[str], itemset
     Equi-join on the first item of a set only (each set once), then a containment
     test on the row's own short item list.
     """
-    items = F.array_compact(F.array(*[F.when(F.col(a).isNotNull(), F.concat(F.lit(f"{a}="), F.col(a).cast("string"))) for a in attrs]))
-    long = rows.select(F.col(row_id).alias("row_id"), items.alias("items")).withColumn("first", F.explode("items"))
+    long = rows.select(F.col(row_id).alias("row_id"), item_list(attrs).alias("items")).withColumn("first", F.explode("items"))
     sets = itemsets.select("itemset", F.element_at("itemset", 1).alias("first"))
     hit = long.join(sets, "first").filter(F.size(F.array_except("itemset", "items")) == 0)
     return hit.select("row_id", "itemset")
@@ -81,14 +68,15 @@ def chi_square(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(margins > 0, n * (a * d - b * c) * (a * d - b * c) / margins).otherwise(F.lit(0.0))
 
 
-def chi_tail(stat: Column) -> Column:
-    """Tail probability with one degree of freedom (rule tables only)."""
-
-    @F.pandas_udf("double")
-    def tail(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2.0)))
-
-    return tail(stat)
+def chi_critical(significance: float) -> float:
+    """The statistic with one degree of freedom whose tail probability is ``significance``."""
+    low, high = 0.0, 1.0
+    while math.erfc(math.sqrt(high / 2)) > significance:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.erfc(math.sqrt(middle / 2)) > significance else (low, middle)
+    return high
 
 
 def association_rules(
@@ -97,17 +85,14 @@ def association_rules(
     """All premise => consequence splits with their measures.
 
     Conviction keeps the ``+ 1`` in its denominator.  With ``significance`` the
-    chi-square tail probability must not exceed it.
+    chi-square tail probability must not exceed it.  A set of k items (at most 62) has 2**k - 2 splits, which are made in
+    steps, so no row holds them all.
     """
-    size = itemsets.agg(F.max("size")).first()[0] or 0
-    if size > MAX_RULE_ITEMS:
-        raise ValueError(f"item sets of {size} items: rules are built up to {MAX_RULE_ITEMS}")
-    k = F.size("itemset")
-    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), k).cast("long") - 2)
-    split = itemsets.filter(F.col("size") >= 2).select("itemset", "n", F.explode(masks).alias("mask"))
+    splits = F.pow(F.lit(2.0), F.size("itemset")).cast("long") - 2
+    split = explode_range(itemsets.filter(F.col("size") >= 2).select("itemset", "n"), splits, "_split").withColumn("mask", F.col("_split") + 1)
 
     def picked(bit: int) -> Column:
-        return F.filter("itemset", lambda x, i: F.floor(F.col("mask") / F.pow(F.lit(2), i)) % 2 == bit)
+        return F.filter("itemset", lambda x, i: F.call_function("shiftright", F.col("mask"), i) % 2 == bit)
 
     rules = split.select("n", picked(1).alias("premise"), picked(0).alias("consequence"))
     base = itemsets.select("itemset", F.col("n").alias("c"))
@@ -126,7 +111,7 @@ def association_rules(
     ).drop("_t")
     rules = rules.filter(F.col(metric) >= minimum)
     if significance is not None:
-        rules = rules.filter(chi_tail(F.col("chi_square")) <= significance)
+        rules = rules.filter(F.col("chi_square") >= chi_critical(significance))
     return rules
 
 

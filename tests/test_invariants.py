@@ -1,5 +1,6 @@
 """Properties that hold for any data, brute-force checks and edge rows."""
 
+import collections
 import itertools
 import math
 
@@ -476,3 +477,35 @@ def test_learners_through_one_cross_validation(nominal):
     plain = folds.cross_validate_bayes(df, attrs, 4, 1).select("id", "predicted")
     same = got.filter("scheme = 'bayes' AND run = 1").join(plain.withColumnRenamed("predicted", "p"), F.col("row_id") == F.col("id"))
     assert same.filter("NOT predicted <=> p").count() == 0 and same.count() == df.filter("label IS NOT NULL").count()
+
+
+# -- item sets of any size -----------------------------------------------------------------
+
+
+def test_itemsets_of_every_size(spark):
+    """Sets of up to twelve items against counting, with bounds on both sides; every split of a long set."""
+    rng = np.random.default_rng(12)
+    names = [f"a{i}" for i in range(12)]
+    base = rng.integers(0, 2, (90, 12))
+    base[:40] = 1  # twelve items that occur together
+    rows = [tuple(None if rng.random() < 0.02 else str(v) for v in r) for r in base]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    sets = [frozenset(f"{n}={v}" for n, v in zip(names, r) if v is not None) for r in rows]
+    got = {frozenset(r["itemset"]): r["n"] for r in itemsets.frequent_itemsets(df, names, 0.3, 0.95).collect()}
+    single = collections.Counter(i for s in sets for i in s)
+    lo, hi = itemsets.support_count(0.3, 90), itemsets.support_count(0.95, 90)
+    level = {frozenset([i]): n for i, n in single.items() if lo <= n <= hi}
+    want = dict(level)
+    while level:
+        more = {a | b for a in level for b in level if len(a | b) == len(a) + 1}
+        level = {s: n for s in more if lo <= (n := sum(s <= t for t in sets)) <= hi}
+        want |= level
+    assert got == want and max(map(len, got)) > 10
+    longest = max(got, key=lambda s: (len(s), sorted(s)))
+    part = spark.createDataFrame([(sorted(s), len(s), n) for s, n in got.items() if s <= longest], "itemset array<string>, size int, n long")
+    rules = itemsets.association_rules(part, 90, "confidence", 0.0)
+    top = rules.filter(F.col("n") == got[longest]).filter(F.size("premise") + F.size("consequence") == len(longest))
+    assert top.count() == 2 ** len(longest) - 2
+    assert itemsets.chi_critical(0.05) == pytest.approx(3.841458820694124)
+    assert itemsets.frequent_itemsets(df, names, 0.3, max_size=2).agg(F.max("size")).first()[0] == 2
+    assert itemsets.frequent_itemsets(df.limit(0), names, 0.3).count() == 0
