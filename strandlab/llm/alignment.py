@@ -24,7 +24,7 @@ from strandlab.llm.shared import as_text, gather, slices
 from strandlab.session import cut, fresh_path
 
 #: Bytes of text aligned at once, units that a worker remembers, units encoded at once, bits of a token id, most frequent pairs that every task holds.
-CHUNK, REMEMBERED, JOINED, BITS, HELD = 1_500_000, 300_000, 500, 20, 65_536
+CHUNK, REMEMBERED, JOINED, BITS, HELD = 600_000, 200_000, 500, 20, 65_536
 SPACE, CUT = "▁", "\0"
 SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
