@@ -98,6 +98,8 @@ def mean_baseline(df: DataFrame, target: str, weight: str | None = None, by: Seq
 
 # -- entropy and splits -------------------------------------------------------
 
+ALL_ROWS = "\u0000rows"  # constant attribute that counts all rows by class
+
 
 def _entropy_terms(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per (by, attr): total, class and bag sums of w*log2(w)."""
@@ -212,51 +214,34 @@ def split_numeric(
     ``log2(cuts) / n``.  The midpoint is then moved down to the largest data
     value that does not exceed it.
     """
-    clean = df.filter(F.col(label).isNotNull()).withColumnRenamed(label, "label")
-    totals = clean.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("double").alias("total"), F.countDistinct("label").alias("classes")
-    )
-    labels = [r["label"] for r in clean.select("label").distinct().limit(1001).collect()]
-    if len(labels) > 1000:
-        raise ValueError("the class column has more than 1000 values")
-    labels.sort()
-    long = clean.unpivot(
-        [*[F.col(b) for b in by], F.col("label")], [F.col(a).cast("double").alias(a) for a in attrs], "attr", "value"
-    ).filter(F.col("value").isNotNull())
     keys = [*by, "attr"]
-    per_value = long.groupBy(*keys, "value").agg(
-        *[F.count_if(F.col("label") == v).cast("double").alias(f"c{i}") for i, v in enumerate(labels)]
-    )
-    names = [f"c{i}" for i in range(len(labels))]
-    # the number of distinct values only has to be known roughly to size the pieces
-    sizes = long.groupBy(*keys).agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0] or 0
-    nexts = running_totals(
-        per_value, keys, ["value"], {f"l_{n}": F.col(n) for n in names}, piece_rows, sizes, {"next_value": "value"}
-    )
-    known = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("known"),
-        *[F.count_if(F.col("label") == v).cast("double").alias(f"t_{n}") for n, v in zip(names, labels)],
-    )
+    clean = df.filter(F.col(label).isNotNull()).withColumnRenamed(label, "label").withColumn(ALL_ROWS, F.lit(0.0))
+    ids = [*[F.col(b) for b in by], F.col("label")]
+    long = clean.unpivot(ids, [F.col(f"`{a}`").cast("double").alias(a) for a in (ALL_ROWS, *attrs)], "attr", "value").filter(F.col("value").isNotNull())
+    # the only pass over the rows: everything else is read off the weights of distinct (value, class) pairs
+    cells = cut(long.groupBy(*keys, "value", "label").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    totals = cells.filter(F.col("attr") == ALL_ROWS).groupBy(*by).agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("classes"))
+    values = cells.filter(F.col("attr") != ALL_ROWS)
+    classes = cut(values.groupBy(*keys, "label").agg(F.sum("w").alias("t")))
+    known = classes.groupBy(*keys).agg(F.sum("t").alias("known"))
+    # moving a value to the left side changes the class sums of its own classes only
+    moved = running_totals(values, [*keys, "label"], ["value"], {"left": F.col("w")}, piece_rows).join(classes, [*keys, "label"])
+    left, right, w = F.col("left"), F.col("t") - F.col("left"), F.col("w")
+    change = xlog2(left) - xlog2(left - w) + xlog2(right) - xlog2(right + w)
+    per_value = cut(moved.groupBy(*keys, "value").agg(F.sum("w").alias("w"), F.sum(change).alias("change")))
+    nexts = running_totals(per_value, keys, ["value"], {"in_w": F.col("w"), "cells": F.col("change")}, piece_rows, None, {"next_value": "value"})
     # sized tables of one row per attribute: the values are not shuffled again
     known, totals = cut(known), cut(totals)
     grid = nexts.join(known, keys)
     grid = grid.join(totals, list(by)) if by else grid.join(totals)
 
-    def plus(cols: list[Column]) -> Column:
-        out = cols[0]
-        for c in cols[1:]:
-            out = out + c
-        return out
-
-    in_w = plus([F.col(f"l_{n}") for n in names])
+    in_w = F.col("in_w")
     out_w = F.col("known") - in_w
     floor = F.lit(0.1) * F.col("known") / F.col("classes")
     floor = F.when(floor <= min_obj, F.lit(float(min_obj))).when(floor > 25, F.lit(25.0)).otherwise(floor)
     n, total = F.col("known"), F.col("total")
-    cells = plus([xlog2(F.col(f"l_{c}")) + xlog2(F.col(f"t_{c}") - F.col(f"l_{c}")) for c in names])
-    class_sum = plus([xlog2(F.col(f"t_{c}")) for c in names])
     bag_sum = xlog2(in_w) + xlog2(out_w)
-    gain = (n / total) * (xlog2(n) - class_sum - bag_sum + cells) / n
+    gain = (n / total) * (xlog2(n) - bag_sum + F.col("cells")) / n  # the class sums of the start and of the whole cancel
     split = (xlog2(total) - bag_sum - xlog2(total - n)) / total
     cuts = grid.filter(
         (F.col("value") + 1e-5 < F.col("next_value")) & (in_w >= floor) & (out_w >= floor) & (n >= 2 * floor)

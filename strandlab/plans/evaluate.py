@@ -142,10 +142,15 @@ def relevant_binary_errors(reference: DataFrame, outputs: DataFrame, code: DataF
 
 
 def pair_results(results: DataFrame, metric: str, keys: Sequence[str] = ("dataset", "run", "fold")) -> DataFrame:
-    """Metric of every two schemes on the same keys: ``(<keys>, scheme_x, scheme_y, x, y)``."""
-    a = results.select(*keys, F.col("scheme").alias("scheme_x"), F.col(metric).alias("x"))
-    b = results.select(*keys, F.col("scheme").alias("scheme_y"), F.col(metric).alias("y"))
-    return a.join(b, list(keys)).filter(F.col("scheme_x") < F.col("scheme_y"))
+    """Metric of every two schemes on the same keys: ``(<keys>, scheme_x, scheme_y, x, y)``.
+
+    The results of a key, one for each of few schemes, come together once and are paired inside that row.
+    """
+    known = results.filter(F.col("scheme").isNotNull()).dropna(subset=list(keys))
+    rows = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("scheme", F.col(metric).alias("v")))).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["scheme"] > a["scheme"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    out = rows.select(*keys, F.explode(pairs).alias("p"))
+    return out.select(*keys, F.col("p.a.scheme").alias("scheme_x"), F.col("p.b.scheme").alias("scheme_y"), F.col("p.a.v").alias("x"), F.col("p.b.v").alias("y"))
 
 
 def unpaired_results(results: DataFrame, keys: Sequence[str] = ("dataset", "run", "fold")) -> DataFrame:
