@@ -369,7 +369,33 @@ def _kernel_nb(spark, d):
     return out.select("attr", F.col("value").cast("double").alias("value"), "label", r6(F.col("p")).alias("p"))
 
 
-@query("one_rule_numeric")
+@query(
+    "one_rule_numeric",
+    """
+    WITH RECURSIVE l AS (SELECT 'price' AS attr, o_totalprice::DOUBLE AS value, o_orderstatus AS label FROM orders UNION ALL SELECT 'day', dayofyear(o_orderdate)::DOUBLE, o_orderstatus FROM orders),
+    c AS MATERIALIZED (SELECT attr, value, label, count(*)::DOUBLE AS w, dense_rank() OVER (PARTITION BY attr ORDER BY value) - 1 AS i FROM l GROUP BY attr, value, label),
+    o AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY attr, label ORDER BY i) AS upto FROM c),
+    j AS (SELECT o.attr, o.i, min(x.i) AS j FROM (SELECT *, upto - w + 6 AS target FROM o) o ASOF LEFT JOIN o x ON o.attr = x.attr AND o.label = x.label AND o.target <= x.upto GROUP BY ALL),
+    s AS MATERIALIZED (SELECT attr, i, min(j) OVER (PARTITION BY attr ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS j FROM j),
+    fc AS (SELECT s.attr, s.i, s.j, x.label, x.upto FROM s JOIN o x ON x.attr = s.attr AND x.i = s.j),
+    f AS (SELECT fc.attr, fc.i, any_value(fc.j) AS j, arg_min(fc.label, struct_pack(n := -(fc.upto - coalesce(b.upto, 0)), l := fc.label)) AS f
+          FROM fc ASOF LEFT JOIN o b ON fc.attr = b.attr AND fc.label = b.label AND fc.i > b.i GROUP BY fc.attr, fc.i),
+    pv AS (SELECT attr, i, CASE WHEN count(*) = 1 THEN any_value(label) END AS pure, any_value(value) AS value FROM c GROUP BY attr, i),
+    ru AS (SELECT *, sum(CASE WHEN pure IS NULL OR pure IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY attr ORDER BY i) AS run FROM (SELECT *, lag(pure) OVER (PARTITION BY attr ORDER BY i) AS p FROM pv)),
+    re AS MATERIALIZED (SELECT *, max(i) OVER (PARTITION BY attr, run) AS runend FROM ru),
+    top AS (SELECT attr, max(i) + 1 AS n FROM pv GROUP BY attr),
+    nx AS MATERIALIZED (SELECT pv.attr, pv.i, CASE WHEN f.j IS NULL THEN top.n WHEN r.pure = f.f THEN r.runend + 1 ELSE f.j + 1 END AS nx FROM pv JOIN top ON top.attr = pv.attr LEFT JOIN f ON f.attr = pv.attr AND f.i = pv.i LEFT JOIN re r ON r.attr = f.attr AND r.i = f.j + 1),
+    ch(attr, i) AS (SELECT attr, 0::BIGINT FROM top UNION ALL SELECT ch.attr, nx.nx FROM ch JOIN nx ON nx.attr = ch.attr AND nx.i = ch.i JOIN top ON top.attr = ch.attr WHERE nx.nx < top.n),
+    bk AS (SELECT c.attr, ch.i AS b, c.label, c.w, c.value FROM (SELECT ch.attr, ch.i, nx.nx FROM ch JOIN nx ON nx.attr = ch.attr AND nx.i = ch.i) ch JOIN c ON c.attr = ch.attr AND c.i >= ch.i AND c.i < ch.nx),
+    bc AS (SELECT attr, b, label, sum(w) AS w, min(value) AS low, max(value) AS high FROM bk GROUP BY ALL),
+    bm AS (SELECT *, max(w) OVER (PARTITION BY attr, b) AS m FROM bc),
+    bt AS MATERIALIZED (SELECT attr, row_number() OVER (PARTITION BY attr ORDER BY b) AS k, min(low) AS low, max(high) AS high, max(w) AS correct, sum(w) AS n, list(label ORDER BY label) FILTER (w = m) AS ties FROM bm GROUP BY attr, b),
+    cy(attr, k, cls) AS (SELECT attr, k, ties[1] FROM bt WHERE k = 1 UNION ALL SELECT bt.attr, bt.k, CASE WHEN list_contains(bt.ties, cy.cls) THEN cy.cls ELSE bt.ties[1] END FROM cy JOIN bt ON bt.attr = cy.attr AND bt.k = cy.k + 1),
+    mg AS (SELECT bt.*, cls, sum(CASE WHEN cls <> p THEN 1 ELSE 0 END) OVER (PARTITION BY attr ORDER BY k) AS bucket FROM (SELECT bt.*, cls, lag(cls) OVER (PARTITION BY bt.attr ORDER BY bt.k) AS p FROM bt JOIN cy ON cy.attr = bt.attr AND cy.k = bt.k) bt),
+    rr AS (SELECT attr, bucket::BIGINT AS bucket, min(low) AS low, max(high) AS high, any_value(cls) AS predicted, sum(correct) AS correct, sum(n) AS n FROM mg GROUP BY attr, bucket)
+    SELECT *, sum(correct) OVER (PARTITION BY attr) AS rule_correct, attr = (SELECT attr FROM rr GROUP BY attr ORDER BY sum(correct) DESC, attr LIMIT 1) AS best FROM rr
+    """,
+)
 def _one_rule_numeric(spark, d):
     df = table(spark, d, "orders").select(
         F.col("o_totalprice").alias("price"), F.dayofyear("o_orderdate").cast("double").alias("day"), F.col("o_orderstatus").alias("label")

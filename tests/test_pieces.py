@@ -120,6 +120,43 @@ def test_one_rule_numeric_on_pieces(spark):
     assert a["n"].sum() == 900 and (a["predicted"].iloc[1:-1].to_numpy() != a["predicted"].iloc[2:].to_numpy()).all()
 
 
+def _greedy_buckets(pdf, least):
+    """Buckets one value after another, as the definition has them."""
+    classes, out, i = sorted(pdf["label"].unique()), [], 0
+    values = [(v, {c: int((g["label"] == c).sum()) for c in classes}) for v, g in pdf.dropna(subset=["x"]).groupby("x")]
+    while i < len(values):
+        counts, low, full = dict.fromkeys(classes, 0), values[i][0], None
+        while i < len(values) and (full is None or not any(n and c != full for c, n in values[i][1].items())):
+            for c, n in values[i][1].items():
+                counts[c] += n
+            high, i = values[i][0], i + 1
+            if full is None and max(counts.values()) >= least:
+                full = min(classes, key=lambda c: (-counts[c], c))
+        top = max(counts.values())
+        cls = out[-1][2] if out and counts[out[-1][2]] == top else min(c for c in classes if counts[c] == top)
+        if out and out[-1][2] == cls:
+            out[-1] = (out[-1][0], high, cls, out[-1][3] + top, out[-1][4] + sum(counts.values()))
+        else:
+            out.append((low, high, cls, top, sum(counts.values())))
+    return out
+
+
+@pytest.mark.parametrize("classes, least, pieces", [("ab", 3, 7), ("abc", 6, 40), ("abcdefghij", 2, 25), ("ab", 50, 30)])
+def test_one_rule_numeric_equals_greedy(spark, classes, least, pieces):
+    """Repeated values, long runs of one class over several pieces, ties, and an open last bucket."""
+    rng = np.random.default_rng(len(classes) + least)
+    x = rng.integers(0, 220, 500).astype(float)
+    label = rng.choice(list(classes), 500)
+    label[(x > 60) & (x < 130)] = classes[1]
+    pdf = pd.DataFrame({"x": x, "label": label})
+    want = _greedy_buckets(pdf, least)
+    df = spark.createDataFrame(pdf).repartition(4)
+    for piece_rows in (pieces, 1_000_000):
+        out = _pd(buckets.one_rule_numeric(df, ["x"], min_bucket=least, piece_rows=piece_rows), "bucket")
+        assert list(zip(out["low"], out["high"], out["predicted"], out["correct"], out["n"])) == want
+        assert out["upper"].iloc[:-1].tolist() == [(a[1] + b[0]) / 2 for a, b in zip(want, want[1:])]
+
+
 def test_seeded_rank_is_a_permutation(skewed):
     _, df = skewed
     h = df.withColumn("h", seeded_hash(F.col("id"), 3))
