@@ -1,9 +1,9 @@
 """N-gram Jaccard join by blocked sparse products of the document x shingle incidence matrix.
 
 Documents with equal shingle sets are one class, so copies never meet.  Of each class only the first columns of its
-row, in one global order with frequent shingles last, can hold the first shared column of a similar pair (the bound
-comes from the set's size); pairs are gathered from these columns, and pairs below the bounds by size and position are
-discarded.  A column of many classes is not multiplied out: its classes are first compared with one of them, and after
+row take part, in one global order with frequent shingles last: as many as leave a similar pair a good part of its overlap
+there.  Their overlap counts are accumulated, and pairs whose counts are below the bound that the two sizes give are
+discarded before any text moves.  A column of many classes is not multiplied out: its classes are first compared with one of them, and after
 the links found have joined them, only classes of different components of such columns meet, block by block, where the
 overlap counts of a block are summed in one task.  All other pairs are checked on the whole texts.
 """
@@ -28,7 +28,9 @@ from strandlab.session import cut
 #: They order columns only; any order gives the same links.
 SAMPLE_ROWS, FREQUENT, MARKED = 20_000, 8, 200_000
 #: Classes of a column that are multiplied out at once, classes of a block on either side, bytes of text at once.
-SMALL, LEFT, RIGHT, CHUNK = 64, 4096, 8192, 8_000_000
+SMALL, LEFT, RIGHT, CHUNK = 64, 4096, 8192, 1_000_000
+#: A set has one first column more for each this many of its shingles than a single shared one would need.
+EXTRA = 20
 
 
 def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -47,13 +49,27 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(MARKED).collect()], dtype=np.int64).view(np.uint64))
 
 
+def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """First columns of sets of ``n`` shingles: all but the ``num/den`` that a similar set must share, one, and ``n / EXTRA``."""
+    return np.minimum(n, n + 1 - -(-num * n // den) + n // EXTRA)
+
+
+def least_shared(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """First columns that two similar sets of ``x`` and ``y`` shingles share at least.
+
+    The shared shingles are at least ``num/(num + den)`` of both sizes.  In the global order, those in either set's first
+    columns are the first of them, and at most what lies after the first columns of one set is missing there.
+    """
+    return -(-num * (x + y) // (num + den)) - np.maximum(x - prefix_size(x, num, den), y - prefix_size(y, num, den))
+
+
 def _first_columns(own: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The columns of a set among which a similar set must share one: all but the ``num/den`` that it must share, and one."""
+    """The first columns of a set, frequent ones last."""
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
         late = frequent[at] == own
         own = np.concatenate([own[~late], own[late]])
-    return own[: len(own) + 1 - -(-num * len(own) // den)]
+    return own[: int(prefix_size(np.int64(len(own)), num, den))]
 
 
 def incidence(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: int) -> DataFrame:
@@ -79,17 +95,13 @@ def node_of(own: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None
 
 
-#: An entry of the incidence matrix: column, row, and one number for the row's size and the entry's place in its order
-#: (``size << 31 | place``; its complement if the column is dealt to many tasks).
-CELL = "column long, node long, code long"
-GATHERED = "a long, b long, column long, code long"
+#: An entry of the incidence matrix: column, row, and the row's size (its complement if the column is dealt to many tasks).
+CELL = "column long, node long, size long"
+GATHERED = "a long, b long, column long, x long, y long, shared long"
 
 
 def cells(entries: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """The first columns of classes (node, n, columns, late) as entries; those of frequent columns are dealt to many tasks.
-
-    The places in ``late`` (ascending or null) give no entry and do not count in the places of the others.
-    """
+    """The first columns of classes (node, n, columns) as entries; those of frequent columns are dealt to many tasks."""
     marked = entries.sparkSession.sparkContext.broadcast(frequent)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,34 +109,27 @@ def cells(entries: DataFrame, frequent: np.ndarray) -> DataFrame:
             packed = batch.column("columns").to_pylist()
             count = np.array([len(p) // 8 for p in packed], dtype=np.int64)
             key = np.frombuffer(b"".join(packed), dtype=np.int64)
-            begin = np.cumsum(count) - count
-            late = np.zeros(len(key), dtype=bool)
-            for at, places in zip(begin.tolist(), batch.column("late").to_pylist()):
-                late[[at + p for p in places or []]] = True
-            before = np.concatenate([[0], np.cumsum(~late)])
-            place = before[:-1] - np.repeat(before[begin], count)
             hot = np.zeros(len(key), dtype=bool)
             if len(marked.value):
                 value = key.view(np.uint64)
                 hot = marked.value[np.minimum(np.searchsorted(marked.value, value), len(marked.value) - 1)] == value
             node, n = (np.repeat(np.asarray(batch.column(c), dtype=np.int64), count) for c in ("node", "n"))
-            code = n << 31 | place
-            yield pa.RecordBatch.from_arrays([pa.array(x[~late]) for x in (key, node, np.where(hot, ~code, code))], names=["column", "node", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, np.where(hot, ~n, n))], names=["column", "node", "size"])
 
     return entries.mapInArrow(spread, CELL)
 
 
 def column_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (a, b, column, code): pairs of classes of small columns that pass the bounds (column null), and the
-    entries of dealt or large columns (b null).  A column's entries are read in order and held only up to ``SMALL``."""
+    """Rows (a, b, column, x, y, shared): pairs of classes with their sizes and how many of a task's small columns they share
+    (column null), and the entries of dealt or large columns (b null).  Pairs whose sizes are too far apart are left
+    out.  A column's entries are read in order and held only up to ``SMALL``."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, large = np.zeros((0, 4), dtype=np.int64), None
+        rest, large = np.zeros((0, 3), dtype=np.int64), None
         for batch in batches:
-            column, node, code = (np.asarray(batch.column(c), dtype=np.int64) for c in ("column", "node", "code"))
-            hot = code < 0
-            code = np.where(hot, ~code, code)
-            table = np.column_stack([column, node, code >> 31, code & (1 << 31) - 1])
+            column, node, size = (np.asarray(batch.column(c), dtype=np.int64) for c in ("column", "node", "size"))
+            hot = size < 0
+            table = np.column_stack([column, node, np.where(hot, ~size, size)])
             away = hot | (table[:, 0] == large) if large is not None else hot
             yield from single(table[away])
             table = np.concatenate([rest, table[~away]])
@@ -145,30 +150,56 @@ def column_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
         begin = np.flatnonzero(np.diff(table[:, 0], prepend=~table[0, 0]))
         size = np.diff(begin, append=len(table))
         yield from single(table[np.repeat(size > SMALL, size)])
+        held, rows = [], 0
         for k in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
             starts, (i, j) = begin[size == k], np.triu_indices(k, 1)
             many = max(1, 200_000 // len(i))
             for s in range(0, len(starts), many):
                 at = starts[s : s + many, None]
-                x, y = table[(at + i).ravel()], table[(at + j).ravel()]
-                fits = den * np.minimum(x[:, 2], y[:, 2]) >= num * np.maximum(x[:, 2], y[:, 2])
-                fits &= (num + den) * np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3]) >= num * (x[:, 2] + y[:, 2])
-                fits &= x[:, 1] != y[:, 1]
-                pairs = np.unique(np.column_stack([np.minimum(x[fits, 1], y[fits, 1]), np.maximum(x[fits, 1], y[fits, 1])]), axis=0)
-                if len(pairs):
-                    yield made(pairs[:, 0], pairs[:, 1], None, None)
+                x, y = table[(at + i).ravel(), 1:], table[(at + j).ravel(), 1:]
+                fits = (den * np.minimum(x[:, 1], y[:, 1]) >= num * np.maximum(x[:, 1], y[:, 1])) & (x[:, 0] != y[:, 0])
+                x, y = x[fits], y[fits]
+                turned = (x[:, 0] > y[:, 0])[:, None]
+                held.append(np.hstack([np.where(turned, y, x), np.where(turned, x, y)]))
+                rows += len(x)
+                if rows > 400_000:
+                    yield from counted(held)
+                    held, rows = [], 0
+        yield from counted(held)
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        table = np.concatenate(held) if held else np.zeros((0, 4), dtype=np.int64)
+        if len(table):
+            table = table[np.lexsort((table[:, 2], table[:, 0]))]
+            first = np.flatnonzero(np.any(np.diff(table[:, [0, 2]], axis=0, prepend=~table[:1, [0, 2]]), axis=1))
+            a, x, b, y = table[first].T
+            yield made(a, b, None, x, y, np.diff(first, append=len(table)))
 
     def single(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(table):
-            yield made(table[:, 1], None, table[:, 0], table[:, 2] << 31 | table[:, 3])
+            yield made(table[:, 1], None, table[:, 0], table[:, 2], None, None)
 
     def made(a, *rest) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), *(pa.nulls(len(a), pa.int64()) if v is None else pa.array(v) for v in rest)], names=["a", "b", "column", "code"])
+        return pa.RecordBatch.from_arrays([pa.array(a), *(pa.nulls(len(a), pa.int64()) if v is None else pa.array(v) for v in rest)], names=[c.split()[0] for c in GATHERED.split(", ")])
 
-    deal = F.when(F.col("code") < 0, F.col("node").bitwiseAND(1023)).otherwise(-1)
+    deal = F.when(F.col("size") < 0, F.col("node").bitwiseAND(1023)).otherwise(-1)
     return entries.repartition("column", deal).sortWithinPartitions("column").mapInArrow(multiply, GATHERED)
 
 
+def enough_shared(pairs: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose counts over all small columns reach what a similar pair must share.
+
+    ``large`` (node, columns) counts a class's large first columns: a pair may share as many of them as both have.
+    """
+    total = pairs.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.sum("shared").alias("shared"))
+    first = lambda n: F.least(F.col(n), F.col(n) + 1 - F.ceil(F.col(n) * num / den) + F.floor(F.col(n) / EXTRA))
+    overlap = F.ceil((F.col("x") + F.col("y")) * num / (num + den))
+    least = overlap - F.greatest(F.col("x") - first("x"), F.col("y") - first("y"))
+    side = lambda n: large.select(F.col("node").alias(n), F.col("columns").alias(f"_{n}"))
+    named = total.withColumn("least", least).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return named.filter(F.col("shared") >= F.col("least") - F.least(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0)))).select("a", "b")
+
+
 def _own_texts(named: DataFrame, width: int) -> DataFrame:
     """The rows (node, text) whose text is of that class: one id may stand for several texts."""
 
@@ -203,9 +234,8 @@ def _open_pairs(members: DataFrame, found: DataFrame, num: int, den: int, best:
     """Pairs (a, b) of different components that share large columns and may still be linked; None if there are none.
 
     ``members`` are the entries (column, node, n) of large columns, ``found`` (node, component).  A pair that shares a
-    small column was checked already or cannot be linked, so all first columns that it shares are large.  Of two similar sets, what lies
-    after the first columns of one is not enough for the shared part: the rest must be shared first columns, and pairs
-    with fewer are discarded.  With ``best`` only the pair with most shared columns is given for each class and component.
+    small column was checked already or cannot be linked, so all first columns that it shares are large, and pairs with
+    fewer than a similar pair must share (``least_shared``) are discarded.  With ``best`` only the pair with most shared columns is given for each class and component.
     """
     labelled = members.join(found, "node", "left").select("column", "node", "n", F.coalesce("component", "node").alias("label"))
     labels = labelled.groupBy("column", "label").agg(F.count("*").alias("count"))
@@ -247,8 +277,7 @@ def _open_pairs(members: DataFrame, found: DataFrame, num: int, den: int, best:
                 who = owner[hit][first]
                 shared = np.add.reduceat(matrix[where[hit]], first, axis=0)
                 x, z = some["n"].to_numpy(np.int64)[None, :], rs[who].astype(np.int64)[:, None]
-                needed = -(-num * (x + z) // (num + den)) - np.maximum(-(-num * x // den), -(-num * z // den)) + 1
-                fits = (shared >= np.maximum(needed, 1)) & (den * np.minimum(x, z) >= num * np.maximum(x, z)) & (some["label"].to_numpy()[None, :] != rl[who][:, None])
+                fits = (shared >= np.maximum(least_shared(x, z, num, den), 1)) & (den * np.minimum(x, z) >= num * np.maximum(x, z)) & (some["label"].to_numpy()[None, :] != rl[who][:, None])
                 r, c = np.nonzero(fits)
                 made = pd.DataFrame({"a": some["node"].to_numpy()[c], "b": rn[who[r]], "l": rl[who[r]], "shared": shared[r, c]})
                 if best:
@@ -274,20 +303,15 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     classes = cut(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     heads = classes.select(F.col("node").alias("_node"), "first_id")
     reps = rows.join(heads.hint("shuffle_hash"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "n", "columns")
-    gathered = cut(column_pairs(cells(reps.withColumn("late", F.lit(None).cast("array<int>")), frequent), num, den))
-    pairs = gathered.filter("b IS NOT NULL").select("a", "b")
-    members = cut(gathered.filter("b IS NULL").select("column", F.col("a").alias("node"), "code").dropDuplicates(["column", "node"]))
+    gathered = cut(column_pairs(cells(reps, frequent), num, den))
+    pairs = gathered.filter("b IS NOT NULL").drop("column")
+    members = cut(gathered.filter("b IS NULL").select("column", F.col("a").alias("node"), F.col("x").alias("n")).dropDuplicates(["column", "node"]))
     counts = cut(members.groupBy("column").agg(F.count("*").alias("count")).filter("count > 1"))
     # frequent among the documents need not be frequent among the first columns of classes: these are small columns
-    few = members.join(counts.filter(F.col("count") <= SMALL), "column").select("column", "node", "code")
-    pairs = pairs.union(column_pairs(few, num, den).filter("b IS NOT NULL").select("a", "b"))
-    place = F.col("code").bitwiseAND((1 << 31) - 1).cast("int")
-    members = cut(lookup(members, counts.filter(F.col("count") > SMALL), "column", "count").select("column", "node", F.shiftright("code", 31).alias("n"), place.alias("place")))
-    # a pair may share large columns before its first small one, where the bound by position must not count them as lost
-    late = members.groupBy("node").agg(F.sort_array(F.collect_list("place")).alias("late"))  # a node's own first columns
-    again = reps.join(late, "node").dropDuplicates(["node"])
-    pairs = pairs.union(column_pairs(cells(again, frequent[:0]), num, den).filter("b IS NOT NULL").select("a", "b"))
-    members = members.drop("place")
+    few = members.join(counts.filter(F.col("count") <= SMALL), "column").select("column", "node", F.col("n").alias("size"))
+    pairs = pairs.union(column_pairs(few, num, den).filter("b IS NOT NULL").drop("column"))
+    members = cut(lookup(members, counts.filter(F.col("count") > SMALL), "column", "count").select("column", "node", "n"))
+    pairs = enough_shared(pairs, cut(members.groupBy("node").agg(F.count("*").alias("columns"))), num, den)
     pivots = cut(members.groupBy("column").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("column", "node"), "node", "n")).alias("pivot")).filter("count > 1").select("column", "count", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")))
     starred = lookup(members, pivots, "column", "count").filter("node != pivot")
     near_size = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
