@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import as_text, crc_fold, mix64, slices
+from strandlab.llm.shared import as_text, crc_fold, mix64, slices, small_batches
 from strandlab.session import cut
 
 #: Hash bins of n-grams (the size of a language's table), expected training rows of a language, added count.
 BINS, TRAIN_ROWS, ADDED = 1 << 16, 5_000, 0.1
 #: EM rounds, penalty of a language in units of log(words) (1/2 is the Bayesian criterion), characters treated at once.
-ROUNDS, PENALTY, CHUNK = 12, 1.0, 2_000_000
+ROUNDS, PENALTY, CHUNK = 12, 1.0, 500_000
 UNKNOWN = "und"
 
 
@@ -176,8 +176,9 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     return identify(docs, *fit(docs, ~held_out), held_out)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` with a language that holds at least ``least`` of the words; without labels all rows stay.
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which a language was identified, alone or in a mixture of any shares; null, empty and
+    letterless texts go.  Without labels all rows stay, and an empty table gives no row.
 
     Rows are judged by their text alone, so all rows of one id and text share the verdict.
     """
@@ -187,10 +188,8 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = as_text(batch.column("text"))
-            for a, b in slices(column, CHUNK):
-                share = mixtures(column.slice(a, b - a).to_pylist(), model.value)[0].max(axis=1)
-                yield batch.slice(a, b - a).filter(pa.array(share >= least))
+        for batch in small_batches(batches, "text", CHUNK):
+            share, has = mixtures(as_text(batch.column("text")).to_pylist(), model.value)
+            yield batch.filter(pa.array(has & (share.sum(axis=1) > 0)))
 
     return docs.mapInArrow(keep, docs.schema)
