@@ -28,7 +28,7 @@ from strandlab.session import cut
 #: They order columns only; any order gives the same links.
 SAMPLE_ROWS, FREQUENT, MARKED = 20_000, 8, 200_000
 #: Classes of a column that are multiplied out at once, classes of a block on either side, bytes of text at once.
-SMALL, LEFT, RIGHT, CHUNK = 64, 4096, 8192, 1_000_000
+SMALL, LEFT, RIGHT, CHUNK = 16, 4096, 8192, 1_000_000
 #: A set has one first column more for each this many of its shingles than a single shared one would need.
 EXTRA = 20
 
@@ -312,7 +312,8 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     pairs = pairs.union(column_pairs(few, num, den).filter("b IS NOT NULL").drop("column"))
     members = cut(lookup(members, counts.filter(F.col("count") > SMALL), "column", "count").select("column", "node", "n"))
     pairs = enough_shared(pairs, cut(members.groupBy("node").agg(F.count("*").alias("columns"))), num, den)
-    pivots = cut(members.groupBy("column").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("column", "node"), "node", "n")).alias("pivot")).filter("count > 1").select("column", "count", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")))
+    # one order for the pivots of all columns: columns of the same classes have the same pivot, and their pairs are one
+    pivots = cut(members.groupBy("column").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("pivot")).filter("count > 1").select("column", "count", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")))
     starred = lookup(members, pivots, "column", "count").filter("node != pivot")
     near_size = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
     stars = starred.filter(near_size).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
