@@ -237,6 +237,47 @@ def test_cells_with_missing_values_and_self_left_out(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_boxes_prune_rows_with_gaps(spark):
+    """Queries without a name or a number meet few rows too, and every neighbour of brute force is found."""
+    rng = np.random.default_rng(8)
+    n = 1500
+    rows = [(i, None if i % 17 == 0 else float(np.round(rng.random(), 4)), None if i % 19 == 0 else str(rng.integers(0, 6)), "uv"[i % 2]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, label string")
+    near, work = neighbors.candidates(df, df, 4, ["x"], ["c"], leave_self_out=True, cells=100, rows=16)
+    got = {}
+    for r in neighbors.knn_topk(df, df, 4, ["x"], ["c"], leave_self_out=True, cells=100, rows=16).collect():
+        got.setdefault(r["query"], []).extend([r["distance"]] * int(r["w"]))
+    x = np.array([np.nan if r[1] is None else r[1] for r in rows])
+    x = (x - np.nanmin(x)) / (np.nanmax(x) - np.nanmin(x))
+    a, b = x[:, None], x[None]
+    gap = np.where(np.isnan(a) & np.isnan(b), 1, np.where(np.isnan(a), np.maximum(b, 1 - b), np.where(np.isnan(b), np.maximum(a, 1 - a), a - b)))
+    name = np.array([r[2] for r in rows], dtype=object)
+    other = (name[:, None] != name[None]) | np.equal(name, None)[:, None] | np.equal(name, None)[None]
+    dist = np.round(np.sqrt((gap**2 + other) / 2), 9)
+    np.fill_diagonal(dist, np.inf)
+    kth = np.sort(dist, axis=1)[:, 3]
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(d[d <= t]) for i, (d, t) in enumerate(zip(dist, kth))}
+    assert work < 0.1 * n * n
+
+
+def test_vectors_without_structure_meet_in_large_blocks(spark, monkeypatch):
+    from strandlab.operators import cells as cell_module
+
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=(400, 24)), rng.normal(size=(60, 24))
+    train = spark.createDataFrame([(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(x)], "id long, x array<double>, label string")
+    query = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, x array<double>")
+    met = []
+    pair = cell_module.pair_blocks
+    monkeypatch.setattr(cell_module, "pair_blocks", lambda *a: met.append(1) or pair(*a))
+    found = {}
+    for r in neighbors.knn_topk(query, train, 5, vector="x", rows=32).collect():
+        found.setdefault(r["query"], []).append(r["distance"])
+    dist = np.round(np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+    assert {i: sorted(v) for i, v in found.items()} == {i: sorted(d[d <= np.sort(d)[4]]) for i, d in enumerate(dist)}
+    assert met
+
+
 def test_folds_are_scaled_by_the_others(spark):
     rows = [(i, float(i if i != 9 else 1000), str(i % 2), i % 3, "uv"[i % 2]) for i in range(30)]
     df = spark.createDataFrame(rows, "id long, x double, c string, fold int, label string")
