@@ -305,6 +305,15 @@ def test_doubling_search():
     assert value == 8.0 and error == 0.0 and len(trace) < 12
 
 
+def test_doubling_search_asks_for_values_together():
+    for f, attempts, limit in ((lambda g: abs(math.log2(g) - 3), 3, None), (lambda g: abs(math.log2(g) + 4), 2, None), (lambda g: abs(math.log2(g) - 5), 3, 7), (lambda g: 1.0, 3, 3)):
+        alone, asked = [], []
+        single = search.doubling_search(lambda g: alone.append(g) or f(g), 1.0, attempts, limit)
+        many = search.doubling_search(f, 1.0, attempts, limit, together=lambda v: asked.append(v) or [f(g) for g in v])
+        assert many == single and sorted(alone) == sorted(sum(asked, [])) == sorted(g for g, _ in many[2])
+        assert len(asked) < len(alone)
+
+
 def test_full_weight_bag_equals_base(nominal, monkeypatch):
     _, df = nominal
     monkeypatch.setattr(ensemble, "poisson_draw", lambda u, rate: F.lit(1))

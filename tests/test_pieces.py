@@ -305,6 +305,23 @@ def test_kernel_blocks(spark):
     assert np.allclose(got["score"], want)
 
 
+def test_kernel_rows_are_shared_by_machines_and_values(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    q, s = rng.normal(size=(40, 3)), rng.normal(size=(30, 3))
+    alpha = rng.normal(size=(30, 4))
+    qd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, x array<double>")
+    sd = spark.createDataFrame([(str(c), v.tolist(), float(a[c])) for v, a in zip(s, alpha) for c in range(4)], "clf string, x array<double>, alpha double")
+    sizes = []
+    pair = neighbors.pair_blocks
+    monkeypatch.setattr(neighbors, "pair_blocks", lambda left, right, *a: sizes.append(right.count()) or pair(left, right, *a))
+    got = {(r["row_id"], r["clf"], r["gamma"]): r["score"] for r in neighbors.kernel_scores(qd, sd, [0.3, 2.0], bias=0.1, rows=11).collect()}
+    d2 = ((q[:, None] - s[None]) ** 2).sum(2)
+    for gamma in (0.3, 2.0):
+        want = np.exp(-gamma * d2) @ alpha + 0.1
+        assert all(got[i, str(c), gamma] == pytest.approx(want[i, c]) for i in range(40) for c in range(4))
+    assert sizes == [30]  # one row for each support vector, not one for each machine
+
+
 # -- sequence models on pieces ----------------------------------------------------
 
 
