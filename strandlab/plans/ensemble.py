@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -44,7 +45,8 @@ def bag_weights(df: DataFrame, bags: int, pct: float = 100.0, row_id: str = "id"
     """
     out = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
     u = seeded_uniform(F.col(row_id), F.concat(F.lit(f"{seed}:"), F.col("bag").cast("string")))
-    return out.withColumn("bw", poisson_draw(u, pct / 100.0)).filter(F.col("bw") > 0)
+    drawn = out.filter(u >= F.lit(math.exp(-pct / 100.0)))  # weight > 0; on the weight, the filter would hash once for each of its steps
+    return drawn.withColumn("bw", poisson_draw(u, pct / 100.0))
 
 
 def bagging(df: DataFrame, test: DataFrame, learner: CountLearner, bags: int = 10, pct: float = 100.0, row_id: str = "id", label: str = "label", seed: int = 0, vote: bool = False) -> DataFrame:

@@ -314,6 +314,25 @@ def test_doubling_search_asks_for_values_together():
         assert len(asked) < len(alone)
 
 
+def test_bag_weights_filter_hashes_once(spark):
+    import hashlib
+
+    out = ensemble.bag_weights(spark.range(200), 3)
+    want = {}
+    for i in range(200):
+        for bag in range(3):
+            u, w, p, total = int(hashlib.md5(f"{i}|0:{bag}".encode()).hexdigest()[:8], 16) / 2**32, 0, math.exp(-1.0), 0.0
+            for k in range(15):
+                total += p
+                w += u >= total
+                p /= k + 1
+            if w:
+                want[i, bag] = w
+    assert {(r["id"], r["bag"]): r["bw"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("md5(") for line in plan.splitlines() if "Filter" in line) == 1
+
+
 def test_full_weight_bag_equals_base(nominal, monkeypatch):
     _, df = nominal
     monkeypatch.setattr(ensemble, "poisson_draw", lambda u, rate: F.lit(1))
