@@ -21,6 +21,7 @@ from strandlab.operators.ordering import PIECE_ROWS, dense_index, join_sized, lo
 from strandlab.operators.series import shifted
 from strandlab.session import cut
 
+PYTHON_ROWS = 65_536  # values of one attribute that a task holds in Python, with their lists
 END = -1  # the successor of a bucket that the last value leaves open
 
 
@@ -207,15 +208,16 @@ def one_rule_numeric(
     per_value = cut(lists.select("attr", "value", F.col("c.label").alias("labels"), F.col("c.w").alias("weights")))
     values = cut(dense_index(per_value, ["attr"], ["value"], "i", piece_rows))
     reach = clean.select("label").distinct().count() * (min_bucket - 1) + 2  # values after which some class has ``min_bucket`` rows, and the next one
-    jumps = cut(_jumps(_with_runs(values, piece_rows), reach, float(min_bucket), piece_rows))
-    begins = _begins(jumps, _entries(jumps), piece_rows).withColumn("_one", F.lit(1).cast("long"))
+    held_rows = min(piece_rows, PYTHON_ROWS)
+    jumps = cut(_jumps(_with_runs(values, piece_rows), reach, float(min_bucket), held_rows))
+    begins = _begins(jumps, _entries(jumps), held_rows).withColumn("_one", F.lit(1).cast("long"))
     marked = values.join(begins, ["attr", "i"], "left").withColumn("_one", F.coalesce("_one", F.lit(0).cast("long")))
     numbered = cut(running_totals(marked, ["attr"], ["i"], {"bucket": F.col("_one")}, piece_rows).drop("_one"))
     held = numbered.select("attr", "bucket", F.explode(F.arrays_zip("labels", "weights")).alias("z")).groupBy("attr", "bucket", F.col("z.labels").alias("label")).agg(F.sum("z.weights").alias("w"))
     held = held.groupBy("attr", "bucket").agg(F.max("w").alias("correct"), F.sum("w").alias("n"), F.array_sort(F.collect_list(F.struct("label", "w"))).alias("c"))
     held = held.withColumn("ties", F.transform(F.filter("c", lambda x: x["w"] == F.col("correct")), lambda x: x["label"])).drop("c")
     bounds = numbered.groupBy("attr", "bucket").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    raw = cut(_carried(held.join(bounds, ["attr", "bucket"]), kind, piece_rows).drop("bucket"))
+    raw = cut(_carried(held.join(bounds, ["attr", "bucket"]), kind, held_rows).drop("bucket"))
     prev = shifted(raw, ["attr"], ["low"], {"_p": lambda w: F.lag("cls").over(w)}, 1, piece_rows)
     change = F.when(F.col("_p").isNotNull() & (F.col("_p") != F.col("cls")), 1).otherwise(0).cast("long")
     merged = running_totals(prev, ["attr"], ["low"], {"bucket": change}, piece_rows).groupBy("attr", "bucket").agg(

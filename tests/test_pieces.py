@@ -206,6 +206,21 @@ def test_knn_blocks_copies_and_ties(spark):
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_one_rule_numeric_holds_few_values_in_python(spark, monkeypatch):
+    sizes = []
+    whole = buckets.map_whole_groups
+
+    def seen(df, keys, *args):
+        sizes.append(df.groupBy(*keys).count().agg({"count": "max"}).first()[0])
+        return whole(df, keys, *args)
+
+    monkeypatch.setattr(buckets, "map_whole_groups", seen)
+    df = spark.range(150_000).selectExpr("cast(id as double) as x", "cast(id div 40000 as string) as label")
+    out = buckets.one_rule_numeric(df, ["x"]).orderBy("bucket").collect()
+    assert [(r["low"], r["predicted"], r["n"]) for r in out] == [(i * 40_000.0, str(i), min(40_000.0, 150_000.0 - i * 40_000)) for i in range(4)]
+    assert max(sizes) < 70_000
+
+
 def test_cells_prune_and_lose_nothing(spark):
     """Clustered rows: every query has its exact neighbours, and far fewer pairs are measured than there are."""
     rng = np.random.default_rng(5)
