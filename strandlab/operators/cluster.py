@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlab.functions.exprs import squared_distance
-from strandlab.operators.mixture import gmm_fit, with_logs
+from strandlab.operators.mixture import gmm_fit, gmm_loglik
 from strandlab.operators.moments import per_dim
+from strandlab.operators.rowblocks import row_blocks
 from strandlab.session import cut
 
 
@@ -114,13 +115,17 @@ def map_clusters(matrix: DataFrame) -> DataFrame:
 def cluster_cv_loglik(folded: DataFrame, dims: int, k: int, folds: int, max_iter: int = 10) -> DataFrame:
     """Mean test log density per fold of a mixture trained on the other folds.
 
-    Training rows are copied to the folds they train, so all folds are one fit.
+    The rows are written and packed once; their blocks are copied to the folds they train where they are read, so all
+    folds are one fit.
     """
-    ids = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col("fold"))
-    train = folded.withColumn("fold", F.explode(ids))
-    model = gmm_fit(train.select("fold", "x"), dims, k, ["fold"], max_iter)
-    test = with_logs(folded.select("fold", "x"), model, ["fold"])
-    return test.groupBy("fold").agg(F.avg("loglik").alias("mean_log_density"), F.count(F.lit(1)).alias("n"))
+    rows = cut(folded.select("fold", "x"))
+    blocks = row_blocks(rows, ["fold"], dims)
+
+    def train(df: DataFrame) -> DataFrame:
+        return df.withColumn("fold", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col("fold"))))
+
+    model = gmm_fit(train(rows), dims, k, ["fold"], max_iter, blocks=train(blocks))
+    return gmm_loglik(blocks, model, ["fold"], dims).select("fold", (F.col("loglik") / F.col("n")).alias("mean_log_density"), "n")
 
 
 def hard_assignment_distribution(assign: DataFrame, clusters: Sequence[int]) -> DataFrame:

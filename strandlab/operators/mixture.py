@@ -1,21 +1,25 @@
 """Gaussian mixtures trained by distributed sums.
 
-A model is a table ``(<by>, comp, weight, mean, var)``.  The E-step is a row-wise
-array expression after an equi-join on ``by``; the M-step is one partial
-aggregate.  Models of all groups are trained in the same jobs.
+A model is a table ``(<by>, comp, weight, mean, var)``.  The rows of a training are
+packed into blocks of one group once; a round joins the blocks with the models on
+``by`` and adds up a block with numpy, and the M-step is one partial aggregate over
+the blocks' sums.  Models of all groups are trained in the same jobs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlab.functions.exprs import LOG_ZERO, gaussian_logpdf, gaussian_logpdf_full, log_sum_exp, softmax
-from strandlab.operators.moments import VAR_FLOOR, class_mean_var, per_dim
+from strandlab.operators.moments import VAR_FLOOR, class_mean_var
+from strandlab.operators.rowblocks import block_values, row_blocks
 from strandlab.session import cut
 
 SPLIT_STEP = 0.2  # in standard deviations
@@ -70,22 +74,93 @@ def with_logs(df: DataFrame, model: DataFrame, by: Sequence[str], dims: int | No
     return out.withColumn("loglik", log_sum_exp(F.col("_logs")))
 
 
+def as_blocks(df: DataFrame, by: Sequence[str], dims: int) -> DataFrame:
+    return df if "gaps" in df.columns else row_blocks(df, by, dims)
+
+
+BLOCK_CELLS = 131_072  # rows x components that are computed at once
+
+
+def log_densities(x: np.ndarray, logw: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """(components, rows) of log weight + log density of ``x`` (dims, rows); null or NaN gives log zero."""
+    out = (logw - 0.5 * (np.log(var).sum(1) + len(x) * math.log(2 * math.pi)))[:, None]
+    for i in range(len(x)):
+        gap = x[i] - mean[:, i, None]
+        out = out - gap * gap * (0.5 / var[:, i, None])
+    return np.where(np.isnan(out), LOG_ZERO, out)
+
+
+def shares_of(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the components, and the log of their sum, of every row."""
+    top = logs.max(axis=0)
+    e = np.exp(logs - top)
+    z = e.sum(axis=0)
+    return e / z, top + np.log(z)
+
+
+def _components(column: pa.ListArray, dims: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(comp, logw, mean, var)`` of every row of a packed model; blocks of one group share them."""
+    ends = column.offsets.to_numpy()
+    flat = column.values
+    comp, logw = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("comp", "logw"))
+    mean, var = (flat.field(c).values.to_numpy(zero_copy_only=False).reshape(-1, dims) for c in ("mean", "var"))
+    for a, z in zip(ends[:-1], ends[1:]):
+        yield comp[a:z], logw[a:z], mean[a:z], var[a:z]
+
+
+def _or_null(sums: np.ndarray, whole: np.ndarray) -> list:
+    """Rows of sums as lists; a dimension without a value has no sum."""
+    return [[v if ok else None for v, ok in zip(row, whole)] for row in sums.tolist()]
+
+
+def block_sums(blocks: DataFrame, model: DataFrame, by: Sequence[str], dims: int) -> DataFrame:
+    """E-step of every block: ``(<by>, comp, occ, loglik, n, s1, s2)``.
+
+    ``loglik`` and ``n`` are the block's and stand on each of its components.  A row with a null value has log density
+    zero for all components; its other values count.
+    """
+    keys, kind = list(by), dict(blocks.dtypes)
+    p = packed(model, by)
+    joined = (blocks.join(p, keys) if keys else blocks.join(p)).select(*keys, "n", "x", "gaps", "_g")
+    fields = ["comp", "occ", "loglik", "n", "s1", "s2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            at: list[int] = []
+            for number, ((x, null), (comp, logw, mean, var)) in enumerate(zip(block_values(batch, dims), _components(batch.column("_g"), dims))):
+                k = len(comp)
+                occ, s1, s2, total = np.zeros(k), np.zeros((k, dims)), np.zeros((k, dims)), 0.0
+                step = max(1_024, BLOCK_CELLS // k)
+                for a in range(0, x.shape[1], step):
+                    part = x[:, a : a + step]
+                    r, ll = shares_of(log_densities(part, logw, mean, var))
+                    part = part if null is None else np.where(null[:, a : a + step], 0.0, part)
+                    occ += r.sum(axis=1)
+                    total += float(ll.sum())
+                    s1 += r @ part.T
+                    s2 += r @ (part * part).T
+                there = np.ones(dims, bool) if null is None else ~null.all(axis=1)
+                rows += zip(comp.tolist(), occ.tolist(), [total] * k, [x.shape[1]] * k, _or_null(s1, there), _or_null(s2, there))
+                at += [number] * k
+            cols = list(zip(*rows)) if rows else [[]] * len(fields)
+            heads = [batch.column(c).take(pa.array(at, pa.int64())) for c in keys]
+            kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([*heads, *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[*keys, *fields])
+
+    schema = ", ".join([*[f"`{k}` {kind[k]}" for k in keys], "comp int, occ double, loglik double, n long, s1 array<double>, s2 array<double>"])
+    return joined.mapInArrow(run, schema)
+
+
 def gmm_em_step(df: DataFrame, model: DataFrame, dims: int, by: Sequence[str] = ("label",), floor: float = VAR_FLOOR, weight_floor: float = 0.0, written: bool = False) -> DataFrame:
-    """One EM step; ``loglik`` and ``n`` describe the model that came in.
+    """One EM step over rows or their blocks; ``loglik`` and ``n`` describe the model that came in.
 
     The model is written out first unless the caller did (``written``): with a known
     size it is broadcast and the rows stay where they are.
     """
     model = model if written else cut(model)
-    rows = with_logs(df, model, by, dims)
-    e = rows.select(*by, "x", "loglik", F.posexplode(softmax(F.col("_logs"))).alias("pos", "r"), F.transform("_g", lambda g: g["comp"]).alias("_names"))
-    e = e.withColumn("comp", F.element_at("_names", F.col("pos") + 1))
-    sums = e.groupBy(*by, "comp").agg(
-        F.sum("r").alias("occ"),
-        F.sum("loglik").alias("loglik"),
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(F.col("r") * F.col("x")[i]) for i in range(dims)]).alias("s1"),
-        F.array(*[F.sum(F.col("r") * F.col("x")[i] * F.col("x")[i]) for i in range(dims)]).alias("s2"),
+    sums = block_sums(as_blocks(df, by, dims), model, by, dims).groupBy(*by, "comp").agg(
+        F.sum("occ").alias("occ"), F.sum("loglik").alias("loglik"), F.sum("n").alias("n"), *[F.array(*[F.sum(F.col(s)[i]) for i in range(dims)]).alias(s) for s in ("s1", "s2")]
     )
     return m_step(sums, model, by, floor, weight_floor)
 
@@ -135,6 +210,7 @@ def gmm_iterate(df: DataFrame, model: DataFrame, dims: int, by: Sequence[str] =
     The model is written each round; one row tells whether to go on.
     """
     previous = None
+    df = as_blocks(df, by, dims)
     for _ in range(max_iter):
         step = cut(gmm_em_step(df, model, dims, by, floor, weight_floor, written=previous is not None))
         model = step.drop("loglik", "n")
@@ -148,16 +224,22 @@ def gmm_iterate(df: DataFrame, model: DataFrame, dims: int, by: Sequence[str] =
     return step
 
 
-def gmm_fit(df: DataFrame, dims: int, k: int, by: Sequence[str] = ("label",), max_iter: int = 100, tol: float = 1e-4, floor: float = VAR_FLOOR) -> DataFrame:
-    """Grow every group's mixture to ``k`` components: split the heaviest, then EM."""
+def gmm_fit(df: DataFrame, dims: int, k: int, by: Sequence[str] = ("label",), max_iter: int = 100, tol: float = 1e-4, floor: float = VAR_FLOOR, blocks: DataFrame | None = None) -> DataFrame:
+    """Grow every group's mixture to ``k`` components: split the heaviest, then EM.  ``blocks`` are the rows' blocks if the caller has them."""
     model = cut(one_gaussian(df, dims, by, floor))
+    blocks = as_blocks(df, by, dims) if blocks is None and k > 1 else blocks
     for _ in range(k - 1):
-        model = gmm_iterate(df, split_heaviest(model, by), dims, by, max_iter, tol, floor).drop("loglik", "n")
+        model = gmm_iterate(blocks, split_heaviest(model, by), dims, by, max_iter, tol, floor).drop("loglik", "n")
     return model
 
 
-def gmm_loglik(df: DataFrame, model: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
-    return with_logs(df, model, by).groupBy(*by).agg(F.sum("loglik").alias("loglik"), F.count(F.lit(1)).alias("n"))
+def gmm_loglik(df: DataFrame, model: DataFrame, by: Sequence[str] = ("label",), dims: int | None = None) -> DataFrame:
+    """Log-likelihood and number of rows of every group; blocks of rows need ``dims``."""
+    if dims is None:
+        return with_logs(df, model, by).groupBy(*by).agg(F.sum("loglik").alias("loglik"), F.count(F.lit(1)).alias("n"))
+    sums = block_sums(as_blocks(df, by, dims), model, by, dims)
+    first = sums.groupBy(*by, "comp").agg(F.sum("loglik").alias("loglik"), F.sum("n").alias("n"))  # equal for all components of a group
+    return first.groupBy(*by).agg(F.max("loglik").alias("loglik"), F.max("n").alias("n"))
 
 
 def gmm_select_bic(df: DataFrame, dims: int, by: Sequence[str] = ("label",), lam: float = 1.0, max_k: int | None = None, max_iter: int = 100, tol: float = 1e-4, floor: float = VAR_FLOOR) -> DataFrame:
@@ -168,13 +250,14 @@ def gmm_select_bic(df: DataFrame, dims: int, by: Sequence[str] = ("label",), lam
     """
 
     def bic(model: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-        ll = gmm_loglik(rows, model, by)
+        ll = gmm_loglik(rows, model, by, dims)
         return cut(ll.select(*by, (F.col("loglik") - 0.5 * lam * k * (2 * dims + 1) * F.log(F.col("n"))).alias("bic")))
 
     model = cut(one_gaussian(df, dims, by, floor))
-    best = bic(model, df, 1)
+    blocks = as_blocks(df, by, dims)
+    best = bic(model, blocks, 1)
     done: DataFrame | None = None
-    rows, k = df, 1
+    rows, k = blocks, 1
     while max_k is None or k < max_k:
         k += 1
         grown = gmm_iterate(rows, split_heaviest(model, by), dims, by, max_iter, tol, floor).drop("loglik", "n")
@@ -187,7 +270,7 @@ def gmm_select_bic(df: DataFrame, dims: int, by: Sequence[str] = ("label",), lam
             return done
         model = cut(grown.join(better, list(by), "left_semi"))
         best = cut(score.join(better, list(by), "left_semi"))
-        rows = df.join(better, list(by), "left_semi")
+        rows = blocks.join(better, list(by), "left_semi")
     return model if done is None else done.unionByName(model)
 
 
@@ -244,28 +327,56 @@ def full_classify(df: DataFrame, model: DataFrame, priors: DataFrame | None = No
 
 
 def discriminative_sums(df: DataFrame, model: DataFrame, dims: int, label: str = "label", shares: DataFrame | None = None) -> DataFrame:
-    """The model with its occupancies under the own class (``occ``) and under all classes (``occ_g``), the differences of
+    """The model, over rows or blocks of one class, with its occupancies under the own class (``occ``) and under all classes (``occ_g``), the differences of
     the first and second sums, and ``posterior``: the rows' total log probability of their class.
 
-    The pooled model holds the components of all classes, weighted by the class shares.  Every row meets it once;
-    the own class's posteriors are the same logs restricted to its components.
+    The pooled model holds the components of all classes, weighted by the class shares.  Every block meets it once and a task
+    adds up its blocks; the own class's posteriors are the same logs restricted to its components.
     """
     clean = df.filter(F.col(label).isNotNull())
-    shares = class_shares(clean, label) if shares is None else shares
+    if shares is None:
+        shares = class_shares(clean, label)
     pooled = cut(
         model.join(shares, label).agg(
             F.array_sort(F.collect_list(F.struct(F.col(label).alias("cls"), "comp", F.log(F.greatest(F.col("weight") * F.col("share"), F.lit(LOG_WEIGHT_FLOOR))).alias("logw"), "mean", "var"))).alias("_g")
         )
     )
-    rows = clean.select(F.col(label).alias("_own"), "x").join(F.broadcast(pooled.limit(1))).withColumn("_l", component_logs(F.col("x"), F.col("_g")))
-    rows = rows.withColumn("_o", F.zip_with("_g", "_l", lambda g, l: F.when(g["cls"] == F.col("_own"), l).otherwise(F.lit(LOG_ZERO))))
-    rows = rows.withColumns({"posterior": log_sum_exp(F.col("_o")) - log_sum_exp(F.col("_l")), "_po": softmax(F.col("_o")), "_pg": softmax(F.col("_l"))})
-    each = rows.select("x", "posterior", F.explode(F.arrays_zip(F.transform("_g", lambda g: F.struct(g["cls"].alias("cls"), g["comp"].alias("comp"))).alias("g"), F.col("_po").alias("o"), F.col("_pg").alias("a"))).alias("z"))
-    gap = F.col("z.o") - F.col("z.a")
-    sums = each.groupBy(F.col("z.g.cls").alias(label), F.col("z.g.comp").alias("comp")).agg(
-        F.sum("z.o").alias("occ"), F.sum("z.a").alias("occ_g"), F.array(*[F.sum(gap * F.col("x")[i]) for i in range(dims)]).alias("d1"),
-        F.array(*[F.sum(gap * F.col("x")[i] * F.col("x")[i]) for i in range(dims)]).alias("d2"), F.sum("posterior").alias("posterior"), F.count(F.lit(1)).alias("n"),
+    mine = F.transform("_g", lambda g: g["cls"] == F.col(label)).alias("_mine")
+    rows = as_blocks(clean, [label], dims).join(F.broadcast(pooled.limit(1))).select("n", "x", "gaps", "_g", mine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, posterior, n = None, 0.0, 0
+        for batch in batches:
+            for number, ((x, null), (comp, logw, mean, var)) in enumerate(zip(block_values(batch, dims), _components(batch.column("_g"), dims))):
+                own = np.array(batch.column("_mine")[number].as_py(), bool)[:, None]
+                if total is None:  # own, all, differences of first and second sums; rows with a value
+                    total = [np.zeros(len(comp)), np.zeros(len(comp)), np.zeros((len(comp), dims)), np.zeros((len(comp), dims)), np.zeros(dims, bool)]
+                step = max(1_024, BLOCK_CELLS // len(comp))
+                for a in range(0, x.shape[1], step):
+                    part = x[:, a : a + step]
+                    logs = log_densities(part, logw, mean, var)
+                    every, ll_every = shares_of(logs)
+                    inside, ll_inside = shares_of(np.where(own, logs, LOG_ZERO))
+                    part = part if null is None else np.where(null[:, a : a + step], 0.0, part)
+                    gap = inside - every
+                    for held, more in zip(total, (inside.sum(axis=1), every.sum(axis=1), gap @ part.T, gap @ (part * part).T)):
+                        held += more
+                    posterior += float((ll_inside - ll_every).sum())
+                total[4] |= True if null is None else ~null.all(axis=1)
+                n += x.shape[1]
+        if total is not None:
+            k = len(total[0])
+            cols = [range(k), total[0], total[1], _or_null(total[2], total[4]), _or_null(total[3], total[4]), [posterior] * k, [n] * k]
+            kinds = [pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["pos", "occ", "occ_g", "d1", "d2", "posterior", "n"])
+
+    parts = rows.mapInArrow(run, "pos int, occ double, occ_g double, d1 array<double>, d2 array<double>, posterior double, n long")
+    sums = parts.groupBy("pos").agg(
+        F.sum("occ").alias("occ"), F.sum("occ_g").alias("occ_g"), *[F.array(*[F.sum(F.col(c)[i]) for i in range(dims)]).alias(c) for c in ("d1", "d2")],
+        F.sum("posterior").alias("posterior"), F.sum("n").alias("n"),
     )
+    names = pooled.select(F.posexplode("_g").alias("pos", "g")).select("pos", F.col("g.cls").alias(label), "g.comp")
+    sums = sums.join(names, "pos").drop("pos")
     return model.select(label, "comp", "weight", "mean", "var").join(sums, [label, "comp"]).withColumn("surplus", F.col("occ") - F.col("occ_g"))
 
 
@@ -303,6 +414,9 @@ def gmm_discriminative_fit(
     best, top, at = None, None, 0
     old, calm = None, 0
     model = cut(model)
+    if shares is None:
+        shares = class_shares(df.filter(F.col(label).isNotNull()), label)
+    df = as_blocks(df, [label], dims)
     for number in range(max_iter):
         sums = cut(discriminative_sums(df, model, dims, label, shares))
         total = sums.agg(F.max("posterior").alias("p"), F.max("n").alias("n")).first()
@@ -348,7 +462,8 @@ def gmm_grow_discriminative(
     """
     clean = df.filter(F.col(label).isNotNull())
     shares = class_shares(clean, label)
-    best, mean = gmm_discriminative_fit(clean, one_gaussian(clean, dims, [label], floor), dims, label, tol, floor=floor, shares=shares)
+    blocks = as_blocks(clean, [label], dims)
+    best, mean = gmm_discriminative_fit(blocks, one_gaussian(clean, dims, [label], floor), dims, label, tol, floor=floor, shares=shares)
     n = best.agg(F.max("n")).first()[0]
 
     def penalised(sums: DataFrame, mean: float) -> tuple[float, int]:
@@ -361,7 +476,7 @@ def gmm_grow_discriminative(
         grown = cut(split_surplus(best, share, label))
         if mean_k is not None and grown.count() > mean_k * classes:
             break
-        now, mean = gmm_discriminative_fit(clean, grown, dims, label, tol, max_iter, floor=floor, shares=shares)
+        now, mean = gmm_discriminative_fit(blocks, grown, dims, label, tol, max_iter, floor=floor, shares=shares)
         value, _ = penalised(now, mean)
         if value - top < tol:
             break
