@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlab.functions.exprs import LOG_ZERO, gaussian_logpdf, gaussian_logpdf_full, log_sum_exp, softmax
+from strandlab.functions.exprs import LOG_ZERO, gaussian_logpdf, log_sum_exp, softmax
 from strandlab.operators.moments import VAR_FLOOR, class_mean_var
 from strandlab.operators.rowblocks import block_values, row_blocks
 from strandlab.session import cut
@@ -95,7 +95,11 @@ def shares_of(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     top = logs.max(axis=0)
     e = np.exp(logs - top)
     z = e.sum(axis=0)
-    return e / z, top + np.log(z)
+    shares, total = e / z, top + np.log(z)
+    lost = total <= LOG_ZERO / 2  # no density at all: every such component counts whole
+    if lost.any():
+        shares[:, lost] = np.exp(logs[:, lost] - total[lost])
+    return shares, total
 
 
 def _components(column: pa.ListArray, dims: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -318,12 +322,41 @@ def full_classify(df: DataFrame, model: DataFrame, priors: DataFrame | None = No
     """``(row_id, label, loglik, prob)`` of full-covariance class densities ``(label, mean, factor)``, times priors."""
     per_class = model.withColumn("_lp", F.lit(0.0)) if priors is None else model.join(priors.select(label, F.log("prior").alias("_lp")), label)
     one = cut(per_class.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "_lp", "mean", "factor"))).alias("_models")))
-    scored = df.select(F.col(row_id).alias("row_id"), "x").join(F.broadcast(one.limit(1)))  # classes x dims x dims numbers
-    logs = F.transform("_models", lambda m: F.struct(m["label"].alias("label"), m["_lp"].alias("lp"), gaussian_logpdf_full(F.col("x"), m["mean"], m["factor"]).alias("ll")))
-    scored = scored.select("row_id", logs.alias("_s"))
-    probs = softmax(F.transform("_s", lambda s: s["ll"] + s["lp"]))
-    flat = scored.select("row_id", F.explode(F.arrays_zip("_s", probs.alias("prob"))).alias("z"))
-    return flat.select("row_id", F.col("z._s.label").alias("label"), F.col("z._s.ll").alias("loglik"), F.col("z.prob").alias("prob"))
+    found = one.select("_models._lp", "_models.mean", "_models.factor").first()  # classes x dims x dims numbers
+    lp = np.array(found["_lp"], float)
+    dims = max((len(f) for f in found["factor"]), default=0)
+    mean = np.array(found["mean"], float).reshape(len(lp), dims)
+    factor = np.zeros((len(lp), dims, dims))
+    for c, rows in enumerate(found["factor"]):
+        for i, row in enumerate(rows):
+            factor[c, i, : i + 1] = row
+    cols = [f"_x{i}" for i in range(dims)]
+    keyed = df.select(F.col(row_id).alias("row_id"), *[F.when(F.size("x") == dims, F.get("x", F.lit(i))).cast("double").alias(c) for i, c in enumerate(cols)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in cols]
+            ll = np.stack([full_log_density(x, m, f, batch.num_rows) for m, f in zip(mean, factor)], axis=1) if len(lp) else np.zeros((batch.num_rows, 0))
+            prob = shares_of((ll + lp).T)[0].T if len(lp) else ll
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(lp))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(v).ravel())) for v in (ll, prob)]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *lists], names=["row_id", "ll", "prob"])
+
+    scored = keyed.mapInArrow(run, f"row_id {dict(keyed.dtypes)['row_id']}, ll array<double>, prob array<double>")
+    scored = scored.join(F.broadcast(one.select(F.col("_models.label").alias("names")).limit(1)))
+    flat = scored.select("row_id", F.explode(F.arrays_zip("names", "ll", "prob")).alias("z"))
+    return flat.select("row_id", F.col("z.names").alias("label"), F.col("z.ll").alias("loglik"), F.col("z.prob").alias("prob"))
+
+
+def full_log_density(x: Sequence[np.ndarray], mean: np.ndarray, factor: np.ndarray, rows: int) -> np.ndarray:
+    """``gaussian_logpdf_full`` of many rows, given dimension by dimension; null or NaN gives log zero."""
+    solved: list[np.ndarray] = []
+    total = np.full(rows, len(x) * math.log(2 * math.pi))
+    for i, v in enumerate(x):
+        known = sum((y * factor[i, j] for j, y in enumerate(solved)), np.zeros(rows))
+        solved.append((v - mean[i] - known) / factor[i, i])
+        total += solved[-1] * solved[-1] + 2.0 * np.log(factor[i, i])
+    return np.where(np.isnan(total), LOG_ZERO, -0.5 * total)
 
 
 def discriminative_sums(df: DataFrame, model: DataFrame, dims: int, label: str = "label", shares: DataFrame | None = None) -> DataFrame:

@@ -10,9 +10,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.operators.rowblocks import codes_of
 from strandlab.session import cut
 
 VAR_FLOOR = 1e-4
@@ -67,20 +69,27 @@ def second_moments(df: DataFrame, x: str, weight: str | None, by: Sequence[str]
     keys = list(by)
     src = df.select(*keys, F.col(x).alias("x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, g in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
-                if g.empty:
-                    continue
-                m, w = np.vstack(g["x"].to_numpy()).astype(float), g["w"].to_numpy(float)
-                rows.append((*key, float(w.sum()), ((m * w[:, None]).T @ m).ravel().tolist()))
-            if rows:
-                yield pd.DataFrame(rows, columns=[*keys, "w", "gram"])
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = codes_of(pa.Table.from_batches([batch]), keys)
+            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+            m, w = flat.reshape(batch.num_rows, -1).astype(float), batch.column("w").to_numpy(zero_copy_only=False)
+            heads, sums, grams = [], [], []
+            order = np.argsort(code, kind="stable")
+            begin = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+            for at in np.split(order, begin[1:]):
+                part, weight = m[at], w[at]
+                heads.append(int(at[0]))
+                sums.append(float(weight.sum()))
+                grams.append(((part * weight[:, None]).T @ part).ravel())
+            first = [batch.column(k).take(pa.array(heads)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*first, pa.array(sums), pa.array(grams, pa.list_(pa.float64()))], names=[*keys, "w", "gram"])
 
     types = dict(src.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "w double", "gram array<double>"])
-    parts = src.mapInPandas(partial, schema)
+    parts = src.mapInArrow(partial, schema)
     total = parts.groupBy(*keys).agg(F.sum("w").alias("w"))
     cells = parts.select(*keys, F.posexplode("gram").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
     gram = cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda z: z["v"]).alias("gram"))

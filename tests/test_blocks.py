@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandlab.functions.exprs import gaussian_logpdf_full
 from strandlab.operators import cluster, mixture, rowblocks
+from strandlab.operators.moments import full_gaussian
 
 
 def counted(spark, rows, schema):
@@ -59,3 +61,18 @@ def test_blocks_give_the_sums_of_the_rows(spark, monkeypatch):
         g = got[r["label"], r["comp"]]
         assert g["n"] == r["n"] and (g["a"] is None) == (r["a"] is None) == (r["label"] == "g3")
         assert np.allclose([g["occ"], g["loglik"], g["a"] or 0.0, g["b"]], [r["occ"], r["loglik"], r["a"] or 0.0, r["b"]], rtol=1e-9)
+
+
+def test_full_densities_of_any_size_are_one_pass(spark):
+    random = np.random.default_rng(8)
+    rows = [(i, str(i % 2), (random.normal(size=3) + i % 2).tolist()) for i in range(200)] + [(900, "0", [None, 1.0, 2.0]), (901, "1", [1.0])]
+    fit = spark.createDataFrame(rows[:200], "id long, label string, x array<double>")
+    df = spark.createDataFrame(rows, "id long, label string, x array<double>")
+    model = mixture.cut(full_gaussian(fit, 3))
+    plan = mixture.full_classify(df, model, mixture.class_shares(fit).withColumnRenamed("share", "prior"))
+    want = fit.join(model, "label").select("id", "label", gaussian_logpdf_full(F.col("x"), F.col("mean"), F.col("factor")).alias("ll"))
+    assert "aggregate" not in plan._jdf.queryExecution().toString()  # no interpreted sums inside a row
+    got = {(r["row_id"], r["label"]): r for r in plan.collect()}
+    assert len(got) == 404 and all(abs(got[r["id"], r["label"]]["loglik"] - r["ll"]) < 1e-9 for r in want.collect())
+    assert got[900, "0"]["loglik"] == got[901, "1"]["loglik"] == -1e30
+    assert all(abs(got[i, "0"]["prob"] + got[i, "1"]["prob"] - 1) < 1e-12 for i in range(200))
