@@ -10,6 +10,7 @@ from strandlab.catalog.registry import query
 from strandlab.catalog.tables import FRAMES, LINES, LMAP, event_frames, label_map, line_frames, r6, table
 from strandlab.operators import sequences, series
 from strandlab.plans import evaluate
+from strandlab.session import cut
 
 _X = "round(x, 6) AS x"
 
@@ -379,8 +380,8 @@ def _contribution(spark, d):
 
 
 def _start(spark, d):
-    frames = labelled_lines(spark, d)
-    return frames, *sequences.initial_models(frames, 2, 2)
+    frames = cut(labelled_lines(spark, d))  # read by the segmentation, the lengths and every training
+    return frames, *[cut(t) for t in sequences.initial_models(frames, 2, 2)]
 
 
 # forward-backward sums of two-state models started from a uniform segmentation

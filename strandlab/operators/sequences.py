@@ -8,16 +8,18 @@ of a sequence.  The effect of a piece on the state scores is a small matrix;
 matrices of consecutive pieces multiply associatively, first inside groups of
 pieces, then over the groups.  Going down again gives every piece its entry and
 exit conditions, and the pieces finish independently.  Short sequences are a
-single piece and skip all of this.
+single piece and skip all of this: a training packs them into blocks once, frame
+after frame of many sequences, and its rounds read the blocks without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ from strandlab.operators.blocks import map_whole_groups
 from strandlab.operators.ordering import join_sized
 from strandlab.operators.mixture import split_heaviest
 from strandlab.operators.moments import VAR_FLOOR, class_mean_var
+from strandlab.operators.rowblocks import FILE_CHUNKS, codes_of
 from strandlab.operators.series import best_model, state_moments, transition_counts, uniform_segmentation
-from strandlab.session import cut
+from strandlab.session import cut, fresh_path
 
 LOG0 = -1e30
 PIECE = 2_048  # frames per piece
@@ -435,6 +438,259 @@ def viterbi_path(frames: DataFrame, transition: DataFrame, gaussian: DataFrame,
     return out.withColumnRenamed("_chain", model)
 
 
+# -- blocks of short sequences -------------------------------------------------------
+
+BLOCK_FRAMES = 32_768  # frames of one written row
+CELLS = 1_048_576  # numbers of one step of a recursion
+
+
+def sequence_blocks(frames: DataFrame, key: str, piece: int) -> DataFrame | None:
+    """Sequences of less than ``piece`` frames, written once: ``(_chain, mixed, dims, lens, first, x)``; None if one is longer.
+
+    A block holds sequences of one chain by falling length, all their first frames, then all second ones.  ``first`` marks the
+    frames with t = 0; ``mixed`` tells that a sequence has frames of several chains, which are then sequences of their own.
+    """
+    prepared, short = _prepare(frames, key, piece)
+    if not short:
+        return None
+
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        code = codes_of(table, ["_chain"])
+        pieces = codes_of(table, ["seq_id", "_piece"])
+        chains, t = table.column("_chain").to_pylist(), table.column("t").to_numpy()
+        x = pa.concat_arrays(table.column("x").chunks).flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        mixed = len(np.unique(pieces * (int(code.max()) + 1) + code)) > len(np.unique(pieces))
+        rows = []
+        for c in range(int(code.max()) + 1):
+            at = np.flatnonzero(code == c)
+            if chains[at[0]] is None:
+                continue
+            begin = np.flatnonzero(np.r_[True, np.diff(pieces[at]) != 0])
+            lens = np.diff(np.r_[begin, len(at)])
+            order = np.argsort(-lens, kind="stable")
+            begin, lens = begin[order], lens[order]
+            placed = at[np.concatenate([begin[: np.count_nonzero(lens > i)] + i for i in range(lens[0])])]
+            rows.append((chains[at[0]], mixed, x.shape[1], lens.astype(np.int32).tobytes(), (t[placed] == 0).tobytes(), np.ascontiguousarray(x[placed].T, float).tobytes()))
+        kinds = [pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_chain", "mixed", "dims", "lens", "first", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows < BLOCK_FRAMES:
+                continue
+            same = np.flatnonzero(np.diff(codes_of(held, ["seq_id", "_piece"])))
+            if len(same):
+                yield packed(held.slice(0, int(same[-1]) + 1))
+                held = held.slice(int(same[-1]) + 1)
+        if held is not None:
+            yield packed(held)
+
+    cols = prepared.select("seq_id", "_piece", "_chain", "t", F.col("x").cast("array<double>").alias("x"))
+    placed = cols.repartition("seq_id", "_piece").sortWithinPartitions("seq_id", "_piece", "t")
+    schema = "_chain string, mixed boolean, dims int, lens binary, first binary, x binary"
+    path = fresh_path(frames.sparkSession, "sequences")
+    placed.mapInArrow(run, schema).write.option("maxRecordsPerFile", FILE_CHUNKS).parquet(path)
+    return frames.sparkSession.read.schema(schema).parquet(path)
+
+
+@dataclass
+class Packed:
+    """A block: frame i of all sequences longer than i lies at ``at[i]``, ``live[i]`` of them."""
+
+    lens: np.ndarray
+    first: np.ndarray  # (frames,) t = 0
+    x: np.ndarray  # (dims, frames)
+
+    def __post_init__(self) -> None:
+        self.live = np.array([np.count_nonzero(self.lens > i) for i in range(int(self.lens[0]))])
+        self.at = np.r_[0, np.cumsum(self.live)]
+        self.owner = np.concatenate([np.arange(m) for m in self.live])  # frame -> sequence
+        self.last = self.at[self.lens - 1] + np.arange(len(self.lens))
+        later = np.arange(self.live[0], len(self.owner))  # frames with a frame before them
+        self.later, self.before = later, later - np.repeat(self.live[:-1], self.live[1:])
+
+
+def packed_blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, Packed]]:
+    for name, dims, lens, first, x in zip(batch.column("_chain").to_pylist(), batch.column("dims").to_pylist(), batch.column("lens"), batch.column("first"), batch.column("x")):
+        yield name, Packed(np.frombuffer(lens.as_buffer(), np.int32), np.frombuffer(first.as_buffer(), bool), np.frombuffer(x.as_buffer(), float).reshape(dims, -1))
+
+
+def _unit_logs(u: Unit, x: np.ndarray) -> np.ndarray:
+    """``component_logs`` as (states, components, frames) of ``x`` (dims, frames)."""
+    out = (u.logw - 0.5 * (np.log(u.var).sum(2) + len(x) * np.log(2 * np.pi)))[:, :, None]
+    for i in range(len(x)):
+        gap = x[i] - u.mean[:, :, i, None]
+        out = out - gap * gap * (0.5 / u.var[:, :, i, None])
+    return np.where(np.isnan(out), LOG0, np.maximum(out, LOG0))
+
+
+def _onward(v: np.ndarray, step: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Scores (from, frames) through ``step`` (from, to): (to, frames), and the best states they come from."""
+    n, width = len(step), max(1, CELLS // step.size)
+    out = np.empty((step.shape[1], v.shape[1]))
+    back = np.empty(out.shape, np.int32) if best else None
+    for a in range(0, v.shape[1], width):
+        s = v[:, None, a : a + width] + step[:, :, None]
+        top = s.max(axis=0)
+        if best:
+            out[:, a : a + width], back[:, a : a + width] = top, s.argmax(axis=0)
+        else:
+            out[:, a : a + width] = top if n == 1 else top + np.log(np.exp(s - top).sum(axis=0))
+    return out, back
+
+
+def _packed_forward(b: Packed, c: Chain, emit: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Scores of the emitting states after every frame (states, frames)."""
+    out = np.empty_like(emit)
+    back = np.zeros(emit.shape, np.int32) if best else None
+    out[:, : b.live[0]] = np.maximum(c.step[0, 1:, None] + emit[:, : b.live[0]], LOG0)
+    for m, a, z in zip(b.live[1:], b.at[:-1], b.at[1:]):
+        v, from_ = _onward(out[:, a : a + m], c.step[1:, 1:], best)
+        out[:, z : z + m] = np.maximum(v + emit[:, z : z + m], LOG0)
+        if best:
+            back[:, z : z + m] = from_
+    return out, back
+
+
+def _packed_emissions(b: Packed, c: Chain) -> tuple[list[np.ndarray], np.ndarray]:
+    by_name = {u.name: _unit_logs(u, b.x) for u in {u.name: u for u in c.units}.values()}
+    comps = [by_name[u.name] for u in c.units]
+    return comps, np.concatenate([v[:, 0] if v.shape[1] == 1 else lse(v, 1) for v in comps])
+
+
+def packed_statistics(b: Packed, c: Chain, name: str) -> list[tuple]:
+    """``_batch_statistics`` of a block."""
+    comps, emit = _packed_emissions(b, c)
+    alpha, _ = _packed_forward(b, c, emit, False)
+    step, leave = c.step[1:, 1:], c.leave[1:, None]
+    beta = np.empty_like(alpha)
+    for t in range(len(b.live) - 1, -1, -1):
+        a, m, more = b.at[t], b.live[t], b.live[t + 1] if t + 1 < len(b.live) else 0
+        beta[:, a + more : a + m] = leave
+        if more:
+            z = b.at[t + 1]
+            beta[:, a : a + more] = np.maximum(_onward(beta[:, z : z + more] + emit[:, z : z + more], step.T, False)[0], LOG0)
+    end = alpha[:, b.last] + leave
+    total = lse(end, 0)
+    ok = total > LOG0 / 2
+    rows: list[tuple] = [("seq", name, 0, 0, float(ok.sum()), [float(total[ok].sum())], [0.0]), ("seq", name, 0, 1, float((~ok).sum()), [], [])]
+    if not ok.any():
+        return rows
+    n = len(c.leave)
+    xi = np.zeros((n, n))
+    fine, total_of = ok[b.owner], total[b.owner]
+    into = emit + beta - total_of
+    heads = b.live[0]
+    xi[0, 1:] = np.exp(np.minimum(c.step[0, 1:, None] + into[:, :heads], 0.0))[:, ok].sum(axis=1)
+    keep = fine[b.later]
+    later, before = b.later[keep], b.before[keep]
+    for a in range(0, len(later), max(1, CELLS // step.size)):
+        cur, prev = (v[a : a + max(1, CELLS // step.size)] for v in (later, before))
+        s = alpha[:, None, prev] + step[:, :, None] + into[None, :, cur]
+        xi[1:, 1:] += np.exp(np.minimum(s, 0.0)).sum(axis=2)
+    gamma = np.where(fine, np.exp(np.minimum(alpha + beta - total_of, 0.0)), 0.0)
+    final = np.r_[0.0, np.exp(np.minimum(end - total, 0.0))[:, ok].sum(axis=1)]
+    x, square = b.x.T, (b.x * b.x).T
+    at = 1
+    for p, u in enumerate(c.units):
+        rows += _transition_rows(c, xi, final, p, at)
+        share = np.ones_like(comps[p]) if comps[p].shape[1] == 1 else np.exp(comps[p] - lse(comps[p], 1)[:, None])
+        resp = share * gamma[at - 1 : at - 1 + u.size, None]
+        rows += [
+            ("gauss", u.name, s + 1, k, float(resp[s, k].sum()), (resp[s, k] @ x).tolist(), (resp[s, k] @ square).tolist())
+            for s in range(u.size) for k in range(resp.shape[1]) if u.logw[s, k] > LOG0 / 2
+        ]
+        at += u.size
+    return rows
+
+
+def _summed_in_task(blocks: DataFrame, lookup: Callable[[str], dict[str, Chain]], of_block: Callable[[Packed, Chain, str], list[tuple]]) -> DataFrame:
+    """Statistics of all blocks; a task adds up its own, one row per cell of the models."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            for name, b in packed_blocks(batch):
+                for c in lookup(name).values():
+                    for kind, model, i, j, occ, s1, s2 in of_block(b, c, name):
+                        old = held.get((kind, model, i, j))
+                        now = [occ, np.array(s1, float), np.array(s2, float)]
+                        held[kind, model, i, j] = now if old is None else [p + q for p, q in zip(old, now)]
+        cols = list(zip(*[(*k, *v) for k, v in held.items()])) if held else [[]] * 7
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["kind", "model", "a", "b", "occ", "s1", "s2"])
+
+    return _summed(cut(blocks.mapInArrow(run, STAT_SCHEMA)))  # two sums read one pass
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    heads = parts.groupBy("kind", "model", "a", "b").agg(F.sum("occ").alias("occ"))
+    dims = parts.filter(F.size("s1") > 0).select("kind", "model", "a", "b", F.posexplode(F.arrays_zip("s1", "s2")).alias("d", "z"))
+    sums = dims.groupBy("kind", "model", "a", "b", "d").agg(F.sum("z.s1").alias("s1"), F.sum("z.s2").alias("s2"))
+    packed = sums.groupBy("kind", "model", "a", "b").agg(F.array_sort(F.collect_list(F.struct("d", "s1", "s2"))).alias("z"))
+    out = heads.join(packed, ["kind", "model", "a", "b"], "left")
+    return out.select("kind", "model", "a", "b", "occ", F.transform("z", lambda e: e["s1"]).alias("s1"), F.transform("z", lambda e: e["s2"]).alias("s2"))
+
+
+def packed_paths(b: Packed, c: Chain, name: str, k: int) -> list[tuple]:
+    """Best paths of a block as sums: scores (``seq``), moves (``trans``), and by state frames (``count``) and values (``gauss``).
+
+    Values are sums of the gaps to the state's present mean and of their squares, and (``held``) how many are not null.
+    """
+    _, emit = _packed_emissions(b, c)
+    v, back = _packed_forward(b, c, emit, True)
+    end = v[:, b.last] + c.leave[1:, None]
+    total = np.maximum(end.max(axis=0), LOG0)
+    ok = total > LOG0 / 2
+    rows: list[tuple] = [("seq", name, 0, 0, float(ok.sum()), [float((total[ok] / b.lens[ok]).sum())], [0.0])]
+    path, now, final = np.empty(emit.shape[1], np.int64), np.empty(len(b.lens), np.int64), end.argmax(axis=0)
+    for t in range(len(b.live) - 1, -1, -1):
+        a, m, more = b.at[t], b.live[t], b.live[t + 1] if t + 1 < len(b.live) else 0
+        now[more:m] = final[more:m]
+        path[a : a + m] = now[:m]
+        if t:
+            now[:m] = back[now[:m], a + np.arange(m)]
+    path += 1
+    fine = ok[b.owner]
+    moves = np.zeros((k + 2, k + 2))
+    np.add.at(moves[0], path[fine & b.first], 1)
+    keep = fine[b.later]
+    np.add.at(moves, (path[b.before[keep]], path[b.later[keep]]), 1)
+    np.add.at(moves[:, k + 1], path[b.last[ok]], 1)
+    rows += [("trans", name, int(i), int(j), float(moves[i, j]), [], []) for i, j in zip(*np.nonzero(moves))]
+    for s in range(1, len(c.leave)):
+        x = b.x[:, fine & (path == s)]
+        if x.shape[1]:
+            gap = x - c.units[0].mean[s - 1, 0][:, None]
+            there = ~np.isnan(gap)
+            gap = np.where(there, gap, 0.0)
+            rows.append(("gauss", name, s, 0, float(x.shape[1]), gap.sum(axis=1).tolist(), (gap * gap).sum(axis=1).tolist()))
+            rows.append(("held", name, s, 0, 0.0, there.sum(axis=1).astype(float).tolist(), [0.0] * len(x)))
+    return rows
+
+
+def models_from_sums(stats: DataFrame, gaussian: DataFrame, kind: str, floor: float = VAR_FLOOR) -> tuple[DataFrame, DataFrame]:
+    """``models_from_paths`` of the sums of ``packed_paths`` on the models ``gaussian`` of one component."""
+    from pyspark.sql.window import Window
+
+    name = F.col("model").cast(kind).alias("model")
+    t = stats.filter("kind = 'trans'")
+    share = F.col("occ") / F.sum("occ").over(Window.partitionBy("model", "a"))
+    transition = t.select(name, F.col("a").alias("i"), F.col("b").alias("j"), F.log(share).alias("logp"))
+    sums = stats.filter("kind = 'gauss'").select("model", F.col("a").alias("state"), "s1", "s2")
+    held = stats.filter("kind = 'held'").select("model", F.col("a").alias("state"), F.col("s1").alias("n"))
+    old = gaussian.select(F.col("model").cast("string").alias("model"), "state", F.col("mean").alias("m"))
+    z = sums.join(held, ["model", "state"]).join(old, ["model", "state"]).withColumn("z", F.arrays_zip("n", "s1", "s2", "m"))
+    mean = F.transform("z", lambda e: F.when(e["n"] > 0, e["m"] + e["s1"] / e["n"]))
+    var = F.transform("z", lambda e: F.greatest(F.when(e["n"] > 0, e["s2"] / e["n"] - (e["s1"] / e["n"]) * (e["s1"] / e["n"])), F.lit(floor)))
+    return transition, z.select(name, "state", F.lit(0).alias("comp"), F.lit(0.0).alias("logw"), mean.alias("mean"), var.alias("var"))
+
+
 # -- Baum-Welch ----------------------------------------------------------------------
 
 
@@ -469,13 +725,7 @@ def sequence_statistics(frames: DataFrame, lookup: Callable[[str], dict[str, Cha
                 rows += _batch_statistics(g, c, name)
         return pd.DataFrame(rows, columns=["kind", "model", "a", "b", "occ", "s1", "s2"])
 
-    parts = cut(map_whole_groups(cols, ["seq_id", "_piece"], ["t"], run, STAT_SCHEMA))  # two sums below read one pass
-    heads = parts.groupBy("kind", "model", "a", "b").agg(F.sum("occ").alias("occ"))
-    dims = parts.filter(F.size("s1") > 0).select("kind", "model", "a", "b", F.posexplode(F.arrays_zip("s1", "s2")).alias("d", "z"))
-    sums = dims.groupBy("kind", "model", "a", "b", "d").agg(F.sum("z.s1").alias("s1"), F.sum("z.s2").alias("s2"))
-    packed = sums.groupBy("kind", "model", "a", "b").agg(F.array_sort(F.collect_list(F.struct("d", "s1", "s2"))).alias("z"))
-    out = heads.join(packed, ["kind", "model", "a", "b"], "left")
-    return out.select("kind", "model", "a", "b", "occ", F.transform("z", lambda e: e["s1"]).alias("s1"), F.transform("z", lambda e: e["s2"]).alias("s2"))
+    return _summed(cut(map_whole_groups(cols, ["seq_id", "_piece"], ["t"], run, STAT_SCHEMA)))  # two sums read one pass
 
 
 def _batch_statistics(g: pd.DataFrame, c: Chain, name: str) -> list[tuple]:
@@ -520,15 +770,7 @@ def _unit_rows(c: Chain, xi: np.ndarray, final: np.ndarray, gamma: np.ndarray, b
     at = 1
     for p, u in enumerate(c.units):
         n = u.size
-        inner = xi[at : at + n, at : at + n]
-        enter = xi[0, at : at + n] if p == 0 else xi[at - c.units[p - 1].size : at, at : at + n].sum(axis=0)
-        if p == len(c.units) - 1:
-            out = final[at : at + n]
-        else:
-            out = xi[at : at + n, at + n : at + n + c.units[p + 1].size].sum(axis=1)
-        rows += [("trans", u.name, 0, j + 1, float(enter[j]), [], []) for j in range(n) if enter[j] > 0]
-        rows += [("trans", u.name, i + 1, n + 1, float(out[i]), [], []) for i in range(n) if out[i] > 0]
-        rows += [("trans", u.name, i + 1, j + 1, float(inner[i, j]), [], []) for i in range(n) for j in range(n) if inner[i, j] > 0]
+        rows += _transition_rows(c, xi, final, p, at)
         logs = b.comps[p]
         share = np.exp(logs - lse(logs, 2)[:, :, None])
         resp = share * gamma[:, at - 1 : at - 1 + n, None]
@@ -541,6 +783,22 @@ def _unit_rows(c: Chain, xi: np.ndarray, final: np.ndarray, gamma: np.ndarray, b
     return rows
 
 
+def _transition_rows(c: Chain, xi: np.ndarray, final: np.ndarray, p: int, at: int) -> list[tuple]:
+    """Transitions of the unit at position ``p`` of a chain, whose first state is ``at``."""
+    u = c.units[p]
+    n = u.size
+    inner = xi[at : at + n, at : at + n]
+    enter = xi[0, at : at + n] if p == 0 else xi[at - c.units[p - 1].size : at, at : at + n].sum(axis=0)
+    if p == len(c.units) - 1:
+        out = final[at : at + n]
+    else:
+        out = xi[at : at + n, at + n : at + n + c.units[p + 1].size].sum(axis=1)
+    rows: list[tuple] = [("trans", u.name, 0, j + 1, float(enter[j]), [], []) for j in range(n) if enter[j] > 0]
+    rows += [("trans", u.name, i + 1, n + 1, float(out[i]), [], []) for i in range(n) if out[i] > 0]
+    rows += [("trans", u.name, i + 1, j + 1, float(inner[i, j]), [], []) for i in range(n) for j in range(n) if inner[i, j] > 0]
+    return rows
+
+
 def reestimate(stats: DataFrame, gaussian: DataFrame, floor: float = VAR_FLOOR, weight_floor: float = 1e-10) -> tuple[DataFrame, DataFrame]:
     """Statistics to new tables; a component or state without visits keeps its values."""
     from pyspark.sql.window import Window
@@ -565,13 +823,14 @@ def _own_chain(transition: DataFrame, gaussian: DataFrame) -> Callable[[str], di
     return lambda name: {name: chains_of[name]} if name in chains_of else {}
 
 
-def baum_welch_step(frames: DataFrame, transition: DataFrame, gaussian: DataFrame, model: str = "label", floor: float = VAR_FLOOR, piece: int = PIECE, fan: int = FAN) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One re-estimation of all models: (transition, gaussian, statistics).
+def baum_welch_step(frames: DataFrame, transition: DataFrame, gaussian: DataFrame, model: str = "label", floor: float = VAR_FLOOR, piece: int = PIECE, fan: int = FAN, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One re-estimation of all models: (transition, gaussian, statistics); ``blocks`` are the frames' blocks if the caller has them.
 
     Rows are trained on the model named by their ``model`` column, so all labels
     share one job.  The statistics are written out, which cuts the lineage.
     """
-    stats = cut(sequence_statistics(frames, _own_chain(transition, gaussian), model, piece, fan))
+    own = _own_chain(transition, gaussian)
+    stats = cut(sequence_statistics(frames, own, model, piece, fan) if blocks is None else _summed_in_task(blocks, own, packed_statistics))
     return (*reestimate(stats, gaussian, floor), stats)
 
 
@@ -584,11 +843,13 @@ def mean_loglik(stats: DataFrame) -> tuple[float, int, int]:
     return (row[0] / used if used else float("-inf")), used, int(row[2] or 0)
 
 
-def baum_welch_fit(frames: DataFrame, transition: DataFrame, gaussian: DataFrame, model: str = "label", max_iter: int = 20, tol: float = 1e-4, floor: float = VAR_FLOOR, piece: int = PIECE) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Iterate until the mean log-likelihood per sequence moves less than ``tol``."""
+def baum_welch_fit(frames: DataFrame, transition: DataFrame, gaussian: DataFrame, model: str = "label", max_iter: int = 20, tol: float = 1e-4, floor: float = VAR_FLOOR, piece: int = PIECE, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Iterate until the mean log-likelihood per sequence moves less than ``tol``.  Short sequences are packed once."""
     trace: list[float] = []
+    blocks = sequence_blocks(frames, model, piece) if blocks is None else blocks
     for _ in range(max_iter):
-        transition, gaussian, stats = baum_welch_step(frames, transition, gaussian, model, floor, piece)
+        transition, gaussian, stats = baum_welch_step(frames, transition, gaussian, model, floor, piece, blocks=blocks)
+        transition, gaussian = cut(transition), cut(gaussian)
         trace.append(mean_loglik(stats)[0])
         if len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol:
             break
@@ -598,11 +859,12 @@ def baum_welch_fit(frames: DataFrame, transition: DataFrame, gaussian: DataFrame
 def grow_mixtures(frames: DataFrame, transition: DataFrame, gaussian: DataFrame, n: int, model: str = "label", max_iter: int = 20, floor: float = VAR_FLOOR) -> tuple[DataFrame, DataFrame]:
     """Split the heaviest component of every state and refit, up to ``n`` components."""
     have = gaussian.groupBy("model", "state").count().agg(F.max("count")).first()[0]
+    blocks = sequence_blocks(frames, model, PIECE) if n > have else None
     for _ in range(n - have):
         heavy = gaussian.withColumn("weight", F.exp("logw"))
         split = split_heaviest(heavy.select("model", "state", "comp", "weight", "mean", "var"), ["model", "state"])
         gaussian = cut(split.select("model", "state", "comp", F.log(F.greatest("weight", F.lit(1e-30))).alias("logw"), "mean", "var"))
-        transition, gaussian, _ = baum_welch_fit(frames, transition, gaussian, model, max_iter, floor=floor)
+        transition, gaussian, _ = baum_welch_fit(frames, transition, gaussian, model, max_iter, floor=floor, blocks=blocks)
     return transition, gaussian
 
 
@@ -618,7 +880,7 @@ def occupation_stats(stats: DataFrame) -> DataFrame:
 
 def initial_models(frames: DataFrame, k: int, dims: int, model: str = "label", floor: float = VAR_FLOOR) -> tuple[DataFrame, DataFrame]:
     """Uniform segmentation to single-Gaussian states and counted transitions."""
-    return models_from_paths(uniform_segmentation(frames, k), k, dims, model, floor)
+    return models_from_paths(cut(uniform_segmentation(frames, k)), k, dims, model, floor)
 
 
 def models_from_paths(paths: DataFrame, k: int, dims: int, model: str = "label", floor: float = VAR_FLOOR) -> tuple[DataFrame, DataFrame]:
@@ -631,8 +893,12 @@ def models_from_paths(paths: DataFrame, k: int, dims: int, model: str = "label",
 
 def segmental_kmeans(frames: DataFrame, k: int, dims: int, model: str = "label", max_iter: int | None = None, tol: float = 1e-3, floor: float = VAR_FLOOR, piece: int = PIECE) -> tuple[DataFrame, DataFrame, list[float]]:
     """Uniform segmentation, then realign on best paths until the mean score settles."""
+    frames = cut(frames.select("seq_id", "t", "x", model))
     transition, gaussian = (cut(t) for t in initial_models(frames, k, dims, model, floor))
     trace: list[float] = []
+    blocks = sequence_blocks(frames, model, piece)
+    if blocks is not None and not blocks.filter("mixed").take(1):
+        return _segmental_blocks(blocks, transition, gaussian, k, dict(frames.dtypes)[model], max_iter, tol, floor)
     while max_iter is None or len(trace) < max_iter:
         scores = viterbi_score(frames, transition, gaussian, piece)
         own = frames.select("seq_id", F.col(model).alias("model")).distinct()
@@ -647,6 +913,21 @@ def segmental_kmeans(frames: DataFrame, k: int, dims: int, model: str = "label",
     return transition, gaussian, trace
 
 
+def _segmental_blocks(blocks: DataFrame, transition: DataFrame, gaussian: DataFrame, k: int, kind: str, max_iter: int | None, tol: float, floor: float) -> tuple[DataFrame, DataFrame, list[float]]:
+    """The rounds of ``segmental_kmeans`` over blocks: one pass scores and aligns the sequences on their own models."""
+    trace: list[float] = []
+    while max_iter is None or len(trace) < max_iter:
+        stats = cut(_summed_in_task(blocks, _own_chain(transition, gaussian), lambda b, c, name: packed_paths(b, c, name, k)))
+        now, used, _ = mean_loglik(stats)
+        if not used:
+            break
+        trace.append(now)
+        if len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol:
+            break
+        transition, gaussian = (cut(t) for t in models_from_sums(stats, gaussian, kind, floor))
+    return transition, gaussian, trace
+
+
 def single_state_models(frames: DataFrame, dims: int, model: str = "label", floor: float = VAR_FLOOR) -> tuple[DataFrame, DataFrame]:
     """Flat start: one state per label, stay and leave equally likely."""
     m = class_mean_var(frames, dims, [model], floor)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlab.functions.exprs import gaussian_logpdf_full
-from strandlab.operators import cluster, mixture, rowblocks
+from strandlab.operators import cluster, mixture, rowblocks, sequences
 from strandlab.operators.moments import full_gaussian
 
 
@@ -76,3 +76,43 @@ def test_full_densities_of_any_size_are_one_pass(spark):
     assert len(got) == 404 and all(abs(got[r["id"], r["label"]]["loglik"] - r["ll"]) < 1e-9 for r in want.collect())
     assert got[900, "0"]["loglik"] == got[901, "1"]["loglik"] == -1e30
     assert all(abs(got[i, "0"]["prob"] + got[i, "1"]["prob"] - 1) < 1e-12 for i in range(200))
+
+
+def sequences_of(n=60, nulls=False):
+    random = np.random.default_rng(11)
+    rows = []
+    for i in range(n):
+        for t in range(1 + int(random.integers(1, 9))):
+            x = (random.normal(size=2) + (3 if t > 2 else 0)).tolist()
+            rows.append((i, t, [None, x[1]] if nulls and i % 9 == 4 and t == 1 else x, None if i % 13 == 12 else "ab"[i % 2]))
+    return rows
+
+
+def test_trainings_on_blocks_equal_the_pieces(spark, monkeypatch):
+    """Long sequences keep the path over pieces; short ones give the same models from blocks."""
+    monkeypatch.setattr(sequences, "BLOCK_FRAMES", 50)
+    df = spark.createDataFrame(sequences_of(), "seq_id long, t long, x array<double>, label string").repartition(2).cache()
+    t, g = (mixture.cut(m) for m in sequences.initial_models(df, 2, 2))
+
+    def flat(gaussian):
+        return {(r["model"], r["state"], r["comp"]): [r["logw"], *r["mean"], *r["var"]] for r in gaussian.collect()}
+
+    def same(a, b):
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-7) for k in a)
+
+    for run in (
+        lambda: sequences.baum_welch_fit(df, t, g, max_iter=3)[1], lambda: sequences.grow_mixtures(df, t, g, 2, max_iter=2)[1], lambda: sequences.segmental_kmeans(df, 2, 2, max_iter=3)[1]
+    ):
+        got = flat(run())
+        with monkeypatch.context() as patch:
+            patch.setattr(sequences, "sequence_blocks", lambda *_: None)
+            same(got, flat(run()))
+
+
+def test_sequence_training_reads_the_frames_a_fixed_number_of_times(spark):
+    rows = sequences_of()
+    plain = spark.createDataFrame(rows, "seq_id long, t long, x array<double>, label string")
+    t, g = (mixture.cut(m) for m in sequences.initial_models(plain, 2, 2))
+    df, seen = counted(spark, rows, "seq_id long, t long, x array<double>, label string")
+    sequences.baum_welch_fit(df, t, g, max_iter=6, tol=0.0)
+    assert 0 < seen.value <= 2 * len(rows)
