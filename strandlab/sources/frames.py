@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.operators.ordering import dense_index
+from strandlab.session import cut
+
+TASKS_PER_CORE = 8  # tasks that open the files
 
 
 def read_frames(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
     """Delimited numeric text, one frame per line, one file per sequence.
 
     Files may be split: the order of the lines is (start of the split, running
-    number inside the task), from which dense positions are derived.
+    number inside the task), from which dense positions are derived.  The files, which may be many and small, are opened
+    once: their lines are written as one table.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("seq_id"),
@@ -22,8 +26,9 @@ def read_frames(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
         F.monotonically_increasing_id().alias("_line"),
         F.trim("value").alias("line"),
     )
-    lines = lines.filter(F.length("line") > 0).withColumn("x", F.split("line", sep).cast("array<double>"))
-    return dense_index(lines.drop("line"), ["seq_id"], ["_block", "_line"]).select("seq_id", "t", "x")
+    lines = lines.filter(F.length("line") > 0).withColumn("x", F.split("line", sep).cast("array<double>")).drop("line")
+    lines = cut(lines.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    return dense_index(lines, ["seq_id"], ["_block", "_line"]).select("seq_id", "t", "x")
 
 
 def as_frames(
