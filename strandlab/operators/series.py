@@ -300,7 +300,8 @@ def path_scores(paths: DataFrame, transition: DataFrame, gaussian: DataFrame, ex
     ``gaussian(state, mean, var)`` of one single-component model.
     """
     around = {"_i": lambda w: F.lag("state").over(w), "_e": lambda w: F.when(F.lead("state").over(w).isNull(), F.lit(exit_state))}
-    prev = look_around(paths, ["seq_id"], around, "t", 1)
+    paths = cut(paths)  # written, so that its rows are counted without making them again
+    prev = look_around(paths, ["seq_id"], around, "t", 1, rows=paths.count())
     prev = prev.withColumn("_i", F.coalesce("_i", F.lit(0)))
     tr = transition.select(F.col("i").alias("_i"), F.col("j").alias("state"), "logp")
     out = transition.filter(F.col("j") == exit_state).select(F.col("i").alias("state"), F.lit(exit_state).alias("_e"), F.col("logp").alias("_x"))
@@ -312,7 +313,7 @@ def path_scores(paths: DataFrame, transition: DataFrame, gaussian: DataFrame, ex
 
 def cumulative_score(paths: DataFrame, transition: DataFrame, gaussian: DataFrame, exit_state: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Running log score along a fixed state path."""
-    steps = path_scores(paths, transition, gaussian, exit_state).select("seq_id", "t", "state", "step")
+    steps = cut(path_scores(paths, transition, gaussian, exit_state).select("seq_id", "t", "state", "step"))  # sized, then summed
     return running_totals(steps, ["seq_id"], ["t"], {"score": F.col("step")}, piece_rows)
 
 
