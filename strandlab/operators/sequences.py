@@ -595,7 +595,8 @@ def packed_statistics(b: Packed, c: Chain, name: str) -> list[tuple]:
         xi[1:, 1:] += np.exp(np.minimum(s, 0.0)).sum(axis=2)
     gamma = np.where(fine, np.exp(np.minimum(alpha + beta - total_of, 0.0)), 0.0)
     final = np.r_[0.0, np.exp(np.minimum(end - total, 0.0))[:, ok].sum(axis=1)]
-    x, square = b.x.T, (b.x * b.x).T
+    x = np.where(np.isnan(b.x), 0.0, b.x).T  # a frame with a null makes its sequence impossible, so its weight is zero
+    square = x * x
     at = 1
     for p, u in enumerate(c.units):
         rows += _transition_rows(c, xi, final, p, at)

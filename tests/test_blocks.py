@@ -116,3 +116,13 @@ def test_sequence_training_reads_the_frames_a_fixed_number_of_times(spark):
     df, seen = counted(spark, rows, "seq_id long, t long, x array<double>, label string")
     sequences.baum_welch_fit(df, t, g, max_iter=6, tol=0.0)
     assert 0 < seen.value <= 2 * len(rows)
+
+
+def test_a_sequence_with_a_null_is_skipped_whole(spark):
+    whole = "seq_id long, t long, x array<double>, label string"
+    rows = sequences_of(nulls=True)
+    broken = {r[0] for r in rows if None in r[2]}
+    df, clean = spark.createDataFrame(rows, whole), spark.createDataFrame([r for r in rows if r[0] not in broken], whole)
+    t, g = (mixture.cut(m) for m in sequences.initial_models(clean, 2, 2))
+    got, want = ({(r["model"], r["state"]): r["mean"] for r in sequences.baum_welch_fit(f, t, g, max_iter=2)[1].collect()} for f in (df, clean))
+    assert broken and got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
