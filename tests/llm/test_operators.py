@@ -416,6 +416,31 @@ def test_near_join_shares_large_and_small_columns(spark, monkeypatch):
     assert sorted(tuple(r) for r in near_join.near_components(docs, 4, 85, 100).collect()) == brute_components(rows, 4, 85, 100)
 
 
+def test_near_join_checks_few_pairs_of_a_large_group(spark, monkeypatch):
+    """One group of near copies of which many are linked by others only: their number of checked pairs stays near theirs."""
+    from strandlab.llm import near_join
+
+    monkeypatch.setattr(near_join, "SMALL", 4)
+    monkeypatch.setattr(near_join, "FREQUENT", 10**9)
+    checked, linked = [], near_join._linked
+
+    def counted(pairs, *rest):
+        checked.append(pairs.count())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(near_join, "_linked", counted)
+    base, rows = [f"b{i}" for i in range(160)], []
+    for edits in (1, 2):  # two texts of two edits each are not alike, but each is like a text of one edit
+        for d in range(20 if edits == 1 else 100):
+            text = list(base)
+            for k in range(edits):
+                text[10 + (37 * d + 71 * k) % 140] = f"e{len(rows)}x{k}"
+            rows.append((len(rows), " ".join(text)))
+    docs = frame(spark, [(d, t, "en", "a") for d, t in rows])
+    assert sorted(tuple(r) for r in near_join.near_components(docs, 4, 85, 100).collect()) == brute_components(rows, 4, 85, 100)
+    assert sum(checked) < 20 * len(rows)
+
+
 def test_near_join_edges(spark, edges, empty):
     from strandlab.llm.near_join import keep_first, near_components
 
