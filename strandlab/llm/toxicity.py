@@ -25,8 +25,9 @@ BINS, TRAIN_ROWS, STEPS, RATE, DECAY = 1 << 18, 4_000, 25, 1.0, 1e-6
 RATIO, ODDS = 24.0, 8.0
 #: Marginal from which a token belongs to a span; score from which a document is toxic; bytes treated at once.
 SPAN, TOXIC, CHUNK = 0.5, 0.7, 4_000_000
-#: Features of a token: the word and its first bytes.  Tokens that one step of the recursion treats in a row.
-STEMS, LANE, TASKS = (4, 5), 64, 8
+#: Features of a token: the word and its first bytes.  Tokens that one step of the recursion treats in a row.  Tasks of a
+#: sum, numbers that one row of it holds.
+STEMS, LANE, TASKS, SLICE = (4, 5), 64, 8, 1 << 15
 FEATURES = 1 + len(STEMS)
 
 _WORD = np.zeros(256, dtype=bool)  # ASCII letters and digits, and all bytes beyond ASCII
@@ -155,7 +156,11 @@ def learning_rows(docs: DataFrame, labels: DataFrame, learning: Column, rows: in
 
 
 def _summed(taught: DataFrame, work, width: int) -> np.ndarray:
-    """Sum over at most ``TASKS`` tasks of the array of ``width`` numbers that ``work`` makes of a task's rows."""
+    """Sum over at most ``TASKS`` tasks of the array of ``width`` numbers that ``work`` makes of a task's rows.
+
+    Tasks hand on slices of ``SLICE`` numbers; those of one place meet in one task and are added up in the order of the
+    first tasks, so that the driver gets one array, however many tasks there are, and reruns agree.
+    """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -164,9 +169,23 @@ def _summed(taught: DataFrame, work, width: int) -> np.ndarray:
             packed = batch.column("features").to_pylist()
             hashes = np.frombuffer(b"".join(packed), dtype=np.uint64).reshape(-1, FEATURES)
             total += work(hashes, np.repeat(np.arange(len(flags)), [len(p) // (8 * FEATURES) for p in packed]), flags)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        begin = range(0, width, SLICE)
+        yield pa.RecordBatch.from_arrays([pa.array(begin, pa.int64()), pa.array([total[i : i + SLICE].tobytes() for i in begin], pa.binary())], names=["begin", "sums"])
 
-    return sum((np.frombuffer(r["sums"]) for r in taught.coalesce(TASKS).mapInArrow(part, "sums binary").collect()), np.zeros(width))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for begin, numbers in zip(batch.column("begin").to_pylist(), batch.column("sums")):
+                found = np.frombuffer(numbers.as_buffer())
+                sums[begin] = sums[begin] + found if begin in sums else found.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["begin", "sums"])
+
+    parts = taught.coalesce(TASKS).mapInArrow(part, "begin long, sums binary").withColumn("task", F.spark_partition_id())
+    met = parts.repartition("begin").sortWithinPartitions("begin", "task").select("begin", "sums").coalesce(TASKS).mapInArrow(add, "begin long, sums binary")
+    out = np.zeros(width)
+    for row in met.collect():
+        out[row["begin"] : row["begin"] + SLICE] = np.frombuffer(row["sums"])
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, learning: Column, rows: int = TRAIN_ROWS, steps: int = STEPS) -> dict[str, np.ndarray]:
@@ -195,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, learning: Column, rows: int = TRAIN_
     marked = np.zeros(BINS, dtype=bool)
     marked[(typical & np.uint64(BINS - 1)).astype(np.int64)] = True
 
-    def gradient(hashes: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    def gradient(scores: np.ndarray, hashes: np.ndarray, text: np.ndarray, flags: np.ndarray) -> np.ndarray:
         out, bins = np.zeros(BINS + 6), feature_bins(hashes, typical)
         tag = (marked[bins].any(axis=1) & (flags[text] == 1)).astype(np.float64)
         toxic_at, pair = marginals(scores[bins].sum(axis=1) + scores[BINS], text, scores[BINS + 2 :].reshape(2, 2), scores[BINS + 1])
@@ -208,7 +227,9 @@ def fit(docs: DataFrame, labels: DataFrame, learning: Column, rows: int = TRAIN_
         return out
 
     for _ in range(steps):
-        slope = _summed(taught, gradient, BINS + 6) - DECAY * (cleans + toxics) * scores
+        sent = taught.sparkSession.sparkContext.broadcast(scores)
+        slope = _summed(taught, lambda *rows, sent=sent: gradient(sent.value, *rows), BINS + 6) - DECAY * (cleans + toxics) * scores
+        sent.destroy()  # else the weights of every step stay with the driver until it collects its garbage
         square += slope * slope
         scores = scores + RATE * slope / np.maximum(np.sqrt(square), 1e-9)
     model |= {"typical": typical, "weight": scores[:BINS], "bias": scores[BINS], "first": scores[BINS + 1], "move": scores[BINS + 2 :].reshape(2, 2)}

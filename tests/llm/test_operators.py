@@ -126,6 +126,27 @@ def test_field_marginals_equal_enumeration(monkeypatch):
             assert np.allclose(got[text == t], tags / total) and np.allclose(pairs[text == t], steps / total)
 
 
+def test_toxicity_sums_meet_on_executors(spark, monkeypatch):
+    """The driver collects one array, not one a task; all rows are in it."""
+    from strandlab.llm import toxicity
+
+    got = []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: got.extend(rows := collect(df)) or rows)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    words = [np.arange(i * toxicity.FEATURES, dtype=np.uint64) for i in range(40)]
+    taught = spark.createDataFrame([(i % 2, bytearray(w.tobytes())) for i, w in enumerate(words)], "toxic int, features binary").repartition(16)
+
+    def work(hashes, text, flags):
+        return np.bincount((hashes % 100).astype(np.int64).reshape(-1), np.repeat(1.0 + flags[text], toxicity.FEATURES), minlength=100)
+
+    found = toxicity._summed(taught, work, 100)
+    want = sum(np.bincount((w % 100).astype(np.int64), minlength=100) * (1.0 + i % 2) for i, w in enumerate(words))
+    assert (found == want).all()
+    assert sum(len(r["sums"]) for r in got) == 8 * 100
+    assert (toxicity._summed(taught.limit(0), work, 100) == 0).all()
+
+
 def test_toxic_documents(spark, edges, empty):
     from strandlab.llm.toxicity import score_toxicity
 
