@@ -499,3 +499,45 @@ def test_pipeline(spark, edges, empty):
             if name == "language_id" and start is docs:
                 assert now.count() >= 0.97 * docs.count()
         assert (now.count() > 0) == (start is not empty)
+
+
+def test_stages_hand_on_small_batches(spark, edges, monkeypatch):
+    """A stage that ends with Python work on texts is written while Arrow batches are bounded; the setting comes back."""
+    import corpus_pipeline
+    from strandlab import session
+
+    def largest():
+        texts = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("abcdefgh"), 500).alias("text"))
+        return max(r["n"] for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect())
+
+    before = spark.conf.get(session.BATCH_BYTES)
+    assert before == session.SPARK_BYTES and largest() > 15_000_000
+    seen, cut = [], session.cut
+    monkeypatch.setattr(corpus_pipeline, "cut", lambda df: seen.append((spark.conf.get(session.BATCH_BYTES), largest())) or cut(df), raising=False)
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("language_id", "mixing", "packing"):
+            stage(spark, edges, FOLDER)
+    assert len(seen) == 3 and all(kept == session.TEXT_BYTES and size < 5_000_000 for kept, size in seen)
+    assert spark.conf.get(session.BATCH_BYTES) == before
+    monkeypatch.undo()
+    spark.conf.set(session.BATCH_BYTES, "1m")
+    try:
+        with session.text_batches(spark):
+            assert spark.conf.get(session.BATCH_BYTES) == "1m"
+        assert spark.conf.get(session.BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(session.BATCH_BYTES)
+
+
+def test_packed_groups_do_not_hang_on_batches(spark, given):
+    from strandlab.llm.packing import pack_documents
+
+    path, _ = tokenizer("word_bpe_49k.json")
+    rows, found = given.repartition(2, "doc_id").sortWithinPartitions("doc_id").localCheckpoint(), []
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append(sorted(map(tuple, pack_documents(rows, path, group_tokens=5_000).collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
