@@ -101,8 +101,7 @@ def _read_frames(spark, d):
     out = fresh_path(spark, "frames")
     e = table(spark, d, "events").select("user_id", "ts", "event_id", F.round("value", 6).cast("string").alias("line"))
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # files take longer than bytes
-    e = e.repartition(tasks, "user_id").sortWithinPartitions("user_id", "ts", "event_id")
-    e.select("user_id", "line").write.partitionBy("user_id").text(out)
+    frame_source.write_lines(e, "user_id", "line", out, tasks, ["ts", "event_id"])
     user = F.regexp_extract("seq_id", r"user_id=(\d+)/", 1).cast("long")
     return frame_source.read_frames(spark, out).select(user.alias("user_id"), "t", F.col("x")[0].alias("x1"))
 
